@@ -155,3 +155,67 @@ bare_store AS (SELECT c.chunk_id, c.source, {file_name('c.source')} AS file_name
   FROM chunks_ c LEFT JOIN summaries s ON s.source = c.source),
 {embedded('bare_store', 'chunk_id', 'page_content', 'store_vectors')},
 store_ AS (SELECT b.*, v.embedding FROM bare_store b JOIN store_vectors v ON v.chunk_id = b.chunk_id)"""
+
+
+VECTOR_STORE = (
+    PAGES
+    + f""", store_ AS (SELECT vec_id AS chunk_id, source, {file_name('source')} AS file_name, page, page AS chunk_index,
+  page_content, embedding, label FROM embeddings JOIN pages_ ON vec_id = doc_id)"""
+)
+
+ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS query_vec, CAST({k} AS INTEGER) AS k, label AS query_label FROM embeddings)"
+EACH_K = "5 + 3 * label"
+
+
+def asked(k: int | str = EACH_K) -> str:
+    return ASKED.format(k=k)
+
+
+def nearest(fetch: str = "greatest(3 * k, 50)", condition: str = "s.chunk_id <> q.query_id", store: str = "store_") -> str:
+    """CTEs that end in candidates(query_id, k, rank, chunk_id, distance, vec, similarity)."""
+    return f"""pairs AS (SELECT q.query_id, q.k, s.chunk_id,
+  round(list_distance(CAST(q.query_vec AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 6) AS distance,
+  row_number() OVER (PARTITION BY q.query_id ORDER BY
+    round(list_distance(CAST(q.query_vec AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 6), s.chunk_id) AS rank
+  FROM asked q JOIN {store} s ON {condition}),
+candidates AS (SELECT p.query_id, p.k, CAST(p.rank AS INTEGER) AS rank, p.chunk_id, p.distance, CAST(s.embedding AS DOUBLE[]) AS vec,
+  list_cosine_similarity(CAST(q.query_vec AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS similarity
+  FROM pairs p JOIN {store} s ON s.chunk_id = p.chunk_id JOIN asked q ON q.query_id = p.query_id WHERE p.rank <= {fetch.replace('k', 'p.k')})"""
+
+
+def mmr(balance: str = str(K.MMR_LAMBDA), more: str = "") -> str:
+    """CTEs that end in found(query_id, pos, rank, chunk_id, similarity, vec): one choice per recursion step."""
+    key = f"query_id{more}"
+    return f"""mmr_ AS (
+  SELECT {key}, k, rank, chunk_id, similarity, vec, 1 AS step, CAST(-1e300 AS DOUBLE) AS worst,
+    row_number() OVER (PARTITION BY {key} ORDER BY round(similarity, 9) DESC, rank) = 1 AS picked FROM candidates
+  UNION ALL
+  SELECT {key}, k, rank, chunk_id, similarity, vec, step, worst,
+    row_number() OVER (PARTITION BY {key} ORDER BY round({balance} * similarity - (1 - {balance}) * worst, 9) DESC, rank) = 1 AS picked
+  FROM (SELECT {', '.join('m.' + c.strip() for c in key.split(','))}, m.k, m.rank, m.chunk_id, m.similarity, m.vec, m.step + 1 AS step,
+      greatest(m.worst, list_cosine_similarity(m.vec, p.vec)) AS worst
+    FROM mmr_ m JOIN mmr_ p ON {' AND '.join(f'm.{c.strip()} = p.{c.strip()}' for c in key.split(','))} AND p.picked
+    WHERE NOT m.picked AND m.step < m.k) x),
+found AS (SELECT {key}, step AS pos, rank, chunk_id, similarity, vec FROM mmr_ WHERE picked)"""
+
+
+RESULTS = "results AS (SELECT f.query_id, f.pos, s.* FROM found f JOIN store_ s ON s.chunk_id = f.chunk_id)"
+
+
+def searched(k: int | str = EACH_K) -> str:
+    return f"{VECTOR_STORE}, {asked(k)}, {nearest()}, {mmr()}, {RESULTS}"
+
+
+def contexts(order: str, origin: str, name: str = "contexts_") -> str:
+    """CTEs that end in contexts_(query_id, context, source_list, fragments)."""
+    return f"""cited AS (SELECT query_id, {order} AS ord, {citation('file_name', 'page')} AS citation,
+  'FRAGMENTO [' || {order} || '] (Pág ' || coalesce(CAST(page AS VARCHAR), '?') || '):' || chr(10) || {one_line('page_content')} AS fragment
+  FROM {origin}),
+first_seen AS (SELECT query_id, citation, min(ord) AS ord FROM cited GROUP BY ALL),
+lists AS (SELECT query_id, chr(10) || {text(K.SOURCES_MARKER)} || chr(10) || string_agg('- ' || citation, chr(10) ORDER BY ord) AS source_list
+  FROM first_seen GROUP BY query_id),
+texts AS (SELECT query_id, string_agg(fragment, chr(10) || chr(10) ORDER BY ord) AS context, count(*) AS fragments FROM cited GROUP BY query_id),
+{name} AS (SELECT t.query_id, context, source_list, fragments FROM texts t JOIN lists l ON l.query_id = t.query_id)"""
+
+
+ORDERED = """ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(page, 999), pos) AS INTEGER) AS ord FROM results)"""

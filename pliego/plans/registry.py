@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pliego.plans import ingest
+from pliego.plans import contexts, ingest, retrieval
 from pliego.plans.oracle import ingest as ingest_sql
+from pliego.plans.oracle import retrieval as retrieval_sql
 
-QUERIES = {**ingest.QUERIES}
-SQL = {**ingest_sql.SQL}
+QUERIES = {**ingest.QUERIES, **retrieval.QUERIES, **contexts.QUERIES}
+SQL = {**ingest_sql.SQL, **retrieval_sql.SQL}
