@@ -62,7 +62,7 @@ def chunk_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = saved_store(spark, sf_dir)
     return saved.withColumn("vector_digest", vector_digest(F.col("embedding"))).drop("embedding")
 
@@ -199,7 +199,7 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_pages, filter_sources_by_type, chunk_store_roundtrip, ingest_pipeline, ingest_counts, ocr_routing,
+        scan_pages, filter_sources_by_type, chunk_store_roundtrip, ingest_documents, ingest_counts, ocr_routing,
         chunk_fixed, chunk_recursive, chunk_param_sweep, chunk_invariants,
         chunk_index, default_source, file_name, processed_date, default_page, enrich_chunk_metadata,
         extract_source_info, clean_file_path, process_documents_flags,

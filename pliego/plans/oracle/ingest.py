@@ -25,7 +25,7 @@ SQL = {
 SELECT source, count(*) AS chunks, CAST(sum(length(page_content)) AS BIGINT) AS chars,
   CAST(sum({P.md5_number('page_content', 7)}) AS BIGINT) AS content_digest,
   CAST(sum({P.vector_digest('embedding')}) AS BIGINT) AS vector_digest FROM store_ GROUP BY source""",
-    "ingest_pipeline": f"""WITH {P.chunk_store(PROCESSED)}
+    "ingest_documents": f"""WITH {P.chunk_store(PROCESSED)}
 SELECT chunk_id, source, file_name, page, chunk_index, page_content, processed_date, document_summary,
   {P.vector_digest('embedding')} AS vector_digest FROM store_""",
     "ingest_counts": f"""WITH {P.CHUNKS}, {P.SIMPLE} SELECT c.source, count(DISTINCT doc_id) AS pages, count(*) AS chunks,
