@@ -69,9 +69,15 @@ ANSWER_PROMPT = """
     RESPUESTA:
     """
 
-# What counts as white space for the two kinds of strip (Python text, browser text).
-PYTHON_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-BROWSER_SPACE = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# The white space that the two kinds of strip remove (Python text, browser text).
+PYTHON_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+BROWSER_BLANKS = (
+    "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f"
+    "\u3000\ufeff"
+)
 TOKEN_BREAK = r"[^\p{L}]+"
 
 # Our own settings.

@@ -7,13 +7,13 @@ from pyspark.sql import Column, functions as F
 from pliego import constants as K
 
 
-def strip(text: Column, space: str = K.PYTHON_SPACE) -> Column:
-    """Drop white space at both ends; ``trim`` would only drop blanks."""
-    return F.regexp_replace(text, f"^{space}+|{space}+$", "")
+def strip(text: Column, blanks: str = K.PYTHON_BLANKS) -> Column:
+    """Drop white space at both ends. Only the ends are looked at; a regular expression would try every position."""
+    return F.btrim(text, F.lit(blanks))
 
 
 def one_line(text: Column) -> Column:
-    return strip(F.translate(text, "\n", " "))
+    return strip(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
 def base_name(path: Column) -> Column:
@@ -67,8 +67,3 @@ def fill(template: str, **values: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), K.TOKEN_BREAK), lambda t: t != "")
-
-
-def token_bucket(token: Column) -> Column:
-    """First 32 bits of the md5, modulo the vector size."""
-    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint") % K.VECTOR_BUCKETS

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from pliego import constants as K
-from pliego.functions import text as X
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -26,17 +27,29 @@ def as_vectors(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.astype(np.float32).ravel()))
 
 
+def bucket(token: str) -> int:
+    """First 32 bits of the md5, modulo the vector size; empty tokens have no bucket."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % K.VECTOR_BUCKETS if token else -1
+
+
+def counted(content: pa.Array) -> np.ndarray:
+    """Token counts per text and bucket. Only distinct tokens are hashed, everything else is array work."""
+    words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(content, "")), pattern=K.TOKEN_BREAK)
+    tokens = words.flatten().dictionary_encode()
+    buckets = np.array([bucket(t) for t in tokens.dictionary.to_pylist()], np.int64)[tokens.indices.to_numpy()]
+    rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    cells = (rows * K.VECTOR_BUCKETS + buckets)[buckets >= 0]
+    return np.bincount(cells, minlength=len(words) * K.VECTOR_BUCKETS).reshape(-1, K.VECTOR_BUCKETS)
+
+
 @F.arrow_udf(ArrayType(FloatType()))
-def _unit_counts(buckets: pa.Array) -> pa.Array:
-    sizes = np.diff(buckets.offsets.to_numpy())
-    rows = np.repeat(np.arange(len(buckets)), sizes)
-    cells = rows * K.VECTOR_BUCKETS + buckets.flatten().to_numpy(zero_copy_only=False)
-    counts = np.bincount(cells, minlength=len(buckets) * K.VECTOR_BUCKETS).reshape(-1, K.VECTOR_BUCKETS)
-    norms = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+def _embed(content: pa.Array) -> pa.Array:
+    counts = counted(content).astype(np.float64)
+    norms = np.sqrt((counts**2).sum(axis=1, keepdims=True))
     return as_vectors(counts / np.where(norms == 0, 1, norms))
 
 
 def embed(content: Column) -> Column:
-    """Token counts by hash bucket, scaled to length 1. Tokens and hashes are made by Spark; only bucket numbers
-    cross to Arrow, and nothing is shuffled."""
-    return _unit_counts(F.transform(X.tokens(F.coalesce(content, F.lit(""))), lambda t: X.token_bucket(t).cast("int")))
+    """Token counts by hash bucket, scaled to length 1. Narrow: no row leaves its partition, and the same function
+    serves chunks and queries."""
+    return _embed(content)

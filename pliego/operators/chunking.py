@@ -137,6 +137,6 @@ def invariant_violations(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: in
     counted = split.select(
         broken(lambda p: (F.length(p["text"]) < 1) | (F.length(p["text"]) > size)).alias("bad_length"),
         broken(lambda p: F.substring(text, p["start"] + 1, F.length(p["text"])) != p["text"]).alias("not_in_page"),
-        F.size(F.filter(gaps, lambda g: F.regexp_replace(g, f"{K.PYTHON_SPACE}+", "") != "")).alias("uncovered"),
+        F.size(F.filter(gaps, lambda g: F.btrim(g, F.lit(K.PYTHON_BLANKS)) != "")).alias("uncovered"),
     )
     return counted.agg(*[F.coalesce(F.sum(c).cast("bigint"), F.lit(0)).alias(c) for c in counted.columns])

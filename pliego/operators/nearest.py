@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window as W
@@ -276,13 +277,13 @@ def nearest(
         F.col("embedding").alias("vec"),
         (F.col(right) if right else F.lit(0)).cast("bigint").alias("part"),
     )
-    most = asked.agg(F.max("fetch")).first()[0] or 1
-    small = asked.select("query_id", "vec", "part").limit(few // most + 1).toArrow()
-    if not small.num_rows:
-        hits = queries.sparkSession.createDataFrame([], FOUND)
-    elif small.num_rows <= few // most:
-        hits = _few_queries(small, kept, most, skip_same)
+    small = asked.limit(few // K.MIN_FETCH + 1).toArrow()
+    n, most = small.num_rows, pc.max(small.column("fetch")).as_py() or 1
+    if n <= few // K.MIN_FETCH and n * most <= few:
+        asked = queries.sparkSession.createDataFrame(small)
+        hits = _few_queries(small, kept, most, skip_same) if n else queries.sparkSession.createDataFrame([], FOUND)
     else:
+        most = asked.agg(F.max("fetch")).first()[0]
         hits = _many_queries(asked.select("query_id", "vec", "part"), kept, most, skip_same)
     order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
     best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)

@@ -7,31 +7,37 @@ sums (one small row per group and slice) are accumulated per group, and both par
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 SLICE_FLOOR = 1024
+DENSE_SPAN = 4096  # slice width for keys that count from 0 without large gaps, such as turns
 
 
-def slice_span(rows: DataFrame, key: str, floor: int = SLICE_FLOOR) -> int:
-    """Width of a slice so that slices and rows per slice both grow with the square root of the input."""
-    seen = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
-    if not seen.n:
-        return floor
-    return max(floor, -(-(seen.hi - seen.lo + 1) // math.isqrt(seen.n)))
+def slice_span(rows: DataFrame, key: str, floor: int = SLICE_FLOOR) -> Column:
+    """Width of a slice, as a scalar subquery, so that slices and rows per slice both grow with the square root of
+    the input."""
+    reach = F.max(key) - F.min(key) + 1
+    width = F.ceil(reach / F.floor(F.sqrt(F.count(key))))
+    return rows.select(key).agg(F.greatest(F.lit(floor), F.coalesce(width, F.lit(0))).cast("bigint")).scalar()
 
 
 def running_totals(
-    rows: DataFrame, group: list[str], key: str, values: dict[str, Column], span: int | None = None
+    rows: DataFrame,
+    group: list[str],
+    key: str,
+    values: dict[str, Column],
+    span: int | None = None,
+    about: DataFrame | None = None,
 ) -> DataFrame:
     """Add, for each name in ``values``, its sum over the earlier rows of the group and ``<name>_total``.
 
     ``key`` is an integer that is unique within the group, ``values`` are integers, group columns are not null.
+    ``about`` has one row per group; its columns come along with the slice sums, so the rows themselves need no join
+    on a key that may be hot.
     """
-    span = span or slice_span(rows, key)
-    sliced = rows.withColumns({"_slice": F.expr(f"{key} div {span}"), **{f"_v_{n}": v.cast("bigint") for n, v in values.items()}})
+    span = F.lit(span) if span else slice_span(rows, key)
+    sliced = rows.withColumns({"_slice": F.call_function("div", F.col(key), span), **{f"_v_{n}": v.cast("bigint") for n, v in values.items()}})
     by_slice = [*group, "_slice"]
 
     so_far = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -45,39 +51,57 @@ def running_totals(
             *[F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in values],
         )
     )
+    if about is not None:
+        bases = bases.join(about, group)
     inside = W.partitionBy(*by_slice).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     local = sliced.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
     return local.join(bases, by_slice).select(
         *rows.columns,
         *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in values],
         *[f"{n}_total" for n in values],
+        *[c for c in (about.columns if about is not None else []) if c not in group],
     )
 
 
-def row_index(rows: DataFrame, group: list[str], key: str, name: str, span: int | None = None) -> DataFrame:
+def row_index(
+    rows: DataFrame, group: list[str], key: str, name: str, span: int | None = None, about: DataFrame | None = None
+) -> DataFrame:
     """Number the rows of each group from 0 in ``key`` order."""
-    return running_totals(rows, group, key, {name: F.lit(1)}, span).drop(f"{name}_total")
+    return running_totals(rows, group, key, {name: F.lit(1)}, span, about).drop(f"{name}_total")
 
 
-def previous_rows(
-    rows: DataFrame, group: list[str], seq: str, keep: int, value: Column, name: str, span: int = 4096
+def nearby_rows(
+    rows: DataFrame, group: list[str], seq: str, value: Column, before: int, after: int = 0, span: int = DENSE_SPAN
 ) -> DataFrame:
-    """Add the ``value`` of up to ``keep`` rows before each row as an array, oldest first.
-
-    ``seq`` counts the group's rows from 0. The last ``keep`` rows of a slice are copied into the next slice, so
-    every row finds its predecessors inside its own slice.
-    """
-    span = max(span, keep)
-    sliced = rows.withColumn("_value", value).withColumn("_slice", F.expr(f"{seq} div {span}"))
-    homes = F.when(
-        F.col(seq) % span >= span - keep,
-        F.array(F.struct(F.col("_slice").alias("s"), F.lit(True).alias("home")),
-                F.struct((F.col("_slice") + 1).alias("s"), F.lit(False).alias("home"))),
-    ).otherwise(F.array(F.struct(F.col("_slice").alias("s"), F.lit(True).alias("home"))))
-    spread = sliced.withColumn("_at", F.explode(homes))
-    before = W.partitionBy(*group, "_at.s").orderBy(seq).rowsBetween(-keep, -1)
+    """Add ``earlier`` and ``later``: the ``value`` of up to that many rows before and after each row, in order.
+
+    ``seq`` counts the group's rows from 0. The rows at the edges of a slice are copied into the neighbour slice, so
+    every row finds its neighbours inside its own slice."""
+    if span < before + after:
+        raise ValueError("a slice has to be wider than the neighbourhood")
+    at = F.col(seq) % span
+    home = F.call_function("div", F.col(seq), F.lit(span))
+
+    def copy(slice_no: Column, own: bool) -> Column:
+        return F.struct(slice_no.alias("slice"), F.lit(own).alias("own"))
+
+    copies = F.filter(
+        F.array(
+            copy(home, True),
+            F.when(at >= span - before, copy(home + 1, False)),
+            F.when((at < after) & (home > 0), copy(home - 1, False)),
+        ),
+        lambda c: c.isNotNull(),
+    )
+    spread = rows.withColumn("_value", value).withColumn("_at", F.explode(copies))
+    order = W.partitionBy(*group, "_at.slice").orderBy(seq)
     return (
-        spread.withColumn(name, F.collect_list("_value").over(before))
-        .filter("_at.home")
-        .select(*rows.columns, name)
+        spread.withColumns(
+            {
+                "earlier": F.collect_list("_value").over(order.rowsBetween(-before, -1)),
+                "later": F.collect_list("_value").over(order.rowsBetween(1, after)) if after else F.array(),
+            }
+        )
+        .filter("_at.own")
+        .select(*rows.columns, "earlier", "later")
     )

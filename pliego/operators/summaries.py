@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import StringType
 
 from pliego import constants as K
 from pliego.functions import text as X
@@ -67,31 +71,46 @@ def model_input(text: Column) -> Column:
     return F.substring(text, 1, K.SUMMARY_INPUT_CHARS)
 
 
+def best_sentences(limit: int):
+    """A function from the head of a text to its sentences with the most frequent words (term-frequency extraction,
+    Luhn 1958): best first while they fit into ``limit`` characters, then in text order. Null when none fits."""
+
+    def choose(sentences: list[str], tokens: list[list[str]]) -> str | None:
+        frequency = Counter(t for words in tokens for t in words)
+        scored = [
+            (-sum(frequency[t] for t in words) / len(words), no)
+            for no, words in enumerate(map(lambda w: [t for t in w if t], tokens)) if words
+        ]
+        chosen, used = [], 0
+        for _, no in sorted(scored):
+            used += len(sentences[no]) + 2
+            if used > limit + 2:
+                break
+            chosen.append(no)
+        return ". ".join(sentences[no] for no in sorted(chosen)) or None
+
+    @F.arrow_udf(StringType())
+    def extract(heads: pa.Array) -> pa.Array:
+        parts = pc.split_pattern_regex(heads, pattern=r"[.\n]")
+        sentences = pc.utf8_trim(parts.flatten(), characters=K.PYTHON_BLANKS)
+        tokens = pc.split_pattern_regex(pc.utf8_lower(sentences), pattern=K.TOKEN_BREAK)
+        ends = parts.offsets.to_numpy()
+        return pa.array(
+            [choose(sentences[a:b].to_pylist(), tokens[a:b].to_pylist()) for a, b in zip(ends - ends[0], ends[1:] - ends[0])],
+            pa.string(),
+        )
+
+    return extract
+
+
 def extractive_summaries(placed: DataFrame, limit: int = K.SUMMARY_CHARS) -> DataFrame:
-    """Sentences with the most frequent words of the document's head, in text order, within ``limit`` characters
-    (term-frequency extraction, Luhn 1958). Without a sentence that fits, the first ``limit`` characters."""
+    """Best sentences of each file's head, or its first ``limit`` characters; short files are their own summary.
+
+    The head is at most 5,000 characters, so counting its words needs no shuffle."""
     heads = document_heads(placed, K.SUMMARY_INPUT_CHARS)
-    sentences = heads.select("source", F.posexplode(F.split("head", r"[.\n]")).alias("no", "raw")).select(
-        "source", "no", X.strip(F.col("raw")).alias("sentence")
-    ).filter("sentence <> ''")
-    words = sentences.select("source", "no", F.explode(X.tokens(F.col("sentence"))).alias("token"))
-    counts = words.groupBy("source", "no", "token").agg(F.count(F.lit(1)).alias("here"))
-    # A file's head is at most 5,000 characters, so this window is small for every file.
-    counts = counts.withColumn("tf", F.sum("here").over(W.partitionBy("source", "token")))
-    scores = counts.groupBy("source", "no").agg((F.sum(F.col("here") * F.col("tf")) / F.sum("here")).alias("score"))
-    best = W.partitionBy("source").orderBy(F.col("score").desc(), "no")
-    budget = best.rowsBetween(W.unboundedPreceding, 0)
-    chosen = (
-        sentences.join(scores, ["source", "no"])
-        .withColumn("used", F.sum(F.length("sentence") + 2).over(budget))
-        .filter(F.col("used") <= limit + 2)
-        .groupBy("source")
-        .agg(F.array_sort(F.collect_list(F.struct("no", "sentence"))).alias("s"))
-        .select("source", F.array_join(F.transform("s", lambda x: x["sentence"]), ". ").alias("proposed"))
-    )
-    proposed = F.coalesce("proposed", cut(F.col("head"), F.col("total_chars"), limit))
+    proposed = F.coalesce(best_sentences(limit)("head"), cut(F.col("head"), F.col("total_chars"), limit))
     short = F.col("total_chars") < K.SUMMARY_MIN_TEXT
-    return heads.join(chosen, "source", "left").select(
+    return heads.select(
         "source", *TOTALS, F.when(short, F.col("head")).otherwise(X.clip(proposed, limit)).alias("document_summary")
     )
 

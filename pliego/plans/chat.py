@@ -20,9 +20,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user message as a request, with the thread and state it met."""
-    said = messages(spark, sf_dir)
-    return talk.resolve_requests(talk.replay_requests(said), talk.states_after_each(said))
+    """Every user message as a request with the history it met; requests without a stored reply are errors."""
+    return talk.replayed(messages(spark, sf_dir)).withColumn(
+        "error", F.when(F.col("response").isNull(), F.lit(NO_REPLY))
+    )
 
 
 def create_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,13 @@ def last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests(spark, sf_dir).select("request_id", "thread_id", "user_input", "history_len", "history")
+    """Requests that wait for an answer, with the state their thread had before them."""
+    said = messages(spark, sf_dir)
+    waiting = talk.open_requests(said)
+    stored = said.withColumn("request_id", talk.request_id(F.col("conv_id"), F.col("seq"))).join(
+        waiting, "request_id", "left_anti"
+    )
+    return talk.resolve_requests(waiting, talk.last_state(stored))
 
 
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,21 +66,10 @@ def build_answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).select("request_id", prompt.alias("prompt"))
 
 
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored answer of each request; requests that got none are errors."""
-    said = messages(spark, sf_dir)
-    answered = said.filter("role = 'assistant'").select(
-        (F.col("conv_id") * 1000000 + F.col("seq") - 1).alias("request_id"), F.col("content").alias("response")
-    )
-    return requests(spark, sf_dir).join(answered, "request_id", "left").withColumn(
-        "error", F.when(F.col("response").isNull(), F.lit(NO_REPLY))
-    )
-
-
 def chat_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes with the history as context, so first requests used no tool."""
     sent = answers.envelope(F.col("response"), F.col("thread_id"), F.col("history"), F.col("error"))
-    return replies(spark, sf_dir).select("request_id", sent.alias("envelope"))
+    return requests(spark, sf_dir).select("request_id", sent.alias("envelope"))
 
 
 def parse_response_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +101,7 @@ def user_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All requests through the whole path: state, search text, search in the ingested store, context, prompt and
     envelope. The stored answers stand in for the model's."""
-    sent = talk.contextualize(replies(spark, sf_dir)).withColumnRenamed("request_id", "query_id")
+    sent = talk.contextualize(requests(spark, sf_dir)).withColumnRenamed("request_id", "query_id")
     queries = sent.select("query_id", embed(F.col("search_query")).alias("query_vec"), F.lit(K.AGENT_K).alias("k"))
     stored = ingest.saved_store(spark, sf_dir)
     found = search(queries, stored.select("chunk_id", "embedding"), skip_same=False)

@@ -16,9 +16,7 @@ MESSAGES = f"""{SESSIONS}, messages AS (SELECT s.user_id, c.conv_id, s.thread_id
 HISTORY = f"""{MESSAGES}, histories AS (SELECT m.thread_id, m.conv_id, m.seq, m.role, m.content,
   coalesce(string_agg(h.line, chr(10) ORDER BY h.seq), '') AS history FROM messages m
   LEFT JOIN messages h ON h.thread_id = m.thread_id AND h.seq BETWEEN m.seq - 4 AND m.seq - 1 GROUP BY ALL)"""
-REQUESTS = f"""{HISTORY}, requests AS (SELECT conv_id * 1000000 + seq AS request_id, conv_id,
-  CASE WHEN seq = 0 THEN 'user_{K.DEFAULT_USER}_' || (dense_rank() OVER (ORDER BY conv_id) - 1) ELSE thread_id END AS thread_id,
-  content AS user_input, CAST(seq AS BIGINT) AS history_len, history FROM histories WHERE role = 'user'),
+REQUESTS = f"""{HISTORY}, requests AS (SELECT conv_id * 1000000 + seq AS request_id, conv_id, thread_id, content AS user_input, CAST(seq AS BIGINT) AS history_len, history FROM histories WHERE role = 'user'),
 replies AS (SELECT r.*, m.content AS response, CASE WHEN m.content IS NULL THEN '{NO_REPLY}' END AS error FROM requests r
   LEFT JOIN messages m ON m.conv_id = r.conv_id AND m.seq = r.history_len + 1)"""
 SEARCH_QUERY = "CASE WHEN history = '' THEN user_input ELSE history || chr(10) || user_input END"
@@ -33,9 +31,9 @@ def envelope(response: str, context: str) -> str:
   'thread_id', thread_id, 'error_detail', error) END AS VARCHAR)"""
 
 
-PARSED = f"""parsed AS (SELECT conv_id, turn, {P.strip(f"split_part(response, {P.text(K.SOURCES_MARKER)}, 1)", K.BROWSER_SPACE)} AS answer,
-  {P.strip(f"split_part(response, {P.text(K.SOURCES_MARKER)}, 2)", K.BROWSER_SPACE)} AS listed FROM answers)"""
-LINES = f"list_filter(list_transform(string_split(listed, chr(10)), lambda s: {P.strip('s', K.BROWSER_SPACE)}), lambda s: starts_with(s, '-'))"
+PARSED = f"""parsed AS (SELECT conv_id, turn, {P.strip(f"split_part(response, {P.text(K.SOURCES_MARKER)}, 1)", K.BROWSER_BLANKS)} AS answer,
+  {P.strip(f"split_part(response, {P.text(K.SOURCES_MARKER)}, 2)", K.BROWSER_BLANKS)} AS listed FROM answers)"""
+LINES = f"list_filter(list_transform(string_split(listed, chr(10)), lambda s: {P.strip('s', K.BROWSER_BLANKS)}), lambda s: starts_with(s, '-'))"
 GAPS = f"""steps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {K.SESSION_HOURS} HOURS THEN 0 ELSE 1 END AS opens
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 marked AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM steps),
@@ -49,7 +47,11 @@ SELECT m.thread_id, history_len, arg_max(content, seq) FILTER (WHERE role = 'use
   arg_max(content, seq) FILTER (WHERE role = 'assistant') AS answer,
   string_agg(line, chr(10) ORDER BY seq) FILTER (WHERE seq >= history_len - 4) AS history_tail
 FROM messages m JOIN sizes s ON s.thread_id = m.thread_id GROUP BY m.thread_id, history_len""",
-    "resolve_request": f"WITH {REQUESTS} SELECT request_id, thread_id, user_input, history_len, history FROM requests",
+    "resolve_request": f"""WITH {HISTORY}, waiting AS (SELECT * FROM histories h WHERE role = 'user' AND seq =
+  (SELECT max(seq) FROM messages m WHERE m.thread_id = h.thread_id))
+SELECT conv_id * 1000000 + seq AS request_id, CASE WHEN seq = 0 THEN 'user_{K.DEFAULT_USER}_' ||
+  (row_number() OVER (PARTITION BY seq = 0 ORDER BY conv_id) - 1) ELSE thread_id END AS thread_id, content AS user_input,
+  CAST(seq AS BIGINT) AS history_len, history FROM waiting""",
     "history_window": f"WITH {HISTORY} SELECT thread_id, seq, history FROM histories",
     "contextualize_query": f"""WITH {REQUESTS} SELECT request_id, {SEARCH_QUERY} AS search_query,
   CASE WHEN history <> '' THEN {P.filled(K.REWRITE_PROMPT, history='history', input='user_input')} END AS rewrite_prompt FROM requests""",
@@ -64,7 +66,7 @@ FROM {EVERY_QUERY} q LEFT JOIN found f ON f.query_id = q.query_id""",
     "build_answer_prompt": f"WITH {REQUESTS} SELECT request_id, {P.filled(K.ANSWER_PROMPT, context='history', input='user_input')} AS prompt FROM requests",
     "chat_response": f"WITH {REQUESTS} SELECT request_id, {envelope('response', 'history')} AS envelope FROM replies",
     "parse_response_sources": f"""WITH {ANSWERS}, {PARSED} SELECT conv_id, turn, answer,
-  array_to_string(list_transform({LINES}, lambda s: {P.strip('substr(s, 2)', K.BROWSER_SPACE)}), '|') AS sources,
+  array_to_string(list_transform({LINES}, lambda s: {P.strip('substr(s, 2)', K.BROWSER_BLANKS)}), '|') AS sources,
   listed = '' AS general_knowledge FROM parsed""",
     "render_history": f"""WITH {MESSAGES}, lines AS (SELECT thread_id, seq, role || ': ' || content || chr(10) AS line FROM messages),
 whole AS (SELECT thread_id, string_agg(line, '' ORDER BY seq) AS transcript FROM lines GROUP BY thread_id),

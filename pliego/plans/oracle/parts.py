@@ -18,8 +18,8 @@ def filled(template: str, **values: str) -> str:
     return " || ".join([*parts, text(rest)])
 
 
-def strip(x: str, space: str = K.PYTHON_SPACE) -> str:
-    return f"regexp_replace({x}, '^{space}+|{space}+$', '', 'g')"
+def strip(x: str, blanks: str = K.PYTHON_BLANKS) -> str:
+    return f"regexp_replace({x}, '^[{blanks}]+|[{blanks}]+$', '', 'g')"
 
 
 def one_line(x: str) -> str:

@@ -6,14 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pliego import constants as K
 from pliego.operators.conversation import create_sessions
-from pliego.operators.ordering import row_index
+from pliego.operators.ordering import DENSE_SPAN, row_index
 
 # Fixed value: the file behind source 'src7' has a name longer than 50 characters.
 LONG_NAME_SOURCE, LONG_NAME = "src7", "historico_de_la_universidad_y_sus_facultades_"
 
 
+# Known schemas: reading starts without a look into the files.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan that has fewer splits than the cluster has cores, dealt out by key.
+
+    A large table has more splits than that and stays as it is; a small one would run its per-row work in few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def document_path(source: Column, lang: Column) -> Column:
@@ -32,14 +50,7 @@ def as_pages(documents: DataFrame) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_pages(read(spark, sf_dir, "documents"))
-
-
-def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, doc_id, page) without the text."""
-    return row_index(pages(spark, sf_dir).select("source", "doc_id"), ["source"], "doc_id", "page").withColumn(
-        "page", F.col("page").cast("int")
-    )
+    return as_pages(spread(read(spark, sf_dir, "documents"), "doc_id"))
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +60,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("role").isin("user", "assistant"))
         .select("conv_id", "turn", "role", F.col("text").alias("content"))
     )
-    return row_index(said, ["conv_id"], "turn", "seq").join(chat_sessions(spark, sf_dir), "conv_id").select(
+    return row_index(said, ["conv_id"], "turn", "seq", DENSE_SPAN, chat_sessions(spark, sf_dir)).select(
         "user_id", "conv_id", "thread_id", F.col("seq").cast("int").alias("seq"), "role", "content"
     )
 

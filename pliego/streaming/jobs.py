@@ -18,6 +18,7 @@ from pliego import constants as K
 from pliego.operators.chunking import chunk_fixed
 from pliego.operators.conversation import spoken
 from pliego.operators.metadata import enrich
+from pliego.sources.tables import SCHEMAS
 
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 TURN_BLOCK = 1024
@@ -25,9 +26,8 @@ TURN_BLOCK = 1024
 
 def incoming(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files of one table."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(SCHEMAS[name])
         .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
