@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 _fallback: list[str] = []
 
 
-def local_session(cpus: str = "*", app: str = "pliego") -> SparkSession:
+def local_session(cpus: str = "*", app: str = "pliego", **settings: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -22,8 +22,10 @@ def local_session(cpus: str = "*", app: str = "pliego") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
