@@ -23,28 +23,41 @@ def filter_by_type(manifest: DataFrame, path: str, file_type: str) -> DataFrame:
     return manifest.filter(F.endswith(F.lower(F.col(path)), F.lit(file_type.lower())))
 
 
-def place_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+def page_sizes(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    """(source, doc_id, chunks, chars): what each page will give, from the length of its text alone."""
+    chars, chunk, over = F.length("page_content").cast("bigint"), F.lit(size), F.lit(overlap)
+    return pages.select(
+        "source",
+        "doc_id",
+        piece_count(chars, chunk, over).alias("chunks"),
+        piece_chars(chars, chunk, over).alias("chars"),
+    )
+
+
+def place(sizes: DataFrame) -> DataFrame:
     """Number the pages of each file and place them in its chunk list and in its joined chunk text.
 
-    Adds page, first_chunk, char_start and the totals of the file. Lengths tell how many chunks a page will give, so
-    this runs before splitting and on numbers only; the text meets them once, on the unique doc_id."""
-    chars = F.length("page_content").cast("bigint")
-    chunk, over = F.lit(size), F.lit(overlap)
-    sizes = pages.select(
+    Gives source, doc_id, page, first_chunk, char_start and the totals of the file."""
+    values = {"page": F.lit(1), "first_chunk": F.col("chunks"), "char_start": F.col("chars") + F.col("chunks")}
+    return running_totals(sizes, ["source"], "doc_id", values).select(
         "source",
         "doc_id",
-        piece_count(chars, chunk, over).alias("_count"),
-        piece_chars(chars, chunk, over).alias("_chars"),
+        F.col("page").cast("int").alias("page"),
+        "first_chunk",
+        "char_start",
+        F.col("page_total").alias("total_pages"),
+        F.col("first_chunk_total").alias("total_chunks"),
+        (F.col("char_start_total") - 1).alias("total_chars"),
     )
-    values = {"page": F.lit(1), "first_chunk": F.col("_count"), "char_start": F.col("_chars") + F.col("_count")}
-    places = (
-        running_totals(sizes, ["source"], "doc_id", values)
-        .withColumn("page", F.col("page").cast("int"))
-        .withColumnsRenamed({"page_total": "total_pages", "first_chunk_total": "total_chunks"})
-        .withColumn("total_chars", F.col("char_start_total") - 1)
-        .drop("char_start_total", "_count", "_chars")
-    )
-    return pages.drop("source").join(places, "doc_id")
+
+
+def with_text(places: DataFrame, pages: DataFrame) -> DataFrame:
+    """Placed pages with their text: the text is moved once, to its unique doc_id."""
+    return pages.select("doc_id", "page_content").join(places, "doc_id")
+
+
+def place_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    return with_text(place(page_sizes(pages, size, overlap)), pages)
 
 
 def chunk_placed(placed: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:

@@ -1,9 +1,11 @@
 """Exact nearest neighbours of many queries: L2 distance compared at six decimals, ties by id.
 
 Two ways, chosen by a checked size. Few queries: they travel with the tasks, each store partition keeps its best rows
-per query, and the store is neither shuffled nor sorted. Many queries: both sides are cut into cells around pivots
-(Voronoi cells with triangle-inequality bounds, Lu et al. 2012, "Efficient processing of k nearest neighbor joins
-using MapReduce"); a query visits only cells that can hold one of its neighbours, and large cells are split.
+per query, and the store is neither shuffled nor sorted. Many queries: both sides are cut into cells around pivots, and
+triangle inequalities tell which cells can hold a neighbour (after Lu et al. 2012, "Efficient processing of k nearest
+neighbor joins using MapReduce"). A first probe of the closest cells gives every query a distance that its k-th
+neighbour cannot exceed; the search then visits only cells within it and hands on only rows within it. Large cells and
+cells with many callers are split into blocks.
 """
 
 from __future__ import annotations
@@ -21,19 +23,22 @@ from pyspark.sql.window import Window as W
 
 from pliego import constants as K
 from pliego.functions.vectors import as_matrix, as_vectors
+from pliego.session import kept
 
 FEW_CELLS = 256_000  # queries x candidates that may travel with a task (about 64 MB of vectors)
 BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
-PIVOTS = 128
+PIVOTS = 1024
+PROBE_FACTOR = 8  # rows a query probes first, as a multiple of the candidates it needs
 MICRO = 1e6
-NONE = np.iinfo(np.int64).max
 
 FOUND = "query_id bigint, chunk_id bigint, distance double, similarity double, embedding array<float>"
 FOUND_ARROW = pa.schema(
     [("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64()), ("similarity", pa.float64()),
      ("embedding", pa.list_(pa.float32()))]
 )
+PROBED = "query_id bigint, distances array<double>"
+PROBED_ARROW = pa.schema([("query_id", pa.int64()), ("distances", pa.list_(pa.float64()))])
 
 
 def fetch_size(k: Column) -> Column:
@@ -43,153 +48,167 @@ def fetch_size(k: Column) -> Column:
 
 @dataclass
 class Side:
-    """Ids, vectors and filter values of some rows, in id order."""
+    """Ids, vectors, filter values and reaches of some rows, in id order."""
 
     ids: np.ndarray
     vectors: np.ndarray
     parts: np.ndarray
+    reach: np.ndarray
 
     @staticmethod
     def of(table: pa.Table | pa.RecordBatch, id_name: str) -> Side:
         ids = np.asarray(table.column(id_name))
         order = np.argsort(ids, kind="stable")
-        return Side(ids[order], as_matrix(table.column("vec"))[order], np.asarray(table.column("part"))[order])
+        reach = np.asarray(table.column("reach")) if "reach" in table.schema.names else np.full(len(ids), np.inf)
+        return Side(ids[order], as_matrix(table.column("vec"))[order], np.asarray(table.column("part"))[order], reach[order])
 
-    def slice(self, begin: int, size: int) -> Side:
-        end = begin + size
-        return Side(self.ids[begin:end], self.vectors[begin:end], self.parts[begin:end])
+    def blocks(self, size: int) -> Iterator[Side]:
+        for at in range(0, len(self.ids), size):
+            cut = slice(at, at + size)
+            yield Side(self.ids[cut], self.vectors[cut], self.parts[cut], self.reach[cut])
 
 
 def square_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    gram = left @ right.T
-    gram *= -2
-    gram += (left**2).sum(axis=1)[:, None]
-    gram += (right**2).sum(axis=1)[None, :]
-    return np.maximum(gram, 0, out=gram)
-
-
-def best_of(queries: Side, store: Side, k: int, skip_same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Per query the positions of the ``k`` best store rows by (rounded distance, id), and their distances in
-    millionths, NONE where there is no row."""
-    n = len(store.ids)
-    keys = np.rint(np.sqrt(square_distances(queries.vectors, store.vectors)) * MICRO).astype(np.int64)
-    keys *= n
-    keys += np.arange(n)
-    barred = queries.parts[:, None] != store.parts[None, :]
-    if skip_same:
-        barred |= queries.ids[:, None] == store.ids[None, :]
-    keys[barred] = NONE
-    if k < n:
-        keys = np.partition(keys, k - 1, axis=1)[:, :k]
-    keys.sort(axis=1)
-    none = keys == NONE
-    return np.where(none, 0, keys % n), np.where(none, NONE, keys // n)
+    squares = left @ right.T
+    squares *= -2
+    squares += (left**2).sum(axis=1)[:, None]
+    squares += (right**2).sum(axis=1)[None, :]
+    return np.maximum(squares, 0, out=squares)
+
+
+def first_of_each(groups: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the first ``k`` entries of each run of equal values."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)])) < k
 
 
-def found_rows(queries: Side, picked: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+def best_pairs(queries: Side, store: Side, k: int, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, store position, distance in millionths) of each query's ``k`` best rows within its reach,
+    by distance and id."""
+    squares = square_distances(queries.vectors, store.vectors)
+    if (queries.parts != queries.parts[0]).any() or (store.parts != queries.parts[0]).any():
+        squares[queries.parts[:, None] != store.parts[None, :]] = np.nan
+    if skip_same:
+        at = np.minimum(np.searchsorted(store.ids, queries.ids), len(store.ids) - 1)
+        own = np.flatnonzero(store.ids[at] == queries.ids)
+        squares[own, at[own]] = np.nan
+    limit = queries.reach.copy()
+    open_ = np.flatnonzero(np.isinf(limit))
+    if len(open_) and k < len(store.ids):
+        limit[open_] = np.sqrt(np.partition(squares[open_], k - 1, axis=1)[:, k - 1])
+        limit[np.isnan(limit)] = np.inf
+    rows, columns = np.nonzero(squares <= ((limit + 2 / MICRO) ** 2)[:, None])
+    micros = np.rint(np.sqrt(squares[rows, columns]) * MICRO).astype(np.int64)
+    order = np.lexsort((columns, micros, rows))
+    order = order[first_of_each(rows[order], k)] if len(order) else order
+    return rows[order], columns[order], micros[order]
+
+
+def found_rows(queries: Side, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
     """Result rows for (query position, store id, store vector) triples."""
-    mine = queries.vectors[picked]
+    mine = queries.vectors[rows]
     distance = np.sqrt(((mine - vectors) ** 2).sum(axis=1))
     norms = np.sqrt((mine**2).sum(axis=1) * (vectors**2).sum(axis=1))
     similarity = (mine * vectors).sum(axis=1) / np.where(norms == 0, 1, norms)
-    columns = [queries.ids[picked], ids, np.round(distance, 6), similarity]
+    columns = [queries.ids[rows], ids, np.round(distance, 6), similarity]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), as_vectors(vectors)], schema=FOUND_ARROW)
 
 
-def _search_block(queries: Side, store: Side, k: int, skip_same: bool) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(queries.ids), BLOCK_QUERIES):
-        some = queries.slice(at, BLOCK_QUERIES)
-        positions, micros = best_of(some, store, k, skip_same)
-        real = micros != NONE
-        rows, _ = np.nonzero(real)
-        chosen = positions[real]
-        yield found_rows(some, rows, store.ids[chosen], store.vectors[chosen])
+@dataclass
+class Best:
+    """The best rows so far of some queries, in (query, distance, id) order."""
+
+    queries: Side
+    k: int
+    rows: np.ndarray
+    micros: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+
+    @staticmethod
+    def none(queries: Side, k: int) -> Best:
+        empty = np.zeros(0, np.int64)
+        return Best(queries, k, empty, empty, empty, np.zeros((0, queries.vectors.shape[1]), np.float32))
+
+    def take(self, store: Side, skip_same: bool) -> None:
+        rows, columns, micros = best_pairs(self.queries, store, self.k, skip_same)
+        rows, micros = np.r_[self.rows, rows], np.r_[self.micros, micros]
+        ids = np.r_[self.ids, store.ids[columns]]
+        vectors = np.concatenate([self.vectors, store.vectors[columns].astype(np.float32)])
+        order = np.lexsort((ids, micros, rows))
+        order = order[first_of_each(rows[order], self.k)] if len(order) else order
+        self.rows, self.micros, self.ids, self.vectors = rows[order], micros[order], ids[order], vectors[order]
+        ends = np.searchsorted(self.rows, np.arange(len(self.queries.ids)), side="right")
+        full = np.bincount(self.rows, minlength=len(self.queries.ids)) >= self.k
+        self.queries.reach[full] = self.micros[ends[full] - 1] / MICRO
 
 
 def _few_queries(few: pa.Table, store: DataFrame, k: int, skip_same: bool) -> DataFrame:
     def scan(batches):
-        queries = Side.of(few, "query_id")
-        width = queries.vectors.shape[1]
-        n = len(queries.ids)
-        ids = np.zeros((n, 0), np.int64)
-        micros = np.zeros((n, 0), np.int64)
-        vectors = np.zeros((n, 0, width), np.float32)
+        best = [Best.none(q, k) for q in Side.of(few, "query_id").blocks(BLOCK_QUERIES)]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = Side.of(batch, "chunk_id")
-            for at in range(0, len(rows.ids), BLOCK_ROWS):
-                block = rows.slice(at, BLOCK_ROWS)
-                near = [best_of(queries.slice(q, BLOCK_QUERIES), block, k, skip_same) for q in range(0, n, BLOCK_QUERIES)]
-                positions, new_micros = (np.concatenate(x) for x in zip(*near))
-                all_ids = np.concatenate([ids, block.ids[positions]], axis=1)
-                all_micros = np.concatenate([micros, new_micros], axis=1)
-                all_vectors = np.concatenate([vectors, block.vectors[positions].astype(np.float32)], axis=1)
-                keep = np.lexsort((all_ids, all_micros), axis=1)[:, :k]
-                ids = np.take_along_axis(all_ids, keep, 1)
-                micros = np.take_along_axis(all_micros, keep, 1)
-                vectors = np.take_along_axis(all_vectors, keep[:, :, None], 1)
-        for q in range(0, n, BLOCK_QUERIES):
-            some = queries.slice(q, BLOCK_QUERIES)
-            real = micros[q : q + BLOCK_QUERIES] != NONE
-            picked, _ = np.nonzero(real)
-            if len(picked):
-                yield found_rows(some, picked, ids[q : q + BLOCK_QUERIES][real],
-                                 vectors[q : q + BLOCK_QUERIES][real].astype(np.float64))
+            for block in Side.of(batch, "chunk_id").blocks(BLOCK_ROWS) if batch.num_rows else ():
+                for some in best:
+                    some.take(block, skip_same)
+        for some in best:
+            if len(some.rows):
+                yield found_rows(some.queries, some.rows, some.ids, some.vectors.astype(np.float64))
 
     return store.mapInArrow(scan, FOUND)
 
 
 @dataclass
 class Cells:
-    """Pivots with, per cell, its size, radius and smallest distances: bounded by PIVOTS x candidates numbers."""
+    """Pivots with the size and radius of their cells: a few numbers for each of at most PIVOTS cells."""
 
     pivots: np.ndarray
     parts: np.ndarray
     stretch: float
     sizes: np.ndarray | None = None
     radius: np.ndarray | None = None
-    nearest: np.ndarray | None = None
 
     def distances(self, vectors: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """Distances to the pivots. The filter value counts as one more coordinate, stretched so far that rows of
-        another value are always farther away than rows of the same one."""
+        """Distances to the pivots. The filter value counts as one more coordinate, so that a cell's rows tend to share
+        it; the distance of rows with equal values stays what it is."""
         apart = self.stretch * (parts[:, None] - self.parts[None, :]).astype(np.float64)
         return np.sqrt(square_distances(vectors, self.pivots) + apart**2)
 
-    def visits(self, vectors: np.ndarray, parts: np.ndarray, k: int) -> list[np.ndarray]:
-        """Cells that can hold one of the ``k`` nearest rows of each query."""
+    def closest(self, vectors: np.ndarray, parts: np.ndarray, rows: int) -> list[np.ndarray]:
+        """Per query the closest cells that together have ``rows`` rows."""
+        order = np.argsort(self.distances(vectors, parts), axis=1, kind="stable")
+        have = np.minimum(self.sizes, BLOCK_ROWS)[order]
+        before = np.cumsum(have, axis=1) - have
+        return [cells[(b < rows) & (h > 0)] for cells, b, h in zip(order, before, have)]
+
+    def within(self, vectors: np.ndarray, parts: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        """Per query the cells that can hold a row within its reach."""
         far = self.distances(vectors, parts)
         home = far.argmin(axis=1)
-        bounds = far[:, :, None] + self.nearest[None, :, :]
-        bounds = bounds.reshape(len(far), -1)
-        reach = np.partition(bounds, k - 1, axis=1)[:, k - 1] if k <= bounds.shape[1] else np.full(len(far), np.inf)
         between = self.distances(self.pivots, self.parts)[home]
         at_home = far[np.arange(len(far)), home]
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = np.where(between > 0, (far**2 - at_home[:, None] ** 2) / (2 * between), 0)
         least = np.maximum(far - self.radius[None, :], plane)
         slack = 4 / MICRO + 1e-7 * self.stretch
-        open_ = (least <= reach[:, None] + slack) & (self.sizes > 0)[None, :]
-        return [np.flatnonzero(row) for row in open_]
-
-
-def _choose_cells(queries: DataFrame, store: DataFrame, k: int) -> Cells:
-    count = max(1, min(PIVOTS, 2_000_000 // k))
+        return [np.flatnonzero(row) for row in (least <= reach[:, None] + slack) & (self.sizes > 0)[None, :]]
+
+
+def _choose_cells(queries: DataFrame, store: DataFrame) -> Cells | None:
+    """About one cell per block of rows, up to PIVOTS; pivots are the rows with the smallest id hashes. None for an
+    empty store."""
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("square")
+    both = queries.select(square, F.lit(0).alias("row")).union(store.select(square, F.lit(1)))
+    seen = both.agg(F.max("square").alias("reach"), F.sum("row").alias("rows")).first()
+    if not seen.rows:
+        return None
+    count = min(PIVOTS, max(1, seen.rows // BLOCK_ROWS))
     picked = store.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(count).select("vec", "part").toArrow()
     points = np.unique(np.column_stack([np.asarray(picked.column("part")), as_matrix(picked.column("vec"))]), axis=0)
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    reach = queries.select("vec").union(store.select("vec")).agg(F.max(square)).first()[0]
-    return Cells(points[:, 1:], points[:, 0].astype(np.int64), 4 * math.sqrt(reach) + 1)
+    return Cells(points[:, 1:], points[:, 0].astype(np.int64), 4 * math.sqrt(seen.reach) + 1)
 
 
-def _many_queries(queries: DataFrame, store: DataFrame, k: int, skip_same: bool) -> DataFrame:
-    # Of rows with equal vectors only the smallest ids can be results, so a mass of copies shrinks to k + 1 rows
-    # before anything is moved.
-    copies = W.partitionBy("part", "vec").orderBy("chunk_id")
-    store = store.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy")
-    cells = _choose_cells(queries, store, k)
-    home_schema = "chunk_id bigint, part bigint, vec array<float>, cell int, away double"
+def _settle(store: DataFrame, cells: Cells) -> DataFrame:
+    """Store rows with their cell and their distance to its pivot."""
 
     def settle(batches):
         for batch in batches:
@@ -202,52 +221,97 @@ def _many_queries(queries: DataFrame, store: DataFrame, k: int, skip_same: bool)
                     names=["chunk_id", "part", "vec", "cell", "away"],
                 )
 
-    settled = store.select("chunk_id", "part", "vec").mapInArrow(settle, home_schema)
-    n_cells, depth = len(cells.pivots), k + 1
-    close = W.partitionBy("cell").orderBy("away", "chunk_id")
-    inner = settled.withColumn("_r", F.row_number().over(close)).filter(F.col("_r") <= depth)
-    cells.nearest = np.full((n_cells, depth), np.inf)
-    for cell, ranks in ((r.cell, r.a) for r in inner.groupBy("cell").agg(F.array_sort(F.collect_list("away")).alias("a")).collect()):
-        cells.nearest[cell, : len(ranks)] = ranks
-    cells.sizes, cells.radius = np.zeros(n_cells, np.int64), np.zeros(n_cells)
+    schema = "chunk_id bigint, part bigint, vec array<float>, cell int, away double"
+    return store.select("chunk_id", "part", "vec").mapInArrow(settle, schema)
+
+
+def _counts(rows: DataFrame) -> dict[int, int]:
+    """Rows per cell, of which there are at most PIVOTS."""
+    return {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _in_blocks(asked: DataFrame, rows: DataFrame, cells: Cells, every_cut: bool, search, schema: str) -> DataFrame:
+    """Run ``search(queries, rows)`` on every cell, cut into blocks that fit into one task each.
+
+    With ``every_cut`` a query meets all rows of its cells, else one cut of each."""
+    row_cuts = [max(1, -(-int(s) // BLOCK_ROWS)) for s in cells.sizes]
+    calls = _counts(asked)
+    meets = [c if every_cut else 1 for c in row_cuts]
+    query_cuts = [max(1, -(-calls.get(i, 0) // (BLOCK_QUERIES * (1 if every_cut else c)))) for i, c in enumerate(row_cuts)]
+    of_rows, of_queries = (F.array(*map(F.lit, cuts))[F.col("cell")] for cuts in (row_cuts, query_cuts))
+    own_row = F.pmod(F.xxhash64("chunk_id"), of_rows).cast("int")
+    own_query = F.pmod(F.xxhash64("query_id"), of_queries).cast("int")
+    met = F.sequence(F.lit(0), of_rows - 1) if every_cut else F.array(F.pmod(F.hash("query_id"), of_rows).cast("int"))
+    left = asked.select("query_id", "part", "vec", "reach", "cell", F.explode(met).alias("row_cut"), own_query.alias("query_cut"))
+    right = rows.select(
+        "chunk_id", "part", "vec", "cell", own_row.alias("row_cut"),
+        F.explode(F.sequence(F.lit(0), of_queries - 1)).alias("query_cut"),
+    )
+    block = ["cell", "row_cut", "query_cut"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(search, schema)
+
+
+def _many_queries(queries: DataFrame, store: DataFrame, k: int, skip_same: bool) -> DataFrame:
+    # Of rows with equal vectors only the smallest ids can be results, so a mass of copies shrinks to k + 1 rows
+    # before anything is moved.
+    copies = W.partitionBy("part", "vec").orderBy("chunk_id")
+    store = store.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy")
+    cells = _choose_cells(queries, store)
+    if cells is None:
+        return queries.sparkSession.createDataFrame([], FOUND)
+    settled = kept(_settle(store, cells), "cells")
+    n = len(cells.pivots)
+    cells.sizes, cells.radius = np.zeros(n, np.int64), np.zeros(n)
     for r in settled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect():
         cells.sizes[r.cell], cells.radius[r.cell] = r.n, r.far
 
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def visits(vec: pa.Array, part: pa.Array) -> pa.Array:
-        vectors, parts, seen = as_matrix(vec), np.asarray(part), []
-        step = max(1, 4_000_000 // (n_cells * depth))
-        for at in range(0, len(parts), step):
-            seen += cells.visits(vectors[at : at + step], parts[at : at + step], depth)
+    def as_lists(seen: list[np.ndarray]) -> pa.Array:
         return pa.array([s.astype(np.int32) for s in seen], pa.list_(pa.int32()))
 
-    routed = queries.select("query_id", "part", "vec", F.explode(visits("vec", "part")).alias("cell"))
-    calls = {r.cell: r.n for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # A cell with many rows or many callers becomes a grid of blocks, each small enough for one task.
-    row_cuts = [max(1, -(-int(s) // BLOCK_ROWS)) for s in cells.sizes]
-    query_cuts = [max(1, -(-calls.get(c, 0) // BLOCK_QUERIES)) for c in range(n_cells)]
-    cuts_r = F.array(*map(F.lit, row_cuts))[F.col("cell")]
-    cuts_q = F.array(*map(F.lit, query_cuts))[F.col("cell")]
-    rows = settled.select(
-        "chunk_id", "part", "vec", "cell",
-        F.pmod(F.xxhash64("chunk_id"), cuts_r).cast("int").alias("row_cut"),
-        F.explode(F.sequence(F.lit(0), cuts_q - 1)).alias("query_cut"),
-    )
-    asked = routed.select(
-        "query_id", "part", "vec", "cell",
-        F.explode(F.sequence(F.lit(0), cuts_r - 1)).alias("row_cut"),
-        F.pmod(F.xxhash64("query_id"), cuts_q).cast("int").alias("query_cut"),
-    )
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def closest(vec: pa.Array, part: pa.Array) -> pa.Array:
+        return as_lists(cells.closest(as_matrix(vec), np.asarray(part), PROBE_FACTOR * (k + 1)))
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return FOUND_ARROW.empty_table()
-        return pa.Table.from_batches(
-            list(_search_block(Side.of(left, "query_id"), Side.of(right, "chunk_id"), k, skip_same)), FOUND_ARROW
-        )
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def within(vec: pa.Array, part: pa.Array, reach: pa.Array) -> pa.Array:
+        return as_lists(cells.within(as_matrix(vec), np.asarray(part), np.asarray(reach)))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, lists = [], []
+        if left.num_rows and right.num_rows:
+            rows = Side.of(right, "chunk_id")
+            for some in Side.of(left, "query_id").blocks(BLOCK_QUERIES):
+                best = Best.none(some, k)
+                for block in rows.blocks(BLOCK_ROWS):
+                    best.take(block, skip_same)
+                ends = np.cumsum(np.bincount(best.rows, minlength=len(some.ids)))
+                ids.append(some.ids)
+                lists += np.split(best.micros / MICRO, ends[:-1])
+        return pa.table([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(lists, pa.list_(pa.float64()))], schema=PROBED_ARROW)
 
-    block = ["cell", "row_cut", "query_cut"]
-    return asked.groupBy(*block).cogroup(rows.groupBy(*block)).applyInArrow(search, FOUND)
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches = []
+        if left.num_rows and right.num_rows:
+            rows = Side.of(right, "chunk_id")
+            for some in Side.of(left, "query_id").blocks(BLOCK_QUERIES):
+                best = Best.none(some, k)
+                for block in rows.blocks(BLOCK_ROWS):
+                    best.take(block, skip_same)
+                batches.append(found_rows(some, best.rows, best.ids, best.vectors.astype(np.float64)))
+        return pa.Table.from_batches(batches, FOUND_ARROW)
+
+    unlimited = queries.withColumn("reach", F.lit(float("inf")))
+    first = unlimited.withColumn("cell", F.explode(closest("vec", "part")))
+    probed = _in_blocks(first, settled, cells, False, probe, PROBED)
+    # A query probes few cells and gets at most k distances from each.
+    reaches = probed.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("distances"))).alias("d")).select(
+        "query_id", F.get("d", F.lit(k - 1)).alias("reach")
+    )
+    aimed = kept(
+        queries.join(reaches, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))), "reaches"
+    )
+    routed = aimed.withColumn("cell", F.explode(within("vec", "part", "reach")))
+    return _in_blocks(routed, settled, cells, True, search, FOUND)
 
 
 def nearest(
@@ -272,7 +336,7 @@ def nearest(
         "k",
         fetch.alias("fetch"),
     )
-    kept = store.filter("embedding is not null").select(
+    rows = store.filter("embedding is not null").select(
         "chunk_id",
         F.col("embedding").alias("vec"),
         (F.col(right) if right else F.lit(0)).cast("bigint").alias("part"),
@@ -281,10 +345,10 @@ def nearest(
     n, most = small.num_rows, pc.max(small.column("fetch")).as_py() or 1
     if n <= few // K.MIN_FETCH and n * most <= few:
         asked = queries.sparkSession.createDataFrame(small)
-        hits = _few_queries(small, kept, most, skip_same) if n else queries.sparkSession.createDataFrame([], FOUND)
+        hits = _few_queries(small, rows, most, skip_same) if n else queries.sparkSession.createDataFrame([], FOUND)
     else:
         most = asked.agg(F.max("fetch")).first()[0]
-        hits = _many_queries(asked.select("query_id", "vec", "part"), kept, most, skip_same)
+        hits = _many_queries(asked.select("query_id", "vec", "part"), rows, most, skip_same)
     order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
     best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return best.join(asked.select("query_id", "k", "fetch"), "query_id").filter("rank <= fetch").drop("fetch")

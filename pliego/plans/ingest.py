@@ -8,7 +8,7 @@ from pliego import constants as K
 from pliego.functions import text as X
 from pliego.functions.vectors import embed
 from pliego.operators import chunking, metadata, summaries
-from pliego.session import shared_folder
+from pliego.session import kept, shared_folder
 from pliego.sources import store, tables
 
 PROCESSED = "2024-01-01T00:00:00"
@@ -29,10 +29,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.chunk_placed(placed(spark, sf_dir))
 
 
+def summarised(pages: DataFrame, sizes: DataFrame, summary) -> DataFrame:
+    """Placed pages with the summary of their file. Summaries meet the numbers first and the text last, so the text
+    is moved once however large a file is."""
+    places = metadata.place(sizes)
+    told = summaries.attach_summaries(places, summary(metadata.with_text(places, pages)), "page", "total_pages")
+    return metadata.with_text(told, pages)
+
+
 def chunk_store(spark: SparkSession, sf_dir: str, processed: str = PROCESSED, summary=summaries.extractive_summaries) -> DataFrame:
     """The ingest job up to the write: pages -> summaries -> chunks -> metadata -> vectors."""
-    pages = placed(spark, sf_dir)
-    told = summaries.attach_summaries(pages, summary(pages), "page", "total_pages")
+    pages = tables.pages(spark, sf_dir)
+    told = summarised(pages, kept(metadata.page_sizes(pages), "sizes"), summary)
     cut = metadata.enrich(metadata.chunk_placed(told), F.lit(processed))
     opened = cut.withColumn(
         "page_content", summaries.prefix_first(F.col("page_content"), F.col("document_summary"), F.col("chunk_index"))
@@ -68,15 +76,15 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = summaries.attach_summaries(
-        placed(spark, sf_dir), summaries.simple_summaries(placed(spark, sf_dir)), "page", "total_pages"
-    )
-    count = chunking.piece_count(F.length("page_content").cast("bigint"), F.lit(K.CHUNK_SIZE), F.lit(K.CHUNK_OVERLAP))
+    pages = tables.pages(spark, sf_dir)
+    sizes = metadata.page_sizes(pages)
+    told = summarised(pages, sizes, summaries.simple_summaries)
+    has, count = F.col("document_summary") != "", chunking.piece_count(F.length("page_content").cast("bigint"), F.lit(K.CHUNK_SIZE), F.lit(K.CHUNK_OVERLAP))
     return told.groupBy("source").agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum(count).alias("chunks"),
-        F.sum(F.when(F.col("document_summary") != "", count).otherwise(0)).alias("chunks_with_summary"),
-        F.max((F.col("document_summary") != "").cast("bigint")).alias("documents_summarised"),
+        F.sum(F.when(has, count).otherwise(0)).alias("chunks_with_summary"),
+        F.max(has.cast("bigint")).alias("documents_summarised"),
     )
 
 
@@ -151,8 +159,8 @@ def clean_file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def process_documents_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With and without metadata: without it no chunk has an index, so each one is taken for the first."""
-    pages = placed(spark, sf_dir)
-    told = summaries.attach_summaries(pages, summaries.simple_summaries(pages), "page", "total_pages")
+    pages = tables.pages(spark, sf_dir)
+    told = summarised(pages, metadata.page_sizes(pages), summaries.simple_summaries)
     cut = metadata.chunk_placed(told).withColumn("add_metadata", F.explode(F.array(F.lit(True), F.lit(False))))
     index = F.when(F.col("add_metadata"), F.col("chunk_index"))
     content = summaries.prefix_first(F.col("page_content"), F.col("document_summary"), index)

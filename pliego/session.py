@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
 
@@ -41,3 +41,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _fallback.append(tempfile.mkdtemp(prefix="pliego-"))
         root = _fallback[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table: later steps read it instead of computing them again, also after a lost executor."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pliego.operators import nearest as N
 from pliego.operators import rerank
+from pliego.functions.vectors import as_matrix
 from pliego.operators.nearest import fetch_size, nearest
 
 
@@ -59,30 +60,30 @@ def test_small_stores_and_queries_without_a_vector(spark, few):
     assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, [50] * 5, skip=False)
 
 
-def test_no_queries(spark):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_no_queries_or_no_store(spark, few):
     q, s = frames(spark, points(4, 2), points(5, 3), k=5)
+    assert nearest(q, s.filter("false"), F.col("k"), few=few).count() == 0
     assert nearest(q.filter("false"), s, F.col("k")).count() == 0
 
 
 def test_cells_leave_out_far_rows(spark, monkeypatch):
-    monkeypatch.setattr(N, "PIVOTS", 16)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
     _, s = frames(spark, points(1, 2), points(2, 600, copies=0.0))
     store = s.select("chunk_id", F.col("embedding").alias("vec"), F.lit(0).cast("bigint").alias("part"))
-    cells = N._choose_cells(store.select("vec"), store, 5)
+    cells = N._choose_cells(store.select("vec"), store)
     table = store.toArrow()
-    from pliego.functions.vectors import as_matrix
-
     vectors, parts = as_matrix(table.column("vec")), np.zeros(600, np.int64)
     far = cells.distances(vectors, parts)
     home, away = far.argmin(axis=1), far.min(axis=1)
     cells.sizes = np.bincount(home, minlength=len(cells.pivots))
     cells.radius = np.array([away[home == c].max(initial=0) for c in range(len(cells.pivots))])
-    cells.nearest = np.full((len(cells.pivots), 5), np.inf)
-    for c in range(len(cells.pivots)):
-        top = np.sort(away[home == c])[:5]
-        cells.nearest[c, : len(top)] = top
-    visits = cells.visits(vectors, parts, 5)
+    reach = np.sort(np.sqrt(N.square_distances(vectors, vectors)), axis=1)[:, 5]
+    visits = cells.within(vectors, parts, reach)
     assert np.mean([len(v) for v in visits]) < len(cells.pivots) / 2
+    for q, cells_ in enumerate(visits):
+        near = np.flatnonzero(((vectors - vectors[q]) ** 2).sum(axis=1) <= reach[q] ** 2)
+        assert set(home[near]) <= set(cells_)
 
 
 def test_fetch_takes_both_branches(spark):
