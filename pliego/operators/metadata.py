@@ -52,8 +52,9 @@ def place(sizes: DataFrame) -> DataFrame:
 
 
 def with_text(places: DataFrame, pages: DataFrame) -> DataFrame:
-    """Placed pages with their text: the text is moved once, to its unique doc_id."""
-    return pages.select("doc_id", "page_content").join(places, "doc_id")
+    """Placed pages with their text: the text is moved once, to its unique doc_id. The hint keeps a compressed text
+    that looks small from being broadcast."""
+    return pages.select("doc_id", "page_content").join(places.hint("merge"), "doc_id")
 
 
 def place_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:

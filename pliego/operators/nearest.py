@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,18 @@ from pliego import constants as K
 from pliego.functions.vectors import as_matrix, as_vectors
 from pliego.session import kept
 
-FEW_CELLS = 256_000  # queries x candidates that may travel with a task (about 64 MB of vectors)
+FEW_CELLS = 256_000  # queries x candidates that may travel with a task, and be broadcast as results
 BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
 PIVOTS = 1024
 PROBE_FACTOR = 8  # rows a query probes first, as a multiple of the candidates it needs
+TASKS_PER_CORE = 4
 MICRO = 1e6
 
-FOUND = "query_id bigint, chunk_id bigint, distance double, similarity double, embedding array<float>"
-FOUND_ARROW = pa.schema(
-    [("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64()), ("similarity", pa.float64()),
-     ("embedding", pa.list_(pa.float32()))]
-)
+HIT = "query_id bigint, chunk_id bigint, distance double, similarity double"
+HIT_FIELDS = [("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64()), ("similarity", pa.float64())]
+FOUND = f"{HIT}, embedding array<float>"
+FOUND_ARROW = pa.schema([*HIT_FIELDS, ("embedding", pa.list_(pa.float32()))])
 PROBED = "query_id bigint, distances array<double>"
 PROBED_ARROW = pa.schema([("query_id", pa.int64()), ("distances", pa.list_(pa.float64()))])
 
@@ -62,6 +63,10 @@ class Side:
         reach = np.asarray(table.column("reach")) if "reach" in table.schema.names else np.full(len(ids), np.inf)
         return Side(ids[order], as_matrix(table.column("vec"))[order], np.asarray(table.column("part"))[order], reach[order])
 
+    @cached_property
+    def squares(self) -> np.ndarray:
+        return (self.vectors**2).sum(axis=1)
+
     def blocks(self, size: int) -> Iterator[Side]:
         for at in range(0, len(self.ids), size):
             cut = slice(at, at + size)
@@ -69,8 +74,7 @@ class Side:
 
 
 def square_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    squares = left @ right.T
-    squares *= -2
+    squares = (-2 * left) @ right.T
     squares += (left**2).sum(axis=1)[:, None]
     squares += (right**2).sum(axis=1)[None, :]
     return np.maximum(squares, 0, out=squares)
@@ -83,8 +87,8 @@ def first_of_each(groups: np.ndarray, k: int) -> np.ndarray:
 
 
 def best_pairs(queries: Side, store: Side, k: int, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, store position, distance in millionths) of each query's ``k`` best rows within its reach,
-    by distance and id."""
+    """(query position, store position, squared distance) of each query's ``k`` best rows within its reach, by
+    distance and id."""
     squares = square_distances(queries.vectors, store.vectors)
     if (queries.parts != queries.parts[0]).any() or (store.parts != queries.parts[0]).any():
         squares[queries.parts[:, None] != store.parts[None, :]] = np.nan
@@ -98,63 +102,66 @@ def best_pairs(queries: Side, store: Side, k: int, skip_same: bool) -> tuple[np.
         limit[open_] = np.sqrt(np.partition(squares[open_], k - 1, axis=1)[:, k - 1])
         limit[np.isnan(limit)] = np.inf
     rows, columns = np.nonzero(squares <= ((limit + 2 / MICRO) ** 2)[:, None])
-    micros = np.rint(np.sqrt(squares[rows, columns]) * MICRO).astype(np.int64)
-    order = np.lexsort((columns, micros, rows))
+    near = squares[rows, columns]
+    # The difference of large numbers says little about very small distances; those are taken directly.
+    tiny = np.flatnonzero(near < 1e-6 * (queries.squares[rows] + store.squares[columns]))
+    for at in np.array_split(tiny, max(1, len(tiny) // 100_000)):
+        near[at] = ((queries.vectors[rows[at]] - store.vectors[columns[at]]) ** 2).sum(axis=1)
+    order = np.lexsort((columns, np.rint(np.sqrt(near) * MICRO), rows))
     order = order[first_of_each(rows[order], k)] if len(order) else order
-    return rows[order], columns[order], micros[order]
-
-
-def found_rows(queries: Side, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-    """Result rows for (query position, store id, store vector) triples."""
-    mine = queries.vectors[rows]
-    distance = np.sqrt(((mine - vectors) ** 2).sum(axis=1))
-    norms = np.sqrt((mine**2).sum(axis=1) * (vectors**2).sum(axis=1))
-    similarity = (mine * vectors).sum(axis=1) / np.where(norms == 0, 1, norms)
-    columns = [queries.ids[rows], ids, np.round(distance, 6), similarity]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), as_vectors(vectors)], schema=FOUND_ARROW)
+    return rows[order], columns[order], near[order]
 
 
-@dataclass
 class Best:
     """The best rows so far of some queries, in (query, distance, id) order."""
 
-    queries: Side
-    k: int
-    rows: np.ndarray
-    micros: np.ndarray
-    ids: np.ndarray
-    vectors: np.ndarray
-
-    @staticmethod
-    def none(queries: Side, k: int) -> Best:
-        empty = np.zeros(0, np.int64)
-        return Best(queries, k, empty, empty, empty, np.zeros((0, queries.vectors.shape[1]), np.float32))
-
-    def take(self, store: Side, skip_same: bool) -> None:
-        rows, columns, micros = best_pairs(self.queries, store, self.k, skip_same)
-        rows, micros = np.r_[self.rows, rows], np.r_[self.micros, micros]
-        ids = np.r_[self.ids, store.ids[columns]]
-        vectors = np.concatenate([self.vectors, store.vectors[columns].astype(np.float32)])
-        order = np.lexsort((ids, micros, rows))
+    def __init__(self, queries: Side, k: int):
+        self.queries, self.k = queries, k
+        self.rows, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.distance, self.similarity = np.zeros(0), np.zeros(0)
+
+    def take(self, store: Side, skip_same: bool) -> Best:
+        rows, columns, near = best_pairs(self.queries, store, self.k, skip_same)
+        mine, theirs = self.queries.squares[rows], store.squares[columns]
+        norms = np.sqrt(mine * theirs)
+        rows, ids = np.r_[self.rows, rows], np.r_[self.ids, store.ids[columns]]
+        distance = np.r_[self.distance, np.round(np.sqrt(near), 6)]
+        similarity = np.r_[self.similarity, (mine + theirs - near) / np.where(norms == 0, 1, 2 * norms)]
+        order = np.lexsort((ids, distance, rows))
         order = order[first_of_each(rows[order], self.k)] if len(order) else order
-        self.rows, self.micros, self.ids, self.vectors = rows[order], micros[order], ids[order], vectors[order]
-        ends = np.searchsorted(self.rows, np.arange(len(self.queries.ids)), side="right")
-        full = np.bincount(self.rows, minlength=len(self.queries.ids)) >= self.k
-        self.queries.reach[full] = self.micros[ends[full] - 1] / MICRO
+        self.rows, self.ids, self.distance, self.similarity = rows[order], ids[order], distance[order], similarity[order]
+        ends = np.cumsum(self.counts())
+        full = self.counts() >= self.k
+        self.queries.reach[full] = self.distance[ends[full] - 1]
+        return self
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.rows, minlength=len(self.queries.ids))
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(c) for c in (self.queries.ids[self.rows], self.ids, self.distance, self.similarity)]
+
+
+def search_rows(queries: Side, store: Side, k: int, skip_same: bool) -> Iterator[Best]:
+    for some in queries.blocks(BLOCK_QUERIES):
+        best = Best(some, k)
+        for block in store.blocks(BLOCK_ROWS):
+            best.take(block, skip_same)
+        yield best
 
 
 def _few_queries(few: pa.Table, store: DataFrame, k: int, skip_same: bool) -> DataFrame:
     def scan(batches):
-        best = [Best.none(q, k) for q in Side.of(few, "query_id").blocks(BLOCK_QUERIES)]
+        found = [Best(q, k) for q in Side.of(few, "query_id").blocks(BLOCK_QUERIES)]
         for batch in batches:
             for block in Side.of(batch, "chunk_id").blocks(BLOCK_ROWS) if batch.num_rows else ():
-                for some in best:
-                    some.take(block, skip_same)
-        for some in best:
-            if len(some.rows):
-                yield found_rows(some.queries, some.rows, some.ids, some.vectors.astype(np.float64))
+                for best in found:
+                    best.take(block, skip_same)
+        for best in found:
+            yield pa.RecordBatch.from_arrays(best.columns(), schema=pa.schema(HIT_FIELDS))
 
-    return store.mapInArrow(scan, FOUND)
+    # Each task hands on its best rows per query, so a task should read much of a large store.
+    return store.coalesce(TASKS_PER_CORE * store.sparkSession.sparkContext.defaultParallelism).mapInArrow(scan, HIT)
 
 
 @dataclass
@@ -277,27 +284,21 @@ def _many_queries(queries: DataFrame, store: DataFrame, k: int, skip_same: bool)
         return as_lists(cells.within(as_matrix(vec), np.asarray(part), np.asarray(reach)))
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, lists = [], []
+        batches = []
         if left.num_rows and right.num_rows:
-            rows = Side.of(right, "chunk_id")
-            for some in Side.of(left, "query_id").blocks(BLOCK_QUERIES):
-                best = Best.none(some, k)
-                for block in rows.blocks(BLOCK_ROWS):
-                    best.take(block, skip_same)
-                ends = np.cumsum(np.bincount(best.rows, minlength=len(some.ids)))
-                ids.append(some.ids)
-                lists += np.split(best.micros / MICRO, ends[:-1])
-        return pa.table([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(lists, pa.list_(pa.float64()))], schema=PROBED_ARROW)
+            for best in search_rows(Side.of(left, "query_id"), Side.of(right, "chunk_id"), k, skip_same):
+                lists = np.split(best.distance, np.cumsum(best.counts())[:-1])
+                columns = [pa.array(best.queries.ids), pa.array(lists, pa.list_(pa.float64()))]
+                batches.append(pa.RecordBatch.from_arrays(columns, schema=PROBED_ARROW))
+        return pa.Table.from_batches(batches, PROBED_ARROW)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = []
         if left.num_rows and right.num_rows:
             rows = Side.of(right, "chunk_id")
-            for some in Side.of(left, "query_id").blocks(BLOCK_QUERIES):
-                best = Best.none(some, k)
-                for block in rows.blocks(BLOCK_ROWS):
-                    best.take(block, skip_same)
-                batches.append(found_rows(some, best.rows, best.ids, best.vectors.astype(np.float64)))
+            for best in search_rows(Side.of(left, "query_id"), rows, k, skip_same):
+                vectors = as_vectors(rows.vectors[np.searchsorted(rows.ids, best.ids)])
+                batches.append(pa.RecordBatch.from_arrays([*best.columns(), vectors], schema=FOUND_ARROW))
         return pa.Table.from_batches(batches, FOUND_ARROW)
 
     unlimited = queries.withColumn("reach", F.lit(float("inf")))
@@ -320,9 +321,11 @@ def nearest(
     fetch: Column,
     same: tuple[str, str] | None = None,
     skip_same: bool = True,
+    vectors: bool = False,
     few: int = FEW_CELLS,
 ) -> DataFrame:
-    """(query_id, rank, chunk_id, distance, similarity, embedding, k): the ``fetch`` nearest store rows per query.
+    """(query_id, k, rank, chunk_id, distance, similarity): the ``fetch`` nearest store rows per query, on demand with
+    their ``embedding``.
 
     ``same`` names an integer column of either side that has to be equal. ``skip_same`` leaves out the store row with
     the query's own id. Queries without a vector find nothing."""
@@ -343,12 +346,17 @@ def nearest(
     )
     small = asked.limit(few // K.MIN_FETCH + 1).toArrow()
     n, most = small.num_rows, pc.max(small.column("fetch")).as_py() or 1
-    if n <= few // K.MIN_FETCH and n * most <= few:
+    travel = n <= few // K.MIN_FETCH and n * most <= few
+    if travel:
         asked = queries.sparkSession.createDataFrame(small)
-        hits = _few_queries(small, rows, most, skip_same) if n else queries.sparkSession.createDataFrame([], FOUND)
+        hits = _few_queries(small, rows, most, skip_same) if n else queries.sparkSession.createDataFrame([], HIT)
     else:
         most = asked.agg(F.max("fetch")).first()[0]
         hits = _many_queries(asked.select("query_id", "vec", "part"), rows, most, skip_same)
     order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
     best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    return best.join(asked.select("query_id", "k", "fetch"), "query_id").filter("rank <= fetch").drop("fetch")
+    best = best.join(asked.select("query_id", "k", "fetch"), "query_id").filter("rank <= fetch").drop("fetch")
+    if travel and vectors:
+        # At most FEW_CELLS result rows: they go to the store, whose vectors stay where they are.
+        best = rows.select("chunk_id", F.col("vec").alias("embedding")).join(F.broadcast(best), "chunk_id")
+    return best if vectors else best.drop("embedding")

@@ -69,7 +69,7 @@ def knn_dynamic_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = nearest(asked(spark, sf_dir, K.DEFAULT_K), index(spark, sf_dir), fetch_size(F.col("k")))
+    candidates = nearest(asked(spark, sf_dir, K.DEFAULT_K), index(spark, sf_dir), fetch_size(F.col("k")), vectors=True)
     return mmr(candidates).select("query_id", "pos", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -78,7 +78,7 @@ def mmr_search_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = nearest(asked(spark, sf_dir, K.DEFAULT_K), index(spark, sf_dir), fetch_size(F.col("k")))
+    candidates = nearest(asked(spark, sf_dir, K.DEFAULT_K), index(spark, sf_dir), fetch_size(F.col("k")), vectors=True)
     return lambda_sweep(candidates, LAMBDAS)
 
 

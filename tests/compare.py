@@ -28,7 +28,7 @@ def cell(value) -> str:
     if value is None or value != value:
         return "null"
     if isinstance(value, float):
-        return repr(round(value, 9) + 0.0)
+        return repr(value + 0.0)
     if isinstance(value, datetime.datetime):
         return value.isoformat()
     return str(value)
