@@ -24,7 +24,8 @@ def filter_by_type(manifest: DataFrame, path: str, file_type: str) -> DataFrame:
 
 
 def page_sizes(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
-    """(source, doc_id, chunks, chars): what each page will give, from the length of its text alone."""
+    """(source, doc_id, chunks, chars): what each page will give, from the length of its text alone. ``doc_id`` is the
+    page's own id, unique over all files, and orders the pages of a file."""
     chars, chunk, over = F.length("page_content").cast("bigint"), F.lit(size), F.lit(overlap)
     return pages.select(
         "source",

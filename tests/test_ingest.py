@@ -65,7 +65,7 @@ def test_guards(spark):
 def test_extractive_summary_takes_frequent_sentences_in_text_order(spark):
     words = " ".join(a + b for a in "bcdfghjklm" for b in ("ana", "ene", "ini", "ono", "unu", "aba", "eme", "iri"))
     text = f"{words}.\nla casa la casa.{words[::-1]}\ncasa la casa"
-    got = summaries.extractive_summaries(placed(spark, [("a", 1, text), ("b", 1, "w" * 600), ("c", 1, "corto. texto")]))
+    got = summaries.extractive_summaries(placed(spark, [("a", 1, text), ("b", 2, "w" * 600), ("c", 3, "corto. texto")]))
     got = {r.source: r.document_summary for r in got.collect()}
     assert got["a"] == f"{words}. la casa la casa. casa la casa"
     assert got["b"] == "w" * 497 + "..." and got["c"] == "corto. texto"
