@@ -174,6 +174,11 @@ class Cells:
     sizes: np.ndarray | None = None
     radius: np.ndarray | None = None
 
+    @property
+    def widest(self) -> float:
+        """No two rows with equal filter values are farther apart."""
+        return (self.stretch - 1) / 2 * (1 + 1e-9) + 1 / MICRO
+
     def distances(self, vectors: np.ndarray, parts: np.ndarray) -> np.ndarray:
         """Distances to the pivots. The filter value counts as one more coordinate, so that a cell's rows tend to share
         it; the distance of rows with equal values stays what it is."""
@@ -219,11 +224,12 @@ def _settle(store: DataFrame, cells: Cells) -> DataFrame:
 
     def settle(batches):
         for batch in batches:
-            if batch.num_rows:
-                far = cells.distances(as_matrix(batch.column("vec")), np.asarray(batch.column("part")))
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                some = batch.slice(at, BLOCK_ROWS)
+                far = cells.distances(as_matrix(some.column("vec")), np.asarray(some.column("part")))
                 home = far.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk_id"), batch.column("part"), batch.column("vec"),
+                    [some.column("chunk_id"), some.column("part"), some.column("vec"),
                      pa.array(home.astype(np.int32)), pa.array(far[np.arange(len(far)), home])],
                     names=["chunk_id", "part", "vec", "cell", "away"],
                 )
@@ -272,16 +278,20 @@ def _many_queries(queries: DataFrame, store: DataFrame, k: int, skip_same: bool)
     for r in settled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect():
         cells.sizes[r.cell], cells.radius[r.cell] = r.n, r.far
 
-    def as_lists(seen: list[np.ndarray]) -> pa.Array:
+    def visits(choose, *columns: np.ndarray) -> pa.Array:
+        """Cell lists of a batch, made for some queries at a time."""
+        seen = []
+        for at in range(0, len(columns[0]), BLOCK_QUERIES):
+            seen += choose(*(c[at : at + BLOCK_QUERIES] for c in columns))
         return pa.array([s.astype(np.int32) for s in seen], pa.list_(pa.int32()))
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def closest(vec: pa.Array, part: pa.Array) -> pa.Array:
-        return as_lists(cells.closest(as_matrix(vec), np.asarray(part), PROBE_FACTOR * (k + 1)))
+        return visits(lambda v, p: cells.closest(v, p, PROBE_FACTOR * (k + 1)), as_matrix(vec), np.asarray(part))
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def within(vec: pa.Array, part: pa.Array, reach: pa.Array) -> pa.Array:
-        return as_lists(cells.within(as_matrix(vec), np.asarray(part), np.asarray(reach)))
+        return visits(cells.within, as_matrix(vec), np.asarray(part), np.asarray(reach))
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = []
@@ -309,7 +319,7 @@ def _many_queries(queries: DataFrame, store: DataFrame, k: int, skip_same: bool)
         "query_id", F.get("d", F.lit(k - 1)).alias("reach")
     )
     aimed = kept(
-        queries.join(reaches, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))), "reaches"
+        queries.join(reaches, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(cells.widest))), "reaches"
     )
     routed = aimed.withColumn("cell", F.explode(within("vec", "part", "reach")))
     return _in_blocks(routed, settled, cells, True, search, FOUND)
@@ -344,11 +354,12 @@ def nearest(
         F.col("embedding").alias("vec"),
         (F.col(right) if right else F.lit(0)).cast("bigint").alias("part"),
     )
+    # One row more than may travel tells whether there are too many.
     small = asked.limit(few // K.MIN_FETCH + 1).toArrow()
     n, most = small.num_rows, pc.max(small.column("fetch")).as_py() or 1
     travel = n <= few // K.MIN_FETCH and n * most <= few
     if travel:
-        asked = queries.sparkSession.createDataFrame(small)
+        asked = queries.sparkSession.createDataFrame(small.select(["query_id", "k", "fetch"]))
         hits = _few_queries(small, rows, most, skip_same) if n else queries.sparkSession.createDataFrame([], HIT)
     else:
         most = asked.agg(F.max("fetch")).first()[0]

@@ -86,6 +86,24 @@ def test_cells_leave_out_far_rows(spark, monkeypatch):
         assert set(home[near]) <= set(cells_)
 
 
+def test_rare_filter_values_visit_few_cells(spark, monkeypatch):
+    """Queries whose value has fewer rows than they ask for still pass by the cells of other values."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
+    table = points(2, 600, copies=0.0)
+    store = spark.createDataFrame(
+        [(i, v.tolist(), i // 4) for i, v in enumerate(table)], "chunk_id bigint, vec array<float>, part bigint"
+    )
+    cells = N._choose_cells(store.select("vec"), store)
+    vectors, parts = table.astype(float), np.arange(600) // 4
+    far = cells.distances(vectors, parts)
+    home = far.argmin(axis=1)
+    cells.sizes = np.bincount(home, minlength=len(cells.pivots))
+    cells.radius = np.array([far[home == c, c].max(initial=0) for c in range(len(cells.pivots))])
+    visits = cells.within(vectors, parts, np.full(600, cells.widest))
+    assert np.mean([len(v) for v in visits]) < 3
+    assert all(set(home[parts == parts[q]]) <= set(v) for q, v in enumerate(visits))
+
+
 def test_fetch_takes_both_branches(spark):
     got = spark.createDataFrame([(5,), (16,), (17,), (25,)], "k int").select(fetch_size(F.col("k"))).collect()
     assert [r[0] for r in got] == [50, 50, 51, 75]

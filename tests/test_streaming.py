@@ -1,7 +1,5 @@
 import datetime
-import uuid
 
-from pyspark.sql import functions as F
 
 from pliego.session import shared_folder
 from pliego.streaming import jobs
