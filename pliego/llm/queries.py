@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pliego.llm import decontaminate, html, licences, near, packing, pivots, secrets, toxicity, url_rules
+from pliego.llm import decontaminate, html, licences, near, packing, pivots, repeats, secrets, toxicity, url_rules
 from pliego.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_main_text, op2_licences, op4_toxicity, op5_secrets, op6_url_rules, op7_packing, op8_near, op9_decontaminate,
+        op1_main_text, op2_licences, op3_repeats, op4_toxicity, op5_secrets, op6_url_rules, op7_packing, op8_near, op9_decontaminate,
         op10_pivots, pipeline,
     )
 }
