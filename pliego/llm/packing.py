@@ -11,6 +11,7 @@ pieces of their length, which is counted per task and added up over tasks.
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import types
 import zlib
@@ -27,8 +28,8 @@ from pliego.session import kept
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_UNITS = 400_000
-SPACES = re.compile(r" \s")
+CACHED_UNITS, CACHED_PARTS = 500_000, 800_000
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe, which may belong to the letters after it
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, place bigint"
 
@@ -36,8 +37,10 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer never merges across a single space before a visible character, so a text is cut there and the ids of
-    each unit are remembered. Texts with a space before other white space are encoded in one go.
+    The tokenizer never merges across a single space or line end between visible characters, nor between a run of letters and
+    the ASCII punctuation after it, so texts are cut there and the ids of each unit are remembered. Texts with other or
+    double white space or with a special token are encoded in one go. New words of letters only go, many at once, to a
+    byte-pair encoder with the same merges that makes ids alone, if the file numbers its merges in order.
     """
 
     def __init__(self, path: str):
@@ -45,25 +48,90 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r"\s\s", r"[^\S \n]", *special]))
+        self.line_end = self._encode(["\n"])[0]
+        self.words = self._word_encoder(path)
+
+    @staticmethod
+    def _word_encoder(path: str):
+        import json
+
+        import tiktoken
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, merges = model["vocab"], model.get("merges", [])
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        in_order = len(pairs) > 0 and all(vocab.get(a + b) == 256 + n for n, (a, b) in enumerate(pairs))
+        letters = sorted(ByteLevel.alphabet(), key=lambda c: vocab.get(c, -1))
+        if not in_order or [vocab.get(c) for c in letters] != list(range(256)):
+            return None
+        # the byte-level alphabet shows printable Latin-1 bytes as themselves and the others from 256 on
+        shown = [b for b in range(256) if chr(b) in letters]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in vocab.items() if n < 256 + len(pairs)}
+        return tiktoken.Encoding("words", pat_str=r"\n| ?\p{L}+", mergeable_ranks=ranks, special_tokens={})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of letters, each with one space before it or none."""
+        if self.words is None or not words:
+            return self._encode(words) if words else []
+        ids = self.words.encode_ordinary("\n".join(words))
+        data = struct.pack(f"<{len(ids)}I", *ids)
+        cuts = (np.flatnonzero(np.frombuffer(data, "<u4") == struct.unpack("<I", self.line_end)[0]) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
+
+    def _learn(self, units: set[str]) -> None:
+        """Remember units, by parts that are remembered, too: a word with the space before it, and punctuation."""
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        parts, line_end = self.parts, self.line_end
+        cut, words, others = [], set(), set()
+        for unit in units:
+            stem = unit.rstrip(PUNCTUATION)
+            first = stem[:1] == "\n"
+            word = stem[1:] if first else " " + stem
+            if not (word if first else stem).isalpha():
+                word, stem, first = (unit if unit[:1] == "\n" else " " + unit), unit, False
+                others.add(word)
+            else:
+                words.add(word)
+            tail = unit[len(stem) :]
+            if tail:
+                others.add(tail)
+            cut.append((unit, first, word, tail))
+        new = [w for w in words if w not in parts]
+        parts.update(zip(new, self._encode_words(new)))
+        new = [w for w in others if w not in parts]
+        parts.update(zip(new, self._encode(new)))
+        known = self.units
+        for unit, first, word, tail in cut:
+            ids = parts[word]
+            if tail:
+                ids += parts[tail]
+            known[unit] = line_end + ids if first else ids
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if SPACES.search(text):
+        if self.whole.search(text):
             return self._encode([text])[0]
-        head, *rest = text.split(" ")
-        units = self.units
-        missing = {u for u in rest if u not in units}
+        head, *rest = text.replace("\n", " \n").split(" ")
+        known = self.units
+        missing = {u for u in rest if u not in known}
         if missing:
-            if len(units) > CACHED_UNITS:
-                units.clear()
+            if len(known) + len(missing) > CACHED_UNITS:
+                known.clear()
                 missing = set(rest)
-            names = list(missing)
-            units.update(zip(names, self._encode([" " + u for u in names])))
-        return b"".join([*(self._encode([head]) if head else []), *map(units.__getitem__, rest)])
+            self._learn(missing)
+        return b"".join([*(self._encode([head]) if head else []), *map(known.__getitem__, rest)])
 
 
 def encoder(path: str) -> Encoder:
