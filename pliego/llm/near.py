@@ -25,7 +25,7 @@ from pliego.session import kept
 WORDS = 5
 PERCENT = 85  # similarity that links two documents
 BANDS, BAND = 24, 5  # a pair at 0.85 is missed with probability (1 - 0.85^5)^24 < 1e-6
-REST = 4  # pairs per node that may be left to one last round
+REST = 1  # pairs per band key of all nodes that may be left to one last round
 
 SKETCHES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -162,7 +162,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     nobody = F.lit(None).cast("bigint")
     open_ = kept(keys.join(shared, bucket).select(*bucket, "node", F.col("node").alias("label"), nobody.alias("past")), "buckets")
     sets = kept(_sets(docs, open_.select("node").distinct()), "sets")
-    n_nodes, found, labels, last = sets.count(), None, None, False
+    room, labels, last = REST * BANDS * nodes.count(), None, False
     while not last:
         by_label = open_.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
         state = by_label.groupBy(*bucket).agg(
@@ -172,7 +172,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
         left = state.agg(F.sum("pairs")).first()[0]
         if not left:
             break
-        last = left <= REST * n_nodes + 1000
+        last = left <= room
         open_ = kept(open_.join(state.drop("pairs"), bucket), "buckets")
         untried = F.col("past").isNull() | (F.col("node") > F.col("past"))
         if last:
@@ -184,8 +184,9 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
             open_ = kept(open_.drop("past").join(centre, bucket).withColumn("past", F.col("c.node")), "buckets")
             pairs = open_.filter("node > past and label <> c.label").select(F.col("past").alias("a"), F.col("node").alias("b"))
         good = kept(_verified(pairs.distinct(), sets, percent), "links")
-        found = good if found is None else found.union(good)
-        labels = kept(components(found), "labels")
+        if labels is not None:  # the links found before say no more than their components
+            good = good.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = kept(components(good), "labels")
         if not last:
             now = labels.withColumnsRenamed({"component": "now"})
             open_ = open_.drop("c", "top").join(now, "node", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
