@@ -18,6 +18,7 @@ import re
 import sys
 import types
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -186,12 +187,27 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         flat[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, flat, np.zeros(6), np.ones(6))
     rng, kernel = np.random.default_rng(seed), Kernel()
-    bags = [Counter(words_of(t)) for t in texts]
-    vocabulary = sorted({w for b in bags for w in b})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    members = [np.fromiter((number[w] for w in b), np.int64, len(b)) for b in bags]
-    bad = np.bincount(np.concatenate([m for m, y in zip(members, label) if y]), minlength=len(vocabulary))
-    good = np.bincount(np.concatenate([m for m, y in zip(members, label) if not y]), minlength=len(vocabulary))
+    number: dict[str, int] = {}
+    members = []  # words of the toxic texts, each once
+    pairs = []  # words with the word before them
+    for text, y in zip(texts, toxic):
+        if y:
+            found = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64)
+            members.append(np.unique(found))
+            pairs.append(np.unique(found[1:] << 32 | found[:-1]))
+    # copies of a text say nothing new: a word counts once per word it follows, and once per text
+    contexts = np.unique(np.concatenate(pairs)) >> 32
+    bad = np.minimum(np.bincount(np.concatenate(members), minlength=len(number)), np.bincount(contexts, minlength=len(number)))
+    seen: Counter[int] = Counter()
+    for text, y in zip(texts, toxic):
+        if not y:  # of the words that only clean texts have, a quarter is enough
+            for w in dict.fromkeys(words_of(text)):
+                if w in number or zlib.crc32(w.encode("utf-8", "surrogatepass")) % 4 == 0:
+                    seen[number.setdefault(w, len(number))] += 1
+    vocabulary = list(number)
+    bad = np.append(bad, np.zeros(len(number) - bad.size, np.int64))
+    good = np.zeros(len(number), np.int64)
+    good[list(seen)] = list(seen.values())
     n_bad, n_good = label.sum(), (1 - label).sum()
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
     odds[bad < 3] = np.minimum(odds[bad < 3], 0.0)
@@ -208,8 +224,8 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
 
     def nystroem(of: np.ndarray) -> np.ndarray:
         out = np.zeros((len(of), to_features.shape[1]))
-        for at in range(0, len(of), 2000):
-            part = [vocabulary[i].strip(EDGES)[:WINDOW] for i in of[at : at + 2000]]
+        for at in range(0, len(of), 500):
+            part = [vocabulary[i].strip(EDGES)[:WINDOW] for i in of[at : at + 500]]
             r, k, w = kernel.vectors(part)
             place = np.searchsorted(names, k)
             place[place == names.size] = 0
@@ -225,10 +241,9 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     clean = np.flatnonzero(good)
     for turn in range(rounds):
         chosen: set[int] = set()
-        for m, y in zip(members, label):
-            if y:
-                top = m[np.argsort(-score[m], kind="stable")[:6]]
-                chosen.update(top[(score[top] > (SURE if turn == 0 else 0)) & (odds[top] > seldom[top])].tolist())
+        for m in members:
+            top = m[np.argsort(-score[m], kind="stable")[:6]]
+            chosen.update(top[(score[top] > (SURE if turn == 0 else 0)) & (odds[top] > seldom[top])].tolist())
         hard = clean[np.argsort(-score[clean], kind="stable")[:3000]]
         easy = rng.choice(clean, min(clean.size, 9000), replace=False)
         negative = np.setdiff1d(np.union1d(hard, easy), np.fromiter(chosen, np.int64, len(chosen)))
@@ -244,7 +259,8 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         table[names] = to_features @ w[:-1]
         offset = float(w[-1])
         score = kernel.scores(vocabulary, table) + offset
-    features = np.array([text_features(score[np.repeat(m, list(b.values()))]) for m, b in zip(members, bags)])
+    model = Model(names, table[names], offset, np.zeros(7), np.zeros(6), np.ones(6))
+    features = Scorer(model).features(texts)
     mean, scale = features.mean(0), features.std(0) + 1e-6
     text = _logistic((features - mean) / scale, label.astype(float))
     return Model(names, table[names], offset, text, mean, scale)
@@ -259,6 +275,16 @@ class Scorer:
         self.table[model.keys] = model.values
 
     def __call__(self, texts: list[str]) -> list[float]:
+        m, x = self.model, self.features(texts)
+        z = ((x - m.mean) / m.scale) @ m.text[:-1] + m.text[-1]
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Text features of all texts, a few at a time."""
+        parts = [self._some(texts[at : at + 64]) for at in range(0, len(texts), 64)]
+        return np.concatenate(parts) if parts else np.zeros((0, 6))
+
+    def _some(self, texts: list[str]) -> np.ndarray:
         bags = [words_of(t) for t in texts]
         missing = list({w for b in bags for w in b if w not in self.known})
         if len(self.known) + len(missing) > CACHED_WORDS:
@@ -267,10 +293,8 @@ class Scorer:
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             self.known.update(zip(part, (self.kernel.scores(part, self.table) + self.model.offset).tolist()))
-        known, m = self.known, self.model
-        x = np.array([text_features(np.fromiter(map(known.__getitem__, b), float, len(b))) for b in bags]).reshape(len(bags), -1)
-        z = ((x - m.mean) / m.scale) @ m.text[:-1] + m.text[-1] if len(bags) else np.zeros(0)
-        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+        known = self.known
+        return np.array([text_features(np.fromiter(map(known.__getitem__, b), float, len(b))) for b in bags])
 
 
 def scorer(name: str, shared) -> Scorer:
