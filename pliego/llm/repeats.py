@@ -39,11 +39,12 @@ HELD = 32 << 20  # bytes of contexts held per task while equal ones are looked f
 PLACE = np.uint64(127)  # low bits of an anchor say where it is, relative to the window
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: anchor, first window, window after the last one."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor at one place: anchor, first window, window after the last one, and whether the
+    run's windows hold the anchor at a later place as well, so that they can be equal among themselves."""
     nothing = np.zeros(0, np.int64)
     if len(data) < WINDOW:
-        return nothing, nothing, nothing
+        return nothing, nothing, nothing, nothing > 0
     part = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     factor, size = np.uint64(0x9E3779B97F4A7C15), 1
     with np.errstate(over="ignore"):
@@ -51,7 +52,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             part = part[:-size] * factor + part[size:]
             part = part ^ (part >> np.uint64(32))
             factor, size = factor * factor, 2 * size
-        least = (mixed(part) & ~PLACE) | (np.arange(part.size, dtype=np.uint64) & PLACE)
+        hashes = mixed(part) & ~PLACE
+    least = hashes | (np.arange(part.size, dtype=np.uint64) & PLACE)
     reach, width = 1, WINDOW - SHINGLE + 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -59,20 +61,30 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if reach < width:
         least = np.minimum(least[: reach - width], least[width - reach :])
     begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return (least[begin] >> np.uint64(7)).astype(np.int64), begin, np.append(begin[1:], least.size)
-
-
-def contexts(data: bytes, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(anchor, begin, end) of the contexts of the wanted (sorted) anchors."""
-    anchor, first, after = anchors(data)
+    chosen = least[begin]
+    place = begin + (((chosen & PLACE).astype(np.int64) - begin) & int(PLACE))
+    after = np.append(begin[1:], least.size)
+    follow = np.lib.stride_tricks.sliding_window_view(np.append(hashes, np.zeros(width, np.uint64)), width)[place, 1:]
+    inside = place[:, None] + np.arange(1, width) < (after + width - 1)[:, None]
+    again = ((follow == (chosen & ~PLACE)[:, None]) & inside).any(1)
+    return (chosen >> np.uint64(7)).astype(np.int64), begin, after, again
+
+
+def contexts(data: bytes, wanted: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
+    """(anchor, begin, end, may repeat in itself) of the contexts of the wanted (sorted) anchors."""
+    anchor, first, after, again = anchors(data)
     at = np.minimum(np.searchsorted(wanted, anchor), wanted.size - 1)
     some = wanted[at] == anchor
-    anchor, first, after = anchor[some], first[some], after[some]
+    anchor, first, after, again = anchor[some], first[some], after[some], again[some]
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (first[1:] != after[:-1]))[: anchor.size]
     begin = np.flatnonzero(new)
-    for a, b, e in zip(anchor[begin].tolist(), first[begin].tolist(), after[np.append(begin[1:], anchor.size) - 1].tolist()):
+    if not begin.size:
+        return
+    runs = np.diff(np.append(begin, anchor.size))
+    own = (runs > 1) | np.logical_or.reduceat(again, begin)
+    for a, b, e, o in zip(anchor[begin].tolist(), first[begin].tolist(), after[begin + runs - 1].tolist(), own.tolist()):
         for cut in range(b, e, LONGEST):
-            yield a, cut, min(cut + LONGEST, e) + WINDOW - 1
+            yield a, cut, min(cut + LONGEST, e) + WINDOW - 1, o
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -126,9 +138,9 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "data"):
             for doc, data in zip(batch.column("doc").to_pylist(), batch.column("data").to_pylist()):
-                anchor, _, _ = anchors(data)
-                found.append(anchor)
-                owners.append((doc, anchor.size))
+                anchor, _, _, again = anchors(data)
+                found += [anchor, anchor[again]]
+                owners.append((doc, anchor.size + int(again.sum())))
                 held += anchor.size
             if held > 4_000_000:
                 yield table()
@@ -165,7 +177,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(several, "doc bigint, anchor bigint")
 
 
-CONTEXTS = "anchor bigint, doc bigint, begin bigint, end bigint, string binary"
+CONTEXTS = "anchor bigint, doc bigint, begin bigint, end bigint, own boolean, string binary"
 
 
 def _cut(packed: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -173,30 +185,30 @@ def _cut(packed: DataFrame, repeated: DataFrame) -> DataFrame:
     by_doc = repeated.groupBy("doc").agg(F.sort_array(F.collect_set("anchor")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple[int, bytes], tuple[int, int]] = {}
+        first: dict[tuple[int, bool, bytes], tuple[int, int]] = {}
         held = 0
 
         def rows(items: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*items)) if items else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["anchor", "doc", "begin", "end", "string"])
+            columns = list(zip(*items)) if items else [()] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["anchor", "doc", "begin", "end", "own", "string"])
 
         def firsts() -> pa.RecordBatch:
-            return rows([(a, d, b, b + len(s), s) for (a, s), (d, b) in first.items()])
+            return rows([(a, d, b, b + len(s), o, s) for (a, o, s), (d, b) in first.items()])
 
         for batch in slices(batches, "packed", 1 << 20):
             covered = []
             for doc, packed_, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "packed", "wanted"))):
                 data = _unpack(packed_)
-                for anchor, begin, end in contexts(data, np.array(wanted, np.int64)):
-                    string, here = data[begin:end], (doc, begin)
-                    there = first.setdefault((anchor, string), here)
+                for anchor, begin, end, own in contexts(data, np.array(wanted, np.int64)):
+                    key, here = (anchor, own, data[begin:end]), (doc, begin)
+                    there = first.setdefault(key, here)
                     if there is here:
                         held += end - begin
                         continue
                     if here < there:
-                        first[anchor, string], here = here, there
-                    covered.append((None, *here, here[1] + end - begin, None))
+                        first[key], here = here, there
+                    covered.append((None, *here, here[1] + end - begin, None, None))
             yield rows(covered)
             if held > HELD:
                 yield firsts()
@@ -233,7 +245,7 @@ def _sorted_repeats(strings: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int]] = []  # distinct contexts of finished anchors that have two or more
         mine: list[tuple[bytes, int, int]] = []  # those of the current anchor
-        size, current, last = 0, None, None
+        size, current, last, alone = 0, None, None, False
 
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
@@ -247,22 +259,23 @@ def _sorted_repeats(strings: DataFrame) -> DataFrame:
 
         for batch in batches:
             covered = []
-            for anchor, doc, begin, end, string in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "begin", "end", "string"))):
+            columns = ("anchor", "doc", "begin", "end", "own", "string")
+            for anchor, doc, begin, end, own, string in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if anchor != current:
-                    if len(mine) > 1 or (mine and len(mine[0][0]) > 2 * WINDOW - SHINGLE):
+                    if len(mine) > 1 or alone:
                         held += mine
                         size += sum(len(s) for s, _, _ in mine)
-                    mine, current, last = [], anchor, None
+                    mine, current, last, alone = [], anchor, None, False
                     if size > BLOCK:
                         yield from finish()
                 if string == last:  # equal contexts come in the order of their places
                     covered.append((doc, begin, end))
                 else:
                     mine.append((string, doc, begin))
-                    last = string
+                    last, alone = string, alone or own
             if covered:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*covered)], names=["doc", "begin", "end"])
-        if len(mine) > 1 or (mine and len(mine[0][0]) > 2 * WINDOW - SHINGLE):
+        if len(mine) > 1 or alone:
             held += mine
         yield from finish()
 
