@@ -25,6 +25,7 @@ UNKNOWN_DOCUMENT = "Documento desconocido"
 NO_RESULTS = "[SIN RESULTADOS]"
 NO_RESULTS_ANSWER = "La información solicitada no se encuentra en los documentos proporcionados."
 NOT_IN_DOCUMENT = "No se especifica en el documento"
+MODEL_ERROR = "Lo siento, hubo un error al procesar la respuesta."
 SERVER_ERROR = "Lo siento, ocurrió un error en el servidor. Intente de nuevo."
 SOURCES_MARKER = "FUENTES CONSULTADAS:"
 GENERAL_KNOWLEDGE = "(Conocimiento general)"
@@ -82,4 +83,3 @@ TOKEN_BREAK = r"[^\p{L}]+"
 
 # Our own settings.
 VECTOR_BUCKETS = 64
-CHUNK_ID_STEP = 10_000_000

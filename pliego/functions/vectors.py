@@ -18,6 +18,8 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(column) and (pc.list_value_length(column).to_numpy(zero_copy_only=False) * len(column) != len(flat)).any():
+        raise ValueError("vectors of different length")
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 

@@ -15,7 +15,7 @@ def default_source(source: Column, name: str = K.DEFAULT_SOURCE) -> Column:
 
 
 def default_page(page: Column) -> Column:
-    return F.coalesce(page, F.lit(0)).cast("int")
+    return F.coalesce(page, F.lit(0)).cast("bigint")
 
 
 def filter_by_type(manifest: DataFrame, path: str, file_type: str) -> DataFrame:
@@ -24,12 +24,13 @@ def filter_by_type(manifest: DataFrame, path: str, file_type: str) -> DataFrame:
 
 
 def page_sizes(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
-    """(source, doc_id, chunks, chars): what each page will give, from the length of its text alone. ``doc_id`` is the
-    page's own id, unique over all files, and orders the pages of a file."""
+    """(source, doc_id, length, chunks, chars): what each page will give, from the length of its text alone. ``doc_id`` is
+    the page's own id, unique over all files, and orders the pages of a file."""
     chars, chunk, over = F.length("page_content").cast("bigint"), F.lit(size), F.lit(overlap)
     return pages.select(
         "source",
         "doc_id",
+        chars.alias("length"),
         piece_count(chars, chunk, over).alias("chunks"),
         piece_chars(chars, chunk, over).alias("chars"),
     )
@@ -38,12 +39,17 @@ def page_sizes(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUN
 def place(sizes: DataFrame) -> DataFrame:
     """Number the pages of each file and place them in its chunk list and in its joined chunk text.
 
-    Gives source, doc_id, page, first_chunk, char_start and the totals of the file."""
+    Gives source, doc_id, length, chunks, page, first_chunk, char_start, the totals of the file, and ``chunk_base``: the
+    chunks of all pages before this one, so that a chunk's number over all files is its id."""
     values = {"page": F.lit(1), "first_chunk": F.col("chunks"), "char_start": F.col("chars") + F.col("chunks")}
-    return running_totals(sizes, ["source"], "doc_id", values).select(
+    based = running_totals(sizes, [], "doc_id", {"chunk_base": F.col("chunks")}).drop("chunk_base_total")
+    return running_totals(based, ["source"], "doc_id", values).select(
         "source",
         "doc_id",
-        F.col("page").cast("int").alias("page"),
+        "length",
+        "chunks",
+        "chunk_base",
+        "page",
         "first_chunk",
         "char_start",
         F.col("page_total").alias("total_pages"),
@@ -58,17 +64,30 @@ def with_text(places: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_content").join(places.hint("merge"), "doc_id")
 
 
+def head_pages(places: DataFrame, pages: DataFrame, limit: int, size: int = K.CHUNK_SIZE) -> DataFrame:
+    """Placed pages that begin within the first ``limit`` characters of their file, with as much of their text as those
+    characters need: nothing more is moved."""
+    clipped = pages.select("doc_id", F.substring("page_content", 1, limit + size).alias("page_content"))
+    return with_text(places.filter(F.col("char_start") <= limit), clipped)
+
+
+def chunk_places(places: DataFrame) -> DataFrame:
+    """One row per chunk of placed pages, without text: pos, chunk_index and chunk_id follow from the counts."""
+    rows = places.withColumn("pos", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    return rows.withColumns({"chunk_index": F.col("first_chunk") + F.col("pos"), "chunk_id": F.col("chunk_base") + F.col("pos")})
+
+
 def place_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
     return with_text(place(page_sizes(pages, size, overlap)), pages)
 
 
 def chunk_placed(placed: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of placed pages with chunk_index, char_start and a stable chunk_id."""
+    """Chunks of placed pages with chunk_index, char_start and chunk_id, the chunk's number over all files."""
     return chunk_fixed(placed, size, overlap).withColumns(
         {
-            "chunk_index": (F.col("first_chunk") + F.col("pos")).cast("int"),
+            "chunk_index": F.col("first_chunk") + F.col("pos"),
             "char_start": F.col("char_start") + F.col("pos") * (size + 1),
-            "chunk_id": F.col("doc_id") * K.CHUNK_ID_STEP + F.col("pos"),
+            "chunk_id": F.col("chunk_base") + F.col("pos"),
         }
     )
 
@@ -94,7 +113,7 @@ def source_info(chunks: DataFrame) -> Column:
 
     return F.struct(
         F.coalesce(F.col("source"), F.lit(K.UNKNOWN_SOURCE)).alias("source"),
-        field("file_name", "string"), field("page", "int"), field("chunk_index", "int"),
+        field("file_name", "string"), field("page", "bigint"), field("chunk_index", "bigint"),
         field("processed_date", "string"), field("title", "string"), field("author", "string"),
         field("creator", "string"), field("total_pages", "bigint"),
     )

@@ -1,45 +1,31 @@
 """Exact nearest neighbours of many queries: L2 distance compared at six decimals, ties by id.
 
-Two ways, chosen by a checked size. Few queries: they travel with the tasks, each store partition keeps its best rows
-per query, and the store is neither shuffled nor sorted. Many queries: both sides are cut into cells around pivots, and
-triangle inequalities tell which cells can hold a neighbour (after Lu et al. 2012, "Efficient processing of k nearest
-neighbor joins using MapReduce"). A first probe of the closest cells gives every query a distance that its k-th
-neighbour cannot exceed; the search then visits only cells within it and hands on only rows within it. Large cells and
-cells with many callers are split into blocks.
+The store stays where it is, neither shuffled nor sorted: queries travel with the tasks, in passes of a fixed number of
+results, and each task keeps its best rows per query. A query whose list is full hands its k-th distance on to the next
+block of the task, so later blocks offer few rows. No pass depends on another, and all passes give the same rows as one.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window as W
 
 from pliego import constants as K
-from pliego.functions.vectors import as_matrix, as_vectors
-from pliego.session import kept
+from pliego.functions.vectors import as_matrix
 
-FEW_CELLS = 256_000  # queries x candidates that may travel with a task, and be broadcast as results
+PER_PASS = 256_000  # results of the queries that travel together
 BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
-PIVOTS = 1024
-PROBE_FACTOR = 8  # rows a query probes first, as a multiple of the candidates it needs
-TASKS_PER_CORE = 4
 MICRO = 1e6
 
 HIT = "query_id bigint, chunk_id bigint, distance double, similarity double"
 HIT_FIELDS = [("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64()), ("similarity", pa.float64())]
-FOUND = f"{HIT}, embedding array<float>"
-FOUND_ARROW = pa.schema([*HIT_FIELDS, ("embedding", pa.list_(pa.float32()))])
-PROBED = "query_id bigint, distances array<double>"
-PROBED_ARROW = pa.schema([("query_id", pa.int64()), ("distances", pa.list_(pa.float64()))])
 
 
 def fetch_size(k: Column) -> Column:
@@ -86,16 +72,12 @@ def first_of_each(groups: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)])) < k
 
 
-def best_pairs(queries: Side, store: Side, k: int, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_pairs(queries: Side, store: Side, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, store position, squared distance) of each query's ``k`` best rows within its reach, by
     distance and id."""
     squares = square_distances(queries.vectors, store.vectors)
     if (queries.parts != queries.parts[0]).any() or (store.parts != queries.parts[0]).any():
         squares[queries.parts[:, None] != store.parts[None, :]] = np.nan
-    if skip_same:
-        at = np.minimum(np.searchsorted(store.ids, queries.ids), len(store.ids) - 1)
-        own = np.flatnonzero(store.ids[at] == queries.ids)
-        squares[own, at[own]] = np.nan
     limit = queries.reach.copy()
     open_ = np.flatnonzero(np.isinf(limit))
     if len(open_) and k < len(store.ids):
@@ -120,8 +102,8 @@ class Best:
         self.rows, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.distance, self.similarity = np.zeros(0), np.zeros(0)
 
-    def take(self, store: Side, skip_same: bool) -> Best:
-        rows, columns, near = best_pairs(self.queries, store, self.k, skip_same)
+    def take(self, store: Side) -> Best:
+        rows, columns, near = best_pairs(self.queries, store, self.k)
         mine, theirs = self.queries.squares[rows], store.squares[columns]
         norms = np.sqrt(mine * theirs)
         rows, ids = np.r_[self.rows, rows], np.r_[self.ids, store.ids[columns]]
@@ -142,187 +124,19 @@ class Best:
         return [pa.array(c) for c in (self.queries.ids[self.rows], self.ids, self.distance, self.similarity)]
 
 
-def search_rows(queries: Side, store: Side, k: int, skip_same: bool) -> Iterator[Best]:
-    for some in queries.blocks(BLOCK_QUERIES):
-        best = Best(some, k)
-        for block in store.blocks(BLOCK_ROWS):
-            best.take(block, skip_same)
-        yield best
+def _scan(some: pa.Table, store: DataFrame, k: int) -> DataFrame:
+    """Each task's best rows per query. Tasks with few rows hand on few; the rest is cut to ``k`` per query."""
 
-
-def _few_queries(few: pa.Table, store: DataFrame, k: int, skip_same: bool) -> DataFrame:
     def scan(batches):
-        found = [Best(q, k) for q in Side.of(few, "query_id").blocks(BLOCK_QUERIES)]
+        found = [Best(q, k) for q in Side.of(some, "query_id").blocks(BLOCK_QUERIES)]
         for batch in batches:
             for block in Side.of(batch, "chunk_id").blocks(BLOCK_ROWS) if batch.num_rows else ():
                 for best in found:
-                    best.take(block, skip_same)
+                    best.take(block)
         for best in found:
             yield pa.RecordBatch.from_arrays(best.columns(), schema=pa.schema(HIT_FIELDS))
 
-    # Each task hands on its best rows per query, so a task should read much of a large store.
-    return store.coalesce(TASKS_PER_CORE * store.sparkSession.sparkContext.defaultParallelism).mapInArrow(scan, HIT)
-
-
-@dataclass
-class Cells:
-    """Pivots with the size and radius of their cells: a few numbers for each of at most PIVOTS cells."""
-
-    pivots: np.ndarray
-    parts: np.ndarray
-    stretch: float
-    sizes: np.ndarray | None = None
-    radius: np.ndarray | None = None
-
-    @property
-    def widest(self) -> float:
-        """No two rows with equal filter values are farther apart."""
-        return (self.stretch - 1) / 2 * (1 + 1e-9) + 1 / MICRO
-
-    def distances(self, vectors: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """Distances to the pivots. The filter value counts as one more coordinate, so that a cell's rows tend to share
-        it; the distance of rows with equal values stays what it is."""
-        apart = self.stretch * (parts[:, None] - self.parts[None, :]).astype(np.float64)
-        return np.sqrt(square_distances(vectors, self.pivots) + apart**2)
-
-    def closest(self, vectors: np.ndarray, parts: np.ndarray, rows: int) -> list[np.ndarray]:
-        """Per query the closest cells that together have ``rows`` rows."""
-        order = np.argsort(self.distances(vectors, parts), axis=1, kind="stable")
-        have = np.minimum(self.sizes, BLOCK_ROWS)[order]
-        before = np.cumsum(have, axis=1) - have
-        return [cells[(b < rows) & (h > 0)] for cells, b, h in zip(order, before, have)]
-
-    def within(self, vectors: np.ndarray, parts: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
-        """Per query the cells that can hold a row within its reach."""
-        far = self.distances(vectors, parts)
-        home = far.argmin(axis=1)
-        between = self.distances(self.pivots, self.parts)[home]
-        at_home = far[np.arange(len(far)), home]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(between > 0, (far**2 - at_home[:, None] ** 2) / (2 * between), 0)
-        least = np.maximum(far - self.radius[None, :], plane)
-        slack = 4 / MICRO + 1e-7 * self.stretch
-        return [np.flatnonzero(row) for row in (least <= reach[:, None] + slack) & (self.sizes > 0)[None, :]]
-
-
-def _choose_cells(queries: DataFrame, store: DataFrame) -> Cells | None:
-    """About one cell per block of rows, up to PIVOTS; pivots are the rows with the smallest id hashes. None for an
-    empty store."""
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("square")
-    both = queries.select(square, F.lit(0).alias("row")).union(store.select(square, F.lit(1)))
-    seen = both.agg(F.max("square").alias("reach"), F.sum("row").alias("rows")).first()
-    if not seen.rows:
-        return None
-    count = min(PIVOTS, max(1, seen.rows // BLOCK_ROWS))
-    picked = store.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(count).select("vec", "part").toArrow()
-    points = np.unique(np.column_stack([np.asarray(picked.column("part")), as_matrix(picked.column("vec"))]), axis=0)
-    return Cells(points[:, 1:], points[:, 0].astype(np.int64), 4 * math.sqrt(seen.reach) + 1)
-
-
-def _settle(store: DataFrame, cells: Cells) -> DataFrame:
-    """Store rows with their cell and their distance to its pivot."""
-
-    def settle(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                some = batch.slice(at, BLOCK_ROWS)
-                far = cells.distances(as_matrix(some.column("vec")), np.asarray(some.column("part")))
-                home = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("chunk_id"), some.column("part"), some.column("vec"),
-                     pa.array(home.astype(np.int32)), pa.array(far[np.arange(len(far)), home])],
-                    names=["chunk_id", "part", "vec", "cell", "away"],
-                )
-
-    schema = "chunk_id bigint, part bigint, vec array<float>, cell int, away double"
-    return store.select("chunk_id", "part", "vec").mapInArrow(settle, schema)
-
-
-def _counts(rows: DataFrame) -> dict[int, int]:
-    """Rows per cell, of which there are at most PIVOTS."""
-    return {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
-def _in_blocks(asked: DataFrame, rows: DataFrame, cells: Cells, every_cut: bool, search, schema: str) -> DataFrame:
-    """Run ``search(queries, rows)`` on every cell, cut into blocks that fit into one task each.
-
-    With ``every_cut`` a query meets all rows of its cells, else one cut of each."""
-    row_cuts = [max(1, -(-int(s) // BLOCK_ROWS)) for s in cells.sizes]
-    calls = _counts(asked)
-    meets = [c if every_cut else 1 for c in row_cuts]
-    query_cuts = [max(1, -(-calls.get(i, 0) // (BLOCK_QUERIES * (1 if every_cut else c)))) for i, c in enumerate(row_cuts)]
-    of_rows, of_queries = (F.array(*map(F.lit, cuts))[F.col("cell")] for cuts in (row_cuts, query_cuts))
-    own_row = F.pmod(F.xxhash64("chunk_id"), of_rows).cast("int")
-    own_query = F.pmod(F.xxhash64("query_id"), of_queries).cast("int")
-    met = F.sequence(F.lit(0), of_rows - 1) if every_cut else F.array(F.pmod(F.hash("query_id"), of_rows).cast("int"))
-    left = asked.select("query_id", "part", "vec", "reach", "cell", F.explode(met).alias("row_cut"), own_query.alias("query_cut"))
-    right = rows.select(
-        "chunk_id", "part", "vec", "cell", own_row.alias("row_cut"),
-        F.explode(F.sequence(F.lit(0), of_queries - 1)).alias("query_cut"),
-    )
-    block = ["cell", "row_cut", "query_cut"]
-    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(search, schema)
-
-
-def _many_queries(queries: DataFrame, store: DataFrame, k: int, skip_same: bool) -> DataFrame:
-    # Of rows with equal vectors only the smallest ids can be results, so a mass of copies shrinks to k + 1 rows
-    # before anything is moved.
-    copies = W.partitionBy("part", "vec").orderBy("chunk_id")
-    store = store.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy")
-    cells = _choose_cells(queries, store)
-    if cells is None:
-        return queries.sparkSession.createDataFrame([], FOUND)
-    settled = kept(_settle(store, cells), "cells")
-    n = len(cells.pivots)
-    cells.sizes, cells.radius = np.zeros(n, np.int64), np.zeros(n)
-    for r in settled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect():
-        cells.sizes[r.cell], cells.radius[r.cell] = r.n, r.far
-
-    def visits(choose, *columns: np.ndarray) -> pa.Array:
-        """Cell lists of a batch, made for some queries at a time."""
-        seen = []
-        for at in range(0, len(columns[0]), BLOCK_QUERIES):
-            seen += choose(*(c[at : at + BLOCK_QUERIES] for c in columns))
-        return pa.array([s.astype(np.int32) for s in seen], pa.list_(pa.int32()))
-
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def closest(vec: pa.Array, part: pa.Array) -> pa.Array:
-        return visits(lambda v, p: cells.closest(v, p, PROBE_FACTOR * (k + 1)), as_matrix(vec), np.asarray(part))
-
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def within(vec: pa.Array, part: pa.Array, reach: pa.Array) -> pa.Array:
-        return visits(cells.within, as_matrix(vec), np.asarray(part), np.asarray(reach))
-
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        batches = []
-        if left.num_rows and right.num_rows:
-            for best in search_rows(Side.of(left, "query_id"), Side.of(right, "chunk_id"), k, skip_same):
-                lists = np.split(best.distance, np.cumsum(best.counts())[:-1])
-                columns = [pa.array(best.queries.ids), pa.array(lists, pa.list_(pa.float64()))]
-                batches.append(pa.RecordBatch.from_arrays(columns, schema=PROBED_ARROW))
-        return pa.Table.from_batches(batches, PROBED_ARROW)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        batches = []
-        if left.num_rows and right.num_rows:
-            rows = Side.of(right, "chunk_id")
-            for best in search_rows(Side.of(left, "query_id"), rows, k, skip_same):
-                vectors = as_vectors(rows.vectors[np.searchsorted(rows.ids, best.ids)])
-                batches.append(pa.RecordBatch.from_arrays([*best.columns(), vectors], schema=FOUND_ARROW))
-        return pa.Table.from_batches(batches, FOUND_ARROW)
-
-    unlimited = queries.withColumn("reach", F.lit(float("inf")))
-    first = unlimited.withColumn("cell", F.explode(closest("vec", "part")))
-    probed = _in_blocks(first, settled, cells, False, probe, PROBED)
-    # A query probes few cells and gets at most k distances from each.
-    reaches = probed.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("distances"))).alias("d")).select(
-        "query_id", F.get("d", F.lit(k - 1)).alias("reach")
-    )
-    aimed = kept(
-        queries.join(reaches, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(cells.widest))), "reaches"
-    )
-    routed = aimed.withColumn("cell", F.explode(within("vec", "part", "reach")))
-    return _in_blocks(routed, settled, cells, True, search, FOUND)
+    return store.mapInArrow(scan, HIT)
 
 
 def nearest(
@@ -330,15 +144,14 @@ def nearest(
     store: DataFrame,
     fetch: Column,
     same: tuple[str, str] | None = None,
-    skip_same: bool = True,
     vectors: bool = False,
-    few: int = FEW_CELLS,
+    per_pass: int = PER_PASS,
 ) -> DataFrame:
     """(query_id, k, rank, chunk_id, distance, similarity): the ``fetch`` nearest store rows per query, on demand with
     their ``embedding``.
 
-    ``same`` names an integer column of either side that has to be equal. ``skip_same`` leaves out the store row with
-    the query's own id. Queries without a vector find nothing."""
+    ``same`` names an integer column of either side that has to be equal. Queries without a vector find nothing. Both
+    sides are read once per pass, so a caller keeps them if they are expensive to make."""
     left, right = same or (None, None)
     if same:
         queries, store = queries.filter(F.col(left).isNotNull()), store.filter(F.col(right).isNotNull())
@@ -354,20 +167,28 @@ def nearest(
         F.col("embedding").alias("vec"),
         (F.col(right) if right else F.lit(0)).cast("bigint").alias("part"),
     )
-    # One row more than may travel tells whether there are too many.
-    small = asked.limit(few // K.MIN_FETCH + 1).toArrow()
-    n, most = small.num_rows, pc.max(small.column("fetch")).as_py() or 1
-    travel = n <= few // K.MIN_FETCH and n * most <= few
-    if travel:
-        asked = queries.sparkSession.createDataFrame(small.select(["query_id", "k", "fetch"]))
-        hits = _few_queries(small, rows, most, skip_same) if n else queries.sparkSession.createDataFrame([], HIT)
-    else:
-        most = asked.agg(F.max("fetch")).first()[0]
-        hits = _many_queries(asked.select("query_id", "vec", "part"), rows, most, skip_same)
+    spark = queries.sparkSession
+    seen = asked.agg(F.count(F.lit(1)).alias("n"), F.max("fetch").alias("most")).first()
+    passes = -(-seen.n * max(seen.most or 1, 1) // per_pass)
+    found = None
+    for number in range(passes):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).toArrow()
+        if some.num_rows:
+            best = _one_pass(spark, some, rows, seen.most, vectors)
+            found = best if found is None else found.unionByName(best)
+    if found is None:
+        names = "query_id bigint, k int, rank int, chunk_id bigint, distance double, similarity double"
+        return spark.createDataFrame([], names + (", embedding array<float>" if vectors else ""))
+    return found
+
+
+def _one_pass(spark, some: pa.Table, rows: DataFrame, most: int, vectors: bool) -> DataFrame:
+    """The results of a bounded number of queries: each task's best rows meet per query."""
     order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
-    best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    best = best.join(asked.select("query_id", "k", "fetch"), "query_id").filter("rank <= fetch").drop("fetch")
-    if travel and vectors:
-        # At most FEW_CELLS result rows: they go to the store, whose vectors stay where they are.
+    best = _scan(some, rows, most).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    sizes = spark.createDataFrame(some.select(["query_id", "k", "fetch"]))
+    best = best.join(F.broadcast(sizes), "query_id").filter("rank <= fetch").drop("fetch")
+    if vectors:
+        # At most PER_PASS result rows: they go to the store, whose vectors stay where they are.
         best = rows.select("chunk_id", F.col("vec").alias("embedding")).join(F.broadcast(best), "chunk_id")
-    return best if vectors else best.drop("embedding")
+    return best

@@ -1,7 +1,7 @@
 """Ordered numbering and running sums that do not put a whole group into one task.
 
 A plain window over ``source`` or ``thread_id`` sorts that key's rows in one task, so one key with a third of the
-rows would be the job. Here the order key is cut into slices: each slice is a window partition of its own, the slice
+rows would be the job. Here the order key is cut into slices of about equally many rows: each slice is a window partition of its own, the slice
 sums (one small row per group and slice) are accumulated per group, and both parts are added.
 """
 
@@ -10,16 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-SLICE_FLOOR = 1024
+SLICES = 256
 DENSE_SPAN = 4096  # slice width for keys that count from 0 without large gaps, such as turns
 
 
-def slice_span(rows: DataFrame, key: str, floor: int = SLICE_FLOOR) -> Column:
-    """Width of a slice, as a scalar subquery, so that slices and rows per slice both grow with the square root of
-    the input."""
-    reach = F.max(key) - F.min(key) + 1
-    width = F.ceil(reach / F.floor(F.sqrt(F.count(key))))
-    return rows.select(key).agg(F.greatest(F.lit(floor), F.coalesce(width, F.lit(0))).cast("bigint")).scalar()
+def slice_number(rows: DataFrame, key: str, slices: int = SLICES) -> Column:
+    """The slice of a row: its place among the key's quantiles over all rows, which are a scalar subquery.
+
+    The quantiles only say where slices end, so that they are approximate does not matter; no slice holds much more than
+    its share of the rows, however the keys are spread over the 64 bits."""
+    shares = [i / slices for i in range(1, slices)]
+    whole = F.col(key).cast("bigint")
+    bounds = rows.select(whole.alias("k")).agg(F.percentile_approx("k", shares, 50 * slices)).scalar()
+    known = F.coalesce(bounds, F.array().cast("array<bigint>"))
+    return F.array_position(F.sort_array(F.array_append(known, whole)), whole)
 
 
 def running_totals(
@@ -32,12 +36,13 @@ def running_totals(
 ) -> DataFrame:
     """Add, for each name in ``values``, its sum over the earlier rows of the group and ``<name>_total``.
 
-    ``key`` is an integer that is unique within the group, ``values`` are integers, group columns are not null.
-    ``about`` has one row per group; its columns come along with the slice sums, so the rows themselves need no join
+    Without group columns all rows are one group. ``span`` is the width of a slice, for keys that count up without large
+    gaps; without it slices are cut by rows. ``key`` is an integer that is unique within the group, ``values`` are
+    integers, group columns are not null. ``about`` has one row per group; its columns come along with the slice sums, so the rows themselves need no join
     on a key that may be hot.
     """
-    span = F.lit(span) if span else slice_span(rows, key)
-    sliced = rows.withColumns({"_slice": F.call_function("div", F.col(key), span), **{f"_v_{n}": v.cast("bigint") for n, v in values.items()}})
+    at = F.call_function("div", F.col(key), F.lit(span)) if span else slice_number(rows, key)
+    sliced = rows.withColumns({"_slice": at, **{f"_v_{n}": v.cast("bigint") for n, v in values.items()}})
     by_slice = [*group, "_slice"]
 
     so_far = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)

@@ -17,11 +17,11 @@ BLOCK = 4096
 TOTALS = ["total_pages", "total_chunks", "total_chars"]
 
 
-def text_pieces(placed: DataFrame) -> DataFrame:
+def text_pieces(placed: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
     """The joined text of each file as ordered pieces: joining ``piece`` in chunk order gives the whole text.
 
     A file may be larger than any value or task, so the text is not built as one string."""
-    chunks = chunk_placed(placed)
+    chunks = chunk_placed(placed, size, overlap)
     last = F.col("chunk_index") == F.col("total_chunks") - 1
     return chunks.select(
         "source",
@@ -32,12 +32,12 @@ def text_pieces(placed: DataFrame) -> DataFrame:
     )
 
 
-def document_heads(placed: DataFrame, limit: int) -> DataFrame:
+def document_heads(placed: DataFrame, limit: int, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
     """(source, totals, head): the first ``limit`` characters of each file's joined text.
 
-    Pages and chunks that start later are dropped before grouping; each kept chunk adds at least one character, so
+    ``placed`` may be the pages of ``head_pages`` alone. Pages and chunks that start later are dropped before grouping; each kept chunk adds at least one character, so
     a group holds at most ``limit + 1`` of them."""
-    chunks = chunk_placed(placed.filter(F.col("char_start") <= limit)).filter(F.col("char_start") <= limit)
+    chunks = chunk_placed(placed.filter(F.col("char_start") <= limit), size, overlap).filter(F.col("char_start") <= limit)
     return (
         chunks.groupBy("source")
         .agg(
@@ -57,8 +57,10 @@ def cut(head: Column, total: Column, limit: int = K.SUMMARY_CHARS) -> Column:
     return F.when(total > limit, F.concat(F.substring(head, 1, limit), F.lit("..."))).otherwise(head)
 
 
-def simple_summaries(placed: DataFrame, limit: int = K.SUMMARY_CHARS) -> DataFrame:
-    heads = document_heads(placed, limit)
+def simple_summaries(
+    placed: DataFrame, limit: int = K.SUMMARY_CHARS, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP
+) -> DataFrame:
+    heads = document_heads(placed, limit, size, overlap)
     return heads.select("source", *TOTALS, cut(F.col("head"), F.col("total_chars"), limit).alias("document_summary"))
 
 
@@ -103,11 +105,13 @@ def best_sentences(limit: int):
     return extract
 
 
-def extractive_summaries(placed: DataFrame, limit: int = K.SUMMARY_CHARS) -> DataFrame:
+def extractive_summaries(
+    placed: DataFrame, limit: int = K.SUMMARY_CHARS, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP
+) -> DataFrame:
     """Best sentences of each file's head, or its first ``limit`` characters; short files are their own summary.
 
     The head is at most 5,000 characters, so counting its words needs no shuffle."""
-    heads = document_heads(placed, K.SUMMARY_INPUT_CHARS)
+    heads = document_heads(placed, K.SUMMARY_INPUT_CHARS, size, overlap)
     proposed = F.coalesce(best_sentences(limit)("head"), cut(F.col("head"), F.col("total_chars"), limit))
     short = F.col("total_chars") < K.SUMMARY_MIN_TEXT
     return heads.select(
@@ -122,10 +126,10 @@ def attach_summaries(rows: DataFrame, summaries: DataFrame, index: str, total: s
     a third of all rows would be one join key; its summary is copied once per ``block`` rows instead, and rows meet
     the copy of their own block."""
     copies = summaries.select(
-        "source", "document_summary", F.explode(F.sequence(F.lit(0), F.expr(f"cast({total} div {block} as int)"))).alias("_block")
+        "source", "document_summary", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"{total} div {block}"))).alias("_block")
     )
     return (
-        rows.withColumn("_block", F.expr(f"cast({index} div {block} as int)"))
+        rows.withColumn("_block", F.expr(f"{index} div {block}"))
         .join(copies, ["source", "_block"], "left")
         .drop("_block")
         .withColumn("document_summary", F.coalesce("document_summary", F.lit("")))

@@ -9,7 +9,8 @@ from pliego.functions.vectors import embed
 from pliego.operators import answers, context, conversation as talk
 from pliego.operators.rerank import search
 from pliego.plans import ingest
-from pliego.plans.contexts import assemble_context
+from pliego.plans.retrieval import asked, index, with_unanswerable
+from pliego.session import kept
 from pliego.sources import tables
 
 NO_REPLY = "no answer was stored"
@@ -20,9 +21,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user message as a request with the history it met; requests without a stored reply are errors."""
-    return talk.replayed(messages(spark, sf_dir)).withColumn(
-        "error", F.when(F.col("response").isNull(), F.lit(NO_REPLY))
+    """Every user message as a request with the history it met. A first message without a stored reply stands for a
+    request that failed, a later one for a failed model call."""
+    sent = talk.replayed(messages(spark, sf_dir))
+    failed = F.col("response").isNull() & (F.col("history_len") == 0)
+    return sent.withColumns(
+        {"error": F.when(failed, F.lit(NO_REPLY)), "response": answers.model_reply(F.col("response"))}
     )
 
 
@@ -36,11 +40,9 @@ def last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that wait for an answer, with the state their thread had before them."""
-    said = messages(spark, sf_dir)
-    waiting = talk.open_requests(said)
-    stored = said.withColumn("request_id", talk.request_id(F.col("conv_id"), F.col("seq"))).join(
-        waiting, "request_id", "left_anti"
-    )
+    said = kept(messages(spark, sf_dir), "messages")
+    waiting = kept(talk.open_requests(said), "waiting")
+    stored = said.join(waiting.select(F.col("request_id").alias("message_id")), "message_id", "left_anti")
     return talk.resolve_requests(waiting, talk.last_state(stored))
 
 
@@ -57,7 +59,11 @@ def append_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_result_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble_context(spark, sf_dir).select("query_id", answers.fixed_answer(F.col("context")).alias("answer"))
+    """Whether a query found anything needs no text: a query without results has the fixed answer."""
+    queries = with_unanswerable(asked(spark, sf_dir, K.AGENT_K))
+    found = search(queries, index(spark, sf_dir)).select("query_id").distinct()
+    empty = F.when(F.col("_found").isNull(), F.lit(K.NO_RESULTS_ANSWER))
+    return queries.join(found.withColumn("_found", F.lit(True)), "query_id", "left").select("query_id", empty.alias("answer"))
 
 
 def build_answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +107,10 @@ def user_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All requests through the whole path: state, search text, search in the ingested store, context, prompt and
     envelope. The stored answers stand in for the model's."""
-    sent = talk.contextualize(requests(spark, sf_dir)).withColumnRenamed("request_id", "query_id")
+    sent = kept(talk.contextualize(requests(spark, sf_dir)).withColumnRenamed("request_id", "query_id"), "requests")
     queries = sent.select("query_id", embed(F.col("search_query")).alias("query_vec"), F.lit(K.AGENT_K).alias("k"))
     stored = ingest.saved_store(spark, sf_dir)
-    found = search(queries, stored.select("chunk_id", "embedding"), skip_same=False)
+    found = search(kept(queries, "query-vectors"), stored.select("chunk_id", "embedding"))
     shown = found.join(stored.select("chunk_id", "file_name", "page", "page_content"), "chunk_id")
     full = context.assemble(queries, shown).join(sent, "query_id")
     reply = F.coalesce(answers.fixed_answer(F.col("context")), F.col("response"))

@@ -8,7 +8,7 @@ from pliego import constants as K
 from pliego.functions import text as X
 from pliego.operators import answers, context
 from pliego.operators.ordering import row_index
-from pliego.plans.ingest import placed
+from pliego.plans.ingest import places
 from pliego.plans.retrieval import asked, index, results, with_unanswerable
 from pliego.operators.rerank import search
 from pliego.sources import tables
@@ -18,9 +18,9 @@ MARKUP = {"title": r"<title>([^<]+)</title>", "language": r'<html lang="([a-z]+)
 
 
 def order_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of more than 5,000 characters count as pages without a number here."""
+    """Chunks of full size count as chunks without a page number here."""
     found = results(spark, sf_dir, K.DEFAULT_K)
-    unnumbered = found.withColumn("page", F.when(F.length("page_content") <= 5000, F.col("page")))
+    unnumbered = found.withColumn("page", F.when(F.length("page_content") < K.CHUNK_SIZE, F.col("page")))
     return context.order_by_page(unnumbered).select("query_id", "ord", "pos", "chunk_id", "page")
 
 
@@ -40,8 +40,8 @@ def search_and_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names_and_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, file_name, page as text): short pages have no name, longer ones no page or the text None."""
-    size = F.length("page_content")
-    return placed(spark, sf_dir).select(
+    size = F.col("length")
+    return places(spark, sf_dir).select(
         "doc_id",
         F.when(size >= 300, X.file_name(F.col("source"))).alias("file_name"),
         F.when(size > 5000, F.lit("None")).when(size <= 2000, F.col("page").cast("string")).alias("page"),
@@ -86,7 +86,9 @@ def cover_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("source"), "page_id", F.col("html").alias("page_content")
     )
     numbers = row_index(web.select("source", "page_id"), ["source"], "page_id", "page")
-    numbered = web.drop("source").join(numbers.withColumn("page", F.col("page") + 1), "page_id")
+    # every source has a first page, so none is lost; only these pages' markup is moved
+    front = numbers.withColumn("page", F.col("page") + 1).filter(F.col("page") <= 2)
+    numbered = web.drop("source").join(front, "page_id")
     return answers.cover_fields(numbered, MARKUP, K.COVER_IGNORE)
 
 

@@ -25,23 +25,43 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.place_pages(tables.pages(spark, sf_dir))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.chunk_placed(placed(spark, sf_dir))
-
-
-def summarised(pages: DataFrame, sizes: DataFrame, summary) -> DataFrame:
-    """Placed pages with the summary of their file. Summaries meet the numbers first and the text last, so the text
-    is moved once however large a file is."""
-    places = metadata.place(sizes)
-    told = summaries.attach_summaries(places, summary(metadata.with_text(places, pages)), "page", "total_pages")
-    return metadata.with_text(told, pages)
-
-
-def chunk_store(spark: SparkSession, sf_dir: str, processed: str = PROCESSED, summary=summaries.extractive_summaries) -> DataFrame:
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pages by their lengths alone, without text."""
+    return metadata.place(metadata.page_sizes(tables.pages(spark, sf_dir)))
+
+
+def told_places(
+    pages: DataFrame, sizes: DataFrame, summary, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP
+) -> DataFrame:
+    """Placed pages, without text, with the summary of their file, which is made from the heads of the files."""
+    placed_ = metadata.place(sizes)
+    heads = metadata.head_pages(placed_, pages, K.SUMMARY_INPUT_CHARS, size)
+    return summaries.attach_summaries(placed_, summary(heads, size=size, overlap=overlap), "page", "total_pages")
+
+
+def chunk_store(
+    spark: SparkSession,
+    sf_dir: str,
+    processed: str = PROCESSED,
+    summary=summaries.extractive_summaries,
+    size: int = K.CHUNK_SIZE,
+    overlap: int = K.CHUNK_OVERLAP,
+) -> DataFrame:
     """The ingest job up to the write: pages -> summaries -> chunks -> metadata -> vectors."""
-    pages = tables.pages(spark, sf_dir)
-    told = summarised(pages, kept(metadata.page_sizes(pages), "sizes"), summary)
-    cut = metadata.enrich(metadata.chunk_placed(told), F.lit(processed))
+    return chunks_of(tables.pages(spark, sf_dir), processed, summary, size, overlap)
+
+
+def chunks_of(
+    pages: DataFrame,
+    processed: str = PROCESSED,
+    summary=summaries.extractive_summaries,
+    size: int = K.CHUNK_SIZE,
+    overlap: int = K.CHUNK_OVERLAP,
+) -> DataFrame:
+    """Chunks with metadata, summaries and vectors of pages (source, doc_id, page_content). Summaries meet the numbers
+    first and the whole text last, so it is moved once however large a file is."""
+    told = told_places(pages, kept(metadata.page_sizes(pages, size, overlap), "sizes"), summary, size, overlap)
+    cut = metadata.enrich(metadata.chunk_placed(metadata.with_text(told, pages), size, overlap), F.lit(processed))
     opened = cut.withColumn(
         "page_content", summaries.prefix_first(F.col("page_content"), F.col("document_summary"), F.col("chunk_index"))
     )
@@ -49,7 +69,10 @@ def chunk_store(spark: SparkSession, sf_dir: str, processed: str = PROCESSED, su
 
 
 def saved_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.load(spark, store.save(chunk_store(spark, sf_dir), shared_folder(spark, "store")))
+    path = shared_folder(spark, "store")
+    if not store.save(chunk_store(spark, sf_dir), path):
+        return spark.createDataFrame([], store.STORE_SCHEMA)
+    return store.load(spark, path)
 
 
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +100,8 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tables.pages(spark, sf_dir)
-    sizes = metadata.page_sizes(pages)
-    told = summarised(pages, sizes, summaries.simple_summaries)
-    has, count = F.col("document_summary") != "", chunking.piece_count(F.length("page_content").cast("bigint"), F.lit(K.CHUNK_SIZE), F.lit(K.CHUNK_OVERLAP))
+    told = told_places(pages, metadata.page_sizes(pages), summaries.simple_summaries)
+    has, count = F.col("document_summary") != "", F.col("chunks")
     return told.groupBy("source").agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum(count).alias("chunks"),
@@ -109,36 +131,40 @@ def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("source", "page", "pos", "chunk_index")
+    return metadata.chunk_places(places(spark, sf_dir)).select("source", "page", "pos", "chunk_index")
 
 
 def with_gaps(pages: DataFrame) -> DataFrame:
-    """Pages as a poor loader gives them: short ones without a source, long ones without a page number."""
-    size = F.length("page_content")
-    return pages.withColumns(
-        {"source": F.when(size >= 300, F.col("source")), "page": F.when(size <= 5000, F.col("page"))}
-    )
+    """Pages, with their length, as a poor loader gives them: short ones without a source, long ones without a page number."""
+    size = F.col("length")
+    gaps = {"source": F.when(size >= 300, F.col("source"))}
+    if "page" in pages.columns:
+        gaps["page"] = F.when(size <= 5000, F.col("page"))
+    return pages.withColumns(gaps)
+
+
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_gaps(tables.pages(spark, sf_dir).withColumn("length", F.length("page_content")))
 
 
 def default_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = with_gaps(placed(spark, sf_dir))
-    return pages.select("doc_id", metadata.default_source(F.col("source")).alias("source"))
+    return unnumbered(spark, sf_dir).select("doc_id", metadata.default_source(F.col("source")).alias("source"))
 
 
 def file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = with_gaps(placed(spark, sf_dir))
+    pages = unnumbered(spark, sf_dir)
     return pages.select("doc_id", X.file_name(F.coalesce("source", F.lit(""))).alias("file_name"))
 
 
 def processed_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = metadata.enrich(chunks(spark, sf_dir), F.lit(PROCESSED))
+    cut = metadata.enrich(metadata.chunk_places(places(spark, sf_dir)), F.lit(PROCESSED))
     return cut.groupBy("source").agg(
         F.min("processed_date").alias("first_date"), F.max("processed_date").alias("last_date"), F.count(F.lit(1)).alias("chunks")
     )
 
 
 def default_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_gaps(placed(spark, sf_dir)).select("doc_id", metadata.default_page(F.col("page")).alias("page"))
+    return with_gaps(places(spark, sf_dir)).select("doc_id", metadata.default_page(F.col("page")).alias("page"))
 
 
 def enrich_chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +175,7 @@ def enrich_chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_source_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = metadata.chunk_placed(with_gaps(placed(spark, sf_dir))).withColumn("file_name", X.file_name(F.col("source")))
+    cut = metadata.chunk_places(with_gaps(places(spark, sf_dir))).withColumn("file_name", X.file_name(F.col("source")))
     return cut.select("chunk_id", metadata.source_info(cut).alias("i")).select("chunk_id", "i.*")
 
 
@@ -160,8 +186,8 @@ def clean_file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def process_documents_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With and without metadata: without it no chunk has an index, so each one is taken for the first."""
     pages = tables.pages(spark, sf_dir)
-    told = summarised(pages, metadata.page_sizes(pages), summaries.simple_summaries)
-    cut = metadata.chunk_placed(told).withColumn("add_metadata", F.explode(F.array(F.lit(True), F.lit(False))))
+    told = told_places(pages, metadata.page_sizes(pages), summaries.simple_summaries)
+    cut = metadata.chunk_placed(metadata.with_text(told, pages)).withColumn("add_metadata", F.explode(F.array(F.lit(True), F.lit(False))))
     index = F.when(F.col("add_metadata"), F.col("chunk_index"))
     content = summaries.prefix_first(F.col("page_content"), F.col("document_summary"), index)
     return cut.select("add_metadata", "chunk_id", index.alias("chunk_index"), content.alias("page_content"))
@@ -171,8 +197,13 @@ def concat_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.text_pieces(placed(spark, sf_dir))
 
 
+def heads(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    pages = tables.pages(spark, sf_dir)
+    return metadata.head_pages(metadata.place(metadata.page_sizes(pages)), pages, limit)
+
+
 def simple_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.simple_summaries(placed(spark, sf_dir)).select("source", "document_summary")
+    return summaries.simple_summaries(heads(spark, sf_dir, K.SUMMARY_CHARS)).select("source", "document_summary")
 
 
 def summary_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,19 +215,20 @@ def summary_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attach_document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only files with at least three pages are summarised here, so some chunks keep the empty default."""
-    pages = placed(spark, sf_dir)
-    told = summaries.simple_summaries(pages).filter("total_pages >= 3")
-    cut = metadata.chunk_placed(pages).drop("page_content")
+    told = summaries.simple_summaries(heads(spark, sf_dir, K.SUMMARY_CHARS))
+    cut = metadata.chunk_places(places(spark, sf_dir))
     return summaries.attach_summaries(cut, told, "chunk_index", "total_chunks").select("chunk_id", "source", "document_summary")
 
 
 def prefix_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_documents_flags(spark, sf_dir).filter("add_metadata").select("chunk_id", "page_content")
+    pages = tables.pages(spark, sf_dir)
+    told = told_places(pages, metadata.page_sizes(pages), summaries.simple_summaries)
+    content = summaries.prefix_first(F.col("page_content"), F.col("document_summary"), F.col("chunk_index"))
+    return metadata.chunk_placed(metadata.with_text(told, pages)).select("chunk_id", content.alias("page_content"))
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.extractive_summaries(placed(spark, sf_dir)).select("source", "document_summary")
+    return summaries.extractive_summaries(heads(spark, sf_dir, K.SUMMARY_INPUT_CHARS)).select("source", "document_summary")
 
 
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:

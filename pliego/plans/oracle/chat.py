@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pliego import constants as K
+from pliego.operators.conversation import DIGEST_PRIME
 from pliego.plans.chat import NO_REPLY
 from pliego.plans.ingest import PROCESSED
 from pliego.plans.oracle import parts as P
@@ -10,19 +11,25 @@ from pliego.plans.oracle.retrieval import ANSWERS, EVERY_QUERY
 
 SESSIONS = """sessions AS (SELECT conv_id, conv_id % 7 AS user_id, 'user_' || (conv_id % 7) || '_' ||
   (row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id) - 1) AS thread_id FROM (SELECT DISTINCT conv_id FROM conversations) x)"""
-MESSAGES = f"""{SESSIONS}, messages AS (SELECT s.user_id, c.conv_id, s.thread_id, CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) - 1
-  AS INTEGER) AS seq, role, text AS content, CASE WHEN role = 'user' THEN 'User: ' ELSE 'AI: ' END || text AS line
+MESSAGES = f"""{SESSIONS}, messages AS (SELECT s.user_id, c.conv_id, s.thread_id, row_number() OVER (ORDER BY c.conv_id, turn) - 1 AS message_id,
+  row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) - 1 AS seq, role, text AS content, CASE WHEN role = 'user' THEN 'User: ' ELSE 'AI: ' END || text AS line
   FROM conversations c JOIN sessions s ON s.conv_id = c.conv_id WHERE role IN ('user', 'assistant'))"""
-HISTORY = f"""{MESSAGES}, histories AS (SELECT m.thread_id, m.conv_id, m.seq, m.role, m.content,
+HISTORY = f"""{MESSAGES}, histories AS (SELECT m.thread_id, m.conv_id, m.message_id, m.seq, m.role, m.content,
   coalesce(string_agg(h.line, chr(10) ORDER BY h.seq), '') AS history FROM messages m
   LEFT JOIN messages h ON h.thread_id = m.thread_id AND h.seq BETWEEN m.seq - 4 AND m.seq - 1 GROUP BY ALL)"""
-REQUESTS = f"""{HISTORY}, requests AS (SELECT conv_id * 1000000 + seq AS request_id, conv_id, thread_id, content AS user_input, CAST(seq AS BIGINT) AS history_len, history FROM histories WHERE role = 'user'),
-replies AS (SELECT r.*, m.content AS response, CASE WHEN m.content IS NULL THEN '{NO_REPLY}' END AS error FROM requests r
-  LEFT JOIN messages m ON m.conv_id = r.conv_id AND m.seq = r.history_len + 1)"""
+REQUESTS = f"""{HISTORY}, requests AS (SELECT message_id AS request_id, conv_id, thread_id, content AS user_input, CAST(seq AS BIGINT) AS history_len, history FROM histories WHERE role = 'user'),
+replies AS (SELECT r.*, coalesce(m.content, {P.text(K.MODEL_ERROR)}) AS response, CASE WHEN m.content IS NULL AND history_len = 0 THEN '{NO_REPLY}' END AS error
+  FROM requests r LEFT JOIN messages m ON m.conv_id = r.conv_id AND m.seq = r.history_len + 1 AND m.role = 'assistant')"""
 SEARCH_QUERY = "CASE WHEN history = '' THEN user_input ELSE history || chr(10) || user_input END"
-TURNS = f"""turns AS (SELECT u.thread_id, u.seq // 2 AS turn_no, u.content AS user_message, a.content AS assistant_message
+TURNS = f"""turns AS (SELECT u.thread_id, row_number() OVER (PARTITION BY u.thread_id ORDER BY u.seq) - 1 AS turn_no, u.content AS user_message, a.content AS assistant_message
   FROM messages u JOIN messages a ON a.thread_id = u.thread_id AND a.seq = u.seq + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
-MESSAGE_SUM = f"({P.md5_number(chr(39) + 'user|' + chr(39) + ' || user_message', 7)} + {P.md5_number(chr(39) + 'assistant|' + chr(39) + ' || assistant_message', 7)})"
+def message_term(role: str, column: str, place: int) -> str:
+    """The digest of a message times its place in the history, modulo a prime."""
+    digest = P.md5_number(f"'{role}|' || {column}", 7)
+    return f"({digest} * ((2 * turn_no + {place}) % {DIGEST_PRIME}) % {DIGEST_PRIME})"
+
+
+MESSAGE_SUM = f"({message_term('user', 'user_message', 1)} + {message_term('assistant', 'assistant_message', 2)})"
 
 
 def envelope(response: str, context: str) -> str:
@@ -49,7 +56,7 @@ SELECT m.thread_id, history_len, arg_max(content, seq) FILTER (WHERE role = 'use
 FROM messages m JOIN sizes s ON s.thread_id = m.thread_id GROUP BY m.thread_id, history_len""",
     "resolve_request": f"""WITH {HISTORY}, waiting AS (SELECT * FROM histories h WHERE role = 'user' AND seq =
   (SELECT max(seq) FROM messages m WHERE m.thread_id = h.thread_id))
-SELECT conv_id * 1000000 + seq AS request_id, CASE WHEN seq = 0 THEN 'user_{K.DEFAULT_USER}_' ||
+SELECT message_id AS request_id, CASE WHEN seq = 0 THEN 'user_{K.DEFAULT_USER}_' ||
   (row_number() OVER (PARTITION BY seq = 0 ORDER BY conv_id) - 1) ELSE thread_id END AS thread_id, content AS user_input,
   CAST(seq AS BIGINT) AS history_len, history FROM waiting""",
     "history_window": f"WITH {HISTORY} SELECT thread_id, seq, history FROM histories",
@@ -59,8 +66,7 @@ SELECT conv_id * 1000000 + seq AS request_id, CASE WHEN seq = 0 THEN 'user_{K.DE
   2 * count(*) OVER w AS history_len, CAST(sum({MESSAGE_SUM}) OVER w AS BIGINT) AS history_digest
 FROM turns WINDOW w AS (PARTITION BY thread_id ORDER BY turn_no ROWS UNBOUNDED PRECEDING)""",
     "no_result_answer": f"""WITH asked AS (SELECT vec_id AS query_id FROM embeddings),
-found AS (SELECT query_id, count(*) AS n FROM asked q JOIN (SELECT vec_id FROM embeddings JOIN documents ON vec_id = doc_id) s
-  ON s.vec_id <> q.query_id GROUP BY query_id)
+found AS (SELECT query_id, count(*) AS n FROM asked q CROSS JOIN (SELECT doc_id FROM documents LIMIT 1) s GROUP BY query_id)
 SELECT q.query_id, CASE WHEN n IS NULL THEN {P.text(K.NO_RESULTS_ANSWER)} END AS answer
 FROM {EVERY_QUERY} q LEFT JOIN found f ON f.query_id = q.query_id""",
     "build_answer_prompt": f"WITH {REQUESTS} SELECT request_id, {P.filled(K.ANSWER_PROMPT, context='history', input='user_input')} AS prompt FROM requests",
@@ -89,7 +95,7 @@ full_ AS (SELECT r.*, coalesce(c.fragments, 0) AS fragments, coalesce(c.context
 SELECT request_id, thread_id, history_len, fragments, {P.filled(K.ANSWER_PROMPT, context='context', input='user_input')} AS prompt,
   {envelope(f"CASE WHEN context = {P.text(K.NO_RESULTS)} THEN {P.text(K.NO_RESULTS_ANSWER)} ELSE response END", 'context')} AS envelope FROM full_""",
     "stream_ingest": f"""WITH {P.RAW_PAGES}, cut_ AS ({P.cut('doc_id, source', 'raw_pages')}) SELECT doc_id, source, {P.file_name('source')} AS file_name,
-  CAST(0 AS INTEGER) AS page, pos AS chunk_index, '{PROCESSED}' AS processed_date, page_content FROM cut_""",
+  CAST(0 AS BIGINT) AS page, pos AS chunk_index, '{PROCESSED}' AS processed_date, page_content FROM cut_""",
     "stream_chat_state": f"""WITH {MESSAGES}, sizes AS (SELECT conv_id, count(*) AS messages FROM messages GROUP BY conv_id)
 SELECT m.conv_id, messages, string_agg(line, chr(10) ORDER BY seq) AS history_tail FROM messages m JOIN sizes s ON s.conv_id = m.conv_id
 WHERE seq >= messages - 4 GROUP BY m.conv_id, messages""",

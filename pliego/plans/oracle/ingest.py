@@ -61,9 +61,8 @@ FROM ends e JOIN full_text f ON f.source = e.source""",
     "simple_summary": f"WITH {P.CHUNKS}, {P.SIMPLE} SELECT source, document_summary FROM summaries",
     "summary_guards": """SELECT doc_id, length(substr(text, 1, 5000)) AS model_chars, CASE WHEN length(text) < 300 THEN text
   WHEN length(text) > 500 THEN substr(text, 1, 497) || '...' ELSE text END AS summary FROM documents""",
-    "attach_document_summary": f"""WITH {P.CHUNKS}, {P.SIMPLE}, told AS (SELECT * FROM summaries WHERE source IN
-  (SELECT source FROM pages_ GROUP BY source HAVING count(*) >= 3))
-SELECT chunk_id, c.source, coalesce(document_summary, '') AS document_summary FROM chunks_ c LEFT JOIN told t ON t.source = c.source""",
+    "attach_document_summary": f"""WITH {P.CHUNKS}, {P.SIMPLE}
+SELECT chunk_id, c.source, coalesce(document_summary, '') AS document_summary FROM chunks_ c LEFT JOIN summaries t ON t.source = c.source""",
     "prefix_first_chunk": f"""WITH {P.CHUNKS}, {P.SIMPLE} SELECT chunk_id,
   {P.prefixed('chunk_index', 'document_summary', 'page_content')} AS page_content FROM chunks_ c JOIN summaries s ON s.source = c.source""",
     "extractive_summary": f"WITH {P.CHUNKS}, {P.EXTRACTIVE} SELECT source, document_summary FROM summaries",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pliego import constants as K
+from pliego.plans.ingest import PROCESSED
 from pliego.sources.tables import LONG_NAME, LONG_NAME_SOURCE
 
 
@@ -82,7 +83,7 @@ RAW_PAGES = f"raw_pages AS (SELECT {SOURCE} AS source, doc_id, lang, text AS pag
 PAGES = (
     RAW_PAGES
     + """, pages_ AS (SELECT source, doc_id, lang, page_content,
-  CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page,
   count(*) OVER (PARTITION BY source) AS total_pages FROM raw_pages)"""
 )
 
@@ -97,8 +98,8 @@ def cut(columns: str, origin: str, size: int = K.CHUNK_SIZE, overlap: int = K.CH
 CHUNKS = (
     PAGES
     + f""", cut_ AS ({cut("source, doc_id, page, total_pages", "pages_")}),
-chunks_ AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY page, pos) - 1 AS INTEGER) AS chunk_index,
-  doc_id * {K.CHUNK_ID_STEP} + pos AS chunk_id FROM cut_)"""
+chunks_ AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page, pos) - 1 AS chunk_index,
+  row_number() OVER (ORDER BY doc_id, pos) - 1 AS chunk_id FROM cut_)"""
 )
 
 FULL_TEXT = "full_text AS (SELECT source, string_agg(page_content, chr(10) ORDER BY chunk_index) AS full_text FROM chunks_ GROUP BY source)"
@@ -157,12 +158,6 @@ bare_store AS (SELECT c.chunk_id, c.source, {file_name('c.source')} AS file_name
 store_ AS (SELECT b.*, v.embedding FROM bare_store b JOIN store_vectors v ON v.chunk_id = b.chunk_id)"""
 
 
-VECTOR_STORE = (
-    PAGES
-    + f""", store_ AS (SELECT vec_id AS chunk_id, source, {file_name('source')} AS file_name, page, page AS chunk_index,
-  page_content, embedding, label FROM embeddings JOIN pages_ ON vec_id = doc_id)"""
-)
-
 ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS query_vec, CAST({k} AS INTEGER) AS k, label AS query_label FROM embeddings)"
 EACH_K = "5 + 3 * label"
 
@@ -171,7 +166,7 @@ def asked(k: int | str = EACH_K) -> str:
     return ASKED.format(k=k)
 
 
-def nearest(fetch: str = "greatest(3 * k, 50)", condition: str = "s.chunk_id <> q.query_id", store: str = "store_") -> str:
+def nearest(fetch: str = "greatest(3 * k, 50)", condition: str = "true", store: str = "store_") -> str:
     """CTEs that end in candidates(query_id, k, rank, chunk_id, distance, vec, similarity)."""
     return f"""pairs AS (SELECT q.query_id, q.k, s.chunk_id,
   round(list_distance(CAST(q.query_vec AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 6) AS distance,
@@ -203,7 +198,7 @@ RESULTS = "results AS (SELECT f.query_id, f.pos, s.* FROM found f JOIN store_ s
 
 
 def searched(k: int | str = EACH_K) -> str:
-    return f"{VECTOR_STORE}, {asked(k)}, {nearest()}, {mmr()}, {RESULTS}"
+    return f"{chunk_store(PROCESSED)}, {asked(k)}, {nearest()}, {mmr()}, {RESULTS}"
 
 
 def contexts(order: str, origin: str, name: str = "contexts_") -> str:

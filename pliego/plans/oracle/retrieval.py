@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pliego import constants as K
 from pliego.plans.contexts import MARKUP
+from pliego.plans.ingest import PROCESSED
 from pliego.plans.oracle import parts as P
 from pliego.plans.retrieval import LAMBDAS, NOTHING_ID
 
 ALL_VECTORS = "store_ AS (SELECT vec_id AS chunk_id, embedding, label FROM embeddings)"
-INDEX = "store_ AS (SELECT vec_id AS chunk_id, embedding, label FROM embeddings JOIN documents ON vec_id = doc_id)"
+INDEX = P.chunk_store(PROCESSED)
 EVERY_QUERY = f"(SELECT query_id FROM asked UNION ALL SELECT {NOTHING_ID})"
 NAMED = f"""named AS (SELECT doc_id, CASE WHEN length(page_content) >= 300 THEN {P.file_name('source')} END AS file_name,
   CASE WHEN length(page_content) > 5000 THEN 'None' WHEN length(page_content) <= 2000 THEN CAST(page AS VARCHAR) END AS page FROM pages_)"""
@@ -26,7 +27,9 @@ def cover(field: str, pattern: str) -> str:
 
 
 SQL = {
-    "build_vector_store": f"""WITH {P.VECTOR_STORE} SELECT chunk_id, source, file_name, page, chunk_index, page_content,
+    "knn_chunks": f"""WITH {INDEX}, asked AS (SELECT chunk_id AS query_id, embedding AS query_vec, {K.DEFAULT_K} AS k FROM store_),
+{P.nearest('k')} SELECT query_id, rank, chunk_id, distance FROM candidates""",
+    "build_vector_store": f"""WITH {INDEX} SELECT chunk_id, source, file_name, page, chunk_index, page_content,
   {P.vector_digest('embedding')} AS vector_digest FROM store_""",
     "knn_exact": f"WITH {ALL_VECTORS}, {P.asked(K.DEFAULT_K)}, {P.nearest()} SELECT query_id, rank, chunk_id, distance FROM candidates",
     "knn_dynamic_k": f"WITH {INDEX}, {P.asked()}, {P.nearest()} SELECT query_id, k, rank, chunk_id, distance FROM candidates",
@@ -45,10 +48,10 @@ FROM near n LEFT JOIN alike a ON a.query_id = n.query_id AND a.lambda_mult = n.l
 n AS (SELECT query_id, count(*) AS n, arg_min(chunk_id, pos) AS first FROM found GROUP BY query_id)
 SELECT q.query_id, coalesce(n, 0) AS results, coalesce(CAST(first AS VARCHAR), {P.text(K.NO_RESULTS)}) AS first_result
 FROM {EVERY_QUERY} q LEFT JOIN n ON n.query_id = q.query_id""",
-    "knn_filtered": f"""WITH {ALL_VECTORS}, {P.asked(5)}, {P.nearest('5', 's.chunk_id <> q.query_id AND s.label = q.query_label')}
+    "knn_filtered": f"""WITH {ALL_VECTORS}, {P.asked(5)}, {P.nearest('5', 's.label = q.query_label')}
 SELECT query_id, rank, chunk_id, distance FROM candidates""",
     "order_by_page": f"""WITH RECURSIVE {P.searched(K.DEFAULT_K)}, gapped AS (SELECT query_id, pos, chunk_id,
-  CASE WHEN length(page_content) <= 5000 THEN page END AS page FROM results)
+  CASE WHEN length(page_content) < {K.CHUNK_SIZE} THEN page END AS page FROM results)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(page, 999), pos) AS INTEGER) AS ord, pos, chunk_id, page FROM gapped""",
     "clean_fragment": f"SELECT doc_id, {P.one_line('text')} AS content FROM documents",
     "format_context": f"WITH RECURSIVE {P.searched()}, {P.contexts('pos', 'results')} SELECT query_id, context FROM contexts_",
@@ -74,6 +77,6 @@ SELECT query_id, '- ' || name || CASE WHEN count(page) = 0 THEN '' WHEN count(pa
   row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY page_id) AS page FROM pages)
 {' UNION ALL '.join(cover(f, p) for f, p in MARKUP.items())}""",
     "verify_citations": f"""WITH RECURSIVE {INDEX}, {P.asked(K.DEFAULT_K)}, {P.nearest()}, {P.mmr()}, {ANSWERS},
-cited AS (SELECT DISTINCT conv_id AS query_id, turn, CAST(unnest(regexp_extract_all(response, '\\[(\\d{{1,9}})\\]', 1)) AS INTEGER) AS ord FROM answers)
-SELECT c.query_id, c.turn, c.ord, f.pos IS NOT NULL AS supported FROM cited c LEFT JOIN found f ON f.query_id = c.query_id AND f.pos = c.ord""",
+cited AS (SELECT DISTINCT conv_id AS query_id, turn, regexp_replace(unnest(regexp_extract_all(response, '\\[([0-9]+)\\]', 1)), '^0+([0-9])', '\\1') AS ord FROM answers)
+SELECT c.query_id, c.turn, c.ord, f.pos IS NOT NULL AS supported FROM cited c LEFT JOIN found f ON f.query_id = c.query_id AND CAST(f.pos AS VARCHAR) = c.ord""",
 }

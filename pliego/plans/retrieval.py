@@ -5,31 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pliego import constants as K
-from pliego.functions import text as X
 from pliego.operators.nearest import fetch_size, nearest
 from pliego.operators.rerank import lambda_sweep, mmr, search
-from pliego.plans.ingest import placed, vector_digest
+from pliego.plans.ingest import saved_store, vector_digest
+from pliego.session import kept
 from pliego.sources import tables
 
 LAMBDAS = [0.0, 0.3, 0.6, 1.0]
 NOTHING_ID = -1
 
 
-def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given vectors with the page they belong to: one chunk per page."""
-    pages = placed(spark, sf_dir).withColumn("file_name", X.file_name(F.col("source")))
-    return tables.vectors(spark, sf_dir).join(pages, F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").alias("chunk_id"), "source", "file_name", "page", F.col("page").alias("chunk_index"),
-        "page_content", "embedding", "label",
-    )
-
-
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and vectors of the store, without text or page numbers."""
-    pages = tables.read(spark, sf_dir, "documents").select("doc_id")
-    return tables.vectors(spark, sf_dir).join(pages, F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").alias("chunk_id"), "embedding", "label"
-    )
+    """Ids and vectors of all chunks, as the ingest job stored them."""
+    return saved_store(spark, sf_dir).select("chunk_id", "embedding")
 
 
 def asked(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
@@ -45,14 +33,17 @@ def with_unanswerable(queries: DataFrame) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
-    """Re-ranked results with the text and metadata of their chunks."""
-    found = search(asked(spark, sf_dir, k), index(spark, sf_dir))
-    return found.join(vector_store(spark, sf_dir).drop("embedding", "label"), "chunk_id")
+    """Re-ranked results with the text and metadata of their chunks, from one ingested store. The few results meet the
+    stored rows; nothing is numbered again."""
+    stored = saved_store(spark, sf_dir)
+    found = kept(search(asked(spark, sf_dir, k), stored.select("chunk_id", "embedding")), "found")
+    shown = stored.select("chunk_id", "source", "file_name", "page", "chunk_index", "page_content")
+    return shown.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").join(found, "chunk_id")
 
 
 def build_vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = vector_store(spark, sf_dir).withColumn("vector_digest", vector_digest(F.col("embedding")))
-    return built.drop("embedding", "label")
+    built = saved_store(spark, sf_dir).withColumn("vector_digest", vector_digest(F.col("embedding")))
+    return built.select("chunk_id", "source", "file_name", "page", "chunk_index", "page_content", "vector_digest")
 
 
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +91,17 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "distance")
 
 
+def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored chunks against all stored chunks: many passes of queries over one store."""
+    stored = kept(index(spark, sf_dir), "index")
+    queries = stored.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit(K.DEFAULT_K).alias("k"))
+    return nearest(queries, stored, F.col("k")).select("query_id", "rank", "chunk_id", "distance")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        build_vector_store, knn_exact, knn_dynamic_k, mmr_rerank, mmr_search_agent, search_lambda_sweep, search_empty,
+        build_vector_store, knn_chunks, knn_exact, knn_dynamic_k, mmr_rerank, mmr_search_agent, search_lambda_sweep, search_empty,
         knn_filtered,
     )
 }

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: list[str] = []
-
-
 def local_session(cpus: str = "*", app: str = "pliego", **settings: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -29,17 +25,9 @@ def local_session(cpus: str = "*", app: str = "pliego", **settings: str) -> Spar
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder path below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Only a local master, where driver and executors are one process, may fall back to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _fallback:
-            _fallback.append(tempfile.mkdtemp(prefix="pliego-"))
-        root = _fallback[0]
+    """A new folder path below ``spark.checkpoint.dir``, or below the warehouse where that is unset: folders that every
+    executor can reach."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pliego-work"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pliego import constants as K
 from pliego.operators.conversation import create_sessions
-from pliego.operators.ordering import DENSE_SPAN, row_index
+from pliego.operators.ordering import DENSE_SPAN, row_index, running_totals
 
 # Fixed value: the file behind source 'src7' has a name longer than 50 characters.
 LONG_NAME_SOURCE, LONG_NAME = "src7", "historico_de_la_universidad_y_sus_facultades_"
@@ -54,21 +54,25 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, conv_id, thread_id, seq, role, content) of every user and assistant message."""
+    """(user_id, conv_id, thread_id, message_id, seq, role, content) of every user and assistant message; ``message_id``
+    numbers the messages of all conversations."""
     said = (
         read(spark, sf_dir, "conversations")
         .filter(F.col("role").isin("user", "assistant"))
         .select("conv_id", "turn", "role", F.col("text").alias("content"))
     )
     return row_index(said, ["conv_id"], "turn", "seq", DENSE_SPAN, chat_sessions(spark, sf_dir)).select(
-        "user_id", "conv_id", "thread_id", F.col("seq").cast("int").alias("seq"), "role", "content"
+        "user_id", "conv_id", "thread_id", (F.col("first_message") + F.col("seq")).alias("message_id"), "seq", "role", "content"
     )
 
 
 def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, user_id, thread_id): each conversation is one session of one of seven users."""
-    talks = read(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.col("conv_id") % 7).alias("user_id"))
-    return create_sessions(talks, "user_id", "conv_id")
+    """(conv_id, first_message, user_id, thread_id): each conversation is one session of one of seven users;
+    ``first_message`` is the number of messages in the conversations before it."""
+    said = F.count(F.when(F.col("role").isin("user", "assistant"), F.lit(1)))
+    talks = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("n"))
+    talks = running_totals(talks, [], "conv_id", {"first_message": F.col("n")}).select("conv_id", "first_message")
+    return create_sessions(talks.withColumn("user_id", F.col("conv_id") % 7), "user_id", "conv_id")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

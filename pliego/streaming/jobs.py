@@ -22,6 +22,7 @@ from pliego.sources.tables import SCHEMAS
 
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 TURN_BLOCK = 1024
+SILENCE_MS = 24 * 3_600_000
 
 
 def incoming(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
@@ -49,48 +50,62 @@ def run_to_files(stream: DataFrame, path: str) -> DataFrame:
 
 
 def ingest(pages: DataFrame, path: str, processed: str) -> DataFrame:
-    """New pages become chunks with metadata and are appended to the store; chunks are numbered per page."""
-    chunks = chunk_fixed(pages.withColumn("page", F.lit(None).cast("int"))).withColumnRenamed("pos", "chunk_index")
+    """New pages become chunks with metadata and are appended to the store; chunks are numbered per page. A page number
+    that comes with the pages is kept; only a missing one is filled in."""
+    page = F.col("page").cast("bigint") if "page" in pages.columns else F.lit(None).cast("bigint")
+    chunks = chunk_fixed(pages.withColumn("page", page)).withColumnRenamed("pos", "chunk_index")
     return run_to_files(enrich(chunks, F.lit(processed)), path)
 
 
 def _last_messages(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    count, tail = state.get if state.exists else (0, "[]")
+    if state.hasTimedOut:  # what it held is in the written table
+        state.remove()
+        return
+    began, count, tail = state.get if state.exists else (None, 0, "[]")
+    seen = 0
     kept = [tuple(m) for m in json.loads(tail)]
     for batch in batches:
         count += len(batch)
+        first = int(batch["turn"].min())
+        began = first if began is None else began
+        seen = max(seen, int(batch["seen"].max().timestamp() * 1000))
         kept = sorted([*kept, *zip(batch["turn"].tolist(), batch["line"].tolist())])[-K.HISTORY_MESSAGES :]
-    state.update((count, json.dumps(kept)))
-    yield pd.DataFrame({"conv_id": [key[0]], "block": [key[1]], "messages": [count], "tail": [json.dumps(kept)]})
+    state.update((began, count, json.dumps(kept)))
+    state.setTimeoutTimestamp(seen + SILENCE_MS)
+    yield pd.DataFrame({"conv_id": [key[0]], "block": [key[1]], "began": [began], "messages": [count], "tail": [json.dumps(kept)]})
 
 
 def chat_state(messages: DataFrame, path: str) -> DataFrame:
     """Keep count and last messages per conversation while messages arrive; returns the latest state of each.
 
     The state's key is (conversation, block of turns), so a very long conversation is spread over many keys, and every
-    key holds four messages and a count. Each batch appends its changed states to a table."""
+    key holds four messages and a count. Each batch appends its changed states to a table. A state without messages for
+    ``SILENCE_MS`` is dropped; messages after that begin a new one, named by its first turn, and the written table, which
+    has both, gives the whole conversation."""
     said = messages.filter(F.col("role").isin("user", "assistant")).select(
         "conv_id",
         F.expr(f"turn div {TURN_BLOCK}").alias("block"),
         "turn",
         spoken(F.col("role"), F.col("text")).alias("line"),
+        F.current_timestamp().alias("seen"),
     )
-    states = said.groupBy("conv_id", "block").applyInPandasWithState(
+    # messages carry no time of their own, so silence is measured by when they were read
+    states = said.withWatermark("seen", "0 seconds").groupBy("conv_id", "block").applyInPandasWithState(
         _last_messages,
-        "conv_id bigint, block bigint, messages bigint, tail string",
-        "messages bigint, tail string",
+        "conv_id bigint, block bigint, began bigint, messages bigint, tail string",
+        "began bigint, messages bigint, tail string",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
     return merge_states(run_to_files(states, path))
 
 
 def merge_states(written: DataFrame) -> DataFrame:
-    """(conv_id, messages, history_tail): newest state per block, then all blocks of a conversation."""
-    newest = written.groupBy("conv_id", "block").agg(F.max(F.struct("messages", "tail")).alias("s"))
+    """(conv_id, messages, history_tail): newest row of each state, then all states of a conversation."""
+    newest = written.groupBy("conv_id", "block", "began").agg(F.max(F.struct("messages", "tail")).alias("s"))
     counts = newest.groupBy("conv_id").agg(F.sum("s.messages").alias("messages"))
-    back = W.partitionBy("conv_id").orderBy(F.col("block").desc())
-    # Four blocks are enough for four messages: a block with a state holds at least one.
+    back = W.partitionBy("conv_id").orderBy(F.col("block").desc(), F.col("began").desc())
+    # Four states are enough for four messages: each holds at least one, and later states hold later turns.
     last = newest.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= K.HISTORY_MESSAGES)
     lines = last.select("conv_id", F.explode(F.from_json("s.tail", "array<array<string>>")).alias("m")).select(
         "conv_id", F.struct(F.col("m")[0].cast("bigint").alias("turn"), F.col("m")[1].alias("line")).alias("m")

@@ -104,6 +104,39 @@ def test_a_new_store_replaces_the_old_one(spark):
     assert again.filter("size(embedding) <> 64").count() == 0
 
 
+def test_an_empty_ingest_leaves_the_old_store(spark):
+    made = ingest.chunk_store(spark, "/root/testdata/sf0.001")
+    path = shared_folder(spark, "store")
+    assert store.save(made.limit(5), path)
+    assert not store.save(made.filter("false"), path)
+    assert store.load(spark, path).count() == 5
+
+
+def test_other_sizes_go_through_the_whole_job(spark):
+    pages = spark.createDataFrame(ROWS, PAGES)
+    made = ingest.chunks_of(pages, summary=summaries.simple_summaries, size=300, overlap=50).collect()
+    for source in "abcde":
+        mine = sorted((r for r in made if r.source == source), key=lambda r: r.chunk_index)
+        want = []
+        for _, _, text in sorted(r for r in ROWS if r[0] == source):
+            at = 0
+            while True:
+                want.append(text[at : at + 300])
+                if at + 300 >= len(text):
+                    break
+                at += 250
+        assert [r.page_content.split("[FRAGMENTO 1]\n")[-1] for r in mine] == want
+        joined = "\n".join(want)
+        assert mine[0].document_summary == (joined[:500] + "..." if len(joined) > 500 else joined)
+    assert sorted(r.chunk_id for r in made) == list(range(len(made)))
+
+
+def test_ids_of_any_size(spark):
+    rows = [("a", 2**62, "x" * 1900), ("a", -(2**62), "y"), ("b", 2**63 - 1, "z")]
+    got = sorted((r.chunk_id, r.doc_id, r.page, r.chunk_index) for r in metadata.chunk_placed(placed(spark, rows)).collect())
+    assert got == [(0, -(2**62), 0, 0), (1, 2**62, 1, 1), (2, 2**62, 1, 2), (3, 2**62, 1, 3), (4, 2**63 - 1, 0, 0)][:len(got)] and len(got) == 5
+
+
 def test_small_scans_are_spread(spark):
     pages = tables.pages(spark, "/root/testdata/sf0.001")
     assert pages.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pliego.operators.ordering import nearby_rows, row_index, running_totals, slice_span
+from pliego.operators.ordering import nearby_rows, row_index, running_totals, slice_number
 
 
 def test_running_totals_match_a_plain_loop_with_one_hot_group(spark):
@@ -28,11 +28,17 @@ def test_group_columns_come_along(spark):
     assert got == {(1, 0, "a"), (1, 1, "a"), (2, 0, "b")}
 
 
-def test_slices_grow_with_the_key_range(spark):
-    sparse = spark.range(100).select((F.col("id") * 10**12).alias("key"))
-    span = sparse.select(slice_span(sparse, "key")).first()[0]
-    assert 9 * 10**12 < span < 11 * 10**12
-    assert spark.range(5).select(slice_span(spark.range(5), "id")).first()[0] == 1024
+def largest_slice(df):
+    return df.select(slice_number(df, "key").alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
+
+
+def test_slices_hold_about_equally_many_rows_whatever_the_keys_are(spark):
+    outlier = spark.range(50_000).select("id").union(spark.range(1).select(F.lit(10**17).alias("id"))).withColumnRenamed("id", "key")
+    assert largest_slice(outlier) < 50_000 / 256 * 4
+    ends = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (0,), (5,)], "key bigint")
+    got = {(r.key, r.i) for r in row_index(ends, [], "key", "i").collect()}
+    assert got == {(-(2**63), 0), (0, 1), (5, 2), (2**63 - 1, 3)}
+    assert row_index(ends.filter("false"), [], "key", "i").count() == 0
 
 
 def test_nearby_rows_cross_slice_borders(spark):

@@ -5,10 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry_module
+from pliego.plans import registry
 from tests.compare import arrow, connect, differences
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,18 @@ def test_query_equals_its_twin(spark, duck, name):
 
 
 def test_only_the_splitter_has_no_twin():
-    assert set(QUERIES) - set(SQL) == {"chunk_recursive"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"chunk_recursive"}
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ingest_counts", "chunk_index", "default_source", "file_name", "processed_date", "default_page", "extract_source_info", "format_citation", "source_annotation"],
+)
+def test_no_text_is_shuffled_for_its_length(spark, name):
+    plan = executed(registry.QUERIES[name](spark, SMALL))
+    for line in plan.split("\n"):
+        if "Exchange hashpartitioning" in line:
+            assert "page_content" not in line and "text#" not in line
 
 
 def test_entry_gives_one_context_per_query(spark):

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,81 +28,61 @@ def frames(spark, queries, store, k=None):
     )
 
 
-def brute(queries, store, ks, same=False, skip=True):
+def brute(queries, store, ks, same=False):
     out = set()
     for i, q in enumerate(queries.astype(np.float64)):
         d = np.round(np.sqrt(((store.astype(np.float64) - q) ** 2).sum(axis=1)), 6)
-        ids = [j for j in range(len(store)) if not (skip and i == j) and not (same and i % 3 != j % 3)]
+        ids = [j for j in range(len(store)) if not (same and i % 3 != j % 3)]
         ids.sort(key=lambda j: (d[j], j))
         out |= {(i, r + 1, j) for r, j in enumerate(ids[: ks[i]])}
     return out
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
+@pytest.mark.parametrize("per_pass", [10**6, 150])
 @pytest.mark.parametrize("same", [False, True])
-def test_both_ways_equal_brute_force_with_many_copies(spark, monkeypatch, few, same):
+def test_any_number_of_passes_equals_brute_force_with_many_copies(spark, monkeypatch, per_pass, same):
     monkeypatch.setattr(N, "BLOCK_ROWS", 32)
     monkeypatch.setattr(N, "BLOCK_QUERIES", 16)
-    monkeypatch.setattr(N, "PIVOTS", 9)
     queries, store = points(1, 90), points(2, 400)
     queries[:40] = store[:40]
     q, s = frames(spark, queries, store)
     ks = {r.query_id: r.k for r in q.collect()}
-    got = nearest(q, s, F.col("k"), ("g", "h") if same else None, few=few)
+    got = nearest(q, s, F.col("k"), ("g", "h") if same else None, per_pass=per_pass)
     assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, ks, same)
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_small_stores_and_queries_without_a_vector(spark, few):
+def test_a_query_finds_the_chunk_with_its_own_number(spark):
+    q = spark.createDataFrame([(7, [1.0, 0.0], 1, 0)], "query_id bigint, query_vec array<float>, k int, g int")
+    s = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "chunk_id bigint, embedding array<float>")
+    assert [r.chunk_id for r in nearest(q, s, F.col("k")).collect()] == [7]
+
+
+@pytest.mark.parametrize("far", [10**3, 10**9, 2**61])
+def test_filter_values_far_apart(spark, far):
+    queries, store = points(1, 30), points(2, 120)
+    q, s = frames(spark, queries, store, k=4)
+    q, s = q.withColumn("g", F.col("g").cast("bigint") * far), s.withColumn("h", F.col("h").cast("bigint") * far)
+    got = nearest(q, s, F.col("k"), ("g", "h"))
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, [4] * 30, True)
+
+
+def test_small_stores_and_queries_without_a_vector(spark):
     queries, store = points(4, 5), points(5, 3)
     q, s = frames(spark, queries, store, k=50)
     nothing = spark.createDataFrame([(99, None, 50, 0)], q.schema)
-    got = nearest(q.union(nothing), s, F.col("k"), skip_same=False, few=few)
-    assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, [50] * 5, skip=False)
+    got = nearest(q.union(nothing), s, F.col("k"))
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, [50] * 5)
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_no_queries_or_no_store(spark, few):
+def test_no_queries_or_no_store(spark):
     q, s = frames(spark, points(4, 2), points(5, 3), k=5)
-    assert nearest(q, s.filter("false"), F.col("k"), few=few).count() == 0
-    assert nearest(q.filter("false"), s, F.col("k")).count() == 0
-
-
-def test_cells_leave_out_far_rows(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
-    _, s = frames(spark, points(1, 2), points(2, 600, copies=0.0))
-    store = s.select("chunk_id", F.col("embedding").alias("vec"), F.lit(0).cast("bigint").alias("part"))
-    cells = N._choose_cells(store.select("vec"), store)
-    table = store.toArrow()
-    vectors, parts = as_matrix(table.column("vec")), np.zeros(600, np.int64)
-    far = cells.distances(vectors, parts)
-    home, away = far.argmin(axis=1), far.min(axis=1)
-    cells.sizes = np.bincount(home, minlength=len(cells.pivots))
-    cells.radius = np.array([away[home == c].max(initial=0) for c in range(len(cells.pivots))])
-    reach = np.sort(np.sqrt(N.square_distances(vectors, vectors)), axis=1)[:, 5]
-    visits = cells.within(vectors, parts, reach)
-    assert np.mean([len(v) for v in visits]) < len(cells.pivots) / 2
-    for q, cells_ in enumerate(visits):
-        near = np.flatnonzero(((vectors - vectors[q]) ** 2).sum(axis=1) <= reach[q] ** 2)
-        assert set(home[near]) <= set(cells_)
-
-
-def test_rare_filter_values_visit_few_cells(spark, monkeypatch):
-    """Queries whose value has fewer rows than they ask for still pass by the cells of other values."""
-    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
-    table = points(2, 600, copies=0.0)
-    store = spark.createDataFrame(
-        [(i, v.tolist(), i // 4) for i, v in enumerate(table)], "chunk_id bigint, vec array<float>, part bigint"
-    )
-    cells = N._choose_cells(store.select("vec"), store)
-    vectors, parts = table.astype(float), np.arange(600) // 4
-    far = cells.distances(vectors, parts)
-    home = far.argmin(axis=1)
-    cells.sizes = np.bincount(home, minlength=len(cells.pivots))
-    cells.radius = np.array([far[home == c, c].max(initial=0) for c in range(len(cells.pivots))])
-    visits = cells.within(vectors, parts, np.full(600, cells.widest))
-    assert np.mean([len(v) for v in visits]) < 3
-    assert all(set(home[parts == parts[q]]) <= set(v) for q, v in enumerate(visits))
+    assert nearest(q, s.filter("false"), F.col("k")).count() == 0
+    assert nearest(q.filter("false"), s, F.col("k"), vectors=True).count() == 0
+
+
+def test_vectors_of_different_length_are_refused():
+    with pytest.raises(ValueError):
+        as_matrix(pa.array([[1.0, 2.0], [1.0, 2.0, 3.0], [1.0]]))
 
 
 def test_fetch_takes_both_branches(spark):

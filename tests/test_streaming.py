@@ -35,6 +35,26 @@ def test_chat_state_goes_on_where_it_stopped_and_spans_blocks(spark):
     assert again[2].history_tail == "User: a\nAI: b"
 
 
+def test_chat_state_comes_back_after_silence(spark, monkeypatch):
+    import time
+
+    monkeypatch.setattr(jobs, "SILENCE_MS", 1000)
+    folder, out = shared_folder(spark, "in"), shared_folder(spark, "state")
+    for name, rows in (("a", [(1, 0, "user", "a"), (1, 1, "assistant", "b")]), ("b", [(2, 0, "user", "x")]), ("c", [(1, 2, "user", "c")])):
+        write(spark, rows, CHAT, folder, name)
+        got = {r.conv_id: r for r in jobs.chat_state(stream(spark, folder, CHAT), out).collect()}
+        time.sleep(1.5)
+    assert got[1].messages == 3 and got[1].history_tail == "User: a\nAI: b\nUser: c"
+
+
+def test_ingest_keeps_given_page_numbers(spark):
+    schema = "source string, doc_id bigint, lang string, page bigint, page_content string"
+    folder, out = shared_folder(spark, "in"), shared_folder(spark, "store")
+    write(spark, [("./a.pdf", 1, "es", 7, "corto"), ("./a.pdf", 2, "es", None, "corto")], schema, folder, "a")
+    got = jobs.ingest(stream(spark, folder, schema), out, "now")
+    assert {(r.doc_id, r.page) for r in got.collect()} == {(1, 7), (2, 0)}
+
+
 def test_ingest_appends_only_new_pages(spark):
     schema = "source string, doc_id bigint, lang string, page_content string"
     folder, out = shared_folder(spark, "in"), shared_folder(spark, "store")
