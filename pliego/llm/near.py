@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text"))
-    found = texts.join(wanted, "node", "left_semi").mapInArrow(scan, "node bigint, digest binary, items binary").filter("length(items) > 0")
+    # the hint keeps the plan the same at every size
+    found = texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(scan, "node bigint, digest binary, items binary").filter("length(items) > 0")
     return found.groupBy("node").agg(F.min(F.struct("digest", "items")).alias("least")).select("node", "least.items")
 
 
@@ -151,19 +153,30 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     """Components (node, component) of the nodes that have a verified link to another node.
 
     Round by round each bucket takes its next member, in the order of ids, as its centre; members that are not in the
-    centre's component yet and were not compared with it are checked, and the links found so far are joined into
-    components. Buckets of one component are done. When few pairs of different components are left, they are checked at
-    once, from the members outside each bucket's largest component. So all pairs of a bucket are either checked or
-    connected.
+    centre's component yet are checked against it, and the links found so far are joined into components. Buckets of one
+    component are done. When few pairs of different components are left, they are checked at once, from the members
+    outside each bucket's largest component. So all pairs of a bucket are either checked or connected.
     """
     bucket = ["band", "key"]
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    nobody = F.lit(None).cast("bigint")
-    open_ = kept(keys.join(shared, bucket).select(*bucket, "node", F.col("node").alias("label"), nobody.alias("past")), "buckets")
+    shared = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1")
+    open_ = kept(keys.join(shared.drop("members"), bucket), "buckets")
     sets = kept(_sets(docs, open_.select("node").distinct()), "sets")
     room, labels, last = REST * BANDS * nodes.count(), None, False
-    while not last:
+    pairs = open_.filter("node > centre").select(*bucket, F.col("centre").alias("a"), F.col("node").alias("b"))
+    while True:
+        tried = kept(pairs.select("a", "b").distinct(), "pairs")
+        good = kept(_verified(tried, sets, percent), "links")
+        # the links found before say no more than their components
+        before = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        labels = kept(components(reduce(DataFrame.union, before, good)), "labels")
+        if last:
+            return labels
+        # a bucket of which every member is linked to the centre is done; others may have several components
+        failed = pairs.join(tried.join(good, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select(*bucket).distinct()
+        now = labels.select("node", F.col("component").alias("label"))
+        open_ = open_.join(failed, bucket, "left_semi").drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = kept(open_, "buckets")
         by_label = open_.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
         state = by_label.groupBy(*bucket).agg(
             F.max(F.struct("n", "label")).alias("top"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
@@ -171,26 +184,24 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
         state = kept(state.filter("pairs > 0").select(*bucket, F.col("top.label").alias("top"), "pairs"), "open")
         left = state.agg(F.sum("pairs")).first()[0]
         if not left:
-            break
+            return labels
         last = left <= room
-        open_ = kept(open_.join(state.drop("pairs"), bucket), "buckets")
-        untried = F.col("past").isNull() | (F.col("node") > F.col("past"))
+        open_ = open_.join(state.drop("pairs"), bucket)
         if last:
-            few = open_.filter("label <> top").select(*bucket, F.col("node").alias("m"), F.col("label").alias("of_m"))
-            pairs = open_.join(few, bucket).filter("label <> of_m")
-            pairs = pairs.filter("past is null or least(m, node) > past").select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"))
+            whole = kept(open_.join(nodes, "node"), "buckets")
+            few = whole.filter("label <> top").select(*bucket, F.col("node").alias("m"), F.col("label").alias("of_m"), F.col("bands").alias("bands_m"))
+            # a pair that shares several buckets is met in the first one, and not again after it was tried
+            fresh = (
+                "label <> of_m and (label = top or node > m) and least(m, node) > centre"
+                " and array_position(zip_with(bands, bands_m, (x, y) -> x = y), true) = band + 1"
+            )
+            met = whole.join(few, bucket).filter(fresh)
+            pairs = met.select(*bucket, F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"))
         else:
-            centre = open_.filter(untried).groupBy(*bucket).agg(F.min(F.struct("node", "label")).alias("c"))
-            open_ = kept(open_.drop("past").join(centre, bucket).withColumn("past", F.col("c.node")), "buckets")
-            pairs = open_.filter("node > past and label <> c.label").select(F.col("past").alias("a"), F.col("node").alias("b"))
-        good = kept(_verified(pairs.distinct(), sets, percent), "links")
-        if labels is not None:  # the links found before say no more than their components
-            good = good.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = kept(components(good), "labels")
-        if not last:
-            now = labels.withColumnsRenamed({"component": "now"})
-            open_ = open_.drop("c", "top").join(now, "node", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
-    return labels if labels is not None else nodes.sparkSession.createDataFrame([], "node bigint, component bigint")
+            following = open_.filter("node > centre").groupBy(*bucket).agg(F.min(F.struct("node", "label")).alias("c"))
+            open_ = kept(open_.drop("centre", "top").join(following, bucket).withColumn("centre", F.col("c.node")), "buckets")
+            pairs = open_.filter("node > centre and label <> c.label").select(*bucket, F.col("centre").alias("a"), F.col("node").alias("b"))
+            open_ = open_.drop("c")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
