@@ -37,7 +37,7 @@ SPANS = {3: 5, 4: 6, 5: 6}  # length of a subsequence: characters it may stretch
 BITS = 22
 WINDOW = 24  # longer strings are scored by overlapping windows
 THRESHOLD = 0.7
-SURE = 2.0  # log odds from which a word is first taken as toxic
+SURE = 0.5  # log odds, less two standard errors, from which a word is first taken as toxic
 CACHED_WORDS = 400_000
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -236,14 +236,16 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         return out
 
     table, offset = np.zeros(1 << BITS), -1.0
-    seldom = np.where(bad + good < 8, -0.5, SURE / 2)  # a word seen often must speak for itself
-    score = odds.copy()  # the first choice of toxic words
+    seldom = np.where(bad + good < 8, -0.5, 2 * SURE)  # a word seen often must speak for itself
+    doubt = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    score = odds - 2 * doubt  # the first choice of toxic words
     clean = np.flatnonzero(good)
     for turn in range(rounds):
         chosen: set[int] = set()
         for m in members:
             top = m[np.argsort(-score[m], kind="stable")[:6]]
-            chosen.update(top[(score[top] > (SURE if turn == 0 else 0)) & (odds[top] > seldom[top])].tolist())
+            least = np.where(bad[top] + good[top] < 8, 0.5, 0.0) if turn else SURE
+            chosen.update(top[(score[top] > least) & (odds[top] > seldom[top])].tolist())
         hard = clean[np.argsort(-score[clean], kind="stable")[:3000]]
         easy = rng.choice(clean, min(clean.size, 9000), replace=False)
         negative = np.setdiff1d(np.union1d(hard, easy), np.fromiter(chosen, np.int64, len(chosen)))
