@@ -63,7 +63,3 @@ def fill(template: str, **values: Column) -> Column:
         before, rest = rest.split("{" + name + "}", 1)
         parts += [F.lit(before), value]
     return F.concat(*parts, F.lit(rest))
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), K.TOKEN_BREAK), lambda t: t != "")

@@ -85,7 +85,18 @@ def _stripped(text: str, begin: int, end: int) -> Iterator[tuple[int, str]]:
         yield begin + len(body) - len(left), left.rstrip()
 
 
-PIECES = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())]))
+ROWS = 64  # pages whose pieces are held as Python values at a time
+
+
+def _pieces(texts: list[str | None], size: int, overlap: int) -> pa.ListArray:
+    starts, parts, ends = [], [], [0]
+    for text in texts:
+        for start, part in _pack(text or "", size, overlap):
+            starts.append(start)
+            parts.append(part)
+        ends.append(len(starts))
+    fields = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(parts, pa.string())], names=["start", "text"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
 
 
 def split_recursive(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
@@ -95,9 +106,9 @@ def split_recursive(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column("page_content").to_pylist()
-            found = [[{"start": s, "text": t} for s, t in _pack(x or "", size, overlap)] for x in texts]
-            yield batch.append_column("pieces", pa.array(found, PIECES))
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                yield some.append_column("pieces", _pieces(some.column("page_content").to_pylist(), size, overlap))
 
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pages.schema)}, pieces array<struct<start:int,text:string>>"
     return pages.mapInArrow(cut, schema)
@@ -134,9 +145,16 @@ def invariant_violations(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: in
     def broken(test) -> Column:
         return F.size(F.filter(pieces, test))
 
+    def pairs(test) -> Column:
+        """How many neighbouring pieces fail a test."""
+        first, second = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, 2, F.size(pieces))
+        return F.size(F.filter(F.zip_with(first, second, test), lambda x: x))
+
     counted = split.select(
         broken(lambda p: (F.length(p["text"]) < 1) | (F.length(p["text"]) > size)).alias("bad_length"),
         broken(lambda p: F.substring(text, p["start"] + 1, F.length(p["text"])) != p["text"]).alias("not_in_page"),
         F.size(F.filter(gaps, lambda g: F.btrim(g, F.lit(K.PYTHON_BLANKS)) != "")).alias("uncovered"),
+        pairs(lambda a, b: stop(a) - b["start"] > overlap).alias("too_much_overlap"),
+        pairs(lambda a, b: b["start"] <= a["start"]).alias("not_in_order"),
     )
     return counted.agg(*[F.coalesce(F.sum(c).cast("bigint"), F.lit(0)).alias(c) for c in counted.columns])

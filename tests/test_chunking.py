@@ -51,13 +51,13 @@ def test_recursive_promises_hold_on_random_texts(spark):
     texts = ["".join(rng.choice("ab  \n\n\té") for _ in range(rng.randint(0, 400))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), PAGES)
     for size, overlap in ((10, 0), (10, 4), (50, 20)):
-        assert chunking.invariant_violations(df, size, overlap).first() == (0, 0, 0)
+        assert chunking.invariant_violations(df, size, overlap).first() == (0, 0, 0, 0, 0)
 
 
 def test_broken_promises_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(chunking, "_pack", lambda text, size, overlap: iter([(0, "zz")]))
+    monkeypatch.setattr(chunking, "_pack", lambda text, size, overlap: iter([(0, "zz"), (0, "ab")]))
     df = spark.createDataFrame([(0, "abcdef")], PAGES)
-    assert chunking.invariant_violations(df, 1, 0).first() == (1, 1, 1)
+    assert chunking.invariant_violations(df, 1, 0).first() == (2, 1, 1, 1, 1)
 
 
 def test_overlap_must_be_smaller_than_the_chunk(spark):
