@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,82 +125,84 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min(F.struct("digest", "items")).alias("least")).select("node", "least.items")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with the sizes of intersection and union of their sets."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            both, either = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 small, large = (x, y) if x.size < y.size else (y, x)
                 at = np.minimum(np.searchsorted(large, small), large.size - 1)
-                both = int((large[at] == small).sum())
-                good.append(100 * both >= percent * (x.size + y.size - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                both.append(int((large[at] == small).sum()))
+                either.append(x.size + y.size - both[-1])
+            yield pa.record_batch(
+                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"]
+            )
 
     one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    # sizes already rule out some pairs: the intersection is no larger than the smaller set
-    joined = pairs.join(one, "a").join(other, "b").filter(
-        100 * F.least(F.length("x"), F.length("y")) >= percent * F.greatest(F.length("x"), F.length("y"))
-    )
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(compare, "a bigint, b bigint, both bigint, either bigint")
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Components (node, component) of the nodes that have a verified link to another node.
 
-    Round by round each bucket takes its next member, in the order of ids, as its centre; members that are not in the
-    centre's component yet are checked against it, and the links found so far are joined into components. Buckets of one
-    component are done. When few pairs of different components are left, they are checked at once, from the members
-    outside each bucket's largest component. So all pairs of a bucket are either checked or connected.
+    First every bucket is compared with its smallest member, its centre: all nodes that share a bucket with a centre are
+    the centre's group, with their exact distances to it, and the links found give components. A group of one component
+    is done. In the others the members outside the largest component are compared with members of other components:
+    only those that share a band, and, because 1 - Jaccard similarity is a metric, only those whose distance to the centre
+    differs by no more than a link may span. While too many such pairs are left, one member per group is compared with its
+    group at a time, and components are taken anew. So two members of a bucket are either compared, or ruled out by their
+    distances, or connected.
     """
     bucket = ["band", "key"]
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1")
-    open_ = kept(keys.join(shared.drop("members"), bucket), "buckets")
-    sets = kept(_sets(docs, open_.select("node").distinct()), "sets")
-    room, labels, last = REST * BANDS * nodes.count(), None, False
-    pairs = open_.filter("node > centre").select(*bucket, F.col("centre").alias("a"), F.col("node").alias("b"))
+    pairs = keys.join(shared, bucket).filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    pairs = kept(pairs.distinct(), "pairs")
+    sets = kept(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    linked = f"100 * both >= {percent} * either"
+    stars = kept(_compared(pairs, sets), "stars")
+    labels = kept(components(stars.filter(linked)), "labels")
+    if stars.filter(f"not ({linked})").isEmpty():
+        return labels
+    away = stars.select("a", F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("away"))
+    group = kept(away.union(stars.select("a", F.col("a").alias("node"), F.lit(0.0).alias("away")).distinct()), "groups")
+    failed = stars.filter(f"not ({linked})").select("a").distinct()
+    group = group.join(failed, "a", "left_semi").withColumn("past", F.lit(False))
+    room, reach = REST * BANDS * nodes.count(), 1 - percent / 100 + 1e-9
     while True:
-        tried = kept(pairs.select("a", "b").distinct(), "pairs")
-        good = kept(_verified(tried, sets, percent), "links")
-        # the links found before say no more than their components
-        before = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-        labels = kept(components(reduce(DataFrame.union, before, good)), "labels")
-        if last:
-            return labels
-        # a bucket of which every member is linked to the centre is done; others may have several components
-        failed = pairs.join(tried.join(good, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select(*bucket).distinct()
         now = labels.select("node", F.col("component").alias("label"))
-        open_ = open_.join(failed, bucket, "left_semi").drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = kept(open_, "buckets")
-        by_label = open_.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
-        state = by_label.groupBy(*bucket).agg(
-            F.max(F.struct("n", "label")).alias("top"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-        )
-        state = kept(state.filter("pairs > 0").select(*bucket, F.col("top.label").alias("top"), "pairs"), "open")
-        left = state.agg(F.sum("pairs")).first()[0]
+        group = group.join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        group = kept(group, "groups")
+        by_label = group.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
+        state = by_label.groupBy("a").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+        group = group.join(state.select("a", F.col("top.label").alias("top"), "n"), "a")
+        few = group.filter("label <> top and not past and node <> a")
+        left = few.agg(F.sum("n")).first()[0]  # pairs at most
         if not left:
             return labels
         last = left <= room
-        open_ = open_.join(state.drop("pairs"), bucket)
+        if not last:
+            few = few.groupBy("a").agg(F.min(F.struct("node", "away", "label")).alias("m")).select("a", "m.*")
+        few = few.join(nodes, "node").select(
+            "a", F.col("node").alias("m"), F.col("away").alias("away_m"), F.col("label").alias("of_m"), F.col("bands").alias("bands_m")
+        )
+        near = f"label <> of_m and m <> node and node <> a and abs(away - away_m) <= {reach} and not (past and node < m)"
+        shares = "exists(zip_with(bands, bands_m, (x, y) -> x = y), same -> same)"
+        met = group.join(few, "a").filter(near).join(nodes, "node").filter(shares)
+        pairs = kept(met.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct(), "pairs")
+        good = _compared(pairs, sets).filter(linked)
+        # the links found before say no more than their components
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = kept(components(good.select("a", "b").union(known)), "labels")
         if last:
-            whole = kept(open_.join(nodes, "node"), "buckets")
-            few = whole.filter("label <> top").select(*bucket, F.col("node").alias("m"), F.col("label").alias("of_m"), F.col("bands").alias("bands_m"))
-            # a pair that shares several buckets is met in the first one, and not again after it was tried
-            fresh = (
-                "label <> of_m and (label = top or node > m) and least(m, node) > centre"
-                " and array_position(zip_with(bands, bands_m, (x, y) -> x = y), true) = band + 1"
-            )
-            met = whole.join(few, bucket).filter(fresh)
-            pairs = met.select(*bucket, F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"))
-        else:
-            following = open_.filter("node > centre").groupBy(*bucket).agg(F.min(F.struct("node", "label")).alias("c"))
-            open_ = kept(open_.drop("centre", "top").join(following, bucket).withColumn("centre", F.col("c.node")), "buckets")
-            pairs = open_.filter("node > centre and label <> c.label").select(*bucket, F.col("centre").alias("a"), F.col("node").alias("b"))
-            open_ = open_.drop("c")
+            return labels
+        done = few.select("a", F.col("m").alias("node"), F.lit(True).alias("now_past"))
+        group = group.drop("label", "top", "n").join(done, ["a", "node"], "left").withColumn("past", F.coalesce("now_past", "past")).drop("now_past")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
