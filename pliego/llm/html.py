@@ -204,47 +204,59 @@ def nearest(pages: DataFrame) -> DataFrame:
     return rows.select("row", other.alias("other")).filter("other is not null")
 
 
-PARSED = "page_id bigint, url string, texts array<string>, mains array<boolean>, keys array<bigint>"
+LINES = "row bigint, url string, keys array<bigint>"
+PARSED = "row bigint, page_id bigint, url string, mains array<boolean>, packed binary"
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     Null, empty and blank pages have an empty text. Null urls and urls without host have no neighbour. Repeated rows are
-    pages each, and each other's neighbours. Of two neighbours equally near the earlier one counts. Other columns are
-    ignored; an empty table gives no rows.
+    one page in the order of a host, and returned each. Of two neighbours equally near the earlier one counts. Other
+    columns are ignored; an empty table gives no rows. Pages are parsed twice, first for the digests of their lines, then
+    for the lines themselves, which are compressed where they meet the neighbour's digests.
     """
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            keys = [[line_key(t) for t, _ in blocks(page or "")] for page in batch.column("html").to_pylist()]
+            yield pa.record_batch([batch.column("row"), batch.column("url"), pa.array(keys, pa.list_(pa.int64()))], names=["row", "url", "keys"])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "html"):
             found = [blocks(page or "") for page in batch.column("html").to_pylist()]
+            # white space within a block is one space, so a line end can part the blocks
+            packed = [squeeze("\n".join(t for t, _ in f).encode("utf-8", "surrogatepass")) for f in found]
+            mains = pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))
             yield pa.record_batch(
-                [
-                    batch.column("page_id"),
-                    batch.column("url"),
-                    pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
-                    pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_())),
-                    pa.array([[line_key(t) for t, _ in f] for f in found], pa.list_(pa.int64())),
-                ],
-                names=["page_id", "url", "texts", "mains", "keys"],
+                [batch.column("row"), batch.column("page_id"), batch.column("url"), mains, pa.array(packed, pa.binary())],
+                names=["row", "page_id", "url", "mains", "packed"],
             )
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = [
-                main_text(list(zip(t, m)), k, o)
-                for t, m, k, o in zip(*(batch.column(c).to_pylist() for c in ("texts", "mains", "keys", "other_keys")))
-            ]
+            texts = []
+            for packed, mains, other in zip(*(batch.column(c).to_pylist() for c in ("packed", "mains", "other_keys"))):
+                found = unpack(packed).decode("utf-8", "surrogatepass").split("\n") if mains else []
+                text = main_text(list(zip(found, mains)), list(map(line_key, found)), other)
+                texts.append(text.encode("utf-8", "replace").decode())  # lone surrogates cannot be stored
             yield pa.record_batch(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(parse, PARSED)
-    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
-    keyed = rows.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    near = nearest(keyed).join(rows.select(F.col("row").alias("other"), F.col("keys").alias("other_keys")), "other").select("row", "other_keys")
-    both = rows.join(near, "row", "left")
-    return both.select("page_id", "url", "texts", "mains", "keys", "other_keys").mapInArrow(
+    given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    given = given.withColumn("row", F.xxhash64("page_id", "url", "html"))
+    keyed = kept(given.select("row", "url", "html").mapInArrow(lines, LINES).dropDuplicates(["row"]), "page-lines")
+    order = keyed.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    near = nearest(order).join(keyed.select(F.col("row").alias("other"), F.col("keys").alias("other_keys")), "other").select("row", "other_keys")
+    both = given.mapInArrow(parse, PARSED).join(near, "row", "left")
+    return both.select("page_id", "url", "mains", "packed", "other_keys").mapInArrow(
         difference, "page_id bigint, url string, text string, n_chars bigint"
     )
