@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pliego.llm.common import slices
@@ -197,7 +198,7 @@ def _cut(packed: DataFrame, repeated: DataFrame) -> DataFrame:
             return rows([(a, d, b, b + len(s), o, s) for (a, o, s), (d, b) in first.items()])
 
         for batch in slices(batches, "packed", 1 << 20):
-            covered = []
+            covered: list[list] = []  # stretches of neighbouring contexts are one row
             for doc, packed_, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "packed", "wanted"))):
                 data = _unpack(packed_)
                 for anchor, begin, end, own in contexts(data, np.array(wanted, np.int64)):
@@ -208,7 +209,11 @@ def _cut(packed: DataFrame, repeated: DataFrame) -> DataFrame:
                         continue
                     if here < there:
                         first[key], here = here, there
-                    covered.append((None, *here, here[1] + end - begin, None, None))
+                    until = here[1] + end - begin
+                    if covered and covered[-1][1] == here[0] and covered[-1][2] <= here[1] <= covered[-1][3]:
+                        covered[-1][3] = max(covered[-1][3], until)
+                    else:
+                        covered.append([None, *here, until, None, None])
             yield rows(covered)
             if held > HELD:
                 yield firsts()
@@ -243,40 +248,51 @@ def _sorted_repeats(strings: DataFrame) -> DataFrame:
     """Covered stretches from contexts that meet by anchor; every anchor has a bounded number of them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, int]] = []  # distinct contexts of finished anchors that have two or more
-        mine: list[tuple[bytes, int, int]] = []  # those of the current anchor
-        size, current, last, alone = 0, None, None, False
+        held: list[pa.RecordBatch] = []  # distinct contexts of finished anchors that have two or more
+        open_: pa.RecordBatch | None = None  # those of the last anchor seen
+        size = 0
 
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             if held:
-                group, owner, start = equal_windows([s for s, _, _ in held], WINDOW)
-                doc = np.array([d for _, d, _ in held], np.int64)[owner]
-                start = start + np.array([b for _, _, b in held], np.int64)[owner]
+                rows = pa.Table.from_batches(held)
+                group, owner, start = equal_windows(rows["string"].to_pylist(), WINDOW)
+                doc = rows["doc"].to_numpy()[owner]
+                start = start + rows["begin"].to_numpy()[owner]
                 later = _later(group, doc, start)
                 yield _stretches(doc[later], start[later])
             held, size = [], 0
 
+        def take(rows: pa.RecordBatch) -> None:
+            """Hold the distinct contexts of whole anchors, where they can repeat."""
+            nonlocal size
+            anchor, own = rows["anchor"].to_numpy(), rows["own"].to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            count = np.diff(np.append(begin, anchor.size))
+            good = np.repeat((count > 1) | np.logical_or.reduceat(own, begin), count)
+            if good.any():
+                held.append(rows.filter(pa.array(good)))
+                size += pc.sum(pc.binary_length(held[-1]["string"])).as_py()
+
         for batch in batches:
-            covered = []
-            columns = ("anchor", "doc", "begin", "end", "own", "string")
-            for anchor, doc, begin, end, own, string in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if anchor != current:
-                    if len(mine) > 1 or alone:
-                        held += mine
-                        size += sum(len(s) for s, _, _ in mine)
-                    mine, current, last, alone = [], anchor, None, False
-                    if size > BLOCK:
-                        yield from finish()
-                if string == last:  # equal contexts come in the order of their places
-                    covered.append((doc, begin, end))
-                else:
-                    mine.append((string, doc, begin))
-                    last, alone = string, alone or own
-            if covered:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*covered)], names=["doc", "begin", "end"])
-        if len(mine) > 1 or alone:
-            held += mine
+            if not batch.num_rows:
+                continue
+            carried = open_.num_rows if open_ is not None else 0
+            rows = pa.Table.from_batches([open_, batch] if carried else [batch]).combine_chunks().to_batches()[0]
+            anchor, string = rows["anchor"].to_numpy(), rows["string"]
+            like_last = np.append(False, anchor[1:] == anchor[:-1])
+            like_last[1:] &= pc.equal(string.slice(1), string.slice(0, len(string) - 1)).to_numpy(zero_copy_only=False)
+            if like_last.any():  # equal contexts come in the order of their places
+                yield rows.select(["doc", "begin", "end"]).filter(pa.array(like_last))
+            distinct = rows.filter(pa.array(~like_last))
+            last = int(np.searchsorted(distinct["anchor"].to_numpy(), anchor[-1]))
+            if last:
+                take(distinct.slice(0, last))
+            open_ = distinct.slice(last)
+            if size > BLOCK:
+                yield from finish()
+        if open_ is not None:
+            take(open_)
         yield from finish()
 
     ordered = strings.repartition("anchor").sortWithinPartitions("anchor", "string", "doc", "begin")
