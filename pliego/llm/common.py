@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,6 +32,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             yield batch.slice(begin)
 
 
+def per_worker(name: str, make: Callable):
+    """What ``make`` gives, kept in the worker process from task to task until another name is asked for: a worker that
+    goes on to another stage drops what the last one remembered."""
+    shelf = sys.modules.setdefault("_pliego_worker", types.ModuleType("_pliego_worker")).__dict__
+    if shelf.get("name") != name:
+        shelf.update(name=None, value=None)
+        shelf.update(name=name, value=make())
+    return shelf["value"]
+
+
 def unused(rows: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``rows`` is called so."""
     taken = {c.lower() for c in rows.columns}

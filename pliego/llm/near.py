@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pliego.llm.common import slices, text_or_empty
+from pliego.llm.common import per_worker, slices, text_or_empty
 from pliego.llm.components import components
 from pliego.session import kept
 
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set of shingles and band keys (both null for an empty set) of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = per_worker("word hashes", _WordHashes)
         for batch in slices(batches, "text"):
             sizes, digests, keys = [], [], []
             for text in batch.column("text").to_pylist():
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, items): the shingles of the wanted nodes, computed again from their texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = per_worker("word hashes", _WordHashes)
         for batch in slices(batches, "text"):
             items = [shingles(text, hashes).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.record_batch(

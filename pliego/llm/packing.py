@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from pliego.llm.common import slices, text_or_empty
+from pliego.llm.common import per_worker, slices, text_or_empty
 from pliego.session import kept
 
 CAPACITY = 2048
@@ -136,10 +134,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process, kept from task to task."""
-    shelf = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__.setdefault("known", {})
-    if path not in shelf:
-        shelf[path] = Encoder(path)
-    return shelf[path]
+    return per_worker(f"encoder {path}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

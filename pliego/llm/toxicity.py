@@ -15,8 +15,6 @@ A text is scored by its highest word scores and their number, through a logistic
 from __future__ import annotations
 
 import re
-import sys
-import types
 import uuid
 import zlib
 from collections import Counter
@@ -28,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pliego.llm.common import slices, text_or_empty
+from pliego.llm.common import per_worker, slices, text_or_empty
 
 SAMPLE = 2_000  # labelled rows of each class used at most
 LANDMARKS = 400
@@ -301,10 +299,7 @@ class Scorer:
 
 def scorer(name: str, shared) -> Scorer:
     """The scorer of a broadcast model, kept per worker process, so word scores are remembered from task to task."""
-    shelf = sys.modules.setdefault("_toxicity_scorers", types.ModuleType("_toxicity_scorers")).__dict__
-    if shelf.get("name") != name:
-        shelf.update(name=name, scorer=Scorer(shared.value))
-    return shelf["scorer"]
+    return per_worker(f"scorer {name}", lambda: Scorer(shared.value))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
