@@ -122,11 +122,13 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """All documents, every span of their texts replaced by a mark; columns unchanged, n_chars (if there) counted anew
-    for changed texts. Texts without any part pass through untouched and are not moved."""
+    for changed texts. Masked is what ``secrets`` reports of the text as given, linked candidates included; distances are
+    not measured again between masks. Texts with neither a base span nor an identity, which have nothing to report, pass
+    through untouched and are not moved."""
     base, weak, row = unused(docs, "_base"), unused(docs, "_weak"), unused(docs, "_row")
     assert (base, weak, row) == ("_base", "_weak", "_row"), "columns _base, _weak and _row are taken"
     text = F.col("text")
-    any_ = F.coalesce(text.rlike("|".join((ASSIGN, ACCESS, HEX))), F.lit(False))
+    any_ = F.coalesce(text.rlike("|".join((ASSIGN, ACCESS, HEX, IDENTITY))), F.lit(False))
     hit = _with_parts(docs.filter(any_), "text").withColumn("_row", F.monotonically_increasing_id())
     hit = kept(hit, "secret-texts")
     all_ = hit.join(_linked(hit.select("_row", "_base", "_weak"), "_row"), "_row", "left")

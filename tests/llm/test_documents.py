@@ -308,6 +308,20 @@ def test_masked_texts_hold_no_secret_and_others_stay(spark):
     assert texts[4] == (t := "[REDACTED] [REDACTED] [REDACTED]", len(t))
 
 
+def test_linked_secrets_without_a_base_span_are_masked(spark):
+    docs = documents(spark, SECRETS + [(20, "user=maria " + "Zz9" * 12 + " https://db.example.com/x"), (21, "user=maria"), (22, "Zz9" * 12)])
+    listed = {r.doc_id: r.spans for r in secrets.secrets(docs).collect() if r.doc_id is not None}
+    left = secrets.without_secrets(docs)
+    texts = {r.doc_id: r.text for r in left.collect()}
+    for doc_id, text in {**dict(SECRETS), 20: "user=maria " + "Zz9" * 12 + " https://db.example.com/x"}.items():
+        for span in filter(None, listed.get(doc_id, "").split(",")):
+            _, a, b = span.split(":")
+            assert text[int(a) : int(b)] not in texts[doc_id]
+    assert texts[5] == "user = maria und sonst nichts [REDACTED] [REDACTED]" and texts[6] == texts[20] == "user=maria [REDACTED] [REDACTED]"
+    assert texts[21] == "user=maria" and texts[22] == "Zz9" * 12
+    assert {r.spans for r in secrets.secrets(left).collect()} == {""}
+
+
 # licences
 
 
