@@ -2,8 +2,8 @@
 
 Base spans are assignments of secrets, access ids and long hexadecimal runs. Weak candidates (user names, service
 addresses, opaque strings) mean little alone: each is reported only when the parts that make it a usable credential lie
-in its scope, ``SCOPE`` characters to either side. Spans and candidates are cut into scopes of that width and joined on
-(text, scope) with the distance as the interval condition.
+in its scope, ``SCOPE`` characters to either side. Spans and candidates are put into all scopes of that width
+they reach, parts also into the scopes beside, and joined on (text, scope) with the distance as the interval condition.
 
 Places are code points from 0, the end is exclusive.
 """
@@ -73,10 +73,14 @@ def _with_parts(docs: DataFrame, text: str) -> DataFrame:
 def _linked(rows: DataFrame, key: str) -> DataFrame:
     """(key, _more): the weak candidates with complementary parts in their scope, one row per text that has any."""
     some = rows.filter(F.size("_weak") > 0)
-    weak = some.select(key, F.explode("_weak").alias("w")).withColumn("scope", F.floor(F.col("w.start") / SCOPE))
+    first = lambda span, more: F.floor(F.col(f"{span}.start") / SCOPE) - more
+    last = lambda span, more: F.floor(F.col(f"{span}.end") / SCOPE) + more
+    weak = some.select(key, F.explode("_weak").alias("w"))
+    weak = weak.withColumn("scope", F.explode(F.sequence(first("w", 0), last("w", 0))))
     part = some.select(key, F.explode(F.concat("_base", "_weak")).alias("p"))
-    part = part.withColumn("scope", F.explode(F.sequence(F.floor(F.col("p.start") / SCOPE) - 1, F.floor(F.col("p.end") / SCOPE) + 1)))
+    part = part.withColumn("scope", F.explode(F.sequence(first("p", 1), last("p", 1))))
     near = weak.join(part, [key, "scope"]).filter("p.start - w.end <= %d and w.start - p.end <= %d" % (SCOPE, SCOPE))
+    near = near.filter(F.col("scope") == F.greatest(first("w", 0), first("p", 1)))  # a pair meets in the first scope of both
     kind = F.col("p.kind")
     overlaps = F.col("p.start") < F.col("w.end")
     overlaps = overlaps & (F.col("w.start") < F.col("p.end"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -322,6 +323,45 @@ def test_linked_secrets_without_a_base_span_are_masked(spark):
     assert {r.spans for r in secrets.secrets(left).collect()} == {""}
 
 
+def plain_linked(text):
+    """The linked spans, every candidate beside every part."""
+    patterns = dict(zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.IDENTITY, secrets.ENDPOINT, secrets.OPAQUE)))
+    value = {"assign": 2, "identity": 3}
+    found = [
+        (m.start(), m.end(), kind)
+        for kind, pattern in patterns.items()
+        for m in re.finditer(pattern, text, re.A)
+        if len(m.group(value.get(kind, 0))) >= secrets.LEAST.get(kind, 1)
+    ]
+    if not any(kind in ("assign", "access", "hex", "identity") for _, _, kind in found):
+        return set()
+    out = set()
+    for a, b, kind in found:
+        near_ = [p for p in found if p[0] - b <= secrets.SCOPE and a - p[1] <= secrets.SCOPE]
+        over = {k for x, y, k in near_ if x < b and a < y}
+        apart = {k for x, y, k in near_ if not (x < b and a < y)}
+        who, sure = apart & {"access", "identity"}, apart & {"assign", "hex"}
+        usable = {"identity": sure, "opaque": who, "endpoint": who and (sure or "opaque" in apart)}.get(kind)
+        if usable and not over & {"assign", "access", "hex"}:
+            out.add(f"{kind}:{a}:{b}")
+    return out
+
+
+def test_links_do_not_depend_on_the_place_in_the_text(spark):
+    address = lambda n: "https://" + "h.x/" * ((n - 8) // 4)
+    texts = [
+        address(60) + " " * 150 + "user=maria password=hunter22",
+        "user=maria " + address(700) + " " * 190 + "password=hunter22",
+        "Zz9" * 150 + " " * 185 + "user=maria",
+        "user=maria" + "!" * 200 + "Zz9" * 12 + "!" * 201 + "login=otto" + "!" * 200 + "deadbeef" * 3,
+    ]
+    rows = [(1000 * n + offset, "!" * offset + text) for n, text in enumerate(texts) for offset in range(401)]
+    base = ("assign", "access", "hex")
+    got = {r.doc_id: {s for s in r.spans.split(",") if s and s.split(":")[0] not in base} for r in secrets.secrets(documents(spark, rows)).collect()}
+    assert got == {d: plain_linked(t) for d, t in rows}
+    assert all(len(found) == len(got[d - d % 1000]) > 0 for d, found in got.items())
+
+
 # licences
 
 
