@@ -165,11 +165,9 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
 
 
 def main_text(page: list[tuple[str, bool]], keys: list[int], other: list[int] | None) -> str:
-    """A page that declares main content is that content; any other page loses the lines it shares with its neighbour."""
-    if any(main for _, main in page):
-        return "\n\n".join(text for text, main in page if main)
+    """A page loses the lines it shares with its neighbour, except those of its declared main content."""
     gone = shared_lines(keys, other) if other is not None else set()
-    return "\n\n".join(text for n, (text, _) in enumerate(page) if n not in gone)
+    return "\n\n".join(text for n, (text, main) in enumerate(page) if main or n not in gone)
 
 
 def _common_prefix(a: Column, b: Column) -> Column:

@@ -117,6 +117,14 @@ def test_pages_without_an_article_lose_the_lines_they_share(spark):
     assert html.extract(docs.filter("false")).collect() == []
 
 
+def test_pages_with_a_small_article_keep_the_text_beside_it(spark):
+    def page(n):
+        return f"<body><div>Welcome</div><article><p>Read this</p></article><section><p>Text {n}</p></section><div>All rights</div></body>"
+
+    docs = spark.createDataFrame([(n, f"https://a.example/{n}", page(n)) for n in (1, 2, 3)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(docs).collect()} == {n: f"Read this\n\nText {n}" for n in (1, 2, 3)}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(300):
