@@ -31,7 +31,8 @@ WHITE = re.compile(r"[ \t\n\r\f\v ]+")
 # Element names.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-FRAME = {"nav", "footer", "aside", "form", "head", "button", "select", "template", "svg", "menu", "dialog", "canvas", "object", "fieldset"}
+FRAME = {"nav", "footer", "aside", "head", "button", "select", "template", "svg", "menu", "canvas"}
+WRAPPERS = {"form", "fieldset", "dialog", "object"}  # frame, unless the page's text is in them
 MAIN = {"article", "main"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -46,35 +47,86 @@ FRAME_WORDS = {
     "cookie", "cookies", "disqus", "footer", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup",
     "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
 }
+COMMENT_WORDS = {"comment", "comments", "disqus"}
 
 
-def _is_frame(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in FRAME or (name == "header" and not inside_main):
-        return True
+def _frame_names(name: str, attributes: str) -> set[str]:
+    """Names of class, id and role that consist of frame words only; one with any other word says nothing for sure."""
     if name in MAIN or name in ("body", "html") or not attributes:
-        return False
-    for quoted, single, bare in NAMED.findall(attributes):
-        if FRAME_WORDS.intersection(WORDS.findall((quoted or single or bare).lower())):
-            return True
-    return False
+        return set()
+    names = {n for found in NAMED.findall(attributes) for n in "".join(found).lower().split()}
+    return {n for n in names if (words := WORDS.findall(n)) and FRAME_WORDS.issuperset(words)}
+
+
+class Wrappers:
+    """The elements of a page that may be frame or may wrap its text; which it is shows when the whole page is read.
+
+    One that holds half of the main content (article, main) is no frame, nor one that holds most of the text: by its
+    class only where the page declares no main content, around comments only where there is no other text at all.
+    """
+
+    def __init__(self) -> None:
+        self.outer: list[int] = []  # by wrapper: the one around it
+        self.chain: list[int] = []  # the same, but none if main content begins between them
+        self.named: list[bool] = []
+        self.comments: list[bool] = []
+
+    def add(self, outer: int, chain: int, names: set[str]) -> int:
+        self.outer.append(outer)
+        self.chain.append(chain)
+        self.named.append(bool(names))
+        self.comments.append((outer >= 0 and self.comments[outer]) or any(COMMENT_WORDS.intersection(WORDS.findall(n)) for n in names))
+        return len(self.outer) - 1
+
+    def outside(self, found: list[tuple[str, bool, int, int, int]]) -> list[tuple[str, bool]]:
+        """Of (text, in main, wrapper, wrapper since main, wrapper of main) the blocks that are in no frame."""
+        text, inside = [0] * (len(self.outer) + 1), [0] * (len(self.outer) + 1)  # the last one is the page
+        for line, main, outer, chain, home in found:
+            text[outer] += len(line)
+            if main and chain < 0:
+                inside[home] += len(line)
+        for n in range(len(self.outer) - 1, -1, -1):
+            text[self.outer[n]] += text[n]
+            inside[self.outer[n]] += inside[n]
+        good = []
+        for n, (named, comments) in enumerate(zip(self.named, self.comments)):
+            most = text[n] == text[-1] if comments else 2 * text[n] > text[-1] and not (named and inside[-1])
+            holds = inside[n] > 0 and 2 * inside[n] >= inside[-1]
+            good.append((most or holds) and (self.chain[n] < 0 or good[self.chain[n]]))
+        left = [(line, main) for line, main, _, chain, _ in found if chain < 0 or good[chain]]
+        return left or [(line, main) for line, main, *_ in found]
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
     """(text, in main content) of each block that is not in a frame element, in page order.
 
-    Unclosed elements end with their parent; a tag that is never finished is text to the end of the page.
+    Frame are the elements of ``FRAME``, a header outside main content, and wrappers (see ``Wrappers``). Main content in
+    a wrapper stays, but an article among comments is a comment. Unclosed elements end with their parent; a tag that is
+    never finished is text to the end of the page.
     """
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in frame, in main
-    frame = main = False
+    found: list[tuple[str, bool, int, int, int]] = []
+    stack: list[tuple] = []  # name, state around it
+    wrappers = Wrappers()
+    state = (False, False, -1, -1, -1)  # in frame, in main, wrapper, wrapper since main, wrapper of main
     held: list[str] = []
 
     def flush() -> None:
         if held:
             text = WHITE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
-            if text and not frame:
-                out.append((text, main))
+            if text and not state[0]:
+                found.append((text, *state[1:]))
+
+    def within(name: str, attributes: str) -> tuple:
+        frame, main, outer, chain, home = state
+        if frame or name in FRAME or (name == "header" and not main):
+            return (True, *state[1:])
+        if name == "main" or (name == "article" and not (outer >= 0 and wrappers.comments[outer])):
+            return (False, True, outer, -1, outer)
+        names = _frame_names(name, attributes)
+        if names or name in WRAPPERS:
+            outer = chain = wrappers.add(outer, chain, names)
+        return (False, main, outer, chain, home)
 
     at, size = 0, len(page)
     while at < size:
@@ -91,12 +143,12 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if m.group(1):
             if name in BLOCK or name in MAIN:
                 flush()
-            if any(n == name for n, _, _ in stack):
+            if any(n == name for n, _ in stack):
                 while stack:
-                    top, *before = stack.pop()
-                    if before != [frame, main]:
+                    top, before = stack.pop()
+                    if before != state:
                         flush()
-                    frame, main = before
+                    state = before
                     if top == name:
                         break
             continue
@@ -110,21 +162,20 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P and stack and any(n == "p" for n, _, _ in stack):
+            if name in CLOSES_P and stack and any(n == "p" for n, _ in stack):
                 while stack:  # a block ends an open paragraph and the inline elements in it
-                    top, frame, main = stack.pop()
+                    top, state = stack.pop()
                     if top == "p":
                         break
         if name in VOID or m.group(3).rstrip().endswith("/"):
             continue
-        new_frame = frame or _is_frame(name, m.group(3), main or name in MAIN)
-        new_main = main or name in MAIN
-        if (new_frame, new_main) != (frame, main):
+        inner = within(name, m.group(3))
+        if inner != state:
             flush()
-        stack.append((name, frame, main))
-        frame, main = new_frame, new_main
+        stack.append((name, state))
+        state = inner
     flush()
-    return out
+    return wrappers.outside(found)
 
 
 def line_key(text: str) -> int:

@@ -125,6 +125,27 @@ def test_pages_with_a_small_article_keep_the_text_beside_it(spark):
     assert {r.page_id: r.text for r in html.extract(docs).collect()} == {n: f"Read this\n\nText {n}" for n in (1, 2, 3)}
 
 
+BODY = "<h1>Head</h1><p>One line of the text</p>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<form><div>Welcome</div><article>{BODY}</article></form>", "Welcome|Head|One line of the text"),
+        (f"<form><div>{BODY}</div></form><div>Rest</div>", "Head|One line of the text|Rest"),
+        (f"<div class='has-sidebar no-sidebar with-banner nav-fixed'><article>{BODY}</article><div class=sidebar>Ad</div></div>", "Head|One line of the text"),
+        (f"<div class=sidebar>{BODY}</div>", "Head|One line of the text"),
+        (f"<div class=widget><article>{BODY}</article></div>" * 3, "|".join(["Head|One line of the text"] * 3)),
+        (f"<article>{BODY}<div class='related-work'>A</div><p id='notice-of-1848'>B<p class='share-price'>C<div class='social share'>D</div></article>", "Head|One line of the text|A|B|C"),
+        (f"<article>{BODY}</article><div id=comments><article>{'first ' * 30}</article></div><form>mail</form>", "Head|One line of the text"),
+        (f"<div>{BODY}</div><form>mail</form><nav><article>x</article></nav>", "Head|One line of the text"),
+        ("<article><p>Short</p></article><div class=ad>An advert that is longer than the page</div>", "Short"),
+    ],
+)
+def test_wrappers_of_the_text_are_no_frame(page, want):
+    assert html.main_text(html.blocks(f"<html><body>{page}</body></html>"), [], None) == want.replace("|", "\n\n")
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(300):
