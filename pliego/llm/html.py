@@ -260,8 +260,8 @@ PARSED = "row bigint, page_id bigint, url string, mains array<boolean>, packed b
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    Null, empty and blank pages have an empty text. Null urls and urls without host have no neighbour. Repeated rows are
-    one page in the order of a host, and returned each. Of two neighbours equally near the earlier one counts. Other
+    Null, empty and blank pages have an empty text. Null urls and urls without host have no neighbour. Repeated rows,
+    and pages of a host with the same lines, are one page in the host's order, and returned each: a copy shows no frame. Of two neighbours equally near the earlier one counts. Other
     columns are ignored; an empty table gives no rows. Pages are parsed twice, first for the digests of their lines, then
     for the lines themselves, which are compressed where they meet the neighbour's digests.
     """
@@ -303,8 +303,15 @@ def extract(pages: DataFrame) -> DataFrame:
     given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     given = given.withColumn("row", F.xxhash64("page_id", "url", "html"))
     keyed = kept(given.select("row", "url", "html").mapInArrow(lines, LINES).dropDuplicates(["row"]), "page-lines")
-    order = keyed.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    near = nearest(order).join(keyed.select(F.col("row").alias("other"), F.col("keys").alias("other_keys")), "other").select("row", "other_keys")
+    copy = ["host", "lines"]
+    order = keyed.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("keys").alias("lines"))
+    order = order.filter("host <> ''")
+    # pages of a host with the same lines are one page in its order: that of the first path
+    first = order.groupBy(*copy).agg(F.min(F.struct("path", "row")).alias("first")).select(*copy, "first.path", "first.row")
+    first = kept(first, "first-copies")
+    near = first.join(nearest(first), "row").select(*copy, "other")
+    near = order.select("row", *copy).join(near, copy).select("row", "other")
+    near = near.join(keyed.select(F.col("row").alias("other"), F.col("keys").alias("other_keys")), "other").select("row", "other_keys")
     both = given.mapInArrow(parse, PARSED).join(near, "row", "left")
     return both.select("page_id", "url", "mains", "packed", "other_keys").mapInArrow(
         difference, "page_id bigint, url string, text string, n_chars bigint"

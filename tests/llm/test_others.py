@@ -146,6 +146,18 @@ def test_wrappers_of_the_text_are_no_frame(page, want):
     assert html.main_text(html.blocks(f"<html><body>{page}</body></html>"), [], None) == want.replace("|", "\n\n")
 
 
+def test_copies_are_not_compared_with_each_other(spark):
+    def page(n):
+        return f"<body><div>Welcome</div><p>Text {n}</p><div>All rights</div></body>"
+
+    urls = {1: ["news/1?page=1", "news/1?page=2", "news/1", "news/1/print"], 2: ["news/2", "news/2?ref=x"], 3: ["about"]}
+    rows = [(10 * n + i, f"https://a.example/{u}", page(n)) for n, us in urls.items() for i, u in enumerate(us)]
+    rows += [(90 + i, f"https://b.example/x?{i}", page(9)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(docs).collect()}
+    assert got == {i: f"Text {i // 10}" if i < 90 else "Welcome\n\nText 9\n\nAll rights" for i, _, _ in rows}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(300):
