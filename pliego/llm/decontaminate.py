@@ -2,11 +2,13 @@
 
 A test item of m characters may differ by k = m * ``ERROR_RATE`` edits. Cut into k + 1 pieces, at least one piece of an
 item that occurs with at most k edits is in the text unchanged. All pieces of a block of items are looked for in one pass
-over the whole text, and each hit is verified with Myers' bit-parallel distance on the text around it.
+over the whole text, and each hit is verified with Myers' bit-parallel distance on the text around it. Items under
+``SHORT`` characters have to occur without any edit and as whole words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,9 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 from pliego.llm.common import slices
 
 ERROR_RATE = 0.05
-LEAST_CHARS = 32  # a shorter item says nothing about where a text is from
+SHORT = 32  # characters; with edits or within words shorter items would be found by chance
 ITEMS_PER_PASS = 20_000
 
+# Characters that belong to one word with their neighbours; scripts without spaces between words have none.
+JOINED = re.compile(r"[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 MATCHES = "doc_id bigint, item_id bigint, distance int, match_end bigint"
 
 
@@ -67,13 +72,18 @@ def closest(bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(text: str, begin: int, end: int) -> bool:
+    """Whether neither end of a place in the text cuts a word."""
+    return not any(0 < at < len(text) and JOINED.match(text[at - 1]) and JOINED.match(text[at]) for at in (begin, end))
+
+
 class Matcher:
     """Finds every item of a block in a text."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= SHORT else 0) for i, t in items]
         self.bits: dict[int, dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, errors) in enumerate(self.items):
@@ -100,6 +110,8 @@ class Matcher:
                     continue
                 tested[n].add(begin)
                 item_id, item, errors = self.items[n]
+                if len(item) < SHORT and not whole_words(text, begin, begin + len(item)):
+                    continue
                 if text.startswith(item, max(begin, 0)):
                     best[n] = (0, max(begin, 0) + len(item))
                     continue
@@ -117,16 +129,21 @@ class Matcher:
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, distance, match_end (in the normalised text).
 
-    Null texts, null items and items under ``LEAST_CHARS`` characters match nothing; items that are equal after
-    normalising are all reported; repeated documents are reported once; documents without doc_id are left out here (see
-    ``clean``). Items travel to the tasks in passes of about ``ITEMS_PER_PASS``, each one scan of the documents.
+    Null and blank texts and items match nothing; items under ``SHORT`` characters match as whole words without edits;
+    items that are equal after normalising are all reported; repeated documents are reported once; documents and items
+    without id are left out here (see ``clean``). Items travel to the tasks in passes of about ``ITEMS_PER_PASS``, each
+    one scan of the documents.
     """
+    return _matches(docs, benchmark.filter("item_id is not null"), rate)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
     passes = -(-benchmark.count() // ITEMS_PER_PASS)
     spark, found = docs.sparkSession, None
     for n in range(passes):
         mine = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n).select("item_id", "text").collect()
-        items = [(r.item_id, normalised(r.text)) for r in mine if r.item_id is not None]
-        rows = _scan(docs, sorted({x for x in items if len(x[1]) >= LEAST_CHARS}), rate)
+        items = {(r.item_id, normalised(r.text)) for r in mine}
+        rows = _scan(docs, sorted((x for x in items if x[1]), key=lambda x: (x[0] is not None, x)), rate)
         found = rows if found is None else found.union(rows)
     return spark.createDataFrame([], MATCHES) if found is None else found.groupBy("doc_id", "item_id").agg(
         F.min(F.struct("distance", "match_end")).alias("at")
@@ -153,8 +170,9 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The documents in which no test item was found, rows without doc_id or text included; columns unchanged."""
+    """The documents in which no test item was found, with an id or without; rows without doc_id or text stay; columns
+    unchanged."""
     from pliego.session import kept
 
-    leaked = kept(matches(docs, benchmark, rate).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    leaked = kept(_matches(docs, benchmark, rate).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
     return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")

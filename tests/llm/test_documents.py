@@ -251,6 +251,18 @@ def test_edited_items_are_found_and_others_are_not(spark):
     assert decontaminate.clean(docs, items.filter("false")).count() == len(rows)
 
 
+def test_short_items_and_items_without_id_are_found(spark):
+    long = "what is the name of the river that flows through the town of zaragoza"
+    rows = [(1, "Q:  Who wrote\nDon Quixote?"), (2, "who wrote don quixote"), (3, "so who wrote don quixotes?"), (4, f"x {long}, y"), (5, "who wr0te don quixote?"),
+            (6, "他问：谁写了堂吉诃德？"), (7, "the answer is (b)."), (8, "unrelated"), (9, "anyone who wrote don quixote? wrote don quixote")]
+    docs = documents(spark, rows)
+    items = [(1, "Who wrote Don Quixote?"), (2, "wrote don quixote"), (None, long), (3, "谁写了堂吉诃德"), (4, "(b)"), (None, "he answer is"), (5, " "), (None, None)]
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(1, 1, 0), (1, 2, 0), (2, 2, 0), (6, 3, 0), (7, 4, 0), (9, 1, 0), (9, 2, 0)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [3, 5, 8]
+
+
 def test_passes_over_items_give_the_same_matches(spark, monkeypatch):
     whole = {tuple(r) for r in Q.op9_decontaminate(spark, SMALL).collect()}
     monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 9)
