@@ -6,7 +6,8 @@ their inner product. Candidates are evaluated in the order of that bound, and a
 bound is below its k-th best score so far.
 
 The search stands still for the candidates: queries travel to the tasks in batches of a fixed size, each task hands on its
-k best per query, and only those that reach a first threshold, the k-th best score among a sample of all vectors.
+k best per query, and only those that reach a first threshold, the k-th best score among a sample of all vectors. The
+driver holds one batch of queries at a time: its results are written and its broadcast is removed before the next one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from pliego.session import kept
+from pliego.session import kept, shared_folder
 
 SCALE = 64
 PIVOTS = 16
@@ -134,17 +135,19 @@ def top_k(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding") -
     store = vectors.select("vec_id", vector) if vector in vectors.columns else vectors
     rows = kept(quantised(store, vector).withColumn("n", F.size("x")), "quantised")
     asked = rows.filter(queries).groupBy("vec_id", "n").agg(F.min("x").alias("x"))
-    groups = asked.groupBy("n").count().collect()  # one row per vector length
-    found = [
-        _search(rows.filter(F.col("n") == g["n"]), asked.filter(F.col("n") == g["n"]), batch, -(-g["count"] // BATCH), k)
-        for g in groups
-        for batch in range(-(-g["count"] // BATCH))
-    ]
-    schema = "query_id bigint, vec_id bigint, score bigint"
     spark = vectors.sparkSession
-    every = spark.createDataFrame([], schema) if not found else found[0]
-    for one in found[1:]:
-        every = every.union(one)
+    sizes = asked.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("batches"))
+    groups = sizes.collect()  # one row per vector length
+    blocks, results = shared_folder(spark, "query-batches"), shared_folder(spark, "best")
+    asked = asked.join(F.broadcast(sizes), "n").withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.col("batches")).cast("int"))
+    asked.repartition("n", "batch").write.partitionBy("n", "batch").parquet(blocks)
+    asked = spark.read.schema(asked.schema).parquet(blocks)
+    for g in groups:
+        of_length = F.col("n") == g["n"]
+        for batch in range(g["batches"]):
+            _search(rows.filter(of_length), asked.filter(of_length & (F.col("batch") == batch)), k, results)
+    schema = "query_id bigint, vec_id bigint, score bigint"
+    every = spark.read.schema(schema).parquet(results) if groups else spark.createDataFrame([], schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -154,9 +157,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(column), 0), np.int64)
 
 
-def _search(rows: DataFrame, asked: DataFrame, batch: int, batches: int, k: int) -> DataFrame:
-    """One pass: a batch of queries against all rows of their length."""
-    mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == batch).orderBy("vec_id").toArrow()
+def _search(rows: DataFrame, asked: DataFrame, k: int, results: str) -> None:
+    """One pass: the results of a batch of queries against all rows of their length are added to the folder."""
+    mine = asked.select("vec_id", "x").orderBy("vec_id").toArrow()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()
     width = len(sample["x"][0]) if sample.num_rows else 0
     q, s = (_matrix(t["x"].combine_chunks(), width) for t in (mine, sample))
@@ -197,4 +200,6 @@ def _search(rows: DataFrame, asked: DataFrame, batch: int, batches: int, k: int)
             [pa.array(qid[row]), pa.array(best.ids[row, place]), pa.array(best.scores[row, place])], names=["query_id", "vec_id", "score"]
         )
 
-    return rows.select("vec_id", "x").mapInArrow(scan, "query_id bigint, vec_id bigint, score bigint")
+    found = rows.select("vec_id", "x").mapInArrow(scan, "query_id bigint, vec_id bigint, score bigint")
+    found.write.mode("append").parquet(results)
+    shared.destroy()

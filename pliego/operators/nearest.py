@@ -3,6 +3,7 @@
 The store stays where it is, neither shuffled nor sorted: queries travel with the tasks, in passes of a fixed number of
 results, and each task keeps its best rows per query. A query whose list is full hands its k-th distance on to the next
 block of the task, so later blocks offer few rows. No pass depends on another, and all passes give the same rows as one.
+The driver holds the queries of one pass at a time: a pass is read, run and written before the next one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from pliego import constants as K
 from pliego.functions.vectors import as_matrix
+from pliego.session import shared_folder
 
 PER_PASS = 256_000  # results of the queries that travel together
 BLOCK_ROWS = 2048
@@ -150,8 +152,9 @@ def nearest(
     """(query_id, k, rank, chunk_id, distance, similarity): the ``fetch`` nearest store rows per query, on demand with
     their ``embedding``.
 
-    ``same`` names an integer column of either side that has to be equal. Queries without a vector find nothing. Both
-    sides are read once per pass, so a caller keeps them if they are expensive to make."""
+    ``same`` names an integer column of either side that has to be equal. Queries without a vector find nothing. The store
+    is read once per pass, so a caller keeps it if it is expensive to make. Several passes run here, one after the other,
+    and what is returned is the table they have written; a single pass is left to the caller's job."""
     left, right = same or (None, None)
     if same:
         queries, store = queries.filter(F.col(left).isNotNull()), store.filter(F.col(right).isNotNull())
@@ -170,16 +173,24 @@ def nearest(
     spark = queries.sparkSession
     seen = asked.agg(F.count(F.lit(1)).alias("n"), F.max("fetch").alias("most")).first()
     passes = -(-seen.n * max(seen.most or 1, 1) // per_pass)
+    if passes == 1:
+        return _one_pass(spark, asked.toArrow(), rows, seen.most, vectors)
     found = None
+    if passes:
+        numbered = asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)).cast("int"))
+        blocks, results = shared_folder(spark, "query-passes"), shared_folder(spark, "nearest")
+        numbered.repartition("pass").write.partitionBy("pass").parquet(blocks)
+        stored = spark.read.schema(numbered.schema).parquet(blocks)
     for number in range(passes):
-        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).toArrow()
+        some = stored.filter(F.col("pass") == number).drop("pass").toArrow()
         if some.num_rows:
             best = _one_pass(spark, some, rows, seen.most, vectors)
-            found = best if found is None else found.unionByName(best)
+            best.write.mode("append").parquet(results)
+            found = best.schema
     if found is None:
         names = "query_id bigint, k int, rank int, chunk_id bigint, distance double, similarity double"
         return spark.createDataFrame([], names + (", embedding array<float>" if vectors else ""))
-    return found
+    return spark.read.schema(found).parquet(results)
 
 
 def _one_pass(spark, some: pa.Table, rows: DataFrame, most: int, vectors: bool) -> DataFrame:

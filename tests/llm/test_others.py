@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -263,6 +264,16 @@ def test_pivot_search_equals_brute_force(spark, monkeypatch):
     assert pivots.top_k(frame.filter("false"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_pivot_batches_are_written_and_released(spark, monkeypatch):
+    released, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(pivots, "BATCH", 4)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: (released.append(self), destroy(self, blocking))[1])
+    vectors = {i: [float(i % 7), float(i % 11)] for i in range(200)}
+    frame = spark.createDataFrame([*vectors.items()], "vec_id bigint, embedding array<double>")
+    found = pivots.top_k(frame, F.col("vec_id") % 20 == 0, 7)
+    assert len(released) == 3 and {tuple(r) for r in found.collect()} == brute.top_k(vectors, 7)
+
+
 def test_bounds_are_never_too_small():
     rng = np.random.default_rng(7)
     x = rng.integers(-64, 64, (300, 8))

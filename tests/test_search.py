@@ -51,6 +51,26 @@ def test_any_number_of_passes_equals_brute_force_with_many_copies(spark, monkeyp
     assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, ks, same)
 
 
+def test_the_driver_holds_one_pass_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    held, most, one_pass = [], [], N._one_pass
+
+    def watched(spark, some, *rest):
+        gc.collect()
+        held.append(weakref.ref(some))
+        most.append(sum(r() is not None for r in held))
+        return one_pass(spark, some, *rest)
+
+    monkeypatch.setattr(N, "_one_pass", watched)
+    queries, store = points(1, 60), points(2, 50)
+    q, s = frames(spark, queries, store, k=5)
+    got = nearest(q, s, F.col("k"), per_pass=60)
+    assert len(held) == 5 and max(most) <= 2 and len(got.inputFiles()) > 0
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, [5] * 60)
+
+
 def test_a_query_finds_the_chunk_with_its_own_number(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0], 1, 0)], "query_id bigint, query_vec array<float>, k int, g int")
     s = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "chunk_id bigint, embedding array<float>")
