@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pliego.llm import decontaminate, html, licences, near, packing, pivots, repeats, secrets, toxicity, url_rules
+from pliego.llm import (
+    centroids, decontaminate, html, languages, licences, near, packing, phrases, pivots, repeats, secrets, toxicity, url_rules,
+)
 from pliego.llm.common import table
 
 
@@ -70,6 +72,21 @@ def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = languages.identify(docs.select("doc_id", "text"), languages.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,10 +97,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_main_text, op2_licences, op3_repeats, op4_toxicity, op5_secrets, op6_url_rules, op7_packing, op8_near, op9_decontaminate,
-        op10_pivots, pipeline,
+        op10_pivots, op11_lookup_clusters, op12_phrases, op13_language, pipeline,
     )
 }
 SQL: dict[str, str] = {
+    "op11_lookup_clusters": centroids.sql(),
+    "op12_phrases": phrases.SQL,
     "op2_licences": licences.sql(),
     "op10_pivots": """
         WITH v AS (
