@@ -128,7 +128,7 @@ def first_centroids(rows: DataFrame, k: int, scale: int, seed: int) -> np.ndarra
     """The ``k`` vectors with the smallest sha256 of ``seed:vec_id``, in that order; equal ids go by their components."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     chosen = rows.filter("vec_id is not null").select(order.alias("h"), "x").orderBy("h", "x").limit(k).collect()
-    return whole(np.array([r.x for r in chosen], np.float64).reshape(len(chosen), -1), scale)
+    return whole(np.array([r.x for r in chosen], np.float64), scale)
 
 
 def cluster(

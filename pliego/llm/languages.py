@@ -145,10 +145,9 @@ def training_rows(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> tup
     rows = docs.filter(F.coalesce(allowed, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
     hashes = rows.select("lang", "h").distinct()
-    each = F.greatest(F.lit(LEAST_SAMPLE), F.floor(F.lit(sample) / F.col("languages")))
-    languages = hashes.agg(F.count_distinct("lang").alias("languages")).first()[0]
+    each = max(LEAST_SAMPLE, sample // max(1, rows.select("lang").distinct().count()))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = hashes.withColumn("place", place).withColumn("languages", F.lit(languages)).filter(F.col("place") <= each).select("lang", "h")
+    chosen = hashes.withColumn("place", place).filter(F.col("place") <= each).select("lang", "h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -192,10 +191,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     replaced; an empty table gives no rows."""
     made = ["lang_pred", "score", "ambiguous"]
     others = [c for c in docs.columns if c.lower() not in [*made, "text"]]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = (model.languages, model.code, model.weights, model.trust)  # plain values: executors have no copy of this package
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Model(*shared.value)
         for batch in slices(batches, "text"):
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
