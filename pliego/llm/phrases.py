@@ -5,7 +5,7 @@ shorter phrase's count is the sum over the windows that begin with it, and Spark
 shorter prefixes at once, so no n-gram table but the longest is ever made.
 
 Most windows are rare. A window below the least count can be no phrase, so its count may stand for its first words alone: it is
-*folded* into the window that is padded one word earlier. Windows are gathered by their hash, sorted and packed, so that
+*folded* into the window that is padded one word earlier. Windows are gathered by their hash, in packed rows, so that
 each bucket sees all counts of its windows; it keeps the frequent ones, folds the others, and the shorter windows meet in the
 next stage, down to single words. No count is lost, sums over prefixes stay exact, and ROLLUP gets few rows. A bucket
 is a share of the whole windows' hashes, so a word or a pair that a third of all windows begin with is in all buckets.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from pliego.llm.common import slices, text_or_empty
+from pliego.llm.near import mixed
 from pliego.session import kept
 
 ORDER, LEAST, BEST, SHARE = 3, 10, 2000, 50
@@ -93,33 +95,38 @@ class Block:
         shifts = np.arange(self.order - 1, -1, -1) * bits
         return (keys[:, None] >> shifts[None, :]) & ((1 << bits) - 1), counts
 
-    def lines(self) -> tuple[list[bytes], np.ndarray]:
-        """Language and words of each window as one line, and the counts."""
+    def packed(self, buckets: int) -> pa.RecordBatch:
+        """The counted windows as packed rows: language and words as one line, dealt by a hash of all of them."""
         numbers, counts = self.windows()
-        first = list(self.words)
+        first, hashes = list(self.words), np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
+        lead = hashes.copy()
         for lang, known in self.languages.items():
             head = lang.hex().encode() + b" "
-            for word, number in known.items():
-                if number:
-                    first[number] = head + word
+            mine = np.fromiter(known.values(), np.int64, len(known))[1:]
+            lead[mine] ^= np.uint64(zlib.crc32(head) << 32)
+            for number in mine.tolist():
+                first[number] = head + first[number]
+        mix = lead[numbers[:, 0]]
+        for column in numbers.T[1:]:
+            mix = mixed(mix) + hashes[column]
+        at = (mixed(mix) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        numbers = numbers[order]
         columns = [map(first.__getitem__, numbers[:, 0].tolist())]
         columns += [map(self.words.__getitem__, column.tolist()) for column in numbers.T[1:]]
-        return list(map(b" ".join, zip(*columns))), counts
-
-
-def packed(lines: list[bytes], counts: list[int], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, counts, lines): the lines of a bucket, sorted and compressed."""
-    order = sorted(range(len(lines)), key=lines.__getitem__)
-    parts = defaultdict(list)
-    for i in order:
-        parts[zlib.crc32(lines[i]) % buckets].append(i)
-    names = ["bucket", "counts", "lines"]
-    rows = [
-        (b, zlib.compress(np.array([counts[i] for i in mine], "<i8").tobytes(), 1), zlib.compress(b"\n".join([lines[i] for i in mine]), 1))
-        for b, mine in parts.items()
+        return packed(list(map(b" ".join, zip(*columns))), counts[order], at[order])
+
+
+def packed(lines: list[bytes], counts: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, counts, lines) of lines that are in the order of their buckets, compressed."""
+    edges = np.flatnonzero(np.diff(buckets, prepend=-1)).tolist()
+    cuts = list(zip(edges, [*edges[1:], len(lines)]))
+    columns = [
+        pa.array([int(buckets[a]) for a, _ in cuts], pa.int32()),
+        pa.array([zlib.compress(counts[a:b].astype("<i8").tobytes(), 1) for a, b in cuts], pa.binary()),
+        pa.array([zlib.compress(b"\n".join(lines[a:b]), 1) for a, b in cuts], pa.binary()),
     ]
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=names)
+    return pa.record_batch(columns, names=["bucket", "counts", "lines"])
 
 
 def blocks(texts: Iterator[tuple[bytes, bytes]], order: int) -> Iterator[Block]:
@@ -154,7 +161,7 @@ def _counted(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"))
         )
         for block in blocks(texts, order):
-            yield packed(*block.lines(), buckets)
+            yield block.packed(buckets)
 
     return docs.mapInArrow(scan, "bucket int, counts binary, lines binary")
 
@@ -168,30 +175,37 @@ def _folded(gathered: DataFrame, order: int, length: int, least: int, buckets: i
 
     def merge(some: pa.Table) -> pa.Table:
         total: dict[bytes, int] = defaultdict(int)
-        marked = set()
+        marked: set[bytes] = set()
         for counts, lines in zip(some.column("counts"), some.column("lines")):
-            for line, n in zip(zlib.decompress(lines.as_py()).split(b"\n"), np.frombuffer(zlib.decompress(counts.as_py()), "<i8").tolist()):
-                if n < 0:
-                    marked.add(line)
-                    n = -1 - n
-                total[line] += n
-        rows, shorter, pinned = [], defaultdict(int), set()
-        for line, n in total.items():
-            head, _, last = line.rpartition(b" ")
-            stays = line in marked or n >= least
-            if stays and last:
-                pinned.add(head)
-                shorter[head] += 0
-                if n:
-                    rows.append((line, n))
-            else:  # rare, or padded already: its count belongs to the words before
-                shorter[head] += n
-        lines = list(shorter)
+            some_lines = zlib.decompress(lines.as_py()).split(b"\n")
+            n = np.frombuffer(zlib.decompress(counts.as_py()), "<i8")
+            if (n < 0).any():
+                marked.update(compress(some_lines, (n < 0).tolist()))
+                n = np.where(n < 0, -1 - n, n)
+            for line, k in zip(some_lines, n.tolist()):
+                total[line] += k
+        lines, n = list(total), np.fromiter(total.values(), np.int64, len(total))
+        del total
+        stays = n >= least
+        if marked:
+            stays |= np.fromiter(map(marked.__contains__, lines), bool, len(lines))
+        frequent = [i for i in np.flatnonzero(stays).tolist() if not lines[i].endswith(b" ")]
+        rows = [(lines[i], int(n[i])) for i in frequent if n[i]]
+        n[frequent] = 0  # what is rare, or padded already, belongs to the words before
+        heads = [line[: line.rfind(b" ")] for line in lines]
+        pinned = {heads[i] for i in frequent}
+        shorter: dict[bytes, int] = defaultdict(int)
+        for head, k in zip(heads, n.tolist()):
+            shorter[head] += k
+        onward = packed([], np.zeros(0, np.int64), np.zeros(0, np.int64))
         if length > 1:
-            onward = packed(lines, [-1 - shorter[x] if x in pinned else shorter[x] for x in lines], buckets)
+            lines = list(shorter)
+            at = np.fromiter(map(zlib.crc32, lines), np.int64, len(lines)) % buckets
+            n = np.fromiter((-1 - k if x in pinned else k for x, k in shorter.items()), np.int64, len(lines))
+            dealt = np.argsort(at, kind="stable")
+            onward = packed([lines[i] for i in dealt.tolist()], n[dealt], at[dealt])
         else:  # what is left is the language: the rest of its words
-            onward = packed([], [], buckets)
-            rows += [(line + b" ", n) for line, n in shorter.items() if n]
+            rows += [(line + b" ", k) for line, k in shorter.items() if k]
         cut = [line.split(b" ") for line, _ in rows]
         fine = pa.table(
             {
