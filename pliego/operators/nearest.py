@@ -1,9 +1,11 @@
 """Exact nearest neighbours of many queries: L2 distance compared at six decimals, ties by id.
 
-The store stays where it is, neither shuffled nor sorted: queries travel with the tasks, in passes of a fixed number of
-results, and each task keeps its best rows per query. A query whose list is full hands its k-th distance on to the next
-block of the task, so later blocks offer few rows. No pass depends on another, and all passes give the same rows as one.
-The driver holds the queries of one pass at a time: a pass is read, run and written before the next one.
+Queries and store both stay tables. Each is cut into blocks of bounded bytes, and every block of queries meets every block of
+the store in one cell of a grid, which is one group of a cogroup: a task holds two blocks, whatever the tables' sizes are.
+A cell gives the best rows of its block per query; the lists of a query are merged in a tree, a bounded number of
+blocks at a time. With a filter the grid exists once per filter value, so only rows of equal values meet: a value with many
+rows is many cells, and values with few rows share one. Nothing but sizes goes through the driver, and the number of
+jobs does not depend on the number of queries.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ from pyspark.sql.window import Window as W
 
 from pliego import constants as K
 from pliego.functions.vectors import as_matrix
-from pliego.session import shared_folder
 
-PER_PASS = 256_000  # results of the queries that travel together
+QUERY_BYTES, STORE_BYTES = 4 << 20, 1 << 19  # vectors of a block of the grid
+BRANCH = 64  # lists of a query that are merged at once
 BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
 MICRO = 1e6
 
-HIT = "query_id bigint, chunk_id bigint, distance double, similarity double"
-HIT_FIELDS = [("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64()), ("similarity", pa.float64())]
+CELL = ["alone", "cell", "q", "s"]
+HIT = "query_id bigint, k int, fetch int, s int, chunk_id bigint, distance double, similarity double"
+HIT_FIELDS = pa.schema([
+    ("query_id", pa.int64()), ("k", pa.int32()), ("fetch", pa.int32()), ("s", pa.int32()), ("chunk_id", pa.int64()), ("distance", pa.float64()),
+    ("similarity", pa.float64()),
+])
 
 
 def fetch_size(k: Column) -> Column:
@@ -37,19 +43,25 @@ def fetch_size(k: Column) -> Column:
 
 @dataclass
 class Side:
-    """Ids, vectors, filter values and reaches of some rows, in id order."""
+    """Rows of one filter value, in id order. ``about`` has the columns only queries have: reach, k and fetch."""
 
     ids: np.ndarray
     vectors: np.ndarray
-    parts: np.ndarray
-    reach: np.ndarray
+    about: dict[str, np.ndarray]
 
     @staticmethod
-    def of(table: pa.Table | pa.RecordBatch, id_name: str) -> Side:
-        ids = np.asarray(table.column(id_name))
-        order = np.argsort(ids, kind="stable")
-        reach = np.asarray(table.column("reach")) if "reach" in table.schema.names else np.full(len(ids), np.inf)
-        return Side(ids[order], as_matrix(table.column("vec"))[order], np.asarray(table.column("part"))[order], reach[order])
+    def by_part(table: pa.Table, id_name: str) -> dict[int, Side]:
+        ids, parts = np.asarray(table.column(id_name)), np.asarray(table.column("part"))
+        vectors = as_matrix(table.column("vec"))
+        about = {n: np.asarray(table.column(n)) for n in ("reach", "k", "fetch") if n in table.schema.names}
+        order = np.lexsort((ids, parts))
+        found, starts = np.unique(parts[order], return_index=True)
+        cuts = np.split(order, starts[1:])
+        return {int(p): Side(ids[c], vectors[c], {n: v[c] for n, v in about.items()}) for p, c in zip(found, cuts)}
+
+    @property
+    def reach(self) -> np.ndarray:
+        return self.about["reach"]
 
     @cached_property
     def squares(self) -> np.ndarray:
@@ -58,7 +70,7 @@ class Side:
     def blocks(self, size: int) -> Iterator[Side]:
         for at in range(0, len(self.ids), size):
             cut = slice(at, at + size)
-            yield Side(self.ids[cut], self.vectors[cut], self.parts[cut], self.reach[cut])
+            yield Side(self.ids[cut], self.vectors[cut], {n: v[cut].copy() for n, v in self.about.items()})
 
 
 def square_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -78,13 +90,10 @@ def best_pairs(queries: Side, store: Side, k: int) -> tuple[np.ndarray, np.ndarr
     """(query position, store position, squared distance) of each query's ``k`` best rows within its reach, by
     distance and id."""
     squares = square_distances(queries.vectors, store.vectors)
-    if (queries.parts != queries.parts[0]).any() or (store.parts != queries.parts[0]).any():
-        squares[queries.parts[:, None] != store.parts[None, :]] = np.nan
     limit = queries.reach.copy()
     open_ = np.flatnonzero(np.isinf(limit))
     if len(open_) and k < len(store.ids):
         limit[open_] = np.sqrt(np.partition(squares[open_], k - 1, axis=1)[:, k - 1])
-        limit[np.isnan(limit)] = np.inf
     rows, columns = np.nonzero(squares <= ((limit + 2 / MICRO) ** 2)[:, None])
     near = squares[rows, columns]
     # The difference of large numbers says little about very small distances; those are taken directly.
@@ -99,8 +108,8 @@ def best_pairs(queries: Side, store: Side, k: int) -> tuple[np.ndarray, np.ndarr
 class Best:
     """The best rows so far of some queries, in (query, distance, id) order."""
 
-    def __init__(self, queries: Side, k: int):
-        self.queries, self.k = queries, k
+    def __init__(self, queries: Side):
+        self.queries, self.k = queries, int(queries.about["fetch"].max())
         self.rows, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.distance, self.similarity = np.zeros(0), np.zeros(0)
 
@@ -116,29 +125,74 @@ class Best:
         self.rows, self.ids, self.distance, self.similarity = rows[order], ids[order], distance[order], similarity[order]
         ends = np.cumsum(self.counts())
         full = self.counts() >= self.k
-        self.queries.reach[full] = self.distance[ends[full] - 1]
+        self.queries.reach[full] = np.minimum(self.queries.reach[full], self.distance[ends[full] - 1])
         return self
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.rows, minlength=len(self.queries.ids))
 
-    def columns(self) -> list[pa.Array]:
-        return [pa.array(c) for c in (self.queries.ids[self.rows], self.ids, self.distance, self.similarity)]
+    def hits(self, s: int) -> pa.RecordBatch:
+        of = self.queries
+        columns = [of.ids, of.about["k"], of.about["fetch"]]
+        columns = [c[self.rows] for c in columns] + [np.full(len(self.rows), s, np.int32), self.ids, self.distance, self.similarity]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=HIT_FIELDS)
+
+
+def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best rows of one cell: the store's rows ``right`` for the queries ``left`` with equal filter values."""
+    found = []
+    if left.num_rows and right.num_rows:
+        s, stored = right.column("s")[0].as_py(), Side.by_part(right, "chunk_id")
+        for part, asked in Side.by_part(left, "query_id").items():
+            for some in asked.blocks(BLOCK_QUERIES) if part in stored else ():
+                best = Best(some)
+                for block in stored[part].blocks(BLOCK_ROWS):
+                    best.take(block)
+                found.append(best.hits(s))
+    return pa.Table.from_batches(found, HIT_FIELDS)
 
 
-def _scan(some: pa.Table, store: DataFrame, k: int) -> DataFrame:
-    """Each task's best rows per query. Tasks with few rows hand on few; the rest is cut to ``k`` per query."""
+def grid(asked: DataFrame, rows: DataFrame, parted: bool, asked_bytes: int, rows_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cell (part or group of parts, q, s) in which each copy of a row meets the other side."""
+
+    def blocks(size, limit: int) -> Column:
+        return F.ceil(F.greatest(size, F.lit(1)) / F.lit(limit)).cast("int")
+
+    def spread(side: DataFrame, own: str, other: str, key: str) -> DataFrame:
+        """A row's own block by its id, and a copy for each block of the other side."""
+        return side.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}_n")).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_n") - 1))
+        )
+
+    if parted:
+        sizes = asked.groupBy("part").agg(F.sum(bytes_of("vec")).alias("a")).join(rows.groupBy("part").agg(F.sum(bytes_of("vec")).alias("b")), "part")
+        sizes = sizes.select("part", blocks(F.col("a"), QUERY_BYTES).alias("q_n"), blocks(F.col("b"), STORE_BYTES).alias("s_n"))
+        many = F.col("q_n") * F.col("s_n") > 1
+        groups = (asked_bytes + rows_bytes) // STORE_BYTES + 1
+        sizes = sizes.withColumns({"alone": many, "cell": F.when(many, F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(groups)))})
+        asked, rows = asked.join(sizes, "part"), rows.join(sizes, "part")
+    else:
+        n = {"q_n": -(-max(asked_bytes, 1) // QUERY_BYTES), "s_n": -(-max(rows_bytes, 1) // STORE_BYTES)}
+        own = {**{k: F.lit(v) for k, v in n.items()}, "alone": F.lit(True), "cell": F.lit(0).cast("bigint")}
+        asked, rows = asked.withColumns(own), rows.withColumns(own)
+    cell = [F.col(c).alias(c) for c in CELL]  # new columns on either side, where both have those of the sizes
+    left = spread(asked, "q", "s", "query_id").select("query_id", "vec", "part", "reach", "k", "fetch", *cell)
+    return left, spread(rows, "s", "q", "chunk_id").select("chunk_id", "vec", "part", *cell)
 
-    def scan(batches):
-        found = [Best(q, k) for q in Side.of(some, "query_id").blocks(BLOCK_QUERIES)]
-        for batch in batches:
-            for block in Side.of(batch, "chunk_id").blocks(BLOCK_ROWS) if batch.num_rows else ():
-                for best in found:
-                    best.take(block)
-        for best in found:
-            yield pa.RecordBatch.from_arrays(best.columns(), schema=pa.schema(HIT_FIELDS))
 
-    return store.mapInArrow(scan, HIT)
+def bytes_of(vector: str) -> Column:
+    return F.size(vector).cast("bigint") * 4
+
+
+def merged(hits: DataFrame, most: int, lists: int) -> DataFrame:
+    """The best ``fetch`` rows of each query with their rank, out of its lists by block."""
+    order = [F.col("distance"), F.col("chunk_id")]
+    while lists > BRANCH:
+        hits = hits.withColumn("s", F.expr(f"s div {BRANCH}").cast("int"))
+        place = F.row_number().over(W.partitionBy("query_id", "s").orderBy(*order))
+        hits, lists = hits.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place"), -(-lists // BRANCH)
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= most)
+    return ranked.filter("rank <= fetch").select("query_id", "k", "rank", "chunk_id", "distance", "similarity")
 
 
 def nearest(
@@ -147,14 +201,14 @@ def nearest(
     fetch: Column,
     same: tuple[str, str] | None = None,
     vectors: bool = False,
-    per_pass: int = PER_PASS,
+    reach: Column | None = None,
 ) -> DataFrame:
     """(query_id, k, rank, chunk_id, distance, similarity): the ``fetch`` nearest store rows per query, on demand with
     their ``embedding``.
 
-    ``same`` names an integer column of either side that has to be equal. Queries without a vector find nothing. The store
-    is read once per pass, so a caller keeps it if it is expensive to make. Several passes run here, one after the other,
-    and what is returned is the table they have written; a single pass is left to the caller's job."""
+    ``same`` names an integer column of either side that has to be equal; a query may have a row for each of several values.
+    ``reach`` is a distance beyond which a query wants nothing. Queries without a vector find nothing. Queries and store are
+    read twice, once for their sizes, so a caller keeps them if they are expensive to make."""
     left, right = same or (None, None)
     if same:
         queries, store = queries.filter(F.col(left).isNotNull()), store.filter(F.col(right).isNotNull())
@@ -162,44 +216,27 @@ def nearest(
         "query_id",
         F.col("query_vec").alias("vec"),
         (F.col(left) if left else F.lit(0)).cast("bigint").alias("part"),
-        "k",
-        fetch.alias("fetch"),
+        (F.lit(float("inf")) if reach is None else reach).cast("double").alias("reach"),
+        F.col("k").cast("int").alias("k"),
+        fetch.cast("int").alias("fetch"),
     )
     rows = store.filter("embedding is not null").select(
         "chunk_id",
         F.col("embedding").alias("vec"),
         (F.col(right) if right else F.lit(0)).cast("bigint").alias("part"),
     )
-    spark = queries.sparkSession
-    seen = asked.agg(F.count(F.lit(1)).alias("n"), F.max("fetch").alias("most")).first()
-    passes = -(-seen.n * max(seen.most or 1, 1) // per_pass)
-    if passes == 1:
-        return _one_pass(spark, asked.toArrow(), rows, seen.most, vectors)
-    found = None
-    if passes:
-        numbered = asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)).cast("int"))
-        blocks, results = shared_folder(spark, "query-passes"), shared_folder(spark, "nearest")
-        numbered.repartition("pass").write.partitionBy("pass").parquet(blocks)
-        stored = spark.read.schema(numbered.schema).parquet(blocks)
-    for number in range(passes):
-        some = stored.filter(F.col("pass") == number).drop("pass").toArrow()
-        if some.num_rows:
-            best = _one_pass(spark, some, rows, seen.most, vectors)
-            best.write.mode("append").parquet(results)
-            found = best.schema
-    if found is None:
-        names = "query_id bigint, k int, rank int, chunk_id bigint, distance double, similarity double"
-        return spark.createDataFrame([], names + (", embedding array<float>" if vectors else ""))
-    return spark.read.schema(found).parquet(results)
-
-
-def _one_pass(spark, some: pa.Table, rows: DataFrame, most: int, vectors: bool) -> DataFrame:
-    """The results of a bounded number of queries: each task's best rows meet per query."""
-    order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
-    best = _scan(some, rows, most).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    sizes = spark.createDataFrame(some.select(["query_id", "k", "fetch"]))
-    best = best.join(F.broadcast(sizes), "query_id").filter("rank <= fetch").drop("fetch")
+    told = asked.agg(F.sum(bytes_of("vec")).alias("n"), F.max("fetch").alias("most")).first()
+    size = rows.agg(F.sum(bytes_of("vec")).alias("n")).first().n or 0
+    one, other = (side.groupBy(*CELL) for side in grid(asked, rows, same is not None, told.n or 0, size))
+    best = merged(one.cogroup(other).applyInArrow(meet, HIT), told.most or 0, -(-size // STORE_BYTES))
     if vectors:
-        # At most PER_PASS result rows: they go to the store, whose vectors stay where they are.
-        best = rows.select("chunk_id", F.col("vec").alias("embedding")).join(F.broadcast(best), "chunk_id")
+        best = rows.select("chunk_id", F.col("vec").alias("embedding")).join(best, "chunk_id")
     return best
+
+
+def answerable(queries: DataFrame, store: DataFrame) -> DataFrame:
+    """query_id and whether a search would find anything: whether the store has any vector of the query's length. One row
+    per length meets the queries; nothing is searched."""
+    widths = store.filter("embedding is not null").select(F.size("embedding").alias("_width")).distinct().withColumn("_any", F.lit(True))
+    met = queries.join(widths, F.size("query_vec") == F.col("_width"), "left")
+    return met.select("query_id", F.coalesce("_any", F.lit(False)).alias("answerable"))

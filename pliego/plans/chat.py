@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pliego import constants as K
 from pliego.functions.vectors import embed
 from pliego.operators import answers, context, conversation as talk
+from pliego.operators.nearest import answerable
 from pliego.operators.rerank import search
 from pliego.plans import ingest
 from pliego.plans.retrieval import asked, index, with_unanswerable
@@ -59,11 +60,9 @@ def append_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_result_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a query found anything needs no text: a query without results has the fixed answer."""
-    queries = with_unanswerable(asked(spark, sf_dir, K.AGENT_K))
-    found = search(queries, index(spark, sf_dir)).select("query_id").distinct()
-    empty = F.when(F.col("_found").isNull(), F.lit(K.NO_RESULTS_ANSWER))
-    return queries.join(found.withColumn("_found", F.lit(True)), "query_id", "left").select("query_id", empty.alias("answer"))
+    """Whether a query finds anything needs no search: a query without results has the fixed answer."""
+    found = answerable(with_unanswerable(asked(spark, sf_dir, K.AGENT_K)), index(spark, sf_dir))
+    return found.select("query_id", F.when(~F.col("answerable"), F.lit(K.NO_RESULTS_ANSWER)).alias("answer"))
 
 
 def build_answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ SQL = {
     "build_vector_store": f"""WITH {INDEX} SELECT chunk_id, source, file_name, page, chunk_index, page_content,
   {P.vector_digest('embedding')} AS vector_digest FROM store_""",
     "knn_exact": f"WITH {ALL_VECTORS}, {P.asked(K.DEFAULT_K)}, {P.nearest()} SELECT query_id, rank, chunk_id, distance FROM candidates",
+    "knn_clustered": f"WITH {INDEX}, {P.asked(K.DEFAULT_K)}, {P.nearest()} SELECT query_id, rank, chunk_id, distance FROM candidates",
     "knn_dynamic_k": f"WITH {INDEX}, {P.asked()}, {P.nearest()} SELECT query_id, k, rank, chunk_id, distance FROM candidates",
     "mmr_rerank": f"""WITH RECURSIVE {INDEX}, {P.asked(K.DEFAULT_K)}, {P.nearest()}, {P.mmr()}
 SELECT query_id, pos, rank, chunk_id, round(similarity, 6) AS similarity FROM found""",

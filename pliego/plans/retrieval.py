@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pliego import constants as K
+from pliego.operators import clusters
 from pliego.operators.nearest import fetch_size, nearest
 from pliego.operators.rerank import lambda_sweep, mmr, search
 from pliego.plans.ingest import saved_store, vector_digest
@@ -59,6 +60,12 @@ def knn_dynamic_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a full search over all stored chunks, through the clustered index."""
+    built = clusters.build(index(spark, sf_dir))
+    return clusters.search(asked(spark, sf_dir, K.DEFAULT_K), built, fetch_size(F.col("k"))).select("query_id", "rank", "chunk_id", "distance")
+
+
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = nearest(asked(spark, sf_dir, K.DEFAULT_K), index(spark, sf_dir), fetch_size(F.col("k")), vectors=True)
     return mmr(candidates).select("query_id", "pos", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
@@ -92,7 +99,7 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stored chunks against all stored chunks: many passes of queries over one store."""
+    """All stored chunks against all stored chunks."""
     stored = kept(index(spark, sf_dir), "index")
     queries = stored.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit(K.DEFAULT_K).alias("k"))
     return nearest(queries, stored, F.col("k")).select("query_id", "rank", "chunk_id", "distance")
@@ -101,7 +108,7 @@ def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        build_vector_store, knn_chunks, knn_exact, knn_dynamic_k, mmr_rerank, mmr_search_agent, search_lambda_sweep, search_empty,
+        build_vector_store, knn_chunks, knn_exact, knn_clustered, knn_dynamic_k, mmr_rerank, mmr_search_agent, search_lambda_sweep, search_empty,
         knn_filtered,
     )
 }

@@ -38,37 +38,93 @@ def brute(queries, store, ks, same=False):
     return out
 
 
-@pytest.mark.parametrize("per_pass", [10**6, 150])
+@pytest.mark.parametrize("sizes", [(1 << 22, 1 << 20, 64), (400, 700, 2)])
 @pytest.mark.parametrize("same", [False, True])
-def test_any_number_of_passes_equals_brute_force_with_many_copies(spark, monkeypatch, per_pass, same):
+def test_any_grid_equals_brute_force_with_many_copies(spark, monkeypatch, sizes, same):
     monkeypatch.setattr(N, "BLOCK_ROWS", 32)
     monkeypatch.setattr(N, "BLOCK_QUERIES", 16)
+    monkeypatch.setattr(N, "QUERY_BYTES", sizes[0])
+    monkeypatch.setattr(N, "STORE_BYTES", sizes[1])
+    monkeypatch.setattr(N, "BRANCH", sizes[2])
     queries, store = points(1, 90), points(2, 400)
     queries[:40] = store[:40]
     q, s = frames(spark, queries, store)
     ks = {r.query_id: r.k for r in q.collect()}
-    got = nearest(q, s, F.col("k"), ("g", "h") if same else None, per_pass=per_pass)
+    got = nearest(q, s, F.col("k"), ("g", "h") if same else None)
     assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, ks, same)
 
 
-def test_the_driver_holds_one_pass_at_a_time(spark, monkeypatch):
-    import gc
-    import weakref
-
-    held, most, one_pass = [], [], N._one_pass
-
-    def watched(spark, some, *rest):
-        gc.collect()
-        held.append(weakref.ref(some))
-        most.append(sum(r() is not None for r in held))
-        return one_pass(spark, some, *rest)
-
-    monkeypatch.setattr(N, "_one_pass", watched)
-    queries, store = points(1, 60), points(2, 50)
-    q, s = frames(spark, queries, store, k=5)
-    got = nearest(q, s, F.col("k"), per_pass=60)
-    assert len(held) == 5 and max(most) <= 2 and len(got.inputFiles()) > 0
-    assert {(r.query_id, r["rank"], r.chunk_id) for r in got.collect()} == brute(queries, store, [5] * 60)
+def jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found
+
+
+def test_no_query_goes_through_the_driver_and_jobs_do_not_grow(spark, monkeypatch):
+    """Ten times the queries, in ten times the blocks: the same number of jobs, and only sizes are collected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(N, "QUERY_BYTES", 600)
+    seen, first = [], DataFrame.first
+
+    def watched(self):
+        row = first(self)
+        seen.append(row)
+        return row
+
+    monkeypatch.setattr(DataFrame, "first", watched)
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.delattr(DataFrame, name)
+    counts = []
+    for n in (40, 400):
+        q, s = frames(spark, points(1, n), points(2, 50), k=5)
+        found = spark.sparkContext.parallelize([0], 1)  # starts the scheduler before jobs are counted
+        found.count()
+        counts.append(jobs(spark, f"grid-{n}", lambda: nearest(q, s, F.col("k")).write.format("noop").mode("overwrite").save()))
+    assert counts[0] == counts[1]
+    assert all(isinstance(v, int) for row in seen for v in row)
+
+
+def test_only_rows_with_equal_filter_values_are_compared(spark, monkeypatch):
+    """Products counted: the sum over filter values of queries times rows, with hot, small and missing values."""
+    monkeypatch.setattr(N, "QUERY_BYTES", 500)
+    monkeypatch.setattr(N, "STORE_BYTES", 900)
+    queries, store = points(1, 120), points(2, 300)
+    q, s = frames(spark, queries, store, k=3)
+    label = F.when(F.col("chunk_id") < 200, 7).otherwise(F.col("chunk_id") % 40).cast("bigint")
+    q, s = q.withColumn("g", F.when(F.col("query_id") < 60, 7).otherwise(F.col("query_id") % 50).cast("bigint")), s.withColumn("h", label)
+    asked = q.select("query_id", F.col("query_vec").alias("vec"), F.col("g").alias("part"), F.lit(1e9).alias("reach"), "k", F.col("k").alias("fetch"))
+    rows = s.select("chunk_id", F.col("embedding").alias("vec"), F.col("h").alias("part"))
+    left, right = N.grid(asked, rows, True, 120 * 24, 300 * 24)
+    cells = ["alone", "cell", "q", "s"]
+    mine = {tuple(r): t for r, t in cells_of(left, cells).items()}
+    products, largest = 0, 0
+    plain = N.square_distances
+
+    def counted(a, b):
+        nonlocal products
+        products += len(a) * len(b)
+        return plain(a, b)
+
+    monkeypatch.setattr(N, "square_distances", counted)
+    theirs = cells_of(right, cells)
+    for cell, table in mine.items():
+        if cell in theirs:
+            largest = max(largest, theirs[cell].num_rows)
+            N.meet(table, theirs[cell])
+    by_q, by_s = ({r[0]: r[1] for r in side.groupBy("part").count().collect()} for side in (asked, rows))
+    assert products == sum(n * by_s.get(p, 0) for p, n in by_q.items())
+    assert largest < 150  # the hot value is cut
+
+
+def cells_of(side, cells):
+    out = {}
+    for key in {tuple(r) for r in side.select(*cells).distinct().collect()}:
+        some = side.filter(" and ".join(f"{c} = {str(v).lower()}" for c, v in zip(cells, key)))
+        out[key] = pa.Table.from_batches(some.toArrow().to_batches())
+    return out
 
 
 def test_a_query_finds_the_chunk_with_its_own_number(spark):
@@ -137,3 +193,58 @@ def test_mmr_is_a_subset_without_repeats(spark):
         got = picked(df, balance)
         assert len(got) == len(set(got)) == 12
     assert picked(df, 1.0) == [r.chunk_id for r in df.orderBy("rank").limit(12).collect()]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clustered_search_equals_a_full_one(spark, seed):
+    from pliego.operators import clusters
+
+    queries, store = points(seed, 60), points(seed + 10, 500)
+    queries[:20] = store[:20]
+    q, s = frames(spark, queries, store)
+    nothing = spark.createDataFrame([(999, None, 3, 0)], q.schema)
+    lost = spark.createDataFrame([(7000, None, 0)], s.schema)
+    built = clusters.build(s.union(lost), cell_rows=12)
+    assert sum(built.sizes) == 500 and len(built.numbers) > 5
+    ks = {r.query_id: r.k for r in q.collect()}
+    got = clusters.search(q.union(nothing), built, F.col("k")).collect()
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got} == brute(queries, store, ks)
+    # two rows of every cell a query skips are farther than its last result
+    plain = {(r.query_id, r["rank"]): r.distance for r in nearest(q, s, F.col("k")).collect()}
+    assert {(r.query_id, r["rank"]): r.distance for r in got} == plain
+
+
+def test_a_query_reads_a_part_of_a_clustered_store(spark):
+    from pliego.operators import clusters
+
+    rng = np.random.default_rng(1)
+    centres = 10 * rng.normal(size=(20, 6))
+    store = (centres[rng.integers(0, 20, 2000)] + 0.05 * rng.normal(size=(2000, 6))).astype(np.float32)
+    q, s = frames(spark, store[:100], store, k=5)
+    built = clusters.build(s, cell_rows=50)
+    asked = q.select("query_id", "query_vec", "k", F.col("k").alias("fetch"), F.lit(0.3).alias("reach"))
+    size = dict(zip(built.numbers.tolist(), built.sizes.tolist()))
+    read = sum(size[r.cell] for second in (False, True) for r in clusters.visits(asked, built, second).collect())
+    assert read < 0.3 * 100 * 2000
+    plan = clusters._read(built, clusters.visits(asked.limit(1), built, False))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+
+
+def test_clustered_stores_without_rows_or_with_one_point(spark):
+    from pliego.operators import clusters
+
+    q, s = frames(spark, points(4, 3), points(5, 40), k=4)
+    assert clusters.search(q, clusters.build(s.filter("false")), F.col("k")).count() == 0
+    same = s.withColumn("embedding", F.array(*[F.lit(1.0).cast("float")] * 6))
+    got = clusters.search(q, clusters.build(same, cell_rows=4), F.col("k")).collect()
+    assert {(r["rank"], r.chunk_id) for r in got} == {(i + 1, i) for i in range(4)}
+
+
+def test_answerable_needs_no_search(spark):
+    q, s = frames(spark, points(4, 2), points(5, 3), k=4)
+    nothing = spark.createDataFrame([(9, None, 1, 0), (10, [1.0], 1, 0)], q.schema)
+    found = N.answerable(q.union(nothing), s)
+    assert {(r.query_id, r.answerable) for r in found.collect()} == {(0, True), (1, True), (9, False), (10, False)}
+    assert not any(r.answerable for r in N.answerable(q, s.filter("false")).collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
