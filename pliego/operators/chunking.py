@@ -64,25 +64,35 @@ def _atoms(text: str, size: int, level: int = 0) -> Iterator[str]:
 
 
 def _pack(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
-    """(start, chunk): fill up to ``size``, then go on from the longest tail of whole parts within ``overlap``
-    that leaves room for the next part."""
+    """(start, chunk): fill up to ``size``, then go on from the longest tail of whole parts within ``overlap`` that leaves
+    room for the next part and begins, white space aside, after the last chunk's start. So no chunk contains the one before it;
+    a chunk that would end where an earlier one does holds nothing new and is left out."""
     begin = end = 0
+    last = stop = -1
     cuts: list[int] = []
+
+    def filled() -> Iterator[tuple[int, str]]:
+        nonlocal last, stop
+        start = _first(text, begin, end)
+        body = text[start:end].rstrip()
+        if body and start + len(body) > stop:
+            last, stop = start, start + len(body)
+            yield start, body
+
     for part in _atoms(text, size):
         if end - begin + len(part) > size:
-            yield from _stripped(text, begin, end)
-            begin = next((c for c in cuts if end - c <= overlap and end - c + len(part) <= size), end)
+            yield from filled()
+            fits = (c for c in cuts if end - c <= overlap and end - c + len(part) <= size)
+            begin = next((c for c in fits if _first(text, c, end) > last), end)
             cuts = [c for c in cuts if c >= begin]
         cuts.append(end)
         end += len(part)
-    yield from _stripped(text, begin, end)
+    yield from filled()
 
 
-def _stripped(text: str, begin: int, end: int) -> Iterator[tuple[int, str]]:
-    body = text[begin:end]
-    left = body.lstrip()
-    if left:
-        yield begin + len(body) - len(left), left.rstrip()
+def _first(text: str, begin: int, end: int) -> int:
+    """Where the first character that is no white space is, or the end."""
+    return end - len(text[begin:end].lstrip())
 
 
 ROWS = 64  # pages whose pieces are held as Python values at a time

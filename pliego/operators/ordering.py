@@ -1,8 +1,9 @@
 """Ordered numbering and running sums that do not put a whole group into one task.
 
 A plain window over ``source`` or ``thread_id`` sorts that key's rows in one task, so one key with a third of the
-rows would be the job. Here the order key is cut into slices of about equally many rows: each slice is a window partition of its own, the slice
-sums (one small row per group and slice) are accumulated per group, and both parts are added.
+rows would be the job. Here rows are range partitioned on (group, key) into slices of a bounded number of rows; each slice
+of a group is a window partition of its own, one row of sums per slice and group is carried on to the later slices, and both
+parts are added. The number of slices grows with the rows, so a task's share does not.
 """
 
 from __future__ import annotations
@@ -10,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-SLICES = 256
+from pliego.session import kept
+
+SLICE_ROWS = 250_000
 DENSE_SPAN = 4096  # slice width for keys that count from 0 without large gaps, such as turns
 
 
-def slice_number(rows: DataFrame, key: str, slices: int = SLICES) -> Column:
-    """The slice of a row: its place among the key's quantiles over all rows, which are a scalar subquery.
+def sliced(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """The rows with the number of their slice, ``_slice``, which grows with (group, key).
 
-    The quantiles only say where slices end, so that they are approximate does not matter; no slice holds much more than
-    its share of the rows, however the keys are spread over the 64 bits."""
-    shares = [i / slices for i in range(1, slices)]
-    whole = F.col(key).cast("bigint")
-    bounds = rows.select(whole.alias("k")).agg(F.percentile_approx("k", shares, 50 * slices)).scalar()
-    known = F.coalesce(bounds, F.array().cast("array<bigint>"))
-    return F.array_position(F.sort_array(F.array_append(known, whole)), whole)
+    Range bounds are sampled by each run, so the rows are written with the slice they fell into: the sums and the
+    rows themselves have to see the same ones."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    slices = max(cores, -(-rows.count() // SLICE_ROWS))
+    return kept(rows.repartitionByRange(slices, *group, key).withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def running_totals(
@@ -37,18 +38,21 @@ def running_totals(
     """Add, for each name in ``values``, its sum over the earlier rows of the group and ``<name>_total``.
 
     Without group columns all rows are one group. ``span`` is the width of a slice, for keys that count up without large
-    gaps; without it slices are cut by rows. ``key`` is an integer that is unique within the group, ``values`` are
+    gaps; without it slices are ranges of a bounded number of rows. ``key`` is an integer that is unique within the group, ``values`` are
     integers, group columns are not null. ``about`` has one row per group; its columns come along with the slice sums, so the rows themselves need no join
     on a key that may be hot.
     """
-    at = F.call_function("div", F.col(key), F.lit(span)) if span else slice_number(rows, key)
-    sliced = rows.withColumns({"_slice": at, **{f"_v_{n}": v.cast("bigint") for n, v in values.items()}})
+    valued = rows.withColumns({f"_v_{n}": v.cast("bigint") for n, v in values.items()})
+    if span:
+        cut = valued.withColumn("_slice", F.call_function("div", F.col(key), F.lit(span)))
+    else:
+        cut = sliced(valued, group, key)
     by_slice = [*group, "_slice"]
 
     so_far = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)
     bases = (
-        sliced.groupBy(*by_slice)
+        cut.groupBy(*by_slice)
         .agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
         .select(
             *by_slice,
@@ -59,7 +63,7 @@ def running_totals(
     if about is not None:
         bases = bases.join(about, group)
     inside = W.partitionBy(*by_slice).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    local = sliced.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
+    local = cut.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
     return local.join(bases, by_slice).select(
         *rows.columns,
         *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in values],

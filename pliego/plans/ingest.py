@@ -70,8 +70,7 @@ def chunks_of(
 
 def saved_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "store")
-    if not store.save(chunk_store(spark, sf_dir), path):
-        return spark.createDataFrame([], store.STORE_SCHEMA)
+    store.save(chunk_store(spark, sf_dir), path)
     return store.load(spark, path)
 
 

@@ -18,7 +18,7 @@ HISTORY = f"""{MESSAGES}, histories AS (SELECT m.thread_id, m.conv_id, m.message
   coalesce(string_agg(h.line, chr(10) ORDER BY h.seq), '') AS history FROM messages m
   LEFT JOIN messages h ON h.thread_id = m.thread_id AND h.seq BETWEEN m.seq - 4 AND m.seq - 1 GROUP BY ALL)"""
 REQUESTS = f"""{HISTORY}, requests AS (SELECT message_id AS request_id, conv_id, thread_id, content AS user_input, CAST(seq AS BIGINT) AS history_len, history FROM histories WHERE role = 'user'),
-replies AS (SELECT r.*, coalesce(m.content, {P.text(K.MODEL_ERROR)}) AS response, CASE WHEN m.content IS NULL AND history_len = 0 THEN '{NO_REPLY}' END AS error
+replies AS (SELECT r.*, coalesce({P.strip('m.content')}, {P.text(K.MODEL_ERROR)}) AS response, CASE WHEN m.content IS NULL AND history_len = 0 THEN '{NO_REPLY}' END AS error
   FROM requests r LEFT JOIN messages m ON m.conv_id = r.conv_id AND m.seq = r.history_len + 1 AND m.role = 'assistant')"""
 SEARCH_QUERY = "CASE WHEN history = '' THEN user_input ELSE history || chr(10) || user_input END"
 TURNS = f"""turns AS (SELECT u.thread_id, row_number() OVER (PARTITION BY u.thread_id ORDER BY u.seq) - 1 AS turn_no, u.content AS user_message, a.content AS assistant_message

@@ -78,6 +78,7 @@ SELECT query_id, '- ' || name || CASE WHEN count(page) = 0 THEN '' WHEN count(pa
   row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY page_id) AS page FROM pages)
 {' UNION ALL '.join(cover(f, p) for f, p in MARKUP.items())}""",
     "verify_citations": f"""WITH RECURSIVE {INDEX}, {P.asked(K.DEFAULT_K)}, {P.nearest()}, {P.mmr()}, {ANSWERS},
-cited AS (SELECT DISTINCT conv_id AS query_id, turn, regexp_replace(unnest(regexp_extract_all(response, '\\[([0-9]+)\\]', 1)), '^0+([0-9])', '\\1') AS ord FROM answers)
-SELECT c.query_id, c.turn, c.ord, f.pos IS NOT NULL AS supported FROM cited c LEFT JOIN found f ON f.query_id = c.query_id AND CAST(f.pos AS VARCHAR) = c.ord""",
+cited AS (SELECT DISTINCT conv_id AS query_id, turn, regexp_replace(unnest(regexp_extract_all(response, '\\[([0-9]+)\\]', 1)), '^0+([0-9])', '\\1') AS cited FROM answers)
+SELECT c.query_id, c.turn, CASE WHEN length(cited) <= 18 THEN CAST(cited AS BIGINT) END AS ord, c.cited, f.pos IS NOT NULL AS supported
+FROM cited c LEFT JOIN found f ON f.query_id = c.query_id AND CAST(f.pos AS VARCHAR) = c.cited""",
 }

@@ -54,6 +54,32 @@ def test_recursive_promises_hold_on_random_texts(spark):
         assert chunking.invariant_violations(df, size, overlap).first() == (0, 0, 0, 0, 0)
 
 
+def test_the_splitter_equals_its_recursive_twin_on_random_texts(spark):
+    import duckdb
+
+    from pliego.plans.oracle.ingest import recursive_chunks
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab  \n\n\té") for _ in range(rng.randint(0, 400))) for _ in range(80)]
+    texts += ["", " \n ", "w" * 130, "a b" * 60, "\n\n\n".join("xy z" * rng.randint(0, 30) for _ in range(9))]
+    df = spark.createDataFrame(list(enumerate(texts)), PAGES)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar, lang varchar)")
+    con.executemany("insert into documents values (?, ?, 's', 'l')", list(enumerate(texts)))
+    for size, overlap in ((10, 0), (10, 4), (50, 20), (7, 6)):
+        got = {tuple(r) for r in chunking.chunk_recursive(df, size, overlap).select("doc_id", "pos", "start", "page_content").collect()}
+        assert got == set(con.execute(recursive_chunks(size, overlap)).fetchall())
+
+
+def test_no_chunk_contains_its_neighbour(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab  \n\n\té") for _ in range(300)) for _ in range(40)]
+    for text in texts:
+        for size, overlap in ((10, 4), (30, 29)):
+            spans = [(start, start + len(part)) for start, part in chunking._pack(text, size, overlap)]
+            assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_broken_promises_are_counted(spark, monkeypatch):
     monkeypatch.setattr(chunking, "_pack", lambda text, size, overlap: iter([(0, "zz"), (0, "ab")]))
     df = spark.createDataFrame([(0, "abcdef")], PAGES)

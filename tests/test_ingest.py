@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pliego.operators import metadata, summaries
@@ -140,3 +141,40 @@ def test_ids_of_any_size(spark):
 def test_small_scans_are_spread(spark):
     pages = tables.pages(spark, "/root/testdata/sf0.001")
     assert pages.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_save_that_fails_halfway_leaves_the_old_store(spark):
+    made = ingest.chunk_store(spark, "/root/testdata/sf0.001").limit(40).persist()
+    path = shared_folder(spark, "store")
+    assert store.save(made, path)
+    broken = made.withColumn("source", F.when(F.col("chunk_id") == made.agg(F.max("chunk_id")).first()[0], F.raise_error(F.lit("halfway"))).otherwise(F.col("source")))
+    with pytest.raises(Exception, match="halfway"):
+        store.save(broken, path)
+    assert store.load(spark, path).count() == 40
+    assert store.manifest(spark, path).version == 1
+
+
+def test_a_save_runs_the_plan_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+    made = ingest.chunk_store(spark, "/root/testdata/sf0.001").limit(30)
+
+    def seen(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    path = shared_folder(spark, "store")
+    assert store.save(made.repartition(3).mapInArrow(seen, made.schema), path)
+    assert ran.value == 30 == store.manifest(spark, path).rows
+
+
+def test_snapshots_stay_until_they_are_dropped(spark):
+    made = ingest.chunk_store(spark, "/root/testdata/sf0.001").limit(9).persist()
+    path = shared_folder(spark, "store")
+    assert store.load(spark, path).count() == 0 and store.manifest(spark, path) is None and store.drop_old(spark, path) == []
+    assert store.save(made, path)
+    before = store.load(spark, path)
+    assert store.save(made.limit(4), path)
+    assert before.count() == 9 and store.load(spark, path).count() == 4
+    assert len(store.drop_old(spark, path)) == 1
+    assert store.load(spark, path).count() == 4 and before.sparkSession.read.schema(store.STORE_SCHEMA).parquet(before.inputFiles()[0].rsplit("/", 1)[0]).count() == 0

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from pliego.operators.ordering import nearby_rows, row_index, running_totals, slice_number
+from pliego.operators import ordering
+from pliego.operators.ordering import nearby_rows, row_index, running_totals, sliced
 
 
 def test_running_totals_match_a_plain_loop_with_one_hot_group(spark):
@@ -28,13 +29,29 @@ def test_group_columns_come_along(spark):
     assert got == {(1, 0, "a"), (1, 1, "a"), (2, 0, "b")}
 
 
-def largest_slice(df):
-    return df.select(slice_number(df, "key").alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
+def largest_slice(df, group=()):
+    cut = sliced(df, list(group), "key")
+    return cut.groupBy(*group, "_slice").count().agg(F.max("count")).first()[0]
 
 
-def test_slices_hold_about_equally_many_rows_whatever_the_keys_are(spark):
-    outlier = spark.range(50_000).select("id").union(spark.range(1).select(F.lit(10**17).alias("id"))).withColumnRenamed("id", "key")
-    assert largest_slice(outlier) < 50_000 / 256 * 4
+def test_window_partitions_stay_bounded_when_rows_grow_tenfold(spark, monkeypatch):
+    """Most rows in one group, keys of any size: the slices become more, not larger."""
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 1000)
+    for n in (20_000, 200_000):
+        rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("g"), (F.xxhash64("id")).alias("key"))
+        assert largest_slice(rows, ["g"]) <= 2500
+    outlier = spark.range(50_000).union(spark.range(1).select(F.lit(10**17).alias("id"))).withColumnRenamed("id", "key")
+    assert largest_slice(outlier) <= 2500
+
+
+def test_windows_are_partitioned_by_slice(spark):
+    df = spark.createDataFrame([(1, 5, 2), (1, 9, 1), (2, 1, 7)], "g bigint, key bigint, v bigint")
+    plan = running_totals(df, ["g"], "key", {"s": F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
+    local = [line for line in plan.split("\n") if "Window [" in line and "key#" in line]
+    assert local and all("_slice" in line for line in local)
+
+
+def test_keys_at_the_ends_of_their_type(spark):
     ends = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (0,), (5,)], "key bigint")
     got = {(r.key, r.i) for r in row_index(ends, [], "key", "i").collect()}
     assert got == {(-(2**63), 0), (0, 1), (5, 2), (2**63 - 1, 3)}
