@@ -5,8 +5,8 @@ always bin j; a bin keeps the smallest (round, hash) it saw. After round 2t no b
 after a few rounds, and the share of equal bins of two sets is concentrated around their Jaccard similarity.
 
 Documents with equal shingle sets are one node. Nodes that agree in a whole band share a bucket; candidates are checked
-on their full sets of shingles. A bucket never becomes all its pairs: it is compared with one centre at a time, and only
-with members that are not connected to that centre yet (see ``links``).
+on their full sets of shingles. A bucket never becomes a table of all its pairs: it is compared with its centre, and then only
+members of different components meet, in blocks, where exact bounds do not rule them out (see ``links``).
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
-from pliego.llm.common import per_worker, slices, text_or_empty
+from pliego.llm.common import per_worker, slices, text_or_empty, unused
 from pliego.llm.components import components
 from pliego.session import kept
 
 WORDS = 5
 PERCENT = 85  # similarity that links two documents
 BANDS, BAND = 24, 5  # a pair at 0.85 is missed with probability (1 - 0.85^5)^24 < 1e-6
-REST = 1  # pairs per band key of all nodes that may be left to one last round
+FEW, MANY = 256, 1024  # members of a bucket that meet in one cell
 
 SKETCHES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -150,59 +151,116 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Components (node, component) of the nodes that have a verified link to another node.
 
-    First every bucket is compared with its smallest member, its centre: all nodes that share a bucket with a centre are
-    the centre's group, with their exact distances to it, and the links found give components. A group of one component
-    is done. In the others the members outside the largest component are compared with members of other components:
-    only those that share a band, and, because 1 - Jaccard similarity is a metric, only those whose distance to the centre
-    differs by no more than a link may span. While too many such pairs are left, one member per group is compared with its
-    group at a time, and components are taken anew. So two members of a bucket are either compared, or ruled out by their
-    distances, or connected.
+    First every bucket is compared with its smallest member, its centre, and the links found give components. A bucket of one
+    component is done. In the others, members of different components have to meet, and two exact bounds rule out most of them
+    without a comparison: a shingle that no other component has is in no common part, so a node with too few others links
+    to nothing new, and two nodes share no more than the smaller number of others. What is left is compared bucket by bucket, in
+    blocks of a bounded number of members, members outside the bucket's largest component with the rest, each pair in
+    its first common bucket. So two members of a bucket are either compared, or ruled out, or connected.
     """
     bucket = ["band", "key"]
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1")
-    pairs = keys.join(shared, bucket).filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    pairs = kept(pairs.distinct(), "pairs")
+    crowded = kept(keys.join(shared.drop("members"), bucket), "buckets")
+    pairs = kept(crowded.filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     sets = kept(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     linked = f"100 * both >= {percent} * either"
     stars = kept(_compared(pairs, sets), "stars")
     labels = kept(components(stars.filter(linked)), "labels")
     if stars.filter(f"not ({linked})").isEmpty():
         return labels
-    away = stars.select("a", F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("away"))
-    group = kept(away.union(stars.select("a", F.col("a").alias("node"), F.lit(0.0).alias("away")).distinct()), "groups")
-    failed = stars.filter(f"not ({linked})").select("a").distinct()
-    group = group.join(failed, "a", "left_semi").withColumn("past", F.lit(False))
-    room, reach = REST * BANDS * nodes.count(), 1 - percent / 100 + 1e-9
-    while True:
-        now = labels.select("node", F.col("component").alias("label"))
-        group = group.join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        group = kept(group, "groups")
-        by_label = group.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
-        state = by_label.groupBy("a").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
-        group = group.join(state.select("a", F.col("top.label").alias("top"), "n"), "a")
-        few = group.filter("label <> top and not past and node <> a")
-        left = few.agg(F.sum("n")).first()[0]  # pairs at most
-        if not left:
-            return labels
-        last = left <= room
-        if not last:
-            few = few.groupBy("a").agg(F.min(F.struct("node", "away", "label")).alias("m")).select("a", "m.*")
-        few = few.join(nodes, "node").select(
-            "a", F.col("node").alias("m"), F.col("away").alias("away_m"), F.col("label").alias("of_m"), F.col("bands").alias("bands_m")
-        )
-        near = f"label <> of_m and m <> node and node <> a and abs(away - away_m) <= {reach} and not (past and node < m)"
-        shares = "exists(zip_with(bands, bands_m, (x, y) -> x = y), same -> same)"
-        met = group.join(few, "a").filter(near).join(nodes, "node").filter(shares)
-        pairs = kept(met.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct(), "pairs")
-        good = _compared(pairs, sets).filter(linked)
-        # the links found before say no more than their components
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = kept(components(good.select("a", "b").union(known)), "labels")
-        if last:
-            return labels
-        done = few.select("a", F.col("m").alias("node"), F.lit(True).alias("now_past"))
-        group = group.drop("label", "top", "n").join(done, ["a", "node"], "left").withColumn("past", F.coalesce("now_past", "past")).drop("now_past")
+    now = labels.select("node", F.col("component").alias("label"))
+    named = crowded.drop("centre").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    opened = kept(_of_several(named), "open")
+    shingled = _shingles(sets.join(opened.select("node", "label").distinct(), "node"))
+    common = shingled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("item")
+    outward = shingled.join(common, "item").groupBy("node").agg(F.collect_list("item").alias("items"))
+    sizes = sets.select("node", (F.length("items") / 8).cast("bigint").alias("n"))
+    able = kept(outward.join(sizes, "node").filter(f"100 * size(items) >= {percent} * n"), "able")
+    left = _of_several(opened.join(able.select("node"), "node", "left_semi"))
+    found = _met(kept(left, "left"), able.join(nodes, "node"), percent)
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return kept(components(found.union(known)), "labels")
+
+
+def _of_several(members: DataFrame) -> DataFrame:
+    """The members (band, key, node, label) of buckets with more than one label."""
+    several = members.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return members.join(several.select("band", "key"), ["band", "key"], "left_semi")
+
+
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(node, label, item): one row per shingle of the sets (node, items, label)."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                items = [np.frombuffer(v.as_buffer(), np.int64) for v in some.column("items")]
+                rows = np.repeat(np.arange(len(items)), [len(x) for x in items])
+                columns = [some.column(c).take(pa.array(rows)) for c in ("node", "label")]
+                yield pa.record_batch([*columns, pa.array(np.concatenate(items))], names=["node", "label", "item"])
+
+    return sets.select("node", "label", "items").mapInArrow(explode, "node bigint, label bigint, item bigint")
+
+
+def _met(members: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (band, key, node, label) of a bucket with different labels, as many as it takes to connect
+    what is linked. ``able`` holds their n, bands and the items they share with other components."""
+    by_label = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    state = by_label.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    state = state.select(
+        "band", "key", F.col("top.label").alias("top"),
+        F.ceil((F.col("all") - F.col("top.n")) / FEW).cast("int").alias("rows"), F.ceil(F.col("all") / MANY).cast("int").alias("columns"),
+    )
+    placed = members.join(state, ["band", "key"])
+    cell = ["band", "key", "row", "column"]
+
+    def copies(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        mine = side.withColumn(own, F.pmod(F.xxhash64("node"), F.col(own_n)).cast("int"))
+        spread = mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).select(*cell, "node", "label", "top")
+        full = spread.join(able, "node")
+        return full.select(*[F.col(c).alias(c) for c in [*cell, "node", "label", "top", "n", "bands", "items"]])
+
+    few = copies(placed.filter("label <> top"), "row", "rows", "column", "columns")
+    many = copies(placed, "column", "columns", "row", "rows")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            band = left.column("band")[0].as_py()
+            top = left.column("top")[0].as_py()
+            (x, of_x, nx, bx, ix), (y, of_y, ny, by, iy) = (_columns(t) for t in (left, right))
+            sx, sy = (np.array([len(i) for i in items]) for items in (ix, iy))
+            joined: dict[int, int] = {}  # components of this cell that were found to be one
+
+            def root(label: int) -> int:
+                while label in joined:
+                    label = joined[label]
+                return label
+
+            for i in range(len(x)):
+                most = np.minimum(sx[i], sy)
+                near = (of_y != of_x[i]) & (100 * most >= percent * (nx[i] + ny - most)) & ((of_y == top) | (x[i] < y))
+                near[near] &= (by[near] == bx[i]).argmax(axis=1) == band  # the first bucket both are in
+                for j in np.flatnonzero(near).tolist():
+                    one, other = root(int(of_x[i])), root(int(of_y[j]))
+                    if one != other:
+                        small, large = (ix[i], iy[j]) if sx[i] < sy[j] else (iy[j], ix[i])
+                        at = np.minimum(np.searchsorted(large, small), large.size - 1)
+                        both = int((large[at] == small).sum())
+                        if 100 * both >= percent * (nx[i] + ny[j] - both):
+                            joined[max(one, other)] = min(one, other)
+                            found.append((int(x[i]), int(y[j])))
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return few.groupBy(*cell).cogroup(many.groupBy(*cell)).applyInArrow(meet, "a bigint, b bigint")
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    node, label, n = (np.asarray(table.column(c)) for c in ("node", "label", "n"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+    return node, label, n, bands, [np.sort(v.values.to_numpy()) for v in table.column("items")]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -231,8 +289,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents with one row of each component left; rows without doc_id stay; columns unchanged."""
-    stay = near_duplicates(docs, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    key = F.col("doc_id").cast("bigint")
-    with_id = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return with_id.join(kept(stay, "stay"), key == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The documents with one row of each component left; rows without doc_id stay; columns unchanged.
+
+    Of rows that share a doc_id one stays, the one with the smallest text."""
+    stays = unused(docs, "_stays")
+    stay = near_duplicates(docs, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(stays)).distinct()
+    place = unused(docs, "_place")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    with_id = docs.filter(F.col("doc_id").isNotNull()).withColumn(place, first).filter(F.col(place) == 1).drop(place)
+    kept_ids = with_id.join(kept(stay, "stay"), F.col("doc_id").cast("bigint") == F.col(stays), "left_semi")
+    return kept_ids.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -65,15 +65,46 @@ def test_near_duplicates_equal_brute_force(spark, given_docs):
     assert near_rows(Q.op8_near(spark, SMALL)) == brute.near(given_docs)
 
 
-def test_near_duplicates_of_one_large_group_need_every_round(spark, monkeypatch):
-    """A chain: each text is close to the next one only, so no centre is close to all."""
-    monkeypatch.setattr(near, "REST", 0)
+def test_near_duplicates_of_a_chain(spark):
+    """Each text is close to the next one only, so no centre is close to all."""
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[8 * i : 8 * i + 200])) for i in range(12)]
     rows += [(50 + i, " ".join(words[150 + i : 350])) for i in range(5)]
     assert near_rows(near.near_duplicates(documents(spark, rows))) == brute.near(dict(rows))
 
 
+@pytest.mark.parametrize("cells", [(256, 1024), (3, 5)])
+def test_near_duplicates_of_one_large_group(spark, monkeypatch, cells):
+    """Copies of one text with few and many words changed or left out, some of them alike among themselves."""
+    monkeypatch.setattr(near, "FEW", cells[0])
+    monkeypatch.setattr(near, "MANY", cells[1])
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, changes, drops):
+        words = list(words)
+        for _ in range(changes):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 40)}"
+        for _ in range(drops):
+            del words[rng.randrange(len(words))]
+        return words
+
+    families = [edited(base, rng.choice([0, 0, 1, 1, 2, 3, 6]), rng.choice([0, 0, 1, 4])) for _ in range(40)]
+    texts = families + [edited(rng.choice(families), rng.randint(0, 2), rng.randint(0, 1)) for _ in range(160)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    want = brute.near(dict(rows))
+    sizes = [sum(v[1] == c for v in want.values()) for c in {v[1] for v in want.values()}]
+    assert max(sizes) > 40 and sizes.count(1) > 5  # a large component and texts that are near to it, but not enough
+    assert near_rows(near.near_duplicates(documents(spark, rows))) == want
+
+
+def test_clashing_columns_of_filters(spark):
+    names = ["_kept", "_stays", "_place", "stays", "component_id", "kept", "a", "b", "_base", "_weak", "_row"]
+    docs = documents(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (2, "A b"), (None, None), (4, "")]).withColumns({c: F.lit(7) for c in names})
+    left = near.without_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("1", "a b c d e f"), ("4", ""), ("None", "None")]
+
+
 def test_near_duplicates_of_poor_tables(spark):
     assert near.near_duplicates(empty(spark)).collect() == []
     repeated = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")])
