@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -32,12 +34,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Hand memory that is no longer used back to the system; a process keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def per_worker(name: str, make: Callable):
     """What ``make`` gives, kept in the worker process from task to task until another name is asked for: a worker that
     goes on to another stage drops what the last one remembered."""
     shelf = sys.modules.setdefault("_pliego_worker", types.ModuleType("_pliego_worker")).__dict__
     if shelf.get("name") != name:
         shelf.update(name=None, value=None)
+        give_back()
         shelf.update(name=name, value=make())
     return shelf["value"]
 

@@ -26,7 +26,9 @@ from pliego.session import kept
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_UNITS, CACHED_PARTS = 500_000, 800_000
+CACHE_BYTES = 96 << 20  # of remembered units in a worker
+MOST_TAILS = 10_000  # different runs of punctuation that are remembered
+ENTRY_BYTES = 170  # of an entry besides its characters and ids
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe, which may belong to the letters after it
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, place bigint"
@@ -46,7 +48,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.held = 0
+        self.tails: dict[str, bytes] = {}
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", r"[^\S \n]", *special]))
         self.line_end = self._encode(["\n"])[0]
@@ -87,10 +90,8 @@ class Encoder:
         return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
 
     def _learn(self, units: set[str]) -> None:
-        """Remember units, by parts that are remembered, too: a word with the space before it, and punctuation."""
-        if len(self.parts) > CACHED_PARTS:
-            self.parts.clear()
-        parts, line_end = self.parts, self.line_end
+        """Remember units and the words in them: a word, which follows a space, and the punctuation after it."""
+        known, tails, line_end = self.units, self.tails, self.line_end
         cut, words, others = [], set(), set()
         for unit in units:
             stem = unit.rstrip(PUNCTUATION)
@@ -102,19 +103,30 @@ class Encoder:
             else:
                 words.add(word)
             tail = unit[len(stem) :]
-            if tail:
+            if tail and tail not in tails:
                 others.add(tail)
             cut.append((unit, first, word, tail))
+        parts = {w: known[w[1:]] for w in words if w[0] == " " and w[1:] in known}
         new = [w for w in words if w not in parts]
-        parts.update(zip(new, self._encode_words(new)))
-        new = [w for w in others if w not in parts]
+        ids_of_new = self._encode_words(new)
+        before = len(known)
+        known.update((w[1:], ids) for w, ids in zip(new, ids_of_new) if w[0] == " ")
+        parts.update(zip(new, ids_of_new))
+        new = list(others)
         parts.update(zip(new, self._encode(new)))
-        known = self.units
+        size = 0
         for unit, first, word, tail in cut:
             ids = parts[word]
             if tail:
-                ids += parts[tail]
-            known[unit] = line_end + ids if first else ids
+                end = tails.get(tail)
+                if end is None:
+                    if len(tails) >= MOST_TAILS:
+                        tails.clear()
+                    end = tails[tail] = parts[tail] if tail in parts else self._encode([tail])[0]
+                ids += end
+            known[unit] = ids = line_end + ids if first else ids
+            size += len(unit) + len(ids)
+        self.held += size + ENTRY_BYTES * (len(known) - before)
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -125,8 +137,9 @@ class Encoder:
         known = self.units
         missing = {u for u in rest if u not in known}
         if missing:
-            if len(known) + len(missing) > CACHED_UNITS:
+            if self.held > CACHE_BYTES:
                 known.clear()
+                self.held = 0
                 missing = set(rest)
             self._learn(missing)
         return b"".join([*(self._encode([head]) if head else []), *map(known.__getitem__, rest)])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pliego.llm import (
     centroids, decontaminate, html, languages, licences, near, packing, phrases, pivots, repeats, secrets, toxicity, url_rules,
 )
-from pliego.llm.common import table
+from pliego.llm.common import give_back, table
 
 
 def tokenizer_path() -> str:
@@ -26,7 +26,9 @@ def is_held_out(doc_id="doc_id"):
 def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on the labelled rows that are not held out."""
     texts, toxic = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), ~is_held_out())
-    return toxicity.fit(texts, toxic)
+    model = toxicity.fit(texts, toxic)
+    give_back()
+    return model
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,8 +129,9 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     for changed texts. Masked is what ``secrets`` reports of the text as given, linked candidates included; distances are
     not measured again between masks. Texts with neither a base span nor an identity, which have nothing to report, pass
     through untouched and are not moved."""
-    base, weak, row = unused(docs, "_base"), unused(docs, "_weak"), unused(docs, "_row")
-    assert (base, weak, row) == ("_base", "_weak", "_row"), "columns _base, _weak and _row are taken"
+    given = docs.columns
+    aside = {c: unused(docs, f"_given{c}") for c in given if c.lower() in ("_base", "_weak", "_row", "_more")}
+    docs = docs.withColumnsRenamed(aside)  # columns of the names that are used below step aside
     text = F.col("text")
     any_ = F.coalesce(text.rlike("|".join((ASSIGN, ACCESS, HEX, IDENTITY))), F.lit(False))
     hit = _with_parts(docs.filter(any_), "text").withColumn("_row", F.monotonically_increasing_id())
@@ -152,4 +153,5 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
         changed = changed.withColumn("n_chars", F.when(F.size(spans) > 0, count).otherwise(F.col("n_chars")))
-    return docs.filter(~any_).select(*docs.columns).unionByName(changed.select(*docs.columns))
+    both = docs.filter(~any_).select(*docs.columns).unionByName(changed.select(*docs.columns))
+    return both.withColumnsRenamed({other: c for c, other in aside.items()}).select(*given)

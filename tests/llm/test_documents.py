@@ -103,6 +103,10 @@ def test_clashing_columns_of_filters(spark):
     docs = documents(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (2, "A b"), (None, None), (4, "")]).withColumns({c: F.lit(7) for c in names})
     left = near.without_near_duplicates(docs)
     assert left.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("1", "a b c d e f"), ("4", ""), ("None", "None")]
+    said = documents(spark, [(1, "password=hunter22 x"), (2, None), (3, "clean")]).withColumns({c: F.lit(7) for c in [*names, "_more"]})
+    masked = secrets.without_secrets(said)
+    assert masked.columns == said.columns and masked.filter("_base <> 7 or _row <> 7 or _more <> 7").count() == 0
+    assert {r.text for r in masked.collect()} == {"[REDACTED] x", None, "clean"}
 
 
 def test_near_duplicates_of_poor_tables(spark):
