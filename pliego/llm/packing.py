@@ -26,7 +26,7 @@ from pliego.session import kept
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_BYTES = 96 << 20  # of remembered units in a worker
+CACHE_BYTES = 128 << 20  # of remembered units in a worker
 MOST_TAILS = 10_000  # different runs of punctuation that are remembered
 ENTRY_BYTES = 170  # of an entry besides its characters and ids
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe, which may belong to the letters after it

@@ -35,6 +35,7 @@ SPANS = {3: 5, 4: 6, 5: 6}  # length of a subsequence: characters it may stretch
 BITS = 22
 WINDOW = 24  # longer strings are scored by overlapping windows
 THRESHOLD = 0.7
+SCORED, PART = 10_000, 1_000  # words scored, and training rows copied, at once
 SURE = 0.5  # log odds, less two standard errors, from which a word is first taken as toxic
 CACHED_WORDS = 400_000
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
@@ -100,8 +101,8 @@ class Kernel:
 
     def scores(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Per word, the largest scaled sum of table values over a window."""
-        if len(words) > 20_000:
-            return np.concatenate([self.scores(words[at : at + 20_000], table) for at in range(0, len(words), 20_000)])
+        if len(words) > SCORED:
+            return np.concatenate([self.scores(words[at : at + SCORED], table) for at in range(0, len(words), SCORED)])
         out = np.full(len(words), -np.inf)
         if not words:
             return out
@@ -150,14 +151,20 @@ def text_features(scores: np.ndarray) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
     """Squared hinge loss with a ridge, by Newton steps on the active rows; the last coefficient is the offset."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    eye = np.eye(x.shape[1]) * ridge
+    width = x.shape[1] + 1
+    w = np.zeros(width)
+    eye = np.eye(width) * ridge
     eye[-1, -1] = 1e-6
     for _ in range(30):
-        active = y * (x @ w) < 1
-        a = x[active] * weight[active, None]
-        new = np.linalg.solve(a.T @ x[active] + eye, a.T @ y[active])
+        active = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        left, right = eye.copy(), np.zeros(width)
+        for at in range(0, len(active), PART):  # rows are copied a part at a time
+            mine = active[at : at + PART]
+            part = np.column_stack([x[mine], np.ones(len(mine))])
+            weighted = part.T * weight[mine]
+            left += weighted @ part
+            right += weighted @ y[mine]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -219,11 +226,12 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     values, vectors = np.linalg.eigh(phi @ phi.T)
     root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
     to_features = phi.T @ root  # from sparse vector to Nyström features
+    del phi, vectors
 
     def nystroem(of: np.ndarray) -> np.ndarray:
         out = np.zeros((len(of), to_features.shape[1]))
-        for at in range(0, len(of), 500):
-            part = [vocabulary[i].strip(EDGES)[:WINDOW] for i in of[at : at + 500]]
+        for at in range(0, len(of), 250):
+            part = [vocabulary[i].strip(EDGES)[:WINDOW] for i in of[at : at + 250]]
             r, k, w = kernel.vectors(part)
             place = np.searchsorted(names, k)
             place[place == names.size] = 0
@@ -290,8 +298,8 @@ class Scorer:
         if len(self.known) + len(missing) > CACHED_WORDS:
             self.known = {}
             missing = list({w for b in bags for w in b})
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
+        for at in range(0, len(missing), SCORED):
+            part = missing[at : at + SCORED]
             self.known.update(zip(part, (self.kernel.scores(part, self.table) + self.model.offset).tolist()))
         known = self.known
         return np.array([text_features(np.fromiter(map(known.__getitem__, b), float, len(b))) for b in bags])
