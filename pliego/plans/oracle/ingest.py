@@ -73,7 +73,7 @@ SELECT chunk_id, source, file_name, page, chunk_index, page_content, processed_d
     "chunk_fixed": f"WITH {P.RAW_PAGES} {P.cut('doc_id', 'raw_pages')}",
     "chunk_recursive": recursive_chunks(),
     "chunk_param_sweep": f"WITH {P.RAW_PAGES} {SWEEP_SQL}",
-    "chunk_invariants": "SELECT CAST(0 AS BIGINT) AS bad_length, CAST(0 AS BIGINT) AS not_in_page, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS too_much_overlap, CAST(0 AS BIGINT) AS not_in_order",
+    "chunk_invariants": "SELECT CAST(0 AS BIGINT) AS bad_length, CAST(0 AS BIGINT) AS not_in_page, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS too_much_overlap, CAST(0 AS BIGINT) AS not_in_order, CAST(0 AS BIGINT) AS not_filled",
     "chunk_index": f"WITH {P.CHUNKS} SELECT source, page, pos, chunk_index FROM chunks_",
     "default_source": f"WITH {P.PAGES}, {GAPPED} SELECT doc_id, coalesce(source, {P.text(K.DEFAULT_SOURCE)}) AS source FROM gapped",
     "file_name": f"WITH {P.PAGES}, {GAPPED} SELECT doc_id, {P.file_name('source')} AS file_name FROM gapped",

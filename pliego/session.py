@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def local_session(cpus: str = "*", app: str = "pliego", **settings: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -26,8 +27,13 @@ def local_session(cpus: str = "*", app: str = "pliego", **settings: str) -> Spar
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below ``spark.checkpoint.dir``, or below the warehouse where that is unset: folders that every
-    executor can reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pliego-work"
+    executor can reach. A cluster has to name one of the two, since the default warehouse is a folder of the driver."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        named = spark.sparkContext.getConf().get("spark.sql.warehouse.dir")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pliego-work"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

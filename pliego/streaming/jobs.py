@@ -19,6 +19,7 @@ from pliego.operators.chunking import chunk_fixed
 from pliego.operators.conversation import spoken
 from pliego.operators.metadata import enrich
 from pliego.sources.tables import SCHEMAS
+from pliego.streaming import state_table
 
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 TURN_BLOCK = 1024
@@ -79,9 +80,9 @@ def chat_state(messages: DataFrame, path: str) -> DataFrame:
     """Keep count and last messages per conversation while messages arrive; returns the latest state of each.
 
     The state's key is (conversation, block of turns), so a very long conversation is spread over many keys, and every
-    key holds four messages and a count. Each batch appends its changed states to a table. A state without messages for
-    ``SILENCE_MS`` is dropped; messages after that begin a new one, named by its first turn, and the written table, which
-    has both, gives the whole conversation."""
+    key holds four messages and a count. Each batch merges its changed states into a table with one row per state (see
+    ``state_table``). A state without messages for ``SILENCE_MS`` is dropped; messages after that begin a new one, named by
+    its first turn, and the written table, which has both, gives the whole conversation."""
     said = messages.filter(F.col("role").isin("user", "assistant")).select(
         "conv_id",
         F.expr(f"turn div {TURN_BLOCK}").alias("block"),
@@ -92,22 +93,28 @@ def chat_state(messages: DataFrame, path: str) -> DataFrame:
     # messages carry no time of their own, so silence is measured by when they were read
     states = said.withWatermark("seen", "0 seconds").groupBy("conv_id", "block").applyInPandasWithState(
         _last_messages,
-        "conv_id bigint, block bigint, began bigint, messages bigint, tail string",
+        state_table.STATE,
         "began bigint, messages bigint, tail string",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-    return merge_states(run_to_files(states, path))
+    query = (
+        states.writeStream.foreachBatch(lambda batch, number: state_table.merge(batch, number, path))
+        .option("checkpointLocation", f"{path}-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return merge_states(state_table.load(messages.sparkSession, path))
 
 
 def merge_states(written: DataFrame) -> DataFrame:
-    """(conv_id, messages, history_tail): newest row of each state, then all states of a conversation."""
-    newest = written.groupBy("conv_id", "block", "began").agg(F.max(F.struct("messages", "tail")).alias("s"))
-    counts = newest.groupBy("conv_id").agg(F.sum("s.messages").alias("messages"))
+    """(conv_id, messages, history_tail) from all states of a conversation, one row each."""
+    counts = written.groupBy("conv_id").agg(F.sum("messages").alias("messages"))
     back = W.partitionBy("conv_id").orderBy(F.col("block").desc(), F.col("began").desc())
     # Four states are enough for four messages: each holds at least one, and later states hold later turns.
-    last = newest.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= K.HISTORY_MESSAGES)
-    lines = last.select("conv_id", F.explode(F.from_json("s.tail", "array<array<string>>")).alias("m")).select(
+    last = written.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= K.HISTORY_MESSAGES)
+    lines = last.select("conv_id", F.explode(F.from_json("tail", "array<array<string>>")).alias("m")).select(
         "conv_id", F.struct(F.col("m")[0].cast("bigint").alias("turn"), F.col("m")[1].alias("line")).alias("m")
     )
     tails = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("all")).select(

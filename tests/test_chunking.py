@@ -50,8 +50,8 @@ def test_recursive_promises_hold_on_random_texts(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choice("ab  \n\n\té") for _ in range(rng.randint(0, 400))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), PAGES)
-    for size, overlap in ((10, 0), (10, 4), (50, 20)):
-        assert chunking.invariant_violations(df, size, overlap).first() == (0, 0, 0, 0, 0)
+    for size, overlap in ((10, 0), (10, 4), (50, 20), (4, 3)):
+        assert chunking.invariant_violations(df, size, overlap).first() == (0, 0, 0, 0, 0, 0)
 
 
 def test_the_splitter_equals_its_recursive_twin_on_random_texts(spark):
@@ -80,10 +80,24 @@ def test_no_chunk_contains_its_neighbour(spark):
             assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(spans, spans[1:]))
 
 
-def test_broken_promises_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(chunking, "_pack", lambda text, size, overlap: iter([(0, "zz"), (0, "ab")]))
-    df = spark.createDataFrame([(0, "abcdef")], PAGES)
-    assert chunking.invariant_violations(df, 1, 0).first() == (2, 1, 1, 1, 1)
+@pytest.mark.parametrize(
+    "text, size, overlap, chunks, want",
+    [
+        ("abcdef", 1, 0, [(0, "zz"), (0, "ab")], (2, 1, 1, 1, 1, 0)),
+        ("aaaaa", 4, 0, [(0, "aaaaa")], (1, 0, 0, 0, 0, 0)),
+        ("aa bb", 4, 0, [(0, "ax"), (3, "bb")], (0, 1, 0, 0, 0, 0)),
+        ("aa bb cc", 4, 0, [(0, "aa"), (6, "cc")], (0, 0, 1, 0, 0, 0)),
+        ("aaaa bb", 4, 1, [(0, "aaaa"), (1, "aaa"), (5, "bb")], (0, 0, 0, 1, 0, 0)),
+        ("aaaaaa", 4, 3, [(2, "aaaa"), (0, "aaaa")], (0, 0, 2, 1, 1, 0)),
+        ("aa bb cc", 8, 0, [(0, "aa"), (3, "bb cc")], (0, 0, 0, 0, 0, 1)),
+        ("aa bb\n\ncc dd ee", 9, 0, [(0, "aa bb"), (7, "cc dd ee")], (0, 0, 0, 0, 0, 0)),
+        ("a\n\nbbbb cc", 9, 0, [(0, "a"), (3, "bbbb"), (8, "cc")], (0, 0, 0, 0, 0, 1)),
+    ],
+)
+def test_broken_promises_are_counted(spark, monkeypatch, text, size, overlap, chunks, want):
+    monkeypatch.setattr(chunking, "_pack", lambda *_: iter(chunks))
+    df = spark.createDataFrame([(0, text)], PAGES)
+    assert tuple(chunking.invariant_violations(df, size, overlap).first()) == want
 
 
 def test_overlap_must_be_smaller_than_the_chunk(spark):

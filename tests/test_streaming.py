@@ -1,8 +1,10 @@
 import datetime
 
+import pytest
+from pyspark.sql import functions as F
 
 from pliego.session import shared_folder
-from pliego.streaming import jobs
+from pliego.streaming import jobs, state_table
 
 
 def write(spark, rows, schema, folder, name):
@@ -47,6 +49,35 @@ def test_chat_state_comes_back_after_silence(spark, monkeypatch):
     assert got[1].messages == 3 and got[1].history_tail == "User: a\nAI: b\nUser: c"
 
 
+def test_the_state_table_has_one_row_per_state_after_many_batches(spark):
+    path, want = shared_folder(spark, "states"), {}
+    for n in range(5):
+        rows = [(c, 0, 0, 10 * n + c, f"t{n}") for c in range(n, n + 4)]
+        want |= {r[:3]: r for r in rows}
+        state_table.merge(spark.createDataFrame(rows, state_table.STATE), n, path)
+    got = [tuple(r) for r in state_table.load(spark, path).collect()]
+    assert len(got) == len(want) and set(got) == set(want.values())
+    files = spark.read.parquet(f"{path}/side-0").count() + spark.read.parquet(f"{path}/side-1").count()
+    assert files <= 2 * len(want)  # rows on disk, both sides, do not grow with the batches
+    assert len(state_table.manifest(spark, path)) <= min(len(want), state_table.BUCKETS)
+
+
+def test_a_replayed_or_failed_batch_changes_nothing(spark, monkeypatch):
+    path = shared_folder(spark, "states")
+    batch = lambda *rows: spark.createDataFrame(list(rows), state_table.STATE)
+    state_table.merge(batch((1, 0, 0, 1, "a"), (2, 0, 0, 1, "x")), 0, path)
+    state_table.merge(batch((1, 0, 0, 2, "b")), 1, path)
+    want = {(1, 0, 0, 2, "b"), (2, 0, 0, 1, "x")}
+    state_table.merge(batch((1, 0, 0, 9, "again")), 1, path)
+    assert {tuple(r) for r in state_table.load(spark, path).collect()} == want
+    fails = F.raise_error(F.lit("lost")).cast("string")
+    with pytest.raises(Exception, match="lost"):
+        state_table.merge(batch((1, 0, 0, 3, "c"), (2, 0, 0, 2, "y")).withColumn("tail", F.when(F.col("conv_id") == 2, fails).otherwise(F.col("tail"))), 2, path)
+    assert {tuple(r) for r in state_table.load(spark, path).collect()} == want
+    state_table.merge(batch((1, 0, 0, 3, "c"), (2, 0, 0, 2, "y")), 2, path)
+    assert {tuple(r) for r in state_table.load(spark, path).collect()} == {(1, 0, 0, 3, "c"), (2, 0, 0, 2, "y")}
+
+
 def test_ingest_keeps_given_page_numbers(spark):
     schema = "source string, doc_id bigint, lang string, page bigint, page_content string"
     folder, out = shared_folder(spark, "in"), shared_folder(spark, "store")
