@@ -133,31 +133,60 @@ def chunk_recursive(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K
     )
 
 
-def _next_part(text: Column, at: Column, size: int) -> Column:
-    """How many characters from ``at``, which is no white space, to the end of the part that holds it: of its paragraph, line or word, the
-    first of them that is no longer than ``size``, or one character. More than ``size`` if that cannot be told from the
-    ``size`` characters around it, when the part would fit nowhere."""
+def _unfilled(text: Column, firsts: Column, size: int) -> Column:
+    """How many of the chunks ``firsts`` (start, text), each followed by another one, had room for the part after them.
+
+    That is the part that holds the next character that is no white space: its paragraph, line or word, the first of them
+    that is no longer than ``size``, or the character. Only the ``size`` characters around it are looked at; a part that
+    they do not hold would not have fitted. Every step is bound once, so that no text is cut twice.
+    """
     width = size + 2
-    before = F.substring(text, F.greatest(at - width, F.lit(0)) + 1, F.least(at, F.lit(width)))
-    after = F.substring(text, at + 1, F.lit(width))
-    tail = F.substring_index(before, "\n\n", -1)
-    run = F.substring(before, F.lit(1), F.length(before) - F.length(tail))
-    rest = F.rtrim(run, F.lit("\n"))
-    # line ends are taken in pairs from the first on, so an odd one more belongs to the paragraph after it
-    mark = F.when(run == "", F.lit(0)).otherwise(2 + (F.length(run) - F.length(rest)) % 2)
-    unknown = (run != "") & (rest == "") & (at > width)
-    paragraph = F.length(F.substring_index(after, "\n\n", 1))
-    line_tail, line = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)
-    line_mark = before.contains("\n").cast("int")
-    word_tail, word = F.substring_index(line_tail, " ", -1), F.length(F.substring_index(line, " ", 1))
-    word_mark = F.when(line_tail.contains(" "), F.lit(1)).otherwise(line_mark)
-    return (
-        F.when(unknown, F.lit(size + 1))
-        .when(mark + F.length(tail) + paragraph <= size, paragraph)
-        .when(line_mark + F.length(line_tail) + F.length(line) <= size, F.length(line))
-        .when(word_mark + F.length(word_tail) + word <= size, word)
-        .otherwise(F.lit(1))
-    )
+    blanks = F.lit(K.PYTHON_BLANKS)
+
+    def place(a: Column) -> Column:
+        lead = F.substring(text, F.greatest(a["start"] - size, F.lit(0)) + 1, F.least(a["start"], F.lit(size)))
+        stop = a["start"] + F.length(a["text"])
+        rest = F.substring(text, stop + 1, F.lit(width))
+        begin = a["start"] - F.length(lead) + F.length(F.rtrim(lead, blanks))
+        return F.struct(begin.alias("begin"), (stop + F.length(rest) - F.length(F.ltrim(rest, blanks))).alias("at"))
+
+    def around(p: Column) -> Column:
+        at = p["at"]
+        before = F.substring(text, F.greatest(at - width, F.lit(0)) + 1, F.least(at, F.lit(width)))
+        return F.struct(p["begin"].alias("begin"), at.alias("at"), before.alias("before"), F.substring(text, at + 1, F.lit(width)).alias("after"))
+
+    def parts(p: Column) -> Column:
+        before, after = p["before"], p["after"]
+        tail = F.length(F.substring_index(before, "\n\n", -1))
+        return F.struct(
+            *[p[c].alias(c) for c in ("begin", "at")],
+            tail.alias("tail"),
+            F.substring(before, F.lit(1), F.length(before) - tail).alias("run"),
+            F.length(F.substring_index(after, "\n\n", 1)).alias("paragraph"),
+            F.substring_index(before, "\n", -1).alias("line_tail"),
+            before.contains("\n").cast("int").alias("line_mark"),
+            F.substring_index(after, "\n", 1).alias("line"),
+        )
+
+    def room(p: Column) -> Column:
+        newlines = F.length(p["run"]) - F.length(F.rtrim(p["run"], F.lit("\n")))
+        # line ends are taken in pairs from the first on, so an odd one more belongs to the paragraph after it
+        mark = F.when(newlines == 0, F.lit(0)).otherwise(2 + newlines % 2)
+        unknown = (newlines > 0) & (newlines == F.length(p["run"])) & (p["at"] > width)
+        line_tail, line = p["line_tail"], F.length(p["line"])
+        word = F.length(F.substring_index(p["line"], " ", 1))
+        word_mark = F.when(line_tail.contains(" "), F.lit(1)).otherwise(p["line_mark"])
+        part = (
+            F.when(unknown, F.lit(size + 1))
+            .when(mark + p["tail"] + p["paragraph"] <= size, p["paragraph"])
+            .when(p["line_mark"] + F.length(line_tail) + line <= size, line)
+            .when(word_mark + F.length(F.substring_index(line_tail, " ", -1)) + word <= size, word)
+            .otherwise(F.lit(1))
+        )
+        return p["at"] + part - p["begin"] <= size
+
+    near = F.filter(F.transform(firsts, place), lambda p: (p["at"] < F.length(text)) & (p["at"] - p["begin"] < size))
+    return F.size(F.filter(F.transform(F.transform(near, around), parts), room))
 
 
 def invariant_violations(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
@@ -187,23 +216,12 @@ def invariant_violations(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: in
         first, second = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, 2, F.size(pieces))
         return F.size(F.filter(F.zip_with(first, second, test), lambda x: x))
 
-    def blanks_before(at: Column) -> Column:
-        before = F.substring(text, F.greatest(at - size, F.lit(0)) + 1, F.least(at, F.lit(size)))
-        return F.length(before) - F.length(F.rtrim(before, F.lit(K.PYTHON_BLANKS)))
-
-    def unfilled(a: Column, b: Column) -> Column:
-        """The part that holds the next character after ``a`` is no white space would have fitted into ``a``."""
-        rest = F.substring(text, stop(a) + 1, F.length(text))
-        at = stop(a) + F.length(rest) - F.length(F.ltrim(rest, F.lit(K.PYTHON_BLANKS)))
-        end = at + _next_part(text, at, size)
-        return (at < F.length(text)) & (end - (a["start"] - blanks_before(a["start"])) <= size)
-
     counted = split.select(
         broken(lambda p: (F.length(p["text"]) < 1) | (F.length(p["text"]) > size)).alias("bad_length"),
         broken(lambda p: F.substring(text, p["start"] + 1, F.length(p["text"])) != p["text"]).alias("not_in_page"),
         F.size(F.filter(gaps, lambda g: F.btrim(g, F.lit(K.PYTHON_BLANKS)) != "")).alias("uncovered"),
         pairs(lambda a, b: stop(a) - b["start"] > overlap).alias("too_much_overlap"),
         pairs(lambda a, b: b["start"] <= a["start"]).alias("not_in_order"),
-        pairs(unfilled).alias("not_filled"),
+        _unfilled(text, F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), size).alias("not_filled"),
     )
     return counted.agg(*[F.coalesce(F.sum(c).cast("bigint"), F.lit(0)).alias(c) for c in counted.columns])
