@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,10 @@ from pliego.llm.common import slices
 from pliego.llm.url_rules import host_of, path_of
 from pliego.session import kept
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# A tag is read once from its start: possessive parts never go back, and a quote counts only as the start of a value.
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+VALUES = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+PLAIN = re.compile(r"([^>]*+)>")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
 WHITE = re.compile(r"[ \t\n\r\f\v ]+")
@@ -46,16 +51,32 @@ FRAME_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
     "cookie", "cookies", "disqus", "footer", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup",
     "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
+    "alert", "alerts", "notices",
 }
+# Last words of such names that only say what kind of place it is, and first words that say it is elsewhere.
+PLACES = {"list", "slot", "box", "area", "wrapper", "section", "container", "bar", "block", "panel", "thread", "unit", "form", "links", "items"}
+ELSEWHERE = {"has", "no", "with", "without", "is", "hide", "show"}
 COMMENT_WORDS = {"comment", "comments", "disqus"}
 
 
+def _says_frame(name: str) -> bool:
+    """Whether a name means frame: its head word, the last one before words of ``PLACES``, is one of ``FRAME_WORDS``."""
+    words = WORDS.findall(name)
+    if not words or words[0] in ELSEWHERE:
+        return False
+    if FRAME_WORDS.issuperset(words):
+        return True
+    while len(words) > 1 and words[-1] in PLACES:
+        words.pop()
+    return words[-1] in FRAME_WORDS
+
+
 def _frame_names(name: str, attributes: str) -> set[str]:
-    """Names of class, id and role that consist of frame words only; one with any other word says nothing for sure."""
+    """Names of class, id and role that say frame."""
     if name in MAIN or name in ("body", "html") or not attributes:
         return set()
     names = {n for found in NAMED.findall(attributes) for n in "".join(found).lower().split()}
-    return {n for n in names if (words := WORDS.findall(n)) and FRAME_WORDS.issuperset(words)}
+    return {n for n in names if _says_frame(n)}
 
 
 class Wrappers:
@@ -78,10 +99,13 @@ class Wrappers:
         self.comments.append((outer >= 0 and self.comments[outer]) or any(COMMENT_WORDS.intersection(WORDS.findall(n)) for n in names))
         return len(self.outer) - 1
 
-    def outside(self, found: list[tuple[str, bool, int, int, int]]) -> list[tuple[str, bool]]:
-        """Of (text, in main, wrapper, wrapper since main, wrapper of main) the blocks that are in no frame."""
+    def kinds(self, found: list[tuple[str, bool, bool, int, int, int]]) -> list[tuple[str, bool | None]]:
+        """Of (text, in frame, in main, wrapper, wrapper since main, wrapper of main) each block with whether it is main
+        content, or none if it is in a frame."""
         text, inside = [0] * (len(self.outer) + 1), [0] * (len(self.outer) + 1)  # the last one is the page
-        for line, main, outer, chain, home in found:
+        for line, frame, main, outer, chain, home in found:
+            if frame:
+                continue
             text[outer] += len(line)
             if main and chain < 0:
                 inside[home] += len(line)
@@ -93,18 +117,27 @@ class Wrappers:
             most = text[n] == text[-1] if comments else 2 * text[n] > text[-1] and not (named and inside[-1])
             holds = inside[n] > 0 and 2 * inside[n] >= inside[-1]
             good.append((most or holds) and (self.chain[n] < 0 or good[self.chain[n]]))
-        left = [(line, main) for line, main, _, chain, _ in found if chain < 0 or good[chain]]
-        return left or [(line, main) for line, main, *_ in found]
+        stays = [not frame and (chain < 0 or good[chain]) for _, frame, _, _, chain, _ in found]
+        any_ = any(stays)
+        return [(line, main if stay or not (any_ or frame) else None) for stay, (line, frame, main, *_) in zip(stays, found)]
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, in main content) of each block that is not in a frame element, in page order.
+    """(text, in main content) of each block that is not in a frame element, in page order."""
+    return [(text, main) for text, main in lines_of(page) if main is not None]
+
+
+def lines_of(page: str) -> list[tuple[str, bool | None]]:
+    """(text, in main content, or none in a frame element) of each block, in page order.
 
     Frame are the elements of ``FRAME``, a header outside main content, and wrappers (see ``Wrappers``). Main content in
     a wrapper stays, but an article among comments is a comment. Unclosed elements end with their parent; a tag that is
-    never finished is text to the end of the page.
+    never finished is text to the end of the page, one whose last value is never closed ends at its first ``>``. The
+    page is read once from start to end, so the time grows with its length, however long or broken it is.
     """
-    found: list[tuple[str, bool, int, int, int]] = []
+    found: list[tuple[str, bool, bool, int, int, int]] = []
+    opened: Counter[str] = Counter()
+    rest = VALUES
     stack: list[tuple] = []  # name, state around it
     wrappers = Wrappers()
     state = (False, False, -1, -1, -1)  # in frame, in main, wrapper, wrapper since main, wrapper of main
@@ -114,8 +147,8 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if held:
             text = WHITE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
-            if text and not state[0]:
-                found.append((text, *state[1:]))
+            if text:
+                found.append((text, *state))
 
     def within(name: str, attributes: str) -> tuple:
         frame, main, outer, chain, home = state
@@ -130,22 +163,42 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 
     at, size = 0, len(page)
     while at < size:
-        m = TAG.search(page, at)
-        if not m:
-            held.append(page[at:])
+        begin = page.find("<", at)
+        if begin < 0:
             break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        if not m.group(2):
+        if begin > at:
+            held.append(page[at:begin])
+        at = begin
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page[begin + 1 : begin + 2] in ("!", "?"):
+            end = page.find(">", begin)
+            if end < 0:
+                break
+            at = end + 1
             continue
+        m = NAME.match(page, begin)
+        if not m:
+            held.append("<")
+            at = begin + 1
+            continue
+        tail = rest.match(page, m.end())
+        if not tail and rest is VALUES:
+            rest = PLAIN  # no tag from here on has all its values closed
+            tail = rest.match(page, m.end())
+        if not tail:
+            break
+        at, attributes = tail.end(), tail.group(1)
         name = m.group(2).lower()
         if m.group(1):
             if name in BLOCK or name in MAIN:
                 flush()
-            if any(n == name for n, _ in stack):
+            if opened[name]:
                 while stack:
                     top, before = stack.pop()
+                    opened[top] -= 1
                     if before != state:
                         flush()
                     state = before
@@ -153,29 +206,33 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                         break
             continue
         if name in RAW:
-            if not m.group(3).rstrip().endswith("/") or name in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+            if not attributes.rstrip().endswith("/") or name in ("script", "style", "textarea", "title"):
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                close = page.find(">", end.end()) if end else -1
+                at = close + 1 if close >= 0 else size
             continue
         if name == "br":
             held.append(" ")
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P and stack and any(n == "p" for n, _ in stack):
+            if name in CLOSES_P and opened["p"]:
                 while stack:  # a block ends an open paragraph and the inline elements in it
                     top, state = stack.pop()
+                    opened[top] -= 1
                     if top == "p":
                         break
-        if name in VOID or m.group(3).rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        inner = within(name, m.group(3))
+        inner = within(name, attributes)
         if inner != state:
             flush()
         stack.append((name, state))
+        opened[name] += 1
         state = inner
+    held.append(page[at:])
     flush()
-    return wrappers.outside(found)
+    return wrappers.kinds(found)
 
 
 def line_key(text: str) -> int:
@@ -215,10 +272,19 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
     return out
 
 
-def main_text(page: list[tuple[str, bool]], keys: list[int], other: list[int] | None) -> str:
-    """A page loses the lines it shares with its neighbour, except those of its declared main content."""
+def unshared(kinds: list[bool | None], keys: list[int], other: list[int] | None) -> tuple[list[int], int]:
+    """Places of the lines that stay, and how many the neighbour takes away. All lines of both pages are aligned, those of
+    frame elements too. Shared ones go, except those of the page's declared main content; of the rest, lines of frame
+    elements go by the markup."""
     gone = shared_lines(keys, other) if other is not None else set()
-    return "\n\n".join(text for n, (text, main) in enumerate(page) if main or n not in gone)
+    gone = {n for n in gone if not kinds[n]}
+    return [n for n, main in enumerate(kinds) if main is not None and n not in gone], len(gone)
+
+
+def main_text(page: list[tuple[str, bool | None]], keys: list[int], other: list[int] | None) -> str:
+    """The lines of a page that stay beside its neighbour's."""
+    left, _ = unshared([main for _, main in page], keys, other)
+    return "\n\n".join(page[n][0] for n in left)
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -253,12 +319,12 @@ def nearest(pages: DataFrame) -> DataFrame:
     return rows.select("row", other.alias("other")).filter("other is not null")
 
 
-LINES = "row bigint, url string, keys array<bigint>"
-PARSED = "row bigint, page_id bigint, url string, mains array<boolean>, packed binary"
+LINES = "row bigint, url string, keys array<bigint>, body bigint"
+PARSED = "row bigint, page_id bigint, url string, mains array<boolean>, keys binary, packed binary"
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
+    """Per row of pages (page_id, url, html): page_id, url, text, n_chars, n_shared (lines that went because the neighbour has them).
 
     Null, empty and blank pages have an empty text. Null urls and urls without host have no neighbour. Repeated rows,
     and pages of a host with the same lines, are one page in the host's order, and returned each: a copy shows no frame. Of two neighbours equally near the earlier one counts. Other
@@ -268,21 +334,25 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            keys = [[line_key(t) for t, _ in blocks(page or "")] for page in batch.column("html").to_pylist()]
-            yield pa.record_batch([batch.column("row"), batch.column("url"), pa.array(keys, pa.list_(pa.int64()))], names=["row", "url", "keys"])
+            pages_ = [lines_of(page or "") for page in batch.column("html").to_pylist()]
+            keys = [[line_key(t) for t, _ in found] for found in pages_]
+            body = [line_key("\n".join(t for t, main in found if main is not None)) for found in pages_]
+            columns = [batch.column("row"), batch.column("url"), pa.array(keys, pa.list_(pa.int64())), pa.array(body, pa.int64())]
+            yield pa.record_batch(columns, names=["row", "url", "keys", "body"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "html"):
-            found = [blocks(page or "") for page in batch.column("html").to_pylist()]
-            # white space within a block is one space, so a line end can part the blocks
-            packed = [squeeze("\n".join(t for t, _ in f).encode("utf-8", "surrogatepass")) for f in found]
-            mains = pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))
+            pages_ = [lines_of(page or "") for page in batch.column("html").to_pylist()]
+            # of frame lines only the digest is needed; white space within a block is one space, so a line end can part blocks
+            packed = [squeeze("\n".join(t for t, main in f if main is not None).encode("utf-8", "surrogatepass")) for f in pages_]
+            keys = [array("q", [line_key(t) for t, main in f if main is None]).tobytes() for f in pages_]
+            mains = pa.array([[main for _, main in f] for f in pages_], pa.list_(pa.bool_()))
             yield pa.record_batch(
-                [batch.column("row"), batch.column("page_id"), batch.column("url"), mains, pa.array(packed, pa.binary())],
-                names=["row", "page_id", "url", "mains", "packed"],
+                [batch.column("row"), batch.column("page_id"), batch.column("url"), mains, pa.array(keys, pa.binary()), pa.array(packed, pa.binary())],
+                names=["row", "page_id", "url", "mains", "keys", "packed"],
             )
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,21 +360,25 @@ def extract(pages: DataFrame) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = []
-            for packed, mains, other in zip(*(batch.column(c).to_pylist() for c in ("packed", "mains", "other_keys"))):
-                found = unpack(packed).decode("utf-8", "surrogatepass").split("\n") if mains else []
-                text = main_text(list(zip(found, mains)), list(map(line_key, found)), other)
-                texts.append(text.encode("utf-8", "replace").decode())  # lone surrogates cannot be stored
+            texts, shared = [], []
+            for packed, frame, mains, other in zip(*(batch.column(c).to_pylist() for c in ("packed", "keys", "mains", "other_keys"))):
+                plain = iter(unpack(packed).decode("utf-8", "surrogatepass").split("\n"))
+                found = [None if main is None else next(plain) for main in mains]
+                digests = iter(array("q", frame))
+                keys = [next(digests) if text is None else line_key(text) for text in found]
+                left, gone = unshared(mains, keys, other)
+                texts.append("\n\n".join(found[n] for n in left).encode("utf-8", "replace").decode())  # lone surrogates cannot be stored
+                shared.append(gone)
             yield pa.record_batch(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(shared, pa.int64())],
+                names=["page_id", "url", "text", "n_chars", "n_shared"],
             )
 
     given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     given = given.withColumn("row", F.xxhash64("page_id", "url", "html"))
     keyed = kept(given.select("row", "url", "html").mapInArrow(lines, LINES).dropDuplicates(["row"]), "page-lines")
     copy = ["host", "lines"]
-    order = keyed.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("keys").alias("lines"))
+    order = keyed.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("body").alias("lines"))
     order = order.filter("host <> ''")
     # pages of a host with the same lines are one page in its order: that of the first path
     first = order.groupBy(*copy).agg(F.min(F.struct("path", "row")).alias("first")).select(*copy, "first.path", "first.row")
@@ -313,6 +387,6 @@ def extract(pages: DataFrame) -> DataFrame:
     near = order.select("row", *copy).join(near, copy).select("row", "other")
     near = near.join(keyed.select(F.col("row").alias("other"), F.col("keys").alias("other_keys")), "other").select("row", "other_keys")
     both = given.mapInArrow(parse, PARSED).join(near, "row", "left")
-    return both.select("page_id", "url", "mains", "packed", "other_keys").mapInArrow(
-        difference, "page_id bigint, url string, text string, n_chars bigint"
+    return both.select("page_id", "url", "mains", "keys", "packed", "other_keys").mapInArrow(
+        difference, "page_id bigint, url string, text string, n_chars bigint, n_shared bigint"
     )
