@@ -32,6 +32,7 @@ SCOPE = 200
 
 KINDS = ["assign", "access", "hex", "identity", "endpoint", "opaque"]  # in the order of ties
 MASK = "[REDACTED]"
+PIECE = 512  # characters
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -43,20 +44,29 @@ def _found(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.zip_with(between, whole, lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size")))
-    sizes = F.zip_with(F.slice(sizes, 1, F.size(whole)), value, lambda s, v: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), F.length(v).alias("value")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        span = F.struct(
-            begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + m["size"]).alias("end"), F.lit(kind).alias("kind")
-        )
-        good = m["value"] >= LEAST.get(kind, 1)
-        return F.struct((begin + m["size"]).alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
+    steps = F.zip_with(between, whole, lambda gap, m: (F.length(gap) + F.length(m)).cast("bigint"))
+    ends = _running(F.slice(steps, 1, F.size(whole)), lambda x, y: x + y)
+    lengths = F.zip_with(whole, value, lambda m, v: F.struct(F.length(m).cast("bigint").alias("size"), F.length(v).alias("value")))
+    places = F.zip_with(ends, lengths, lambda n, x: F.struct(n.alias("end"), x["size"].alias("size"), x["value"].alias("value")))
+    good = F.filter(places, lambda x: x["value"] >= LEAST.get(kind, 1))
+    spans = F.transform(
+        good,
+        lambda x: F.struct((x["end"] - x["size"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")),
+    )
     # most texts have no match: one search of the pattern is all they cost
-    return F.when(text.rlike(pattern), F.aggregate(sizes, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+
+
+def _running(values: Column, join) -> Column:
+    """Running totals of an array under ``join`` (sum, greatest). Each round joins every value with the one twice as far
+    before it, so n values take log2(n) rounds over the array and no array grows by single values."""
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(acc, lambda v, i: F.when(i >= back, join(v, F.get(acc, i - back))).otherwise(v))
+
+    return F.aggregate(rounds, values, step)
 
 
 def _with_parts(docs: DataFrame, text: str) -> DataFrame:
@@ -108,7 +118,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans (all spans as kind:start:end), n_linked.
 
     Null texts are read as empty and have no spans; repeated rows and rows without doc_id are returned each; spans that
-    start together are listed in the order of ``KINDS``; other columns are ignored; an empty table gives no rows.
+    start together are listed in the order of ``KINDS``; other columns are ignored; an empty table gives no rows. Very long
+    texts are read whole; n matches in one text take time in proportion to n log n.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     parts = _with_parts(rows, "text").select("doc_id", "_base", "_weak")
@@ -124,6 +135,32 @@ def secrets(docs: DataFrame) -> DataFrame:
     )
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with ``MASK`` for every span (in order); one that begins before the end of those before it is part of
+    their mask. The text is cut once into pieces of ``PIECE`` characters, and what lies between two spans is taken from
+    the pieces it reaches, so that no span walks through the text again."""
+    ends = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    placed = F.zip_with(spans, ends, lambda s, n: F.struct(s["start"].alias("start"), n.alias("end")))
+    every = F.struct(placed.alias("placed"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
+
+    def build(x: Column) -> Column:
+        placed, pieces = x["placed"], x["pieces"]
+
+        def between(begin: Column, end: Column) -> Column:
+            first = F.floor(begin / PIECE)
+            some = F.array_join(F.slice(pieces, (first + 1).cast("int"), (F.floor(end / PIECE) - first + 1).cast("int")), "")
+            return F.substring(some, (begin - first * PIECE + 1).cast("int"), (end - begin).cast("int"))
+
+        def one(s: Column, i: Column) -> Column:
+            at = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(placed, i - 1)["end"])
+            return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(between(at, s["start"]), F.lit(MASK)))
+
+        last = F.element_at(placed, -1)["end"]
+        return F.concat(F.array_join(F.transform(placed, one), ""), between(last, F.length(text).cast("bigint")))
+
+    return F.element_at(F.transform(F.array(every), build), 1)
+
+
 def without_secrets(docs: DataFrame) -> DataFrame:
     """All documents, every span of their texts replaced by a mark; columns unchanged, n_chars (if there) counted anew
     for changed texts. Masked is what ``secrets`` reports of the text as given, linked candidates included; distances are
@@ -138,18 +175,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     hit = kept(hit, "secret-texts")
     all_ = hit.join(_linked(hit.select("_row", "_base", "_weak"), "_row"), "_row", "left")
     spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast(SPAN))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(MASK))).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
-
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    changed = all_.withColumn("text", F.when(F.size(spans) > 0, masked).otherwise(text))
+    changed = all_.withColumn("text", F.when(F.size(spans) > 0, _masked(text, spans)).otherwise(text))
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
         changed = changed.withColumn("n_chars", F.when(F.size(spans) > 0, count).otherwise(F.col("n_chars")))

@@ -394,6 +394,21 @@ def plain_linked(text):
     return out
 
 
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    few = "".join(f"password=hunter{i:06d} ñ😀 " for i in range(3000))
+    many = "".join(f"secret = x{i:07d}\n" for i in range(60_000))  # over 1 MB
+    docs = documents(spark, [(1, few), (2, many)])
+    began = time.time()
+    got = {r.doc_id: (r.n_assign, r.base_sha256) for r in secrets.secrets(docs).collect()}
+    spans = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(secrets.ASSIGN, few)]
+    assert got[1] == (3000, hashlib.sha256(",".join(spans).encode()).hexdigest()) and got[2][0] == 60_000
+    left = {r.doc_id: r.text for r in secrets.without_secrets(docs).collect()}
+    assert left == {1: "[REDACTED] ñ😀 " * 3000, 2: "[REDACTED]\n" * 60_000}
+    assert time.time() - began < 60
+
+
 def test_links_do_not_depend_on_the_place_in_the_text(spark):
     address = lambda n: "https://" + "h.x/" * ((n - 8) // 4)
     texts = [
