@@ -27,6 +27,7 @@ SAMPLE = 4_096  # vectors from which pivots and first thresholds come; changes t
 BATCH = 16_384  # queries per pass
 QUERIES, CANDIDATES, FIRST = 512, 4_096, 64
 NONE = -(1 << 63) + 1  # score of an empty place; its negative is a number, too
+ROUNDING = 1e-10  # far above the rounding of 64-bit sums over as many components as a vector may have
 MOST = 2.0**20  # components up to this are multiplied in floating point without rounding
 
 
@@ -48,10 +49,13 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Euclidean distances to the pivots."""
-    x, p = x.astype(np.float64), pivots.astype(np.float64)
-    square = (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T
-    return np.sqrt(np.maximum(square, 0))
+    """Euclidean distances to the pivots, from the differences themselves: close vectors lose no digits."""
+    out = np.zeros((len(x), len(pivots)))
+    x = x.astype(np.float64)
+    for n, pivot in enumerate(pivots.astype(np.float64)):
+        gap = x - pivot
+        out[:, n] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -67,14 +71,20 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 def bounds(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray) -> np.ndarray:
-    """Upper bounds of the inner products of queries and candidates, rounding included."""
-    low = np.zeros((len(q), len(x)), np.float32)
-    dq, dx = dq.astype(np.float32), dx.astype(np.float32)
+    """Upper bounds of the inner products of queries and candidates.
+
+    A distance is off by ``ROUNDING`` of itself and of the lengths of its ends at most, whatever pivot it leads to; a pivot is no
+    longer than a query and its distance to it together. The difference of two distances is lowered by that.
+    """
+    low = np.zeros((len(q), len(x)))
     for p in range(dq.shape[1]):
         gap = dq[:, p, None] - dx[None, :, p]
         np.maximum(low, np.abs(gap, out=gap), out=low)
-    length = (q.astype(np.float64) ** 2).sum(1)[:, None] + (x.astype(np.float64) ** 2).sum(1)[None, :]
-    return (length - np.square(low, dtype=np.float64)) / 2 + 1e-5 * length + 1
+    square = [(v.astype(np.float64) ** 2).sum(1) for v in (q, x)]
+    off = [ROUNDING * (2 * np.sqrt(s) + 2 * d.max(1, initial=0)) for s, d in zip(square, (dq, dx))]
+    low -= off[0][:, None] + off[1][None, :]
+    length = square[0][:, None] + square[1][None, :]
+    return (length - np.square(np.maximum(low, 0, out=low), out=low)) / 2 + ROUNDING * length + 1
 
 
 class Best:
@@ -144,8 +154,9 @@ def top_k(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding") -
     asked = spark.read.schema(asked.schema).parquet(blocks)
     for g in groups:
         of_length = F.col("n") == g["n"]
+        sample = rows.filter(of_length).orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).select("vec_id", "x").toArrow()
         for batch in range(g["batches"]):
-            _search(rows.filter(of_length), asked.filter(of_length & (F.col("batch") == batch)), k, results)
+            _search(rows.filter(of_length), asked.filter(of_length & (F.col("batch") == batch)), sample, k, results)
     schema = "query_id bigint, vec_id bigint, score bigint"
     every = spark.read.schema(schema).parquet(results) if groups else spark.createDataFrame([], schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -157,10 +168,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(column), 0), np.int64)
 
 
-def _search(rows: DataFrame, asked: DataFrame, k: int, results: str) -> None:
+def _search(rows: DataFrame, asked: DataFrame, sample: pa.Table, k: int, results: str) -> None:
     """One pass: the results of a batch of queries against all rows of their length are added to the folder."""
     mine = asked.select("vec_id", "x").orderBy("vec_id").toArrow()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()
     width = len(sample["x"][0]) if sample.num_rows else 0
     q, s = (_matrix(t["x"].combine_chunks(), width) for t in (mine, sample))
     qid, sid = mine["vec_id"].to_numpy(), sample["vec_id"].to_numpy()

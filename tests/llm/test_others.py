@@ -280,6 +280,12 @@ def test_bounds_are_never_too_small():
     p = pivots.choose_pivots(x, 5)
     bound = pivots.bounds(x, pivots.distances(x, p), x, pivots.distances(x, p))
     assert (bound >= x @ x.T).all()
+    near = np.concatenate([10 * rng.integers(-64, 64, (6, 1, 8)) + rng.integers(-1, 2, (6, 30, 8))]).reshape(-1, 8)
+    far = np.concatenate([near, [[64 * 100_000] + [0] * 7]])  # the pivot farthest away makes distances large
+    p = pivots.choose_pivots(far, 5)
+    assert far[-1].tolist() in p.tolist()
+    bound = pivots.bounds(far, pivots.distances(far, p), far, pivots.distances(far, p))
+    assert (bound >= far @ far.T).all() and (bound.diagonal()[:-1] < (near**2).sum(1) + 64).all()
     big = np.array([[2**31, 1], [-(2**31), 3]])
     assert (pivots._products(big, big) == big @ big.T).all()
 
