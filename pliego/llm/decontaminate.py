@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pliego.llm.common import slices
+from pliego.session import kept, shared_folder
 
 ERROR_RATE = 0.05
 SHORT = 32  # characters; with edits or within words shorter items would be found by chance
@@ -139,13 +140,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
 
 def _matches(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
     passes = -(-benchmark.count() // ITEMS_PER_PASS)
-    spark, found = docs.sparkSession, None
-    for n in range(passes):
-        mine = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n).select("item_id", "text").collect()
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "matches")
+    if not passes:
+        return spark.createDataFrame([], MATCHES)
+    for n in range(passes):  # each is written before the next one's items come to the driver
+        part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
+        mine = part.select("item_id", "text").distinct().collect()
         items = {(r.item_id, normalised(r.text)) for r in mine}
-        rows = _scan(docs, sorted((x for x in items if x[1]), key=lambda x: (x[0] is not None, x)), rate)
-        found = rows if found is None else found.union(rows)
-    return spark.createDataFrame([], MATCHES) if found is None else found.groupBy("doc_id", "item_id").agg(
+        found = _scan(docs, sorted((x for x in items if x[1]), key=lambda x: (x[0] is not None, x)), rate)
+        found.write.mode("append").parquet(folder)
+    return spark.read.schema(MATCHES).parquet(folder).groupBy("doc_id", "item_id").agg(
         F.min(F.struct("distance", "match_end")).alias("at")
     ).select("doc_id", "item_id", "at.distance", "at.match_end")
 
@@ -172,7 +176,5 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFra
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The documents in which no test item was found, with an id or without; rows without doc_id or text stay; columns
     unchanged."""
-    from pliego.session import kept
-
     leaked = kept(_matches(docs, benchmark, rate).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
     return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
