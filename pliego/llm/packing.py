@@ -179,54 +179,81 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES)
 
 
-def complement(counts: np.ndarray, gap: int) -> list[int]:
-    """One, two or three available lengths that sum to ``gap``, those available most often first; else nothing."""
-    if counts[gap]:
-        return [gap]
-    low = np.arange(1, gap // 2 + 1)
-    often = np.minimum(counts[low], counts[gap - low])
-    if gap % 2 == 0 and gap:
-        often[-1] = counts[gap // 2] // 2
-    if often.size and often.max() > 0:
+class Stock:
+    """How many pieces of each length are left, with an index of the sums of their pairs."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.counts = np.zeros(capacity + 1, np.int64)
+        self.pairs = np.zeros(capacity + 1, np.int64)  # by sum: pairs of lengths at hand
+        for length, n in histogram.items():
+            self._note(length, n)
+
+    def take(self, length: int, n: int = 1) -> None:
+        self._note(length, -n)
+
+    def _note(self, length: int, n: int) -> None:
+        before, after = int(self.counts[length]), int(self.counts[length]) + n
+        self.counts[length] = after
+        if (before > 0) != (after > 0):
+            others = np.flatnonzero(self.counts[: max(self.counts.size - length, 0)])
+            others = others[others != length]
+            self.pairs[others + length] += 1 if after > 0 else -1
+        if 2 * length < self.pairs.size:
+            self.pairs[2 * length] += int(after > 1) - int(before > 1)
+
+    def pair(self, gap: int) -> list[int]:
+        """Two lengths that sum to ``gap``, those at hand most often first; else nothing."""
+        if not self.pairs[gap]:
+            return []
+        low = np.arange(1, gap // 2 + 1)
+        often = np.minimum(self.counts[low], self.counts[gap - low])
+        if gap % 2 == 0:
+            often[-1] = self.counts[gap // 2] // 2
         a = int(low[often.argmax()])
         return [gap - a, a]
-    there = np.flatnonzero(counts[:gap])
-    for a in there[::-1]:
-        counts[a] -= 1
-        b = there[there < gap - a]
-        c = gap - int(a) - b
-        fits = (counts[b] > 0) & (counts[c] > 0) & ((b != c) | (counts[b] > 1))
-        counts[a] += 1
-        if fits.any():
-            b = int(b[fits.argmax()])
-            return [int(a), b, gap - int(a) - b]
-    return []
+
+    def triple(self, gap: int) -> list[int]:
+        """Three lengths that sum to ``gap``, with the longest one possible: what it leaves is looked up in the pair sums."""
+        there = np.flatnonzero(self.counts[:gap])[::-1]
+        for a in there[self.pairs[gap - there] > 0].tolist():
+            self.counts[a] -= 1  # the pair must do without it
+            b = np.flatnonzero(self.counts[: gap - a])
+            c = gap - a - b
+            fits = (self.counts[c] > 0) & ((b != c) | (self.counts[b] > 1))
+            self.counts[a] += 1
+            if fits.any():
+                b = int(b[fits.argmax()])
+                return [a, b, gap - a - b]
+        return []
+
+    def complement(self, gap: int) -> list[int]:
+        """One, two or three lengths at hand that sum to ``gap``; else nothing."""
+        return [gap] if self.counts[gap] else self.pair(gap) or self.triple(gap)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """How often to build a sequence of which lengths: (number of sequences, lengths in order)."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    patterns = []
+    stock, patterns = Stock(histogram, capacity), []
     for length in range(capacity, 0, -1):
-        while counts[length]:
+        while stock.counts[length]:
             pattern, gap = [length], capacity - length
-            counts[length] -= 1
+            stock.take(length)
             while gap:
-                found = complement(counts, gap)
+                found = stock.complement(gap)
                 if not found:
-                    fitting = np.flatnonzero(counts[: gap + 1])
+                    fitting = np.flatnonzero(stock.counts[: gap + 1])
                     if not fitting.size:
                         break
                     found = [int(fitting[-1])]
                 for x in found:
-                    counts[x] -= 1
+                    stock.take(x)
                     gap -= x
                 pattern += found
-            more = min(int(counts[x]) // n for x, n in Counter(pattern).items())
-            for x in pattern:
-                counts[x] -= more
+            uses = Counter(pattern)
+            more = min(int(stock.counts[x]) // n for x, n in uses.items())
+            if more:
+                for x, n in uses.items():
+                    stock.take(x, more * n)
             patterns.append((more + 1, pattern))
     return patterns
 

@@ -256,6 +256,24 @@ def test_plans_use_every_piece_once(histogram):
     assert used == Counter(histogram)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=15), st.randoms(use_true_random=False))
+def test_sums_at_hand_equal_counting(histogram, rng):
+    stock, left = packing.Stock(histogram, 30), Counter(histogram)
+    while left:
+        for gap in range(1, 31):
+            lengths = sorted(left)
+            pairs = [(a, b) for a in lengths for b in lengths if a <= b and a + b == gap and not Counter((a, b)) - left]
+            triples = any(not Counter((a, b, gap - a - b)) - left for a in lengths for b in lengths if gap - a - b > 0)
+            found = stock.complement(gap)
+            assert stock.pairs[gap] == len(pairs)
+            assert bool(found) == bool(gap in left or pairs or triples)
+            assert not found or (sum(found) == gap and not Counter(found) - left)
+        length = rng.choice(sorted(left))
+        stock.take(length)
+        left -= Counter([length])
+
+
 def test_plans_fill_gaps_exactly():
     assert packing.plan({60: 3, 4: 3}, 64) == [(3, [60, 4])]
     assert sum(n for n, _ in packing.plan({50: 4, 8: 4, 6: 4}, 64)) == 4
