@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -230,17 +231,37 @@ def test_rules_and_mined_combinations(spark):
     assert url_rules.judge(frame.filter("false"), labels).collect() == []
 
 
-def test_mined_rules_equal_counting(spark):
+@pytest.mark.parametrize("lead, errors", [(0.05, 0.0), (0.05, 1.5), (0.3, 0.0)])
+def test_mined_rules_equal_counting(spark, lead, errors):
     rng = random.Random(5)
-    rows = [(["t" + str(rng.randint(0, 3)) + c for c in "ab"], rng.random() < 0.3) for _ in range(300)]
-    rules = url_rules.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), 0.01, 0.35, 1.05).collect()
-    bad = sum(b for _, b in rows)
-    for r in rules:
-        holds = [b for items, b in rows if set(r["items"]) <= set(items)]
-        assert r.confidence == pytest.approx(sum(holds) / len(holds)) and r.confidence >= 0.35
-        assert r.lift == pytest.approx(r.confidence / (bad / 300)) and r.lift >= 1.05
-    shortest = {frozenset(r["items"]) for r in rules}
-    assert not any(a < b for a in shortest for b in shortest)
+    rows = [(["t" + str(rng.randint(0, 3)) + c for c in "ab"] + ["everywhere"], rng.random() < 0.3) for _ in range(300)]
+    rows += [(["t9", "everywhere"], True)] * 9 + [(["t8", "everywhere"], False)] * 20
+    got = url_rules.mine(spark.createDataFrame(rows + [(None, True), (["t9"], None)], "items array<string>, bad boolean"), 0.01, 0.35, lead, errors).collect()
+    n, want = len(rows), {}
+    for items in {c for items, _ in rows for k in (1, 2) for c in combinations(sorted(set(items) - {"everywhere"}), k)}:
+        holds = [b for all_, b in rows if set(items) <= set(all_)]
+        for bad in (True, False):
+            k, base = sum(b == bad for b in holds), sum(b == bad for _, b in rows) / n
+            confidence = k / len(holds)
+            sure = confidence - base >= errors * (base * (1 - base) / len(holds)) ** 0.5
+            if k >= max(8, 0.01 * n) and confidence >= 0.35 and (confidence - base) / (1 - base) >= lead and sure:
+                want[items, bad] = confidence
+    want = {k: c for k, c in want.items() if not any(set(i) < set(k[0]) and b == k[1] and d >= c for (i, b), d in want.items())}
+    assert {(tuple(r["items"]), r.bad): pytest.approx(r.confidence) for r in got} == want
+    assert (("t9",), True) in want and (("t8",), False) in want
+
+
+def test_the_best_mined_rule_decides(spark):
+    rows = [(i, f"http://h{i}.net/shop/x?ref=a") for i in range(40)] + [(40 + i, f"http://k{i}.net/shop/help/x") for i in range(30)] + [(70 + i, f"http://k{i}.net/home") for i in range(130)]
+    labels = [(i, 0) for i in range(40)] + [(i, 1) for i in range(40, 70)] + [(i, int(i % 3 > 0)) for i in range(70, 200)]
+    rows += [(300, "http://new.net/shop/help/x"), (301, "http://new.net/shop/x?ref=b"), (302, "http://new.net/home"), (303, None), (304, "http://example.org/es/shop/help")]
+    found = url_rules.judge(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    got = {r.page_id: r for r in found.collect()}
+    assert got[300].mined_verdict == got[300].verdict == "allow" and got[300].mined == "path=help" and got[300].mined_confidence == 1
+    assert got[301].mined_verdict == got[301].verdict == "block" and got[301].mined_confidence == 1
+    assert (got[302].mined, got[302].mined_verdict, got[302].verdict) == (None, None, "allow")
+    assert (got[303].mined, got[303].verdict) == (None, "allow")
+    assert (got[304].mined_verdict, got[304].rule, got[304].verdict) == ("allow", "example.org/es/", "block")
 
 
 # vectors
