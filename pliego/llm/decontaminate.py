@@ -132,8 +132,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
 
     Null and blank texts and items match nothing; items under ``SHORT`` characters match as whole words without edits;
     items that are equal after normalising are all reported; repeated documents are reported once; documents and items
-    without id are left out here (see ``clean``). Items travel to the tasks in passes of about ``ITEMS_PER_PASS``, each
-    one scan of the documents.
+    without id are left out here (see ``clean``). Of places with equal distances one is reported. A very long text is read
+    whole, by one task that holds it in memory. Extra columns are ignored; an empty table on either side gives no rows.
+    Items travel to the tasks in passes of about ``ITEMS_PER_PASS``, each one scan of the documents.
     """
     return _matches(docs, benchmark.filter("item_id is not null"), rate)
 

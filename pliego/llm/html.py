@@ -327,8 +327,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars, n_shared (lines that went because the neighbour has them).
 
     Null, empty and blank pages have an empty text. Null urls and urls without host have no neighbour. Repeated rows,
-    and pages of a host with the same lines, are one page in the host's order, and returned each: a copy shows no frame. Of two neighbours equally near the earlier one counts. Other
-    columns are ignored; an empty table gives no rows. Pages are parsed twice, first for the digests of their lines, then
+    and pages of a host with the same lines, are one page in the host's order, and returned each: a copy shows no frame.
+    Of two neighbours equally near the earlier one counts. A very long page is parsed whole, by one task. Other columns are ignored; an empty table gives no rows. Pages are parsed twice, first for the digests of their lines, then
     for the lines themselves, which are compressed where they meet the neighbour's digests.
     """
 

@@ -185,7 +185,7 @@ def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """lang_pred, score, ambiguous of each row of documents (text), beside all its other columns but text.
 
-    The whole text counts; its features have the same length for every size. A text that is null or has no letter is ``und``
+    The whole text counts, however long; one task holds it in memory; its features have the same length for every size. A text that is null or has no letter is ``und``
     with score 0 and ambiguous, and so is every text if no language was learned. A score is the winner's share of all
     languages, from 0 to 1. Every row is judged for itself, repeated ones alike; columns with the names of the new ones are
     replaced; an empty table gives no rows."""

@@ -139,8 +139,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, digest (of the canonical whole text), licence (of the whole text, or null), notices (licences of
     single lines, each once, sorted, comma-joined; empty if none).
 
-    Null texts are read as empty; an empty canonical text is no licence. Repeated rows and rows without doc_id are
-    returned each; other columns are ignored; an empty table gives no rows.
+    Null texts are read as empty; an empty canonical text is no licence. Very long texts are read whole, by one task. Texts
+    equal to several known licences have the first by name. Repeated rows and rows without doc_id are returned each; other columns are ignored; an empty table gives no rows.
     """
     known = known_digests(docs.sparkSession)  # as many rows as the fixed list
     notices = F.create_map(*[F.lit(x) for r in known.collect() for x in (r.digest, r.licence)])

@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows without doc_id are linked with nothing
     and have no component, but are kept. Rows that share a doc_id are one document, compared by the set with the
-    smallest digest and by exact copies of the others; repeated rows are returned each.
+    smallest digest and by exact copies of the others; repeated rows are returned each. The smallest doc_id of equals is kept.
+    A very long text counts with its whole set of shingles, which one task holds in memory.
     Other columns are ignored; an empty table gives no rows.
     """
     rows = kept(sketches(docs), "sketches")

@@ -276,7 +276,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is the end id
     alone; repeated rows are packed each; rows without doc_id too; other columns are ignored; an empty table gives no
-    rows. Ties between pieces of one length go by their order of reading.
+    rows. Ties between pieces of one length go by their order of reading. A very long text is encoded whole, by one task
+    that holds it and its ids in memory, and cut into as many pieces as it needs.
     """
     cut = kept(pieces(docs, tokenizer, capacity), "pieces")
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))

@@ -355,8 +355,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte is removed when a string of ``WINDOW`` bytes that covers it also starts earlier: in a document with a smaller
     doc_id, or before in the same one. Null texts are read as empty. Rows without doc_id repeat nothing and are returned
-    as they are. Rows that share a doc_id are one document, with the smallest of their texts, returned once. Other columns are
-    ignored; an empty table gives no rows.
+    as they are. Rows that share a doc_id are one document, with the smallest of their texts, returned once. Of equal strings
+    the earliest stays. A very long text counts whole; one task holds it in memory when its bytes are removed. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text.alias("text"))

@@ -337,7 +337,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed=None, sample: int
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row; null texts score as empty ones, repeated rows are returned each."""
+    """doc_id and score of each row; null texts score as empty ones, repeated rows are returned each, alike.
+
+    A very long text counts whole, by one task that holds it in memory; long words are scored by overlapping windows. Rows
+    without doc_id are returned; other columns are ignored; an empty table gives no rows.
+    """
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
