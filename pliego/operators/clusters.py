@@ -131,4 +131,4 @@ def search(queries: DataFrame, index: Index, fetch: Column) -> DataFrame:
     rest = nearest(away, _read(index, away), F.col("fetch"), ("cell", "cell"), reach=F.col("reach"))
     both = first.unionByName(rest).withColumn("fetch", fetch.cast("int")).withColumn("s", F.lit(0))
     most = asked.agg(F.max("fetch").alias("most")).first().most or 0
-    return merged(both, most, 1)
+    return merged(both, most, 1).drop("fetch")

@@ -248,3 +248,36 @@ def test_answerable_needs_no_search(spark):
     assert not any(r.answerable for r in N.answerable(q, s.filter("false")).collect())
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_cells_of_a_large_store_give_few_rows(spark, monkeypatch):
+    """Ten times the blocks of a store: the rows all cells give for a query do not grow with them."""
+    queries, store = points(1, 40, copies=0), points(2, 6000, copies=0)
+    q, s = frames(spark, queries, store, k=5)
+    given, plain = [], N.met
+
+    def counted(*how):
+        found = plain(*how)
+        given.append(found.count())
+        return found
+
+    monkeypatch.setattr(N, "met", counted)
+    totals = []
+    for size in (20_000, 2_000):
+        monkeypatch.setattr(N, "STORE_BYTES", size)
+        given.clear()
+        got = {(r.query_id, r["rank"], r.chunk_id) for r in nearest(q, s, F.col("k")).collect()}
+        assert got == brute(queries, store, [5] * 40)
+        totals.append(sum(given))
+    assert totals[0] < 40 * 5 * 10 and totals[1] < 40 * 5 * 30  # plain blocks give 8 and 72 lists of 5
+    assert totals[1] < 3 * totals[0]
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e18])
+def test_near_ties_are_decided_in_double_precision(spark, scale):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(1, 16))
+    store = (scale * (base + 1e-5 * rng.normal(size=(3000, 16)))).astype(np.float32)
+    q, s = frames(spark, store[:50], store, k=7)
+    got = {(r.query_id, r["rank"], r.chunk_id) for r in nearest(q, s, F.col("k")).collect()}
+    assert got == brute(store[:50], store, [7] * 50)
