@@ -108,3 +108,14 @@ def test_late_events_are_dropped_and_open_sessions_wait(spark):
     write(spark, [(1, t0 + 4 * hour), (3, t0 + 200 * hour)], schema, folder, "b")
     got = jobs.expired_sessions(stream(spark, folder, schema), out).collect()
     assert sorted((r.user_id, r.n_events) for r in got) == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("name, table", [("stream_ingest", "documents"), ("stream_chat_state", "conversations")])
+def test_tables_may_be_folders_of_files(spark, name, table):
+    from pliego.plans import registry
+
+    small, folder = "/root/testdata/sf0.001", shared_folder(spark, "parts")
+    spark.read.parquet(f"{small}/{table}.parquet").repartition(3).write.parquet(f"{folder}/{table}.parquet")
+    whole, parts = (registry.QUERIES[name](spark, path) for path in (small, folder))
+    assert whole.count() > 0
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
