@@ -48,3 +48,17 @@ def test_vectors_have_length_one_and_share_buckets(spark):
     assert a == b and len(a) == 64 and abs(sum(x * x for x in a) - 1) < 1e-6
     assert sorted(set(a))[1:] == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
     assert empty == null == [0.0] * 64
+
+
+def test_few_texts_are_tokenised_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from pliego.functions import vectors
+
+    seen, plain = [], vectors.counted
+    monkeypatch.setattr(vectors, "counted", lambda content: seen.append(len(content)) or plain(content))
+    texts = [f"uno dos {'tres ' * (n % 5)}" if n % 7 else None for n in range(1000)]
+    got = vectors._embed.func(pa.array(texts))
+    assert max(seen) <= 256 and sum(seen) == len(got) == 1000
+    assert got.to_pylist()[2] == vectors._embed.func(pa.array(texts[2:3])).to_pylist()[0]
+    assert len(vectors._embed.func(pa.array([], pa.string()))) == 0
