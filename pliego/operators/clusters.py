@@ -4,11 +4,13 @@ The store is written in cells, one Parquet partition each, around k-means centre
 largest distance of its rows to the centre, so by the triangle inequality no row of it is nearer to a query than
 ``max(d - largest, least - d)``, where d is the query's distance to the centre. A query first searches its *home*, the
 nearest centres' cells that together hold as many rows as it wants. The last of those is its reach; then it searches the other cells whose
-bound is within reach. The result is that of a full search.
+bound is within reach. The result is that of a full search. Where the bounds spare little, so that a query would be copied to
+very many cells, the reach of the home goes into the grid over all rows instead, whose copies do not grow with the cells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,8 @@ from pliego.session import kept, shared_folder
 
 CELL_ROWS = 512  # rows a cell holds on average, as long as there are fewer than ...
 MOST_CELLS = 1024  # ... so many cells: their centres travel with the tasks
+MOST_VISITS = 32  # cells outside its home that a query is copied to on average; beyond that, all rows meet on the grid
+PART = 256  # rows whose distances to all centres are held at once
 ROUNDS = 5
 SLACK = 4e-6  # distances are compared at six decimals
 
@@ -43,6 +47,12 @@ def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(square_distances(vectors, centres))
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def build(store: DataFrame, cell_rows: int = CELL_ROWS, most: int = MOST_CELLS) -> Index:
     """Writes the rows (chunk_id, embedding) of a store by cell; rows without a vector are in no cell.
 
@@ -57,9 +67,9 @@ def build(store: DataFrame, cell_rows: int = CELL_ROWS, most: int = MOST_CELLS)
     centres = np.array(KMeans(k=wanted, seed=1, maxIter=ROUNDS, initSteps=1).fit(points).clusterCenters(), np.float64)
 
     def assign(batches):
-        for batch in batches:
+        for batch in parts(batches):
             away = _distances(as_matrix(batch.column("embedding")), centres)
-            cell = away.argmin(axis=1) if batch.num_rows else np.zeros(0, np.int64)
+            cell = away.argmin(axis=1)
             columns = [batch.column("chunk_id"), batch.column("embedding"), pa.array(away[np.arange(len(cell)), cell]), pa.array(cell.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "embedding", "away", "cell"])
 
@@ -89,25 +99,46 @@ def others(index: Index, away: np.ndarray, norms: np.ndarray, home: np.ndarray,
     return ~home & (bound <= reach[:, None] + room)
 
 
-def visits(queries: DataFrame, index: Index, second: bool) -> DataFrame:
-    """(query_id, query_vec, k, fetch, reach, cell): a row for each cell a query has to read, in its home or, with
-    ``second``, outside of it."""
+def _chosen(index: Index, second: bool):
+    """A function that gives the queries of a batch, a part at a time, with the mask of the cells they have to read."""
     known = Index(None, index.numbers, index.centres, index.sizes, index.least, index.largest)
 
     def choose(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches):
             vectors = as_matrix(batch.column("query_vec"))
             away = _distances(vectors, known.centres)
             mask = homes(away, known.sizes, np.asarray(batch.column("fetch")))
             if second:
                 mask = others(known, away, np.sqrt((vectors**2).sum(axis=1)), mask, np.asarray(batch.column("reach")))
+            yield batch, mask
+
+    return choose, known.numbers
+
+
+def visits(queries: DataFrame, index: Index, second: bool) -> DataFrame:
+    """(query_id, query_vec, k, fetch, reach, cell): a row for each cell a query has to read, in its home or, with
+    ``second``, outside of it."""
+    choose, numbers = _chosen(index, second)
+
+    def listed(batches):
+        for batch, mask in choose(batches):
             at, cell = np.nonzero(mask)
-            chosen = batch.take(pa.array(at))
-            yield chosen.append_column("cell", pa.array(known.numbers[cell].astype(np.int32)))
+            for some in range(0, len(at), 16 * PART):
+                cut = slice(some, some + 16 * PART)
+                yield batch.take(pa.array(at[cut])).append_column("cell", pa.array(numbers[cell[cut]].astype(np.int32)))
+
+    return queries.mapInArrow(listed, "query_id bigint, query_vec array<float>, k int, fetch int, reach double, cell int")
+
+
+def mean_visits(queries: DataFrame, index: Index) -> float:
+    """Cells outside its home that a query has to read on average."""
+    choose, _ = _chosen(index, True)
+
+    def counted(batches):
+        for batch, mask in choose(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(mask.sum(axis=1).astype(np.int64))], names=["n"])
 
-    return queries.mapInArrow(choose, "query_id bigint, query_vec array<float>, k int, fetch int, reach double, cell int")
+    return queries.mapInArrow(counted, "n bigint").agg(F.avg("n").alias("n")).first().n or 0.0
 
 
 def _read(index: Index, visit: DataFrame) -> DataFrame:
@@ -127,6 +158,8 @@ def search(queries: DataFrame, index: Index, fetch: Column) -> DataFrame:
     first = kept(nearest(home, _read(index, home), F.col("fetch"), ("cell", "cell")), "first")
     reached = first.groupBy("query_id").agg(F.max("distance").alias("far"))
     far = asked.drop("reach").join(reached, "query_id").withColumnRenamed("far", "reach")
+    if mean_visits(far, index) > MOST_VISITS:
+        return nearest(far, index.rows, F.col("fetch"), reach=F.col("reach"))
     away = kept(visits(far, index, True), "away")
     rest = nearest(away, _read(index, away), F.col("fetch"), ("cell", "cell"), reach=F.col("reach"))
     both = first.unionByName(rest).withColumn("fetch", fetch.cast("int")).withColumn("s", F.lit(0))

@@ -281,3 +281,20 @@ def test_near_ties_are_decided_in_double_precision(spark, scale):
     q, s = frames(spark, store[:50], store, k=7)
     got = {(r.query_id, r["rank"], r.chunk_id) for r in nearest(q, s, F.col("k")).collect()}
     assert got == brute(store[:50], store, [7] * 50)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_clusters_that_spare_little_meet_on_the_grid(spark, monkeypatch, most):
+    """Queries that would be copied to most cells are not; the rows are the same, and a part of a batch is held at once."""
+    from pliego.operators import clusters
+
+    monkeypatch.setattr(clusters, "MOST_VISITS", most)
+    monkeypatch.setattr(clusters, "PART", 7)
+    rng = np.random.default_rng(5)
+    queries, store = (rng.normal(size=(n, 30)).astype(np.float32) for n in (40, 600))
+    q, s = frames(spark, queries, store, k=6)
+    copied, plain = [], clusters.visits
+    monkeypatch.setattr(clusters, "visits", lambda asked, index, second: copied.append(second) or plain(asked, index, second))
+    got = clusters.search(q, clusters.build(s, cell_rows=12), F.col("k")).collect()
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got} == brute(queries, store, [6] * 40)
+    assert copied == ([False, True] if most else [False])
