@@ -341,3 +341,11 @@ def test_run_packs_what_the_stages_keep(spark):
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert packed.count() > 0
     assert Q.QUERIES["pipeline"] is Q.pipeline
+
+
+def test_landmark_features_in_parts_give_the_same_model(monkeypatch):
+    rows = labelled(random.Random(2), 200)
+    whole = toxicity.Scorer(toxicity.fit(*rows, landmarks=40))(rows[0][:50])
+    monkeypatch.setattr(toxicity, "FEATURES", 37)
+    parts = toxicity.Scorer(toxicity.fit(*rows, landmarks=40))(rows[0][:50])
+    assert parts == pytest.approx(whole, abs=1e-6)
