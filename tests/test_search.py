@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -298,3 +300,61 @@ def test_clusters_that_spare_little_meet_on_the_grid(spark, monkeypatch, most):
     got = clusters.search(q, clusters.build(s, cell_rows=12), F.col("k")).collect()
     assert {(r.query_id, r["rank"], r.chunk_id) for r in got} == brute(queries, store, [6] * 40)
     assert copied == ([False, True] if most else [False])
+
+
+def test_the_grid_copies_few_bytes(spark):
+    """A store of many times the queries' bytes is not copied once per core, however few blocks it has."""
+    q, s = frames(spark, points(1, 64), points(2, 64), k=3)
+    asked = q.select("query_id", F.col("query_vec").alias("vec"), F.lit(0).alias("part"), F.lit(1e9).alias("reach"), "k", F.col("k").alias("fetch"))
+    rows = s.select("chunk_id", F.col("embedding").alias("vec"), F.lit(0).alias("part"))
+    asked_bytes, rows_bytes = 4 << 20, 60 << 20
+    left, right = N.grid(asked, rows, False, asked_bytes, rows_bytes)
+    copied = left.count() // 64 * asked_bytes + right.count() // 64 * rows_bytes
+    cells = left.select(*N.CELL).distinct().count()
+    assert cells >= spark.sparkContext.defaultParallelism // 2
+    assert copied <= rows_bytes + 2 * spark.sparkContext.defaultParallelism * asked_bytes
+
+
+def test_blocks_are_bounded_and_enough():
+    for asked, rows in [(0, 0), (1 << 18, 1 << 30), (1 << 30, 1 << 18), (200 << 20, 5 << 30), (13 << 20, 335 << 20)]:
+        q, s = N.shape(asked, rows, 24)
+        assert asked <= q * N.QUERY_BYTES and rows <= s * N.STORE_BYTES
+        assert q * s >= 24 or (q >= asked // N.LEAST_BYTES and s >= rows // N.LEAST_BYTES)
+        assert q * s < 48 or (q, s) == (-(-asked // N.QUERY_BYTES), -(-rows // N.STORE_BYTES))
+
+
+def test_the_first_search_moves_distances_only(spark, monkeypatch):
+    """The part of a store that is searched first gives single distances, which bound the rows of the whole search."""
+    monkeypatch.setattr(N, "STORE_BYTES", 2_000)
+    queries, store = points(1, 40, copies=0), points(2, 2000, copies=0)
+    q, s = frames(spark, queries, store, k=5)
+    asked = q.select("query_id", F.col("query_vec").alias("vec"), F.lit(0).cast("bigint").alias("part"), F.lit(np.inf).alias("reach"), "k", F.col("k").alias("fetch"))
+    rows = s.select("chunk_id", F.col("embedding").alias("vec"), F.lit(0).cast("bigint").alias("part"))
+    last = N.last_distances(asked, rows, 40 * 24, 2000 * 24)
+    assert dict(last.dtypes) == {"query_id": "bigint", "_last": "double"}
+    away = np.sqrt(((queries[:, None, :].astype(np.float64) - store[None, :, :]) ** 2).sum(axis=2))
+    fifth = np.sort(away, axis=1)[:, 4]
+    found = {r.query_id: r._last for r in last.collect()}
+    assert len(found) == 40
+    assert all(fifth[i] <= found[i] + 1e-6 and (away[i] <= found[i]).sum() < 100 for i in range(40))
+    few = N.last_distances(asked, rows.filter("chunk_id < 3"), 40 * 24, 3 * 24)
+    assert all(r._last is None for r in few.collect())
+
+
+def shuffle_blocks(spark):
+    names = str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks())
+    return {int(n.split("_")[0]) for n in names.split("shuffle_")[1:]}
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    from pliego.session import CLEANUP, kept
+
+    setting, before = spark.conf.get(CLEANUP), shuffle_blocks(spark)
+    step = kept(spark.range(1000).repartition(5, "id").groupBy(F.col("id") % 7).count(), "step")
+    for _ in range(40):
+        left = shuffle_blocks(spark) - before
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left and step.count() == 7
+    assert spark.conf.get(CLEANUP) == setting
