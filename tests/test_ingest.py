@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pliego.operators import metadata, summaries
-from pliego.plans import ingest
+from pliego.plans import ingest, retrieval
 from pliego.session import shared_folder
 from pliego.sources import store, tables
 
@@ -178,3 +178,33 @@ def test_snapshots_stay_until_they_are_dropped(spark):
     assert before.count() == 9 and store.load(spark, path).count() == 4
     assert len(store.drop_old(spark, path)) == 1
     assert store.load(spark, path).count() == 4 and before.sparkSession.read.schema(store.STORE_SCHEMA).parquet(before.inputFiles()[0].rsplit("/", 1)[0]).count() == 0
+
+
+def test_text_of_other_pages_stays_where_few_pages_are_heads(spark):
+    pages = spark.createDataFrame([(f"f{i % 3}", i, "word " * (400 + i)) for i in range(90)], "source string, doc_id bigint, page_content string")
+    places = metadata.place(metadata.page_sizes(pages))
+    heads = metadata.head_pages(places, pages, 5000)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = {r.doc_id for r in places.collect() if r.char_start <= 5000}
+    assert {r.doc_id for r in heads.collect()} == want and len(want) < 12
+
+
+def test_chunks_that_were_found_are_read_without_a_shuffle(spark):
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 65537, 10**6]
+    chunks = spark.createDataFrame([(i + d, f"text {i + d}") for i in ids for d in (0, 3)], "chunk_id bigint, page_content string").distinct()
+    path = shared_folder(spark, "holding")
+    chunks.write.parquet(path)
+    found = spark.createDataFrame([(q, i) for i in ids for q in (1, 2)], "query_id bigint, chunk_id bigint")
+    got = store.holding(spark.read.parquet(path), found)
+    assert got.columns == ["chunk_id", "page_content"]
+    assert sorted(r.chunk_id for r in got.collect()) == ids
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Exchange hashpartitioning" not in plan
+    assert store.holding(spark.read.parquet(path), found.filter("false")).count() == 0
+
+
+def test_an_index_writes_ids_and_vectors_only(spark):
+    import pyarrow.parquet as pq
+
+    files = retrieval.index(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all(pq.read_schema(f.removeprefix("file://")).names == ["chunk_id", "embedding"] for f in files)
