@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -349,3 +350,15 @@ def test_landmark_features_in_parts_give_the_same_model(monkeypatch):
     monkeypatch.setattr(toxicity, "FEATURES", 37)
     parts = toxicity.Scorer(toxicity.fit(*rows, landmarks=40))(rows[0][:50])
     assert parts == pytest.approx(whole, abs=1e-6)
+
+
+def test_fit_holds_one_large_array_at_a_time():
+    """The driver fits the model: the machine's rows, the words' table and the text scorer's must not add up."""
+    rows = labelled(random.Random(6), 1500)
+    tracemalloc.start()
+    try:
+        toxicity.fit(*rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70 << 20  # the table of words has 32 MB
