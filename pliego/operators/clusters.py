@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pliego.functions.vectors import as_matrix
-from pliego.operators.nearest import merged, nearest, square_distances
+from pliego.operators.nearest import factors, merged, nearest, square_distances
 from pliego.session import kept, shared_folder
 
 CELL_ROWS = 512  # rows a cell holds on average, as long as there are fewer than ...
@@ -44,7 +44,8 @@ class Index:
 
 
 def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.sqrt(square_distances(vectors, centres))
+    left, right = (factors(side, (side**2).sum(axis=1), asking) for side, asking in ((vectors, True), (centres, False)))
+    return np.sqrt(np.maximum(square_distances(left, right), 0))
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -358,3 +358,88 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
         time.sleep(0.25)
     assert not left and step.count() == 7
     assert spark.conf.get(CLEANUP) == setting
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_a_large_store_is_searched_within_a_likely_distance(spark, monkeypatch, few):
+    """A sixteenth of the rows is searched first. Queries for which its distance was not enough are searched again."""
+    monkeypatch.setattr(N, "LARGE_BYTES", 2_000)
+    monkeypatch.setattr(N, "STORE_BYTES", 4_000)
+    if few:
+        monkeypatch.setattr(N, "likely", lambda fetch, share: F.lit(1))
+    queries, store = points(1, 40, copies=0.1), points(2, 3000, copies=0.1)
+    q, s = frames(spark, queries, store)
+    ks = {r.query_id: r.k for r in q.collect()}
+    seen, plain = [], N.last_distances
+
+    def watched(asked, rows, asked_bytes, rows_bytes, level=0, share=N.SHARE):
+        seen.append((rows_bytes, share))
+        return plain(asked, rows, asked_bytes, rows_bytes, level, share)
+
+    monkeypatch.setattr(N, "last_distances", watched)
+    got = nearest(q, s, F.col("k")).collect()
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got) == sorted(brute(queries, store, ks))
+    assert seen[0] == (3000 * 24, 16) and seen[1] == (3000 * 24 // 16, N.SHARE)
+
+
+def test_a_likely_distance_and_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(N, "LARGE_BYTES", 2_000)
+    queries, store = points(1, 20), points(2, 800)
+    q, s = frames(spark, queries, store)
+    plain = sorted(map(tuple, nearest(q.union(q), s, F.col("k")).collect()))
+    monkeypatch.setattr(N, "STORE_BYTES", 4_000)
+    assert sorted(map(tuple, nearest(q.union(q), s, F.col("k")).collect())) == plain
+
+
+def test_products_stay_in_the_cache(monkeypatch):
+    """Strips of queries against a block of rows, and the best pairs of a plain search."""
+    seen, plain = [], N.square_distances
+    monkeypatch.setattr(N, "square_distances", lambda a, b: seen.append(len(a) * len(b)) or plain(a, b))
+    queries, store = points(1, 900), points(2, N.BLOCK_ROWS)
+    reach = np.full(900, 0.3)
+    asked = N.Side(np.arange(900), queries, {"reach": reach, "k": np.full(900, 5), "fetch": np.full(900, 5)})
+    rows, columns, near = N.best_pairs(asked, N.Side(np.arange(len(store)), store, {}), 5, np.zeros(900, bool))
+    assert max(seen) <= 256 * 1024 and sum(seen) == 900 * len(store)
+    away = ((queries[:, None, :].astype(np.float64) - store[None]) ** 2).sum(axis=2)
+    for i in range(0, 900, 90):
+        best = [j for j in np.lexsort((np.arange(len(store)), np.rint(np.sqrt(away[i]) * 1e6)))[:5] if np.sqrt(away[i, j]) <= 0.3]
+        assert columns[rows == i].tolist() == sorted(best) and np.allclose(near[rows == i], away[i, sorted(best)])
+
+
+def greedy(similarity, vectors, k, balance):
+    alike = vectors @ vectors.T
+    chosen = []
+    for _ in range(min(k, len(similarity))):
+        score = [balance * s - (1 - balance) * max((alike[j, i] for j in chosen), default=0) for i, s in enumerate(similarity)]
+        free = [i for i in range(len(score)) if i not in chosen]
+        chosen.append(max(free, key=lambda i: (round(score[i] if chosen else similarity[i], 9), -i)))
+    return chosen
+
+
+@pytest.mark.parametrize("balance", [0.0, 0.6])
+def test_all_queries_of_a_batch_are_chosen_at_once(spark, monkeypatch, balance):
+    """Queries with different numbers of candidates, also more than a batch holds, against a choice one by one."""
+    monkeypatch.setattr(rerank, "ALIKE", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        rng, rows, expected, alike = np.random.default_rng(8), [], set(), []
+        for query, n in enumerate([1, 30, 4, 2, 40, 3, 7, 7]):
+            vectors = rng.normal(size=(n, 5)).astype(np.float32)
+            vectors[n // 2 :: 3] = vectors[0]
+            similarity = -np.sort(-np.round(rng.random(n), 2))
+            k = 1 + 3 * query
+            unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+            order = greedy(similarity, unit, k, balance)
+            expected |= {(query, pos + 1, 100 * query + at) for pos, at in enumerate(order)}
+            among = (unit[order] @ unit[order].T)[~np.eye(len(order), dtype=bool)]
+            alike += [(similarity[order].mean(), among.mean() if len(order) > 1 else None)]
+            rows += [(query, 100 * query + i, i + 1, float(similarity[i]), vectors[i].tolist(), k) for i in range(n)]
+        df = spark.createDataFrame(rows, "query_id bigint, chunk_id bigint, rank int, similarity double, embedding array<float>, k int")
+        found = rerank.mmr(df.repartition(3), balance)
+        assert {(r.query_id, r.pos, r.chunk_id) for r in found.collect()} == expected
+        assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+        told = rerank.lambda_sweep(df, [balance]).first()
+        assert told.queries == 8 and told.mean_similarity == pytest.approx(np.mean([a for a, _ in alike]), abs=2e-6)
+        assert told.mean_pairwise == pytest.approx(np.mean([b for _, b in alike if b is not None]), abs=2e-6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
