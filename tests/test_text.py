@@ -62,3 +62,27 @@ def test_few_texts_are_tokenised_at_once(monkeypatch):
     assert max(seen) <= 256 and sum(seen) == len(got) == 1000
     assert got.to_pylist()[2] == vectors._embed.func(pa.array(texts[2:3])).to_pylist()[0]
     assert len(vectors._embed.func(pa.array([], pa.string()))) == 0
+
+
+def test_tokens_are_found_and_hashed_by_arrays():
+    """Against one regular expression and one md5 per token, with letters of one to four bytes and tokens of all lengths."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from pliego import constants as K
+    from pliego.functions import vectors
+
+    some = ["", None, "Árbol árbol, casa!", "x1y_z", "İİ ǅ 中文 𝒜😀 ẞß́a", "\x00a\nb", "é", "é", *("ñ" * n + "a " + "b" * n for n in range(130))]
+    texts = pa.array(some, pa.string())
+    for part in (texts, texts.slice(3), texts.slice(0, 2), texts.slice(0, 0)):
+        expected = np.zeros((len(part), K.VECTOR_BUCKETS), int)
+        for row, tokens in enumerate(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(part, "")), pattern=K.TOKEN_BREAK).to_pylist()):
+            for token in filter(None, tokens):
+                expected[row, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % K.VECTOR_BUCKETS] += 1
+        assert (vectors.counted(part) == expected).all()
+    text = np.frombuffer(b"abc" * 500, np.uint8)
+    ends = np.cumsum(np.r_[0, np.arange(50)])
+    assert vectors.buckets(ends, text).tolist() == [vectors.bucket(text[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
