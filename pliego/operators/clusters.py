@@ -15,8 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pliego.functions.vectors import as_matrix
@@ -28,6 +26,8 @@ MOST_CELLS = 1024  # ... so many cells: their centres travel with the tasks
 MOST_VISITS = 32  # cells outside its home that a query is copied to on average; beyond that, all rows meet on the grid
 PART = 256  # rows whose distances to all centres are held at once
 ROUNDS = 5
+CHOICE = 4  # rows that each first centre is chosen from, on average
+SUMS = 16  # groups in which the tasks' sums are added
 SLACK = 4e-6  # distances are compared at six decimals
 
 
@@ -54,18 +54,69 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PART)
 
 
+def first_centres(rows: DataFrame, wanted: int) -> np.ndarray:
+    """So many of a few times as many rows, each the farther from those before it the likelier (k-means++)."""
+    some = rows.select("embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(CHOICE * wanted).toArrow()
+    points, rng = as_matrix(some.column("embedding")), np.random.default_rng(1)
+    chosen, away = [0], np.full(len(points), np.inf)
+    while len(chosen) < wanted:
+        away = np.minimum(away, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+        total = np.cumsum(away)
+        if not total[-1] > 0:
+            break  # all are copies of those that were chosen
+        chosen.append(min(int(np.searchsorted(total, rng.random() * total[-1], side="right")), len(points) - 1))
+    return points[chosen]
+
+
+def means(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The mean of the rows nearest to each centre, of all rows; a centre without rows stays. A task gives one sum per centre, and
+    the tasks' sums are added before they meet the driver."""
+    right = factors(centres, (centres**2).sum(axis=1), False).astype(np.float32)
+
+    def summed(batches):
+        sums, counts = np.zeros(centres.shape), np.zeros(len(centres), np.int64)
+        for batch in parts(batches):
+            vectors = as_matrix(batch.column("embedding"), np.float32)
+            near = square_distances(factors(vectors, (vectors**2).sum(axis=1), True), right).argmin(axis=1)
+            order = np.argsort(near, kind="stable")
+            cells, starts, n = np.unique(near[order], return_index=True, return_counts=True)
+            sums[cells] += np.add.reduceat(vectors[order].astype(np.float64), starts, axis=0)
+            counts[cells] += n
+        yield told(np.flatnonzero(counts), sums, counts)
+
+    def added(table: pa.Table) -> pa.Table:
+        cells, which = np.unique(np.asarray(table.column("cell")), return_inverse=True)
+        sums, counts = np.zeros((len(cells), centres.shape[1])), np.zeros(len(cells), np.int64)
+        np.add.at(sums, which, as_matrix(table.column("sum")))
+        np.add.at(counts, which, np.asarray(table.column("n")))
+        return pa.Table.from_batches([told(np.arange(len(cells)), sums, counts).set_column(0, "cell", pa.array(cells.astype(np.int32)))])
+
+    def told(cells: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array((np.arange(len(cells) + 1) * sums.shape[1]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array(sums[cells].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), lists, pa.array(counts[cells])], names=["cell", "sum", "n"])
+
+    form = "cell int, sum array<double>, n bigint"
+    each = rows.mapInArrow(summed, form).groupBy(F.col("cell") % SUMS).applyInArrow(added, form).toArrow()
+    out, cells = centres.copy(), np.asarray(each.column("cell"))
+    if len(cells):
+        out[cells] = as_matrix(each.column("sum")) / np.asarray(each.column("n"))[:, None]
+    return out
+
+
 def build(store: DataFrame, cell_rows: int = CELL_ROWS, most: int = MOST_CELLS) -> Index:
     """Writes the rows (chunk_id, embedding) of a store by cell; rows without a vector are in no cell.
 
-    Spark's k-means places the centres over all rows. A cell with very many rows is several files, since the rebalance
-    hint lets adaptive execution split it."""
+    K-means places the centres over all rows. A cell with very many rows is several files, since the rebalance hint lets
+    adaptive execution split it."""
     rows = store.filter("embedding is not null").select("chunk_id", "embedding")
     wanted = min(most, -(-rows.count() // cell_rows))
     if not wanted:
         nothing = np.zeros(0)
         return Index(rows.withColumn("cell", F.lit(0)), nothing, np.zeros((0, 0)), nothing, nothing, nothing)
-    points = rows.select(array_to_vector("embedding").alias("features"))
-    centres = np.array(KMeans(k=wanted, seed=1, maxIter=ROUNDS, initSteps=1).fit(points).clusterCenters(), np.float64)
+    centres = first_centres(rows, wanted)
+    for _ in range(ROUNDS):
+        centres = means(rows, centres)
 
     def assign(batches):
         for batch in parts(batches):

@@ -443,3 +443,21 @@ def test_all_queries_of_a_batch_are_chosen_at_once(spark, monkeypatch, balance):
         assert told.mean_pairwise == pytest.approx(np.mean([b for _, b in alike if b is not None]), abs=2e-6)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_centres_are_means_of_all_their_rows(spark):
+    """Rounds of k-means without Spark's, against plain ones; no more than the centres is collected."""
+    from pliego.operators import clusters
+
+    rng = np.random.default_rng(2)
+    store = (rng.normal(size=(8, 6))[rng.integers(0, 8, 700)] * 5 + rng.normal(size=(700, 6))).astype(np.float32)
+    _, s = frames(spark, store[:1], store)
+    centres = clusters.first_centres(s, 12)
+    assert len(centres) == len(np.unique(centres, axis=0)) == 12
+    assert {tuple(c) for c in centres} <= {tuple(v) for v in store.astype(float)}
+    far = np.r_[centres, np.full((1, 6), 1e6)]
+    near = ((store[:, None].astype(float) - far[None]) ** 2).sum(axis=2).argmin(axis=1)
+    expected = np.array([store[near == c].astype(float).mean(axis=0) if (near == c).any() else far[c] for c in range(13)])
+    assert np.allclose(clusters.means(s.repartition(5), far), expected)
+    copies = s.withColumn("embedding", F.array(*[F.lit(1.0).cast("float")] * 6))
+    assert clusters.first_centres(copies, 5).tolist() == [[1.0] * 6]
